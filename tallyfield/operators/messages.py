@@ -100,7 +100,7 @@ def rows_from_result_documents(documents: DataFrame, columns: T.StructType) -> D
     """
     results = read_results(documents)
     kept = [c for c in results.columns if c not in ("result_columns", "result_rows")]
-    rows = results.select(*kept, "result_columns", F.posexplode("result_rows").alias("row_no", "row"))
+    rows = _exploded(results.select(*kept, "result_columns", "result_rows"))
 
     def value(field: T.StructField) -> Column:
         at = F.array_position("result_columns", F.lit(field.name)) - 1
@@ -114,7 +114,7 @@ def result_cells(documents: DataFrame) -> DataFrame:
     """The same rows, one value per line and untyped, for documents of any columns."""
     results = read_results(documents)
     kept = [c for c in results.columns if c not in ("result_columns", "result_rows")]
-    rows = results.select(*kept, "result_columns", F.posexplode("result_rows").alias("row_no", "row"))
+    rows = _exploded(results.select(*kept, "result_columns", "result_rows"))
     cells = rows.select(
         *kept, "row_no", "result_columns", F.posexplode("row").alias("position", "value")
     )
@@ -125,6 +125,14 @@ def result_cells(documents: DataFrame) -> DataFrame:
     return cells.select(*kept, "row_no", "position", named.alias("column"), "value")
 
 
+def _exploded(results: DataFrame) -> DataFrame:
+    """One line per result row. The outer form keeps Spark from parsing each document a
+    second time, only to test for rows ahead of the explode."""
+    kept = [c for c in results.columns if c != "result_rows"]
+    rows = results.select(*kept, F.posexplode_outer("result_rows").alias("row_no", "row"))
+    return rows.where(F.col("row_no").isNotNull())
+
+
 def chat_history(messages: DataFrame, results: DataFrame) -> DataFrame:
     """Each message with its question and the rows its query returned.
 
@@ -133,9 +141,7 @@ def chat_history(messages: DataFrame, results: DataFrame) -> DataFrame:
     message), the `document`, and an `error` where fetching it failed. A message that
     failed, or holds no query, has no result.
     """
-    flat = flatten_messages(messages)
-    asked = flat.error.isNull() & (flat.sql_query != "") & (flat.message_id != "")
-    entries = flat.withColumn("result_of", F.when(asked, F.col("message_id")))
+    entries = flatten_messages(messages)
     fetched = read_results(results).select(
         F.col("message_id").alias("result_of"),
         F.col("conversation_id").alias("in_conversation"),
@@ -144,8 +150,12 @@ def chat_history(messages: DataFrame, results: DataFrame) -> DataFrame:
         F.when(F.col("error").isNull(), F.col("result_rows")).alias("result_rows"),
         F.col("error").alias("query_result_error"),
     )
+    # Messages without a result are spread by their id, not gathered under a NULL key.
     same = (
-        (entries.result_of == fetched.result_of)
+        entries.error.isNull()
+        & (entries.sql_query != "")
+        & (entries.message_id != "")
+        & (entries.message_id == fetched.result_of)
         & (entries.conversation_id == fetched.in_conversation)
         & or_null(entries.attachment_id).eqNullSafe(or_null(fetched.for_attachment))
     )
@@ -170,21 +180,28 @@ def question_answer_pairs(chats: DataFrame, turns_per_slice: int = TURNS_PER_SLI
     a conversation, but may have gaps. Long conversations are cut into slices of turn
     numbers, so that no task has to hold a whole one.
     """
-    # A slice per range of turn numbers.
+    # Texts of other roles count for nothing, and need not be shuffled.
+    said = F.when(F.col("role").isin("user", "assistant"), F.col("text"))
     sliced = chats.select(
-        "conv_id", "turn", "role", "text", F.expr(f"turn div {turns_per_slice}").alias("slice")
+        "conv_id",
+        "turn",
+        "role",
+        said.alias("text"),
+        F.expr(f"turn div {turns_per_slice}").alias("slice"),
     )
-    reply = F.when(F.col("role") == "assistant", F.col("text"))
     in_slice = Window.partitionBy("conv_id", "slice").orderBy("turn")
     turns = sliced.select(
         "conv_id",
         "slice",
         "turn",
         "role",
-        F.col("text").alias("question"),
-        F.lead(reply).over(in_slice).alias("answer"),
+        "text",
+        F.lead("role").over(in_slice).alias("next_role"),
+        F.lead("text").over(in_slice).alias("next_text"),
         F.lead("turn").over(in_slice).isNull().alias("ends_slice"),
     ).where(F.col("role") == "user")
+    question = F.col("text").alias("question")
+    answer = F.when(F.col("next_role") == "assistant", F.col("next_text"))
 
     # Where a conversation goes on in another slice. Most logs have no such place, which
     # two narrow columns are enough to tell.
@@ -198,7 +215,7 @@ def question_answer_pairs(chats: DataFrame, turns_per_slice: int = TURNS_PER_SLI
         .checkpoint()
     )
     if crossings.isEmpty():
-        return turns.select("conv_id", "turn", "question", "answer")
+        return turns.select("conv_id", "turn", question, answer.alias("answer"))
 
     next_replies = crossings.join(
         sliced.where(F.col("role") == "assistant").select(
@@ -206,7 +223,7 @@ def question_answer_pairs(chats: DataFrame, turns_per_slice: int = TURNS_PER_SLI
         ),
         ["conv_id", "next_turn"],
     ).select("conv_id", "slice", "next_answer")
-    answer = F.when(F.col("ends_slice"), F.col("next_answer")).otherwise(F.col("answer"))
+    answer = F.when(F.col("ends_slice"), F.col("next_answer")).otherwise(answer)
     return turns.join(next_replies, ["conv_id", "slice"], "left").select(
-        "conv_id", "turn", "question", answer.alias("answer")
+        "conv_id", "turn", question, answer.alias("answer")
     )

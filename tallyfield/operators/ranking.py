@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from ..session import ensure_checkpoint_dir
 
 ROWS_PER_SLICE = 250_000
 MAX_SLICES = 20_000
+SAMPLE_ROWS = 2_000_000
 # Tasks that share the rows of one much-repeated value.
 TIE_SALTS = 64
 
@@ -35,7 +37,7 @@ def global_rank(
         return rows.withColumn(rank_name, rank.cast("bigint"))
 
     slices = min(MAX_SLICES, math.ceil(count / rows_per_slice))
-    sliced = _add_slice(rows, measure, _cuts(rows, measure, slices))
+    sliced = _add_slice(rows, measure, _cuts(rows, measure, count, slices))
 
     # At most three slices per cut and one for NULL: small enough for one task, and to broadcast.
     above = Window.orderBy(F.desc("slice")).rowsBetween(Window.unboundedPreceding, -1)
@@ -55,11 +57,15 @@ def global_rank(
     )
 
 
-def _cuts(rows: DataFrame, measure: str, slices: int) -> list:
-    """The measure's quantiles, ascending; a much-repeated value appears more than once."""
+def _cuts(rows: DataFrame, measure: str, count: int, slices: int) -> list:
+    """The measure's quantiles, ascending; a much-repeated value appears more than once.
+
+    They only balance the slices, so a sample will do; ranks do not depend on them.
+    """
     shares = [i / slices for i in range(1, slices)]
     quantiles = F.percentile_approx(measure, shares, max(10_000, 4 * slices))
-    found = rows.agg(quantiles.alias("cuts")).first()["cuts"] or []
+    sample = rows.sample(min(1.0, SAMPLE_ROWS / count), seed=1)
+    found = sample.agg(quantiles.alias("cuts")).first()["cuts"] or []
     return [cut for cut in found if math.isfinite(cut)]
 
 
@@ -89,8 +95,11 @@ def _add_slice(rows: DataFrame, measure: str, cuts: list) -> DataFrame:
 
     side: Column = F.lit(0)
     if repeated:
-        schema = f"value_range double, repeated_value {rows.schema[measure].dataType.simpleString()}"
-        points = rows.sparkSession.createDataFrame(sorted(repeated.items()), schema)
+        points = pa.table(
+            {"value_range": list(repeated), "repeated_value": list(repeated.values())}
+        )
+        # At most one row per cut.
+        points = rows.sparkSession.createDataFrame(points)
         ranged = ranged.join(F.broadcast(points), "value_range", "left")
         side = (
             F.when(value == F.col("repeated_value"), 1)

@@ -10,10 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import exact_total, mean_of, month_label, month_start
+from ..functions import broadcast_if_small, exact_total, mean_of, month_label, month_start
 from ..session import ensure_checkpoint_dir
 from .ranking import ROWS_PER_SLICE, global_rank
 
+# Channels that the bits of one number can hold.
+MASK_BITS = 62
+
 
 def monthly_sales_summary(sales: DataFrame, money_scale: int | None = None) -> DataFrame:
     """Transactions, units, revenue and average per month, region and channel."""
@@ -150,13 +153,14 @@ def customer_segment_performance(
         )
         .checkpoint()
     )
+    by_channel = broadcast_if_small(by_channel)
     by_segment = customers.groupBy("region", "segment").agg(F.count(F.lit(1)).alias("copies"))
 
     def copied(column: str):
         return F.sum(F.col(column) * F.col("copies"))
 
     totals = (
-        by_channel.join(by_segment, "region")
+        by_segment.join(by_channel, "region")
         .groupBy("segment", "channel")
         .agg(
             copied("region_transactions").alias("transaction_count"),
@@ -164,12 +168,8 @@ def customer_segment_performance(
             copied("region_amounts").alias("amounts"),
         )
     )
-    counted = (
-        customers.select("region", "segment", "customer_id")
-        .join(by_channel.select("region", "channel"), "region")
-        .groupBy(F.col("segment").alias("s"), F.col("channel").alias("c"))
-        .agg(F.countDistinct("customer_id").alias("customer_count"))
-    )
+    counted = _customer_counts(by_channel, customers)
+    # The groups are the same on both sides, NULL ones included.
     same_group = F.col("segment").eqNullSafe(F.col("s")) & F.col("channel").eqNullSafe(F.col("c"))
     return totals.join(counted, same_group).select(
         "segment",
@@ -181,6 +181,49 @@ def customer_segment_performance(
     )
 
 
+def _customer_counts(by_channel: DataFrame, customers: DataFrame) -> DataFrame:
+    """Distinct customers per segment `s` and channel `c` that their regions sell in.
+
+    With few channels, the ones of a region fit into the bits of a number: customers are
+    then shuffled once each, not once per channel, and a customer of several regions gets
+    the bits of all. With more channels the customers are repeated for each of them.
+    """
+    few = by_channel.select("channel").distinct().limit(MASK_BITS + 1).collect()
+    if not 0 < len(few) <= MASK_BITS:
+        return (
+            customers.select("region", "segment", "customer_id")
+            .join(by_channel.select("region", "channel"), "region")
+            .groupBy(F.col("segment").alias("s"), F.col("channel").alias("c"))
+            .agg(F.countDistinct("customer_id").alias("customer_count"))
+        )
+
+    kind = by_channel.schema["channel"].dataType
+    channels = [(1 << i, F.lit(row["channel"]).cast(kind)) for i, row in enumerate(few)]
+    bit = F.coalesce(
+        *[F.when(F.col("channel").eqNullSafe(name), F.lit(bit)) for bit, name in channels]
+    )
+    in_regions = by_channel.groupBy("region").agg(F.bit_or(bit.cast("bigint")).alias("mask"))
+    sold_in = F.array(
+        *[
+            F.when(
+                F.col("mask").bitwiseAND(F.lit(bit)) != 0, F.struct(name.alias("c"), F.col("n"))
+            )
+            for bit, name in channels
+        ]
+    )
+    return (
+        customers.select("region", "segment", "customer_id")
+        .join(broadcast_if_small(in_regions), "region")
+        .groupBy("segment", "customer_id")
+        .agg(F.bit_or("mask").alias("mask"))
+        .groupBy(F.col("segment").alias("s"), "mask")
+        .agg(F.count("customer_id").alias("n"))
+        .select("s", F.inline(F.filter(sold_in, lambda group: group.isNotNull())))
+        .groupBy("s", "c")
+        .agg(F.sum("n").alias("customer_count"))
+    )
+
+
 def channel_category_analysis(
     sales: DataFrame, products: DataFrame, money_scale: int | None = None
 ) -> DataFrame:

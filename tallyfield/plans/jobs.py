@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,9 +73,9 @@ def run_all(spark: SparkSession, namespace: str, money_scale: int | None = None)
 
 def declared_edges(spark: SparkSession, namespace: str) -> DataFrame:
     """The lineage that the jobs declare: `source, target`."""
-    edges = [
-        (f"{namespace}.{source}", f"{namespace}.{name}")
-        for name, job in jobs().items()
-        for source in job.sources
-    ]
-    return spark.createDataFrame(edges, "source string, target string")
+    edges = [(source, name) for name, job in jobs().items() for source in job.sources]
+    columns = {
+        "source": [f"{namespace}.{source}" for source, _ in edges],
+        "target": [f"{namespace}.{name}" for _, name in edges],
+    }
+    return spark.createDataFrame(pa.table(columns))
