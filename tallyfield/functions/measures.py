@@ -2,21 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+_LOW_BITS = 20
+
 
+def exact_total(df: DataFrame, amount: str, money_scale: int | None) -> Column:
+    """Sum of a money column of `df`.
 
-def exact_total(amount: str, money_scale: int | None) -> Column:
-    """Sum of a money column.
+    A sum of doubles depends on the order in which tasks finish. With `money_scale` the
+    values are rounded to that many places and added as whole numbers, which does not.
+    Values with more places need a larger scale, or None for the plain double sum.
 
-    A sum of doubles depends on the order in which tasks finish. With `money_scale`
-    the values are added as decimals of that many places, which does not. Values with
-    more places need a larger scale, or None for the plain double sum.
+    The whole numbers are added as BIGINT, several times faster than as decimals, and in
+    two parts, so that the sum of the low bits and the sum of the rest both stay far
+    from overflow however many rows there are.
     """
     value = F.col(amount)
-    if money_scale is not None:
-        value = value.cast(f"decimal(18,{money_scale})")
-    return F.sum(value)
+    floating = isinstance(df.schema[amount].dataType, (T.DoubleType, T.FloatType))
+    if money_scale is None or not floating:
+        return F.sum(value)
+    units = F.rint(value * F.lit(float(10**money_scale))).cast("bigint")
+    high = F.sum(F.shiftright(units, _LOW_BITS)).cast("decimal(20,0)")
+    low = F.sum(units.bitwiseAND(F.lit((1 << _LOW_BITS) - 1))).cast("decimal(20,0)")
+    total = high * F.lit(Decimal(1 << _LOW_BITS)) + low
+    return (total * F.lit(Decimal(1).scaleb(-money_scale))).cast(f"decimal(28,{money_scale})")
 
 
 def mean_of(total: Column, values: Column) -> Column:

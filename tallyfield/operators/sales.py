@@ -23,7 +23,7 @@ def monthly_sales_summary(sales: DataFrame, money_scale: int | None = None) -> D
     totals = sales.groupBy(month_start("sale_date").alias("month"), "region", "channel").agg(
         F.count("transaction_id").alias("transaction_count"),
         F.sum("quantity").alias("total_quantity"),
-        exact_total("amount", money_scale).alias("revenue"),
+        exact_total(sales, "amount", money_scale).alias("revenue"),
         F.count("amount").alias("amounts"),
     )
     return totals.select(
@@ -48,7 +48,7 @@ def monthly_preview(
 def monthly_sales_trend(sales: DataFrame, money_scale: int | None = None) -> DataFrame:
     """Revenue per month."""
     totals = sales.groupBy(month_start("sale_date").alias("month")).agg(
-        exact_total("amount", money_scale).alias("revenue")
+        exact_total(sales, "amount", money_scale).alias("revenue")
     )
     return totals.select(
         month_label("month").alias("year_month"),
@@ -68,7 +68,7 @@ def product_totals(
     per_id = sales.groupBy("product_id").agg(
         F.count("transaction_id").alias("id_transactions"),
         F.sum("quantity").alias("id_quantity"),
-        exact_total("amount", money_scale).alias("id_revenue"),
+        exact_total(sales, "amount", money_scale).alias("id_revenue"),
     )
     named = products.select("product_id", "product_name", "category", "supplier")
     return (
@@ -148,7 +148,7 @@ def customer_segment_performance(
         .groupBy("region", "channel")
         .agg(
             F.count("transaction_id").alias("region_transactions"),
-            exact_total("amount", money_scale).alias("region_revenue"),
+            exact_total(sales, "amount", money_scale).alias("region_revenue"),
             F.count("amount").alias("region_amounts"),
         )
         .checkpoint()
@@ -238,8 +238,8 @@ def channel_category_analysis(
         .agg(
             F.count("transaction_id").alias("transaction_count"),
             F.sum("quantity").alias("total_quantity"),
-            exact_total("amount", money_scale).alias("revenue"),
-            exact_total("unit_price", money_scale).alias("prices"),
+            exact_total(sales, "amount", money_scale).alias("revenue"),
+            exact_total(sales, "unit_price", money_scale).alias("prices"),
             F.count("unit_price").alias("priced"),
         )
     )
