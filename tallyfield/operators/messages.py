@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import or_null
+from ..functions import broadcast_if_small, or_null
 from ..session import ensure_checkpoint_dir
 
 # Parts that may come as an object or as something else are kept as text.
@@ -176,54 +176,71 @@ def chat_history(messages: DataFrame, results: DataFrame) -> DataFrame:
 def question_answer_pairs(chats: DataFrame, turns_per_slice: int = TURNS_PER_SLICE) -> DataFrame:
     """Every user turn with its direct reply: `conv_id, turn, question, answer`.
 
-    The answer is NULL if the next turn is not the assistant's. `turn` is unique within
-    a conversation, but may have gaps. Long conversations are cut into slices of turn
-    numbers, so that no task has to hold a whole one.
+    The answer is NULL if the next turn is not the assistant's. `turn` is a whole number,
+    unique within a conversation, but may have gaps. A conversation of more than
+    `turns_per_slice` turns is cut into ranges of turn numbers, so that no task has to
+    hold a whole one. Two narrow columns are enough to tell whether there is any.
     """
+    ensure_checkpoint_dir(chats.sparkSession)
+    slices = F.expr(f"(turns + {turns_per_slice - 1}) div {turns_per_slice}")
+    long_ones = (
+        chats.groupBy("conv_id")
+        .agg(
+            F.count(F.lit(1)).alias("turns"),
+            F.min("turn").alias("first_turn"),
+            F.max("turn").alias("last_turn"),
+        )
+        .where(F.col("turns") > turns_per_slice)
+        .select("conv_id", "first_turn", "last_turn", slices.alias("slices"))
+        .selectExpr("conv_id", "first_turn", "(last_turn - first_turn) div slices + 1 AS width")
+        .checkpoint()
+    )
     # Texts of other roles count for nothing, and need not be shuffled.
     said = F.when(F.col("role").isin("user", "assistant"), F.col("text"))
-    sliced = chats.select(
-        "conv_id",
-        "turn",
-        "role",
-        said.alias("text"),
-        F.expr(f"turn div {turns_per_slice}").alias("slice"),
-    )
-    in_slice = Window.partitionBy("conv_id", "slice").orderBy("turn")
-    turns = sliced.select(
-        "conv_id",
-        "slice",
-        "turn",
-        "role",
-        "text",
-        F.lead("role").over(in_slice).alias("next_role"),
-        F.lead("text").over(in_slice).alias("next_text"),
-        F.lead("turn").over(in_slice).isNull().alias("ends_slice"),
-    ).where(F.col("role") == "user")
+    turns = chats.select("conv_id", "turn", "role", said.alias("text"))
     question = F.col("text").alias("question")
     answer = F.when(F.col("next_role") == "assistant", F.col("next_text"))
+    if long_ones.isEmpty():
+        asked = _with_next(turns, ["conv_id"])
+        return asked.select("conv_id", "turn", question, answer.alias("answer"))
 
-    # Where a conversation goes on in another slice. Most logs have no such place, which
-    # two narrow columns are enough to tell.
-    ensure_checkpoint_dir(chats.sparkSession)
+    sliced = turns.join(broadcast_if_small(long_ones), "conv_id", "left").withColumn(
+        "slice", F.expr("coalesce((turn - first_turn) div width, 0)")
+    )
+    # Where a long conversation goes on in another slice: one row per slice.
     by_slice = Window.partitionBy("conv_id").orderBy("slice")
     crossings = (
-        sliced.groupBy("conv_id", "slice")
-        .agg(F.min("turn").alias("first_turn"))
-        .select("conv_id", "slice", F.lead("first_turn").over(by_slice).alias("next_turn"))
-        .where(F.col("next_turn").isNotNull())
+        sliced.where(F.col("width").isNotNull())
+        .groupBy("conv_id", "slice")
+        .agg(F.min("turn").alias("opening_turn"))
+        .select("conv_id", "slice", F.lead("opening_turn").over(by_slice).alias("opening_turn"))
+        .where(F.col("opening_turn").isNotNull())
         .checkpoint()
     )
-    if crossings.isEmpty():
-        return turns.select("conv_id", "turn", question, answer.alias("answer"))
-
-    next_replies = crossings.join(
-        sliced.where(F.col("role") == "assistant").select(
-            "conv_id", F.col("turn").alias("next_turn"), F.col("text").alias("next_answer")
-        ),
-        ["conv_id", "next_turn"],
-    ).select("conv_id", "slice", "next_answer")
-    answer = F.when(F.col("ends_slice"), F.col("next_answer")).otherwise(answer)
-    return turns.join(next_replies, ["conv_id", "slice"], "left").select(
-        "conv_id", "turn", question, answer.alias("answer")
+    openings = turns.where(F.col("role") == "assistant").select(
+        "conv_id", F.col("turn").alias("opening_turn"), F.col("text").alias("opening_text")
     )
+    replies = (
+        openings.join(broadcast_if_small(crossings), ["conv_id", "opening_turn"])
+        .drop("opening_turn")
+    )
+    answer = F.when(F.col("next_turn").isNull(), F.col("opening_text")).otherwise(answer)
+    return (
+        _with_next(sliced, ["conv_id", "slice"])
+        .join(replies, ["conv_id", "slice"], "left")
+        .select("conv_id", "turn", question, answer.alias("answer"))
+    )
+
+
+def _with_next(turns: DataFrame, group: list[str]) -> DataFrame:
+    """The user turns, with number, role and text of the next turn of their group."""
+    in_order = Window.partitionBy(*group).orderBy("turn")
+    return turns.select(
+        *group,
+        "turn",
+        "role",
+        "text",
+        F.lead("turn").over(in_order).alias("next_turn"),
+        F.lead("role").over(in_order).alias("next_role"),
+        F.lead("text").over(in_order).alias("next_text"),
+    ).where(F.col("role") == "user")

@@ -205,7 +205,7 @@ def test_question_answer_pairs(spark, turns_per_slice):
     # One conversation holds most turns; numbers have gaps, some are negative.
     for conv, length in [(1, 900), (2, 60), (3, 5), (4, 1)]:
         for turn in sorted(rng.sample(range(-20, 2000), length)):
-            role = rng.choice(["user", "assistant", "system", "user"])
+            role = rng.choice(["user", "assistant", "system", "user", None])
             chats.append((conv, turn, role, None if rng.random() < 0.05 else f"{conv}/{turn}"))
     df = spark.createDataFrame(chats, "conv_id int, turn bigint, role string, text string")
     assert rows_of(m.question_answer_pairs(df, turns_per_slice), 0, 1) == _pairs(chats)
