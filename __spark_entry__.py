@@ -114,6 +114,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "lineage_edges_from_documents": lambda s, d: lineage.lineage_edges_from_documents(
             star.lineage_documents(s, d)
         ),
+        "neighbours_in_documents": lambda s, d: lineage.neighbours_in_documents(
+            star.lineage_documents(s, d), PART, "downstream"
+        ),
         "missing_edges": lambda s, d: lineage.missing_edges(
             jobs.declared_edges(s, NAMESPACE), star.job_events(s, d, NAMESPACE)
         ),
@@ -360,6 +363,10 @@ FROM lineitem WHERE l_linenumber <> 6 AND l_returnflag <> 'R'
 UNION ALL
 SELECT DISTINCT 'lake.mart.part_' || l_partkey, 'downstream', 'lake.ops.order_' || l_orderkey
 FROM lineitem WHERE l_linenumber <> 7
+""",
+        "neighbours_in_documents": f"""
+SELECT DISTINCT 'lake.ops.order_' || l_orderkey AS tbl
+FROM lineitem WHERE l_linenumber <> 7 AND 'lake.mart.part_' || l_partkey = '{PART}' ORDER BY tbl
 """,
         "missing_edges": f"""
 WITH declared(source, target) AS (VALUES

@@ -1,17 +1,28 @@
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# About 100 MB of short string keys.
-MAX_BROADCAST_ROWS = 1_000_000
+MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Mark `df` for broadcast if it has at most `max_rows` rows, else leave the join to Spark.
+def broadcast_if_small(df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """Mark `df` for broadcast if it is measured small, else leave the join to Spark.
 
-    The check stops counting one row past the bound. Beyond it the join is a shuffled
-    one, and adaptive execution splits the hot keys.
+    Beyond the bound the join is a shuffled one, where adaptive execution splits hot
+    keys. Measuring is one aggregation: use it on data that is written or cheap to make.
     """
-    seen = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if seen <= max_rows else df
+    width = sum((_width(field) for field in df.schema.fields), F.lit(0))
+    measured = df.agg(F.sum(width.cast("bigint"))).first()[0] or 0
+    return F.broadcast(df) if measured <= max_bytes else df
+
+
+def _width(field: T.StructField) -> Column:
+    """Bytes of a value in a hash table row, about; a nested value counts as its JSON text."""
+    column = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, (T.ArrayType, T.StructType, T.MapType)):
+        column = F.to_json(column)
+    elif not isinstance(field.dataType, (T.StringType, T.BinaryType)):
+        return F.lit(16)
+    return F.lit(16) + F.coalesce(F.octet_length(column), F.lit(0))

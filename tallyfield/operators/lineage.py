@@ -108,6 +108,17 @@ def lineage_edges_from_documents(documents: DataFrame, mode: str = "PERMISSIVE")
     )
 
 
+def neighbours_in_documents(documents: DataFrame, table: str, direction: str) -> DataFrame:
+    """The `upstream` or `downstream` tables that one table's documents name, sorted."""
+    own = documents.where(F.col("table") == F.lit(table))
+    return (
+        lineage_edges_from_documents(own)
+        .where(F.col("direction") == F.lit(direction))
+        .select("tbl")
+        .orderBy("tbl")
+    )
+
+
 def missing_edges(declared: DataFrame, events: DataFrame) -> DataFrame:
     """Declared edges that the log never shows: `source, target`.
 

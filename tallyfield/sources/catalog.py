@@ -37,21 +37,34 @@ def load_table(
         F.col(f"`{f.name}`").cast(f.dataType).alias(f.name, metadata=f.metadata)
         for f in schema.fields
     ]
-    write_table(rows.select(*declared), name, comment)
+    _save(rows.select(*declared), name, comment)
 
 
 def write_table(df: DataFrame, name: str, comment: str = "", order_by: tuple = ()) -> None:
-    """Replace the whole table. The order only clusters the files; readers sort again."""
+    """Replace the whole of a derived table.
+
+    The rows are written beside it first: until they are complete the old table stays,
+    and `df` may read it. The order only clusters the files; readers sort again.
+    """
     spark = df.sparkSession
-    if order_by:
-        df = df.orderBy(*order_by)
+    staged = f"{name}__staged"
+    _save(df.orderBy(*order_by) if order_by else df, staged, comment)
+    spark.sql("DROP TABLE IF EXISTS IDENTIFIER(:name)", args={"name": name})
+    spark.sql(f"ALTER TABLE {_ticked(staged)} RENAME TO {_ticked(name)}")
+
+
+def _save(df: DataFrame, name: str, comment: str) -> None:
     df.write.mode("overwrite").format("parquet").saveAsTable(name)
     if comment:
-        spark.sql(
+        df.sparkSession.sql(
             "COMMENT ON TABLE IDENTIFIER(:name) IS '" + _quoted(comment) + "'", args={"name": name}
         )
 
 
+def _ticked(name: str) -> str:
+    return ".".join(f"`{part}`" for part in name.split("."))
+
+
 def _quoted(text: str) -> str:
     # DDL takes no bound value for a comment.
     return text.replace("\\", "\\\\").replace("'", "\\'")

@@ -95,3 +95,20 @@ def test_load_takes_columns_by_name_and_casts(spark, namespace):
 def test_scan_reads_paths(spark, tmp_path):
     spark.range(3).write.parquet(str(tmp_path / "t"))
     assert catalog.scan(spark, str(tmp_path / "t")).count() == 3
+
+
+def test_a_failed_build_leaves_the_old_table(spark, namespace):
+    name = f"{namespace}.kept"
+    catalog.write_table(spark.range(3), name, "three")
+    broken = spark.range(5).selectExpr("id", "if(id = 4, raise_error('no'), 1) AS v")
+    with pytest.raises(Exception, match="no"):
+        catalog.write_table(broken, name)
+    assert spark.table(name).count() == 3
+    # A build may read the table it replaces.
+    catalog.write_table(spark.table(name).where("id > 0"), name, "two")
+    assert rows_of(spark.table(name), 0) == [(1,), (2,)]
+    tables = catalog.harvest_tables(spark, namespace)
+    (row,) = metadata.describe_table(tables, f"spark_catalog.{name}").collect()
+    assert row["comment"] == "two"
+    spark.sql(f"DROP TABLE {name}")
+    spark.sql(f"DROP TABLE IF EXISTS {name}__staged")

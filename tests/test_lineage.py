@@ -93,6 +93,9 @@ def test_documents(spark):
         ("c.s.one", "downstream", "c.s.z"),
     }
     assert sum(r[0] == "c.s.hub" for r in found) == 150
+    up = lineage.neighbours_in_documents(df, "c.s.one", "upstream")
+    assert rows_of(up) == [("c.s.a",), ("c.s.b",)]
+    assert rows_of(lineage.neighbours_in_documents(df, "c.s.hub", "upstream")) == []
     with pytest.raises(Exception, match="MALFORMED_RECORD"):
         lineage.lineage_edges_from_documents(df, "FAILFAST").collect()
 

@@ -25,10 +25,10 @@ def grants(spark):
     return spark.createDataFrame(rows, "user string, table string, key string, column string")
 
 
-@pytest.mark.parametrize("max_rows", [1_000_000, 0])
-def test_row_filter(accounts, grants, monkeypatch, max_rows):
+@pytest.mark.parametrize("max_bytes", [1_000_000, 0])
+def test_row_filter(accounts, grants, monkeypatch, max_bytes):
     monkeypatch.setattr(
-        p, "broadcast_if_small", lambda df: joins.broadcast_if_small(df, max_rows)
+        p, "broadcast_if_small", lambda df: joins.broadcast_if_small(df, max_bytes)
     )
 
     def ids(user):
@@ -62,7 +62,7 @@ def test_column_mask(accounts, grants):
 
 def test_broadcast_only_below_the_bound(spark):
     df = spark.range(10)
-    other = spark.range(5)
+    other = spark.range(5).selectExpr("id", "repeat('x', 84) AS t", "array(id) AS a")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
 
@@ -70,7 +70,8 @@ def test_broadcast_only_below_the_bound(spark):
             joined = df.join(joins.broadcast_if_small(other, bound), "id")
             return joined._jdf.queryExecution().toString()
 
-        assert "BroadcastHashJoin" in plan(5)
-        assert "BroadcastHashJoin" not in plan(4)
+        # 16 for the number, 100 for the text, 19 for [0].
+        assert "BroadcastHashJoin" in plan(5 * 135)
+        assert "BroadcastHashJoin" not in plan(5 * 135 - 1)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
