@@ -7,7 +7,7 @@ is explained at `functions.measures.exact_total`.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import broadcast_if_small, exact_total, mean_of, month_label, month_start
@@ -106,8 +106,8 @@ def ranking_preview(
         .orderBy(F.desc_nulls_last("revenue"), "product_id")
         .limit(rows)
     )
-    ranked = global_rank(first, "revenue", "revenue_rank", rows_per_slice=rows)
-    return ranked.select(*_product_columns(), "revenue_rank")
+    rank = F.rank().over(Window.orderBy(F.desc_nulls_last("revenue")))
+    return first.select(*_product_columns(), rank.cast("bigint").alias("revenue_rank"))
 
 
 def top_products(
