@@ -91,6 +91,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "customer_segment_performance": lambda s, d: sales.customer_segment_performance(
             star.sales(s, d), star.customer_segments(s, d), CENTS
         ),
+        "customer_segment_performance_by_order": lambda s, d: sales.customer_segment_performance(
+            star.order_sales(s, d), star.customer_segments(s, d), CENTS
+        ),
         "channel_category_analysis": lambda s, d: sales.channel_category_analysis(
             star.channel_sales(s, d), star.products(s, d), CENTS
         ),
@@ -313,6 +316,18 @@ FROM sales
 JOIN (SELECT c_custkey, c_mktsegment, n_name
       FROM customer JOIN nation ON c_nationkey = n_nationkey) ON region = n_name
 GROUP BY 1, 2
+""",
+        "customer_segment_performance_by_order": """
+WITH homes AS (
+  SELECT c_custkey, c_mktsegment, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey
+)
+SELECT b.c_mktsegment AS segment, o_orderpriority AS channel,
+       count(DISTINCT b.c_custkey) AS customer_count, count(o_orderkey) AS transaction_count,
+       CAST(sum(CAST(o_totalprice AS decimal(18,2))) AS double) AS total_revenue,
+       CAST(sum(CAST(o_totalprice AS decimal(18,2))) AS double) / count(o_totalprice)
+         AS avg_order_value
+FROM orders JOIN homes a ON o_custkey = a.c_custkey JOIN homes b ON a.n_name = b.n_name
+GROUP BY 1, 2
 """,
         "channel_category_analysis": _SALES
         + """

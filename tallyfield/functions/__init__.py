@@ -1,7 +1,8 @@
-from .joins import broadcast_if_small
+from .joins import broadcast_if_small, fits_broadcast
 from .measures import exact_total, mean_of, month_label, month_start
 from .text import (
     base64_line,
+    column_named,
     dotted_name,
     last_part,
     literal_search,
@@ -13,8 +14,10 @@ from .text import (
 __all__ = [
     "base64_line",
     "broadcast_if_small",
+    "column_named",
     "dotted_name",
     "exact_total",
+    "fits_broadcast",
     "last_part",
     "literal_search",
     "mean_of",

@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def column_named(name: str) -> Column:
+    """A column by its plain name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def or_null(column: Column) -> Column:
     """The empty string counts as missing."""
     return F.nullif(column, F.lit(""))

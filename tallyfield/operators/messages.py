@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import broadcast_if_small, or_null
+from ..functions import broadcast_if_small, column_named, or_null
 from ..session import ensure_checkpoint_dir
 
 # Parts that may come as an object or as something else are kept as text.
@@ -20,6 +20,16 @@ RESULT_DOCUMENT = (
     "manifest: struct<schema: struct<columns: array<struct<name: string>>>>, "
     "result: struct<data_array: array<array<string>>>>"
 )
+MESSAGE_COLUMNS = (
+    "message_id",
+    "conversation_id",
+    "status",
+    "text_responses",
+    "sql_query",
+    "query_description",
+    "attachment_id",
+    "error",
+)
 # JSON texts that count as "nothing there".
 EMPTY_JSON = ["", "{}", "[]", "false", "0"]
 
@@ -33,39 +43,40 @@ def flatten_messages(messages: DataFrame) -> DataFrame:
     The query comes from the last attachment that carries one. Other input columns, such
     as the question, are kept.
     """
-    kept = [c for c in messages.columns if c not in ("document", "conversation_id")]
+    kept = _besides(messages, "document", *MESSAGE_COLUMNS)
     known = F.col("conversation_id") if "conversation_id" in messages.columns else F.lit(None)
     parsed = messages.select(
         *kept,
-        known.cast("string").alias("known_conversation"),
-        F.from_json("document", MESSAGE_DOCUMENT).alias("m"),
+        known.cast("string").alias("_known_conversation"),
+        F.from_json("document", MESSAGE_DOCUMENT).alias("_message"),
     )
-    queries = F.filter("m.attachments", lambda a: _present(a["query"]))
-    picked = parsed.select(
-        *kept,
-        "known_conversation",
-        "m.id",
-        "m.conversation_id",
-        "m.status",
-        F.when(_present(F.col("m.error")), F.col("m.error")).alias("error"),
+    queries = F.filter("_message.attachments", lambda a: _present(a["query"]))
+    error = F.col("_message.error")
+    parts = parsed.select(
+        "*",
+        F.when(_present(error), error).alias("_error"),
         F.filter(
-            F.transform("m.attachments", lambda a: a["text"]["content"]), lambda t: t != ""
-        ).alias("texts"),
-        F.try_element_at(queries, F.lit(-1)).alias("last"),
-    )
-    return picked.withColumn("query", F.from_json("last.query", QUERY_PART)).select(
+            F.transform("_message.attachments", lambda a: a["text"]["content"]), lambda t: t != ""
+        ).alias("_texts"),
+        F.try_element_at(queries, F.lit(-1)).alias("_last"),
+    ).withColumn("_query", F.from_json("_last.query", QUERY_PART))
+    return parts.select(
         *kept,
-        F.coalesce("id", F.lit("")).alias("message_id"),
-        F.coalesce("conversation_id", "known_conversation").alias("conversation_id"),
-        F.coalesce("status", F.lit("UNKNOWN")).alias("status"),
-        F.coalesce("texts", F.array().cast("array<string>")).alias("text_responses"),
-        F.col("query.query").alias("sql_query"),
-        F.col("query.description").alias("query_description"),
-        F.coalesce(or_null(F.col("query.id")), F.col("last.attachment_id")).alias("attachment_id"),
-        F.coalesce(F.get_json_object("error", "$.message"), "error").alias("error"),
+        F.coalesce("_message.id", F.lit("")).alias("message_id"),
+        F.coalesce("_message.conversation_id", "_known_conversation").alias("conversation_id"),
+        F.coalesce("_message.status", F.lit("UNKNOWN")).alias("status"),
+        F.coalesce("_texts", F.array().cast("array<string>")).alias("text_responses"),
+        F.col("_query.query").alias("sql_query"),
+        F.col("_query.description").alias("query_description"),
+        F.coalesce(or_null(F.col("_query.id")), F.col("_last.attachment_id")).alias("attachment_id"),
+        F.coalesce(F.get_json_object("_error", "$.message"), "_error").alias("error"),
     )
 
 
+def _besides(df: DataFrame, *names: str) -> list[Column]:
+    return [column_named(name) for name in df.columns if name not in names]
+
+
 def _present(part: Column) -> Column:
     return part.isNotNull() & ~part.isin(EMPTY_JSON)
 
@@ -76,17 +87,17 @@ def read_results(documents: DataFrame) -> DataFrame:
     A column without a name is called col_0, col_1, ... by its position; a document
     without rows has an empty `result_rows`.
     """
-    kept = [c for c in documents.columns if c != "document"]
+    kept = _besides(documents, "document")
     parsed = documents.select(
-        *kept, F.from_json("document", RESULT_DOCUMENT)["statement_response"].alias("r")
+        *kept, F.from_json("document", RESULT_DOCUMENT)["statement_response"].alias("_response")
     )
     return parsed.select(
         *kept,
         F.transform(
-            F.coalesce("r.manifest.schema.columns", F.array().cast("array<struct<name: string>>")),
+            F.coalesce("_response.manifest.schema.columns", F.array().cast("array<struct<name: string>>")),
             lambda c, i: F.coalesce(c["name"], F.concat(F.lit("col_"), i.cast("string"))),
         ).alias("result_columns"),
-        F.coalesce("r.result.data_array", F.array().cast("array<array<string>>")).alias(
+        F.coalesce("_response.result.data_array", F.array().cast("array<array<string>>")).alias(
             "result_rows"
         ),
     )
@@ -99,7 +110,7 @@ def rows_from_result_documents(documents: DataFrame, columns: T.StructType) -> D
     not in the document, is NULL. `row_no` counts from 0 within a document.
     """
     results = read_results(documents)
-    kept = [c for c in results.columns if c not in ("result_columns", "result_rows")]
+    kept = _besides(results, "result_columns", "result_rows")
     rows = _exploded(results.select(*kept, "result_columns", "result_rows"))
 
     def value(field: T.StructField) -> Column:
@@ -113,7 +124,7 @@ def rows_from_result_documents(documents: DataFrame, columns: T.StructType) -> D
 def result_cells(documents: DataFrame) -> DataFrame:
     """The same rows, one value per line and untyped, for documents of any columns."""
     results = read_results(documents)
-    kept = [c for c in results.columns if c not in ("result_columns", "result_rows")]
+    kept = _besides(results, "result_columns", "result_rows")
     rows = _exploded(results.select(*kept, "result_columns", "result_rows"))
     cells = rows.select(
         *kept, "row_no", "result_columns", F.posexplode("row").alias("position", "value")
@@ -128,7 +139,7 @@ def result_cells(documents: DataFrame) -> DataFrame:
 def _exploded(results: DataFrame) -> DataFrame:
     """One line per result row. The outer form keeps Spark from parsing each document a
     second time, only to test for rows ahead of the explode."""
-    kept = [c for c in results.columns if c != "result_rows"]
+    kept = _besides(results, "result_rows")
     rows = results.select(*kept, F.posexplode_outer("result_rows").alias("row_no", "row"))
     return rows.where(F.col("row_no").isNotNull())
 

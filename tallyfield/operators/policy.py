@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import broadcast_if_small
+from ..functions import broadcast_if_small, column_named
 
 
 def apply_row_filter(
@@ -21,7 +21,8 @@ def apply_row_filter(
     both sides are shuffled, and adaptive execution splits a hot key.
     """
     granted = _of(policy, user, table).select(F.col("key").alias(key)).distinct()
-    return rows.join(broadcast_if_small(granted), key, "left_semi")
+    allowed = rows.join(broadcast_if_small(granted), key, "left_semi")
+    return allowed.select(*[column_named(name) for name in rows.columns])
 
 
 def apply_column_mask(
@@ -49,9 +50,9 @@ def apply_column_mask(
         field = rows.schema[name]
         mask = masks.get(name, F.lit(None)).cast(field.dataType)
         allowed = F.array_contains(granted, F.lit(name))
-        return F.when(allowed, F.col(f"`{name}`")).otherwise(mask).alias(name)
+        return F.when(allowed, column_named(name)).otherwise(mask).alias(name)
 
-    return rows.select(*[shown(n) if n in columns else F.col(f"`{n}`") for n in rows.columns])
+    return rows.select(*[shown(n) if n in columns else column_named(n) for n in rows.columns])
 
 
 def _of(policy: DataFrame, user: str, table: str) -> DataFrame:

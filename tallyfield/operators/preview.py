@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import base64_line
+from ..functions import base64_line, column_named
 
 # Fixed value: rows of a preview when the caller names no number.
 PREVIEW_ROWS = 100
@@ -30,7 +30,7 @@ def render(rows: DataFrame) -> DataFrame:
 
 
 def _shown(field: T.StructField) -> Column:
-    column = F.col(f"`{field.name}`")
+    column = column_named(field.name)
     if isinstance(field.dataType, T.BinaryType):
         return base64_line(column)
     if isinstance(field.dataType, (T.StructType, T.MapType)):
@@ -48,7 +48,7 @@ def preview(
     names = shown_columns(rows.schema) if exclude_binary else rows.columns
     if order_by:
         rows = rows.orderBy(*order_by)
-    return render(rows.limit(n).select(*[f"`{name}`" for name in names]))
+    return render(rows.limit(n).select(*[column_named(name) for name in names]))
 
 
 def concat_batches(batches: list[DataFrame]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import column_named
 from ..session import ensure_checkpoint_dir
 
 ROWS_PER_SLICE = 250_000
@@ -40,19 +41,19 @@ def global_rank(
     sliced = _add_slice(rows, measure, _cuts(rows, measure, count, slices))
 
     # At most three slices per cut and one for NULL: small enough for one task, and to broadcast.
-    above = Window.orderBy(F.desc("slice")).rowsBetween(Window.unboundedPreceding, -1)
+    above = Window.orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)
     higher = (
-        sliced.groupBy("slice")
+        sliced.groupBy("_slice")
         .count()
-        .select("slice", F.coalesce(F.sum("count").over(above), F.lit(0)).alias("rows_above"))
+        .select("_slice", F.coalesce(F.sum("count").over(above), F.lit(0)).alias("_rows_above"))
     )
-    in_slice = Window.partitionBy("slice", "salt").orderBy(highest_first)
+    in_slice = Window.partitionBy("_slice", "_salt").orderBy(highest_first)
     return (
-        sliced.withColumn("rank_in_slice", F.rank().over(in_slice))
-        .join(F.broadcast(higher), "slice")
+        sliced.withColumn("_rank_in_slice", F.rank().over(in_slice))
+        .join(F.broadcast(higher), "_slice")
         .select(
-            *[F.col(f"`{name}`") for name in rows.columns],
-            (F.col("rows_above") + F.col("rank_in_slice")).cast("bigint").alias(rank_name),
+            *[column_named(name) for name in rows.columns],
+            (F.col("_rows_above") + F.col("_rank_in_slice")).cast("bigint").alias(rank_name),
         )
     )
 
@@ -74,9 +75,9 @@ def _add_slice(rows: DataFrame, measure: str, cuts: list) -> DataFrame:
 
     Rows of such a slice are ties, so any split of them ranks the same: they are salted.
     """
-    kept = [F.col(f"`{name}`") for name in rows.columns]
+    kept = [column_named(name) for name in rows.columns]
     if not cuts:
-        return rows.select(*kept, F.lit(0).alias("slice"), F.lit(0).alias("salt"))
+        return rows.select(*kept, F.lit(0).alias("_slice"), F.lit(0).alias("_salt"))
     bounds = sorted({float(cut) for cut in cuts})
     # Range 0 lies below the first bound, range i starts at bound i.
     repeated = {
@@ -88,28 +89,28 @@ def _add_slice(rows: DataFrame, measure: str, cuts: list) -> DataFrame:
     # Adding 0.0 turns -0.0 into 0.0: the two are ties.
     ranged = Bucketizer(
         splits=[-math.inf, *bounds, math.inf],
-        inputCol="measure_as_double",
-        outputCol="value_range",
+        inputCol="_measure_as_double",
+        outputCol="_value_range",
         handleInvalid="keep",
-    ).transform(rows.withColumn("measure_as_double", value.cast("double") + F.lit(0.0)))
+    ).transform(rows.withColumn("_measure_as_double", value.cast("double") + F.lit(0.0)))
 
     side: Column = F.lit(0)
     if repeated:
         points = pa.table(
-            {"value_range": list(repeated), "repeated_value": list(repeated.values())}
+            {"_value_range": list(repeated), "_repeated_value": list(repeated.values())}
         )
         # At most one row per cut.
         points = rows.sparkSession.createDataFrame(points)
-        ranged = ranged.join(F.broadcast(points), "value_range", "left")
+        ranged = ranged.join(F.broadcast(points), "_value_range", "left")
         side = (
-            F.when(value == F.col("repeated_value"), 1)
-            .when(value > F.col("repeated_value"), 2)
+            F.when(value == F.col("_repeated_value"), 1)
+            .when(value > F.col("_repeated_value"), 2)
             .otherwise(0)
         )
-    number = F.col("value_range").cast("int") * 3 + side
+    number = F.col("_value_range").cast("int") * 3 + side
     salt = F.pmod(F.xxhash64(*kept), F.lit(TIE_SALTS))
     return ranged.select(
         *kept,
-        F.when(value.isNull(), -1).otherwise(number).alias("slice"),
-        F.when(value.isNull() | (side == 1), salt).otherwise(0).alias("salt"),
+        F.when(value.isNull(), -1).otherwise(number).alias("_slice"),
+        F.when(value.isNull() | (side == 1), salt).otherwise(0).alias("_salt"),
     )

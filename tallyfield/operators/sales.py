@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import broadcast_if_small, exact_total, mean_of, month_label, month_start
+from ..functions import exact_total, fits_broadcast, mean_of, month_label, month_start
 from ..session import ensure_checkpoint_dir
 from .ranking import ROWS_PER_SLICE, global_rank
 
@@ -153,7 +153,10 @@ def customer_segment_performance(
         )
         .checkpoint()
     )
-    by_channel = broadcast_if_small(by_channel)
+    # What is made of it later has fewer and narrower rows, so one measurement is enough.
+    small = fits_broadcast(by_channel)
+    if small:
+        by_channel = F.broadcast(by_channel)
     by_segment = customers.groupBy("region", "segment").agg(F.count(F.lit(1)).alias("copies"))
 
     def copied(column: str):
@@ -168,7 +171,7 @@ def customer_segment_performance(
             copied("region_amounts").alias("amounts"),
         )
     )
-    counted = _customer_counts(by_channel, customers)
+    counted = _customer_counts(by_channel, customers, small)
     # The groups are the same on both sides, NULL ones included.
     same_group = F.col("segment").eqNullSafe(F.col("s")) & F.col("channel").eqNullSafe(F.col("c"))
     return totals.join(counted, same_group).select(
@@ -181,7 +184,7 @@ def customer_segment_performance(
     )
 
 
-def _customer_counts(by_channel: DataFrame, customers: DataFrame) -> DataFrame:
+def _customer_counts(by_channel: DataFrame, customers: DataFrame, small: bool) -> DataFrame:
     """Distinct customers per segment `s` and channel `c` that their regions sell in.
 
     With few channels, the ones of a region fit into the bits of a number: customers are
@@ -203,6 +206,8 @@ def _customer_counts(by_channel: DataFrame, customers: DataFrame) -> DataFrame:
         *[F.when(F.col("channel").eqNullSafe(name), F.lit(bit)) for bit, name in channels]
     )
     in_regions = by_channel.groupBy("region").agg(F.bit_or(bit.cast("bigint")).alias("mask"))
+    if small:
+        in_regions = F.broadcast(in_regions)
     sold_in = F.array(
         *[
             F.when(
@@ -213,7 +218,7 @@ def _customer_counts(by_channel: DataFrame, customers: DataFrame) -> DataFrame:
     )
     return (
         customers.select("region", "segment", "customer_id")
-        .join(broadcast_if_small(in_regions), "region")
+        .join(in_regions, "region")
         .groupBy("segment", "customer_id")
         .agg(F.bit_or("mask").alias("mask"))
         .groupBy(F.col("segment").alias("s"), "mask")

@@ -5,9 +5,9 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import column_named
 from .schemas import COLUMNS_META, TABLES_META
 
 
@@ -34,7 +34,7 @@ def load_table(
     if isinstance(rows, list):
         rows = spark.createDataFrame(rows, schema)
     declared = [
-        F.col(f"`{f.name}`").cast(f.dataType).alias(f.name, metadata=f.metadata)
+        column_named(f.name).cast(f.dataType).alias(f.name, metadata=f.metadata)
         for f in schema.fields
     ]
     _save(rows.select(*declared), name, comment)
@@ -81,7 +81,8 @@ def schemas(spark: SparkSession) -> list[str]:
 def harvest_tables(spark: SparkSession, schema: str) -> DataFrame:
     """Inventory of a schema's tables, one row each, as `TABLES_META`.
 
-    Metadata lives with the driver, so it is read there; searching it is a query.
+    Metadata lives with the driver, so it is read there; searching it is a query. The
+    session catalog does not record who changed a table last.
     """
     found = []
     for table in _listed(spark, schema):
@@ -96,8 +97,8 @@ def harvest_tables(spark: SparkSession, schema: str) -> DataFrame:
                 facts.get("comment"),
                 facts.get("provider"),
                 facts.get("location"),
-                facts.get("owner") or facts.get("created_by"),
                 facts.get("owner"),
+                None,
             )
         )
     return spark.createDataFrame(found, TABLES_META)

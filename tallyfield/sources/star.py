@@ -74,6 +74,18 @@ def sales(spark: SparkSession, folder: str) -> DataFrame:
     return sale_lines(spark, folder).join(orders, "transaction_id")
 
 
+def order_sales(spark: SparkSession, folder: str) -> DataFrame:
+    """Sales with one row per order and its total, where the lines do not matter."""
+    homes = customer_segments(spark, folder).select("customer_id", "region")
+    totals = table(spark, folder, "orders").select(
+        F.col("o_custkey").alias("customer_id"),
+        F.col("o_orderkey").alias("transaction_id"),
+        F.col("o_orderpriority").alias("channel"),
+        F.col("o_totalprice").alias("amount"),
+    )
+    return totals.join(homes, "customer_id").drop("customer_id")
+
+
 def products(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "part").select(
         F.col("p_partkey").alias("product_id"),

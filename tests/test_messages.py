@@ -89,6 +89,16 @@ def test_known_conversation_and_other_columns(spark):
     assert sorted(rows_of(flat)) == [("how?", "c2"), ("why?", "c1")]
 
 
+def test_input_columns_of_the_same_names(spark):
+    df = spark.createDataFrame(
+        [(1, "old", "x", '{"id": "m", "status": "COMPLETED"}')],
+        "id int, status string, `a.b` string, document string",
+    )
+    flat = m.flatten_messages(df)
+    assert flat.columns == ["id", "a.b", *m.MESSAGE_COLUMNS]
+    assert tuple(flat.first())[:5] == (1, "x", "m", None, "COMPLETED")
+
+
 def _result(columns, rows):
     response = {"manifest": {"schema": {"columns": columns}}, "result": {}}
     if rows is not None:

@@ -42,7 +42,7 @@ def test_table_of_binaries_is_shown_whole(spark):
 
 
 def test_number_of_rows(spark):
-    df = spark.range(1000).withColumnRenamed("id", "odd name.with dot")
+    df = spark.range(1000).withColumnRenamed("id", "odd `name`.with dot")
     assert p.preview(df).count() == 100
     assert p.preview(df, 10).count() == 10
     assert p.preview(df, 5000).count() == 1000
