@@ -1,4 +1,4 @@
-from .joins import broadcast_if_small, fits_broadcast
+from .joins import MAX_BROADCAST_BYTES, broadcast_if_small, fits_broadcast, total_bytes
 from .measures import exact_total, mean_of, month_label, month_start
 from .text import (
     base64_line,
@@ -12,6 +12,7 @@ from .text import (
 )
 
 __all__ = [
+    "MAX_BROADCAST_BYTES",
     "base64_line",
     "broadcast_if_small",
     "column_named",
@@ -25,5 +26,6 @@ __all__ = [
     "month_start",
     "or_default",
     "or_null",
+    "total_bytes",
     "yes_no",
 ]

@@ -10,7 +10,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import exact_total, fits_broadcast, mean_of, month_label, month_start
+from ..functions import (
+    MAX_BROADCAST_BYTES,
+    exact_total,
+    fits_broadcast,
+    mean_of,
+    month_label,
+    month_start,
+    total_bytes,
+)
 from ..session import ensure_checkpoint_dir
 from .ranking import ROWS_PER_SLICE, global_rank
 
@@ -153,8 +161,17 @@ def customer_segment_performance(
         )
         .checkpoint()
     )
-    # What is made of it later has fewer and narrower rows, so one measurement is enough.
-    small = fits_broadcast(by_channel)
+    channels = (
+        by_channel.groupBy("channel")
+        .agg(total_bytes(by_channel).alias("bytes"))
+        .limit(MASK_BITS + 1)
+        .collect()
+    )
+    few = 0 < len(channels) <= MASK_BITS
+    if few:
+        small = sum(row["bytes"] for row in channels) <= MAX_BROADCAST_BYTES
+    else:
+        small = fits_broadcast(by_channel)
     if small:
         by_channel = F.broadcast(by_channel)
     by_segment = customers.groupBy("region", "segment").agg(F.count(F.lit(1)).alias("copies"))
@@ -171,7 +188,16 @@ def customer_segment_performance(
             copied("region_amounts").alias("amounts"),
         )
     )
-    counted = _customer_counts(by_channel, customers, small)
+    if few:
+        names = [row["channel"] for row in channels]
+        counted = _customers_by_bits(by_channel, customers, names, small)
+    else:
+        counted = (
+            customers.select("region", "segment", "customer_id")
+            .join(by_channel.select("region", "channel"), "region")
+            .groupBy(F.col("segment").alias("s"), F.col("channel").alias("c"))
+            .agg(F.countDistinct("customer_id").alias("customer_count"))
+        )
     # The groups are the same on both sides, NULL ones included.
     same_group = F.col("segment").eqNullSafe(F.col("s")) & F.col("channel").eqNullSafe(F.col("c"))
     return totals.join(counted, same_group).select(
@@ -184,28 +210,21 @@ def customer_segment_performance(
     )
 
 
-def _customer_counts(by_channel: DataFrame, customers: DataFrame, small: bool) -> DataFrame:
+def _customers_by_bits(
+    by_channel: DataFrame, customers: DataFrame, names: list, small: bool
+) -> DataFrame:
     """Distinct customers per segment `s` and channel `c` that their regions sell in.
 
-    With few channels, the ones of a region fit into the bits of a number: customers are
-    then shuffled once each, not once per channel, and a customer of several regions gets
-    the bits of all. With more channels the customers are repeated for each of them.
+    The channels of a region are bits of a number. Customers are shuffled once each, not
+    once per channel, and a customer of several regions gets the bits of all.
     """
-    few = by_channel.select("channel").distinct().limit(MASK_BITS + 1).collect()
-    if not 0 < len(few) <= MASK_BITS:
-        return (
-            customers.select("region", "segment", "customer_id")
-            .join(by_channel.select("region", "channel"), "region")
-            .groupBy(F.col("segment").alias("s"), F.col("channel").alias("c"))
-            .agg(F.countDistinct("customer_id").alias("customer_count"))
-        )
-
     kind = by_channel.schema["channel"].dataType
-    channels = [(1 << i, F.lit(row["channel"]).cast(kind)) for i, row in enumerate(few)]
+    channels = [(1 << i, F.lit(name).cast(kind)) for i, name in enumerate(names)]
     bit = F.coalesce(
         *[F.when(F.col("channel").eqNullSafe(name), F.lit(bit)) for bit, name in channels]
     )
     in_regions = by_channel.groupBy("region").agg(F.bit_or(bit.cast("bigint")).alias("mask"))
+    # Fewer and narrower rows than those that were measured.
     if small:
         in_regions = F.broadcast(in_regions)
     sold_in = F.array(
