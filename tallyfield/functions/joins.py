@@ -14,13 +14,9 @@ def fits_broadcast(df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
 
     Use it on data that is written, or cheap to make.
     """
-    return (df.agg(total_bytes(df)).first()[0] or 0) <= max_bytes
-
-
-def total_bytes(df: DataFrame) -> Column:
-    """Sum of the bytes that rows of `df` take in a hash table, about."""
     width = sum((_width(field) for field in df.schema.fields), F.lit(0))
-    return F.sum(width.cast("bigint"))
+    measured = df.agg(F.sum(width.cast("bigint"))).first()[0] or 0
+    return measured <= max_bytes
 
 
 def broadcast_if_small(df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
@@ -32,7 +28,7 @@ def broadcast_if_small(df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> D
 
 
 def _width(field: T.StructField) -> Column:
-    """A nested value counts as its JSON text."""
+    """Bytes of a value in a hash table, about; a nested value counts as its JSON text."""
     column = column_named(field.name)
     if isinstance(field.dataType, (T.ArrayType, T.StructType, T.MapType)):
         column = F.to_json(column)

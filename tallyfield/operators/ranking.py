@@ -15,8 +15,6 @@ from ..session import ensure_checkpoint_dir
 ROWS_PER_SLICE = 250_000
 MAX_SLICES = 20_000
 SAMPLE_ROWS = 2_000_000
-# Tasks that share the rows of one much-repeated value.
-TIE_SALTS = 64
 
 
 def global_rank(
@@ -38,7 +36,7 @@ def global_rank(
         return rows.withColumn(rank_name, rank.cast("bigint"))
 
     slices = min(MAX_SLICES, math.ceil(count / rows_per_slice))
-    sliced = _add_slice(rows, measure, _cuts(rows, measure, count, slices))
+    sliced = _add_slice(rows, measure, _cuts(rows, measure, count, slices), salts=slices)
 
     # At most three slices per cut and one for NULL: small enough for one task, and to broadcast.
     above = Window.orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)
@@ -70,22 +68,27 @@ def _cuts(rows: DataFrame, measure: str, count: int, slices: int) -> list:
     return [cut for cut in found if math.isfinite(cut)]
 
 
-def _add_slice(rows: DataFrame, measure: str, cuts: list) -> DataFrame:
+def _add_slice(rows: DataFrame, measure: str, cuts: list, salts: int) -> DataFrame:
     """Number value ranges upwards; a value that fills whole ranges gets one of its own.
 
     Rows of such a slice are ties, so any split of them ranks the same: they are salted.
     """
     kept = [column_named(name) for name in rows.columns]
+    value = F.col(measure)
+    salt = F.pmod(F.xxhash64(*kept), F.lit(salts))
     if not cuts:
-        return rows.select(*kept, F.lit(0).alias("_slice"), F.lit(0).alias("_salt"))
+        # Nothing but NULL, as a rule.
+        return rows.select(
+            *kept,
+            F.when(value.isNull(), -1).otherwise(0).alias("_slice"),
+            F.when(value.isNull(), salt).otherwise(0).alias("_salt"),
+        )
     bounds = sorted({float(cut) for cut in cuts})
     # Range 0 lies below the first bound, range i starts at bound i.
+    starts = {bound: float(i + 1) for i, bound in enumerate(bounds)}
     repeated = {
-        float(bounds.index(float(left)) + 1): left
-        for left, right in zip(cuts, cuts[1:])
-        if left == right
+        starts[float(left)]: left for left, right in zip(cuts, cuts[1:]) if left == right
     }
-    value = F.col(measure)
     # Adding 0.0 turns -0.0 into 0.0: the two are ties.
     ranged = Bucketizer(
         splits=[-math.inf, *bounds, math.inf],
@@ -108,7 +111,6 @@ def _add_slice(rows: DataFrame, measure: str, cuts: list) -> DataFrame:
             .otherwise(0)
         )
     number = F.col("_value_range").cast("int") * 3 + side
-    salt = F.pmod(F.xxhash64(*kept), F.lit(TIE_SALTS))
     return ranged.select(
         *kept,
         F.when(value.isNull(), -1).otherwise(number).alias("_slice"),

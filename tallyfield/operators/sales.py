@@ -10,20 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import (
-    MAX_BROADCAST_BYTES,
-    exact_total,
-    fits_broadcast,
-    mean_of,
-    month_label,
-    month_start,
-    total_bytes,
-)
+from ..functions import exact_total, fits_broadcast, mean_of, month_label, month_start
 from ..session import ensure_checkpoint_dir
 from .ranking import ROWS_PER_SLICE, global_rank
 
-# Channels that the bits of one number can hold.
-MASK_BITS = 62
+# Bits of a BIGINT that stand for channels.
+WORD_BITS = 62
 
 
 def monthly_sales_summary(sales: DataFrame, money_scale: int | None = None) -> DataFrame:
@@ -161,26 +153,15 @@ def customer_segment_performance(
         )
         .checkpoint()
     )
-    channels = (
-        by_channel.groupBy("channel")
-        .agg(total_bytes(by_channel).alias("bytes"))
-        .limit(MASK_BITS + 1)
-        .collect()
-    )
-    few = 0 < len(channels) <= MASK_BITS
-    if few:
-        small = sum(row["bytes"] for row in channels) <= MAX_BROADCAST_BYTES
-    else:
-        small = fits_broadcast(by_channel)
-    if small:
-        by_channel = F.broadcast(by_channel)
+    # What is made of it later has fewer and narrower rows, so one measurement is enough.
+    small = fits_broadcast(by_channel)
     by_segment = customers.groupBy("region", "segment").agg(F.count(F.lit(1)).alias("copies"))
 
     def copied(column: str):
         return F.sum(F.col(column) * F.col("copies"))
 
     totals = (
-        by_segment.join(by_channel, "region")
+        by_segment.join(_sent_out(by_channel, small), "region")
         .groupBy("segment", "channel")
         .agg(
             copied("region_transactions").alias("transaction_count"),
@@ -188,16 +169,7 @@ def customer_segment_performance(
             copied("region_amounts").alias("amounts"),
         )
     )
-    if few:
-        names = [row["channel"] for row in channels]
-        counted = _customers_by_bits(by_channel, customers, names, small)
-    else:
-        counted = (
-            customers.select("region", "segment", "customer_id")
-            .join(by_channel.select("region", "channel"), "region")
-            .groupBy(F.col("segment").alias("s"), F.col("channel").alias("c"))
-            .agg(F.countDistinct("customer_id").alias("customer_count"))
-        )
+    counted = _customer_counts(by_channel, customers, small)
     # The groups are the same on both sides, NULL ones included.
     same_group = F.col("segment").eqNullSafe(F.col("s")) & F.col("channel").eqNullSafe(F.col("c"))
     return totals.join(counted, same_group).select(
@@ -210,44 +182,50 @@ def customer_segment_performance(
     )
 
 
-def _customers_by_bits(
-    by_channel: DataFrame, customers: DataFrame, names: list, small: bool
-) -> DataFrame:
+def _customer_counts(by_channel: DataFrame, customers: DataFrame, small: bool) -> DataFrame:
     """Distinct customers per segment `s` and channel `c` that their regions sell in.
 
-    The channels of a region are bits of a number. Customers are shuffled once each, not
-    once per channel, and a customer of several regions gets the bits of all.
+    Each channel is a bit of a word, a region has the bits of its channels. Customers are
+    shuffled once per word, not once per channel, and a customer of several regions gets
+    the bits of all.
     """
-    kind = by_channel.schema["channel"].dataType
-    channels = [(1 << i, F.lit(name).cast(kind)) for i, name in enumerate(names)]
-    bit = F.coalesce(
-        *[F.when(F.col("channel").eqNullSafe(name), F.lit(bit)) for bit, name in channels]
+    # Written, because these numbers may differ when a lost task runs again.
+    numbered = (
+        by_channel.select(F.col("channel").alias("c"))
+        .distinct()
+        .withColumn("number", F.monotonically_increasing_id())
+        .checkpoint()
     )
-    in_regions = by_channel.groupBy("region").agg(F.bit_or(bit.cast("bigint")).alias("mask"))
-    # Fewer and narrower rows than those that were measured.
-    if small:
-        in_regions = F.broadcast(in_regions)
-    sold_in = F.array(
-        *[
-            F.when(
-                F.col("mask").bitwiseAND(F.lit(bit)) != 0, F.struct(name.alias("c"), F.col("n"))
-            )
-            for bit, name in channels
-        ]
+    bits = numbered.select(
+        "c",
+        F.expr(f"number div {WORD_BITS}").alias("word"),
+        F.expr(f"shiftleft(1L, cast(number % {WORD_BITS} as int))").alias("bit"),
     )
-    return (
+    in_regions = (
+        by_channel.join(_sent_out(bits, small), F.col("channel").eqNullSafe(F.col("c")))
+        .groupBy("region", "word")
+        .agg(F.bit_or("bit").alias("mask"))
+    )
+    customers_per_mask = (
         customers.select("region", "segment", "customer_id")
-        .join(in_regions, "region")
-        .groupBy("segment", "customer_id")
+        .join(_sent_out(in_regions, small), "region")
+        .groupBy("segment", "customer_id", "word")
         .agg(F.bit_or("mask").alias("mask"))
-        .groupBy(F.col("segment").alias("s"), "mask")
-        .agg(F.count("customer_id").alias("n"))
-        .select("s", F.inline(F.filter(sold_in, lambda group: group.isNotNull())))
+        .groupBy(F.col("segment").alias("s"), "word", "mask")
+        .agg(F.count("customer_id").alias("customers"))
+    )
+    return (
+        customers_per_mask.join(_sent_out(bits, small), "word")
+        .where(F.col("mask").bitwiseAND(F.col("bit")) != 0)
         .groupBy("s", "c")
-        .agg(F.sum("n").alias("customer_count"))
+        .agg(F.sum("customers").alias("customer_count"))
     )
 
 
+def _sent_out(df: DataFrame, small: bool) -> DataFrame:
+    return F.broadcast(df) if small else df
+
+
 def channel_category_analysis(
     sales: DataFrame, products: DataFrame, money_scale: int | None = None
 ) -> DataFrame:

@@ -61,6 +61,12 @@ def test_special_doubles(spark):
     _check(df, "v", rows_per_slice=20)
 
 
+def test_no_finite_value(spark):
+    values = [float("nan"), float("inf"), None, None] * 100
+    df = spark.createDataFrame(list(enumerate(values)), "id int, v double")
+    _check(df, "v", rows_per_slice=20)
+
+
 def test_decimals_that_are_one_double(spark):
     big = Decimal("90071992547409930000.01")
     values = [big + Decimal(i % 5) / 100 for i in range(400)] + [big] * 400 + list(range(100))

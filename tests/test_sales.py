@@ -260,9 +260,11 @@ def test_ranking_equals_plain_sql(spark, untidy, rows_per_slice):
     assert _same(ranking, plain)
 
 
-@pytest.mark.parametrize("mask_bits", [62, 2])
-def test_segments_equal_plain_sql(spark, untidy, monkeypatch, mask_bits):
-    monkeypatch.setattr(sales, "MASK_BITS", mask_bits)
+@pytest.mark.parametrize("word_bits", [62, 2])
+@pytest.mark.parametrize("small", [True, False])
+def test_segments_equal_plain_sql(spark, untidy, monkeypatch, word_bits, small):
+    monkeypatch.setattr(sales, "WORD_BITS", word_bits)
+    monkeypatch.setattr(sales, "fits_broadcast", lambda df: small)
     plain = spark.sql(
         """SELECT c.segment, s.channel, count(DISTINCT c.customer_id), count(s.transaction_id),
                   cast(sum(cast(s.amount AS decimal(18,2))) AS double),
