@@ -2,15 +2,28 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyfield.operators import lineage, messages, metadata, policy, preview, ranking, sales
-from tallyfield.plans import jobs
-from tallyfield.sources import star
+# The package lies beside this file, wherever it is loaded from.
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+
+from tallyfield.operators import (  # noqa: E402
+    lineage,
+    messages,
+    metadata,
+    policy,
+    preview,
+    ranking,
+    sales,
+)
+from tallyfield.plans import jobs  # noqa: E402
+from tallyfield.sources import star  # noqa: E402
 
 # Money in the test tables has two decimal places.
 CENTS = 2
