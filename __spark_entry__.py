@@ -25,6 +25,14 @@ from tallyfield.operators import (  # noqa: E402
 from tallyfield.plans import jobs  # noqa: E402
 from tallyfield.sources import star  # noqa: E402
 
+# The training-data operators are a part of their own; everything else works without it.
+try:
+    from tallyfield.llm import queries as llm_queries  # noqa: E402
+except ModuleNotFoundError as missing:
+    if not (missing.name or "").startswith(("tallyfield.llm", "corpus_pipeline")):
+        raise
+    llm_queries = None
+
 # Money in the test tables has two decimal places.
 CENTS = 2
 NAMESPACE = "lake.shop"
@@ -86,6 +94,14 @@ def _masked_customers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return core_queries() | (llm_queries.queries() if llm_queries else {})
+
+
+def oracle_sql() -> dict[str, str]:
+    return core_oracle_sql() | (llm_queries.oracle_sql() if llm_queries else {})
+
+
+def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "monthly_sales_summary": lambda s, d: sales.monthly_sales_summary(star.sales(s, d), CENTS),
         "monthly_preview": lambda s, d: sales.monthly_preview(star.sales(s, d), 10, CENTS),
@@ -308,7 +324,7 @@ WITH result_rows AS (
 """
 
 
-def oracle_sql() -> dict[str, str]:
+def core_oracle_sql() -> dict[str, str]:
     return {
         "monthly_sales_summary": _MONTHLY,
         "monthly_preview": _MONTHLY + "ORDER BY 1, 2, 3 LIMIT 10",

@@ -30,10 +30,10 @@ def _sorted(rows):
     return sorted(rows, key=lambda row: [(v is not None, str(v)) for v in row])
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(entry.core_queries()))
 def test_equals_sql(spark, duck, name):
-    mine = entry.queries()[name](spark, FOLDER)
-    sql = duck.sql(entry.oracle_sql()[name])
+    mine = entry.core_queries()[name](spark, FOLDER)
+    sql = duck.sql(entry.core_oracle_sql()[name])
     columns = sorted(mine.columns)
     assert columns == sorted(sql.columns)
     quoted = ", ".join(f'"{c}"' for c in columns)
@@ -43,12 +43,12 @@ def test_equals_sql(spark, duck, name):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(entry.core_queries()) == set(entry.core_oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(entry.core_queries()))
 def test_plans(spark, name):
-    plan = entry.queries()[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    plan = entry.core_queries()[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     for unwanted in ["CartesianProduct", "NestedLoopJoin", "EvalPython", "InPandas"]:
         assert unwanted not in plan
 
