@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decision_list, hyperlang, packing, pu_learning
+from . import dart_minhash, decision_list, hyperlang, packing, pu_learning
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -35,11 +35,17 @@ def op8_hyperdimensional_language(spark: SparkSession, d: str) -> DataFrame:
     return hyperlang.predict_language(_table(spark, d, "documents"))
 
 
+def op9_dart_minhash(spark: SparkSession, d: str) -> DataFrame:
+    classes = dart_minhash.near_duplicates(_table(spark, d, "documents"))
+    return classes.drop("text_hash")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_decision_list": op4_decision_list,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_positive_unlabelled": op6_positive_unlabelled,
+        "op9_dart_minhash": op9_dart_minhash,
         "op8_hyperdimensional_language": op8_hyperdimensional_language,
     }
 
