@@ -62,7 +62,7 @@ def near_duplicates(
         )
         .withColumn("node", F.monotonically_increasing_id())
     )
-    members = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
+    members = nodes.select("node", F.explode("bands").alias("bucket"))
     candidates = shared_buckets(members)
     sets = _sets(rows, nodes, candidates)
     labels = link(candidates, lambda pairs: _similar(pairs, sets, similarity))
@@ -288,4 +288,5 @@ def band_keys(found: np.ndarray, bands: int = BANDS) -> np.ndarray:
     keys = np.zeros((len(found), bands), dtype=np.uint64)
     for i in range(rows.shape[2]):
         keys = mix(keys + rows[:, :, i], seed=9)
+    keys = mix(keys + np.arange(bands, dtype=np.uint64), seed=10)  # bands share no bucket
     return keys.view(np.int64)

@@ -73,10 +73,10 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def shared_buckets(members: DataFrame) -> DataFrame:
-    """`band`, `bucket`, `node` of the buckets with at least two nodes, written."""
-    groups = members.groupBy("band", "bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
-    shared = groups.where(F.col("lo") < F.col("hi")).select("band", "bucket")
-    return written(members.join(shared, ["band", "bucket"]))
+    """`bucket`, `node` of the buckets with at least two nodes, written."""
+    groups = members.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
+    shared = groups.where(F.col("lo") < F.col("hi")).select("bucket")
+    return written(members.join(shared, "bucket"))
 
 
 def link(
@@ -84,10 +84,10 @@ def link(
 ) -> DataFrame:
     """`node`, `component` of all nodes that are similar to another one.
 
-    `shared` has `band`, `bucket`, `node`, each once; nodes of a bucket are candidates.
+    `shared` has `bucket`, `node`, each once; nodes of a bucket are candidates.
     `similar` takes distinct pairs (`a` < `b`) and gives back those that truly are.
 
-    Not all pairs of a bucket are made. Bands are taken in `parts`. In each, a bucket whose
+    Not all pairs of a bucket are made. The buckets are taken in `parts`. In each, a bucket whose
     nodes are not yet all in one component tests every node of another component against
     the bucket's first node. What remains apart after that is tested against all nodes of
     the bucket's largest component and against each other. So every pair of a bucket is
@@ -96,21 +96,21 @@ def link(
     """
     edges = tested = labels = None
     for part in range(parts):
-        apart = _apart(shared.where(F.col("band") % parts == part), labels)
-        first = apart.groupBy("band", "bucket").agg(F.min_by(F.struct("node", "label"), "node").alias("lead"))
-        pairs = _pairs(apart.join(first, ["band", "bucket"]), F.col("lead.node"), F.col("lead.label"), tested)
+        apart = _apart(shared.where(F.pmod("bucket", F.lit(parts)) == part), labels)
+        first = apart.groupBy("bucket").agg(F.min_by(F.struct("node", "label"), "node").alias("lead"))
+        pairs = _pairs(apart.join(first, "bucket"), F.col("lead.node"), F.col("lead.label"), tested)
         edges, tested, labels = _add(pairs, similar, edges, tested, labels)
     apart = written(_apart(shared, labels))
-    sizes = apart.groupBy("band", "bucket", "label").count()
-    main = sizes.groupBy("band", "bucket").agg(
+    sizes = apart.groupBy("bucket", "label").count()
+    main = sizes.groupBy("bucket").agg(
         F.max_by("label", F.struct("count", "label")).alias("main")
     )
-    others = apart.join(main, ["band", "bucket"]).where(F.col("label") != F.col("main"))
+    others = apart.join(main, "bucket").where(F.col("label") != F.col("main"))
     others = others.select(
-        "band", "bucket", F.col("node").alias("other"), F.col("label").alias("other_label"), "main"
+        "bucket", F.col("node").alias("other"), F.col("label").alias("other_label"), "main"
     )
     # Two nodes outside the main component meet once, from the smaller label.
-    crossing = apart.join(others, ["band", "bucket"]).where(
+    crossing = apart.join(others, "bucket").where(
         (F.col("label") == F.col("main")) | (F.col("label") < F.col("other_label"))
     )
     pairs = _pairs(crossing, F.col("other"), F.col("other_label"), tested)
@@ -123,11 +123,11 @@ def _apart(members: DataFrame, labels: DataFrame | None) -> DataFrame:
         return members.withColumn("label", F.col("node"))
     known = labels.select("node", "component")
     labelled = members.join(known, "node", "left").select(
-        "band", "bucket", "node", F.coalesce("component", "node").alias("label")
+        "bucket", "node", F.coalesce("component", "node").alias("label")
     )
-    spread = labelled.groupBy("band", "bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-    spread = spread.where(F.col("lo") < F.col("hi")).select("band", "bucket")
-    return labelled.join(spread, ["band", "bucket"])
+    spread = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    spread = spread.where(F.col("lo") < F.col("hi")).select("bucket")
+    return labelled.join(spread, "bucket")
 
 
 def _pairs(rows: DataFrame, other, other_label, tested: DataFrame | None) -> DataFrame:

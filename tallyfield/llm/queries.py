@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dart_minhash, decision_list, hyperlang, packing, pu_learning
+from . import dart_minhash, decision_list, hyperlang, line_dedup, packing, pu_learning
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -19,6 +19,11 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_line_dedup(spark: SparkSession, d: str) -> DataFrame:
+    done = line_dedup.dedup_lines(_table(spark, d, "documents"))
+    return done.select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op4_decision_list(spark: SparkSession, d: str) -> DataFrame:
     return decision_list.judge_quality(_table(spark, d, "documents"), _table(spark, d, "labels"))
 
@@ -42,6 +47,7 @@ def op9_dart_minhash(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_line_dedup": op2_line_dedup,
         "op4_decision_list": op4_decision_list,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_positive_unlabelled": op6_positive_unlabelled,
