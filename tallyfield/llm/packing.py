@@ -10,7 +10,9 @@ finds.
 from __future__ import annotations
 
 import functools
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +28,7 @@ END_ID = 1
 # Rests that one task packs together: bounds its memory, and is far more than good packing needs.
 SHARE = 50_000
 # Distinct words a Python worker remembers the ids of.
-_REMEMBERED = 400_000
+_REMEMBERED = 800_000
 
 
 def pack(
@@ -179,9 +181,22 @@ def _tightest(tree: bytearray, size: int, least: int) -> int:
 # How the tokenizer file cuts lower-cased text into words.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 # Words of these characters are left as they are by NFC and have one small form each.
-_PLAIN = regex.compile(r"[!-~¡-¬®-ÿ]+")
+_PLAIN = re.compile(r"[!-~¡-¬®-ÿ]+").fullmatch
 # Python parts words at these; the tokenizer does not.
-_SEPARATORS = regex.compile(r"[\x1c-\x1f]")
+_SEPARATORS = re.compile(r"[\x1c-\x1f]")
+
+
+class _Parts(dict):
+    """Ids of lower-case runs of letters, of digits and of other characters."""
+
+    def __init__(self, tokenize) -> None:
+        self.tokenize = tokenize
+        self.letters = str.maketrans(_byte_letters())
+
+    def __missing__(self, part: str) -> bytes:
+        letters = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+        ids = self[part] = array("I", [t.id for t in self.tokenize(letters)]).tobytes()
+        return ids
 
 
 class _Words(dict):
@@ -193,25 +208,21 @@ class _Words(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.split = regex.compile(_SPLIT).findall
-        self.letters = str.maketrans(_byte_letters())
-        self.parts: dict[str, bytes] = {}
+        self.parts = _Parts(self.tokenizer.model.tokenize)
 
     def __missing__(self, word: str) -> bytes:
-        if _PLAIN.fullmatch(word):
-            ids = b"".join([self.part(p) for p in self.split(word.lower())])
-        else:
+        last = word[-1]
+        if _PLAIN(word) is None:
             ids = self.whole(word)
+        elif word.isalpha():
+            ids = self.parts[word.lower()]
+        elif last in ".," and word[:-1].isalpha():  # the most common other form
+            ids = self.parts[word[:-1].lower()] + self.parts[last]
+        else:
+            ids = b"".join([self.parts[p] for p in self.split(word.lower())])
         self[word] = ids
         return ids
 
-    def part(self, part: str) -> bytes:
-        ids = self.parts.get(part)
-        if ids is None:
-            tokens = self.tokenizer.model.tokenize(part.encode().decode("latin-1").translate(self.letters))
-            ids = np.array([t.id for t in tokens], dtype="<u4").tobytes()
-            self.parts[part] = ids
-        return ids
-
     def whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return np.array(ids, dtype="<u4").tobytes()
