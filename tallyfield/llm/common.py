@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import logging
 import shutil
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,12 +23,43 @@ from tallyfield.session import ensure_checkpoint_dir
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """`df`, written to the shared checkpoint folder and read from there from now on."""
+def checkpointed(df: DataFrame) -> DataFrame:
+    """`df`, written to the shared checkpoint folder, with the partitions it has."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """`df`, written as Parquet below the shared checkpoint folder and read from there.
+
+    Unlike a checkpoint it is compressed, is read column by column, has a known size, and
+    carries nothing of the plan that made it into later plans. The files stay until the
+    driver ends, as anything derived from the result needs them.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    context = spark.sparkContext
+    path = f"{context.getCheckpointDir()}/written-{uuid.uuid4().hex}"
+    if not _folders:
+        atexit.register(_remove_written, context)
+    _folders.append(path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_folders: list[str] = []
+
+
+def _remove_written(context: SparkContext) -> None:
+    try:
+        hadoop = context._jvm.org.apache.hadoop.fs
+        for folder in _folders:
+            path = hadoop.Path(folder)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception as error:  # the session may be gone already; the folder is a scratch one
+        logging.getLogger(__name__).info("written tables were left behind: %s", error)
+
+
 def only(df: DataFrame, **columns: str) -> DataFrame:
     """Just the named columns, under the names an operator uses: `only(df, key="doc_id")`."""
     return df.select(*[column_named(name).alias(alias) for alias, name in columns.items()])

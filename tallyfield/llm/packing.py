@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, only, ship_package, written
+from .common import checkpointed, map_batches, only, ship_package, written
 
 WINDOW = 2048
 END_ID = 1
@@ -66,7 +66,7 @@ def pack(
     columns = f"key {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
     pieces = written(map_batches(rows, cut, columns))
     shares = max(1, -(-pieces.where(F.col("length") < window).count() // SHARE))
-    dealt = written(pieces.where(F.col("length") < window).repartition(shares))
+    dealt = checkpointed(pieces.where(F.col("length") < window).repartition(shares))
     packed = _pack_partitions(dealt, columns, window)
     full = pieces.where(F.col("length") == window).withColumns(
         {
