@@ -1,5 +1,6 @@
 from .joins import broadcast_if_small, fits_broadcast
 from .measures import exact_total, mean_of, month_label, month_start
+from .running import ranged, running_total
 from .text import (
     base64_line,
     column_named,
@@ -25,5 +26,7 @@ __all__ = [
     "month_start",
     "or_default",
     "or_null",
+    "ranged",
+    "running_total",
     "yes_no",
 ]
