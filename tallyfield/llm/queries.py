@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dart_minhash, decision_list, hyperlang, line_dedup, packing, pu_learning, raking
+from . import (
+    chat_repair,
+    dart_minhash,
+    decision_list,
+    fixity,
+    hyperlang,
+    line_dedup,
+    packing,
+    pu_learning,
+    raking,
+    topk,
+)
+from .common import written
 
 RAKING_SWEEPS = 8
 
@@ -22,11 +34,101 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_merkle_audit(spark: SparkSession, d: str) -> DataFrame:
+    """The pages against a replica of them in which some are altered, lost or added."""
+    digits = F.substring(F.md5(F.col("page_id").cast("string").cast("binary")), 1, 7)
+    number = F.conv(digits, 16, 10).cast("bigint")
+    url, html = F.col("url"), F.col("html")
+    whole, damaged = fixity.content(url, html), fixity.content(url, F.concat(html, F.lit(" ")))
+    rows = _table(spark, d, "pages").select(
+        "page_id",
+        F.octet_length(whole).cast("bigint").alias("length"),
+        F.sha2(whole.cast("binary"), 256).alias("digest"),
+        F.when(number % 101 == 5, "altered")
+        .when(number % 103 == 7, "missing")
+        .when(number % 107 == 11, "extra")
+        .alias("fate"),
+        F.when(number % 101 == 5, F.sha2(damaged.cast("binary"), 256)).alias("damaged"),
+    )
+    placed = written(fixity.with_offsets(rows.distinct(), ["page_id", "digest"]))
+    originals = placed.withColumn("archive", F.lit("pages"))
+    copies = originals.withColumn("replica", F.lit(1)).where(
+        F.coalesce(F.col("fate") != "missing", F.lit(True))
+    )
+    altered = F.col("fate") == "altered"
+    copies = copies.withColumns(
+        {
+            "digest": F.when(altered, F.col("damaged")).otherwise(F.col("digest")),
+            "length": F.col("length") + F.when(altered, 1).otherwise(0),
+        }
+    )
+    extra = copies.where("fate = 'extra'").withColumn("offset", F.col("offset") + 1)
+    found = fixity.audit(originals, copies.unionByName(extra))
+    return found.select("offset", "kind", "length_expected", "length_found", "expected", "found")
+
+
+_AUDIT = """
+WITH records AS (
+  SELECT *, sha256(whole) AS digest, CAST(strlen(whole) AS bigint) AS length,
+         CASE WHEN fate = 'altered' THEN sha256(whole || ' ') END AS damaged
+  FROM (
+    SELECT DISTINCT page_id, whole,
+           CASE WHEN number % 101 = 5 THEN 'altered' WHEN number % 103 = 7 THEN 'missing'
+                WHEN number % 107 = 11 THEN 'extra' END AS fate
+    FROM (
+      SELECT page_id, coalesce('1' || url, '0') || chr(10) || coalesce('1' || html, '0') AS whole,
+             CAST('0x' || substr(md5(CAST(page_id AS varchar)), 1, 7) AS bigint) AS number
+      FROM pages
+    )
+  )
+), placed AS (
+  SELECT *, CAST(sum(length) OVER (ORDER BY page_id, digest) AS bigint) - length AS "offset"
+  FROM records
+)
+SELECT "offset", fate AS kind, length AS length_expected,
+       CASE WHEN fate = 'altered' THEN length + 1 END AS length_found,
+       digest AS expected, damaged AS found
+FROM placed WHERE fate IN ('altered', 'missing')
+UNION ALL
+SELECT "offset" + 1, fate, NULL, length, NULL, digest FROM placed WHERE fate = 'extra'
+"""
+
+
 def op2_line_dedup(spark: SparkSession, d: str) -> DataFrame:
     done = line_dedup.dedup_lines(_table(spark, d, "documents"))
     return done.select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op3_block_top_k(spark: SparkSession, d: str) -> DataFrame:
+    vectors = _table(spark, d, "embeddings").select(
+        F.col("vec_id").cast("bigint").alias("vec_id"), topk.scaled("embedding").alias("values")
+    )
+    return topk.top_k(vectors)
+
+
+_TOP_K = """
+WITH vectors AS (
+  SELECT vec_id, min(e) AS e
+  FROM (
+    SELECT vec_id, [CAST(floor(64 * CAST(x AS double)) AS bigint) FOR x IN embedding] AS e
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND len(embedding) > 0
+      AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+  )
+  GROUP BY vec_id
+), scores AS (
+  SELECT q.vec_id AS query_id, v.vec_id,
+         CAST(list_sum([p[1] * p[2] FOR p IN list_zip(q.e, v.e)]) AS bigint) AS score
+  FROM vectors q JOIN vectors v ON len(q.e) = len(v.e)
+  WHERE q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id
+)
+SELECT query_id, CAST(row_number() OVER best AS integer) AS rank, vec_id, score
+FROM scores
+WINDOW best AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER best <= 20
+"""
+
+
 def op4_decision_list(spark: SparkSession, d: str) -> DataFrame:
     return decision_list.judge_quality(_table(spark, d, "documents"), _table(spark, d, "labels"))
 
@@ -39,6 +141,10 @@ def op6_positive_unlabelled(spark: SparkSession, d: str) -> DataFrame:
     return pu_learning.score_quality(_table(spark, d, "documents"), _table(spark, d, "labels"))
 
 
+def op7_role_repair(spark: SparkSession, d: str) -> DataFrame:
+    return chat_repair.repair(_table(spark, d, "conversations"))
+
+
 def op8_hyperdimensional_language(spark: SparkSession, d: str) -> DataFrame:
     return hyperlang.predict_language(_table(spark, d, "documents"))
 
@@ -64,15 +170,22 @@ def op10_raking(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_merkle_audit": op1_merkle_audit,
         "op2_line_dedup": op2_line_dedup,
+        "op3_block_top_k": op3_block_top_k,
         "op4_decision_list": op4_decision_list,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_positive_unlabelled": op6_positive_unlabelled,
         "op9_dart_minhash": op9_dart_minhash,
         "op10_raking": op10_raking,
+        "op7_role_repair": op7_role_repair,
         "op8_hyperdimensional_language": op8_hyperdimensional_language,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_raking": raking.mix_sql(RAKING_SWEEPS)}
+    return {
+        "op1_merkle_audit": _AUDIT,
+        "op3_block_top_k": _TOP_K,
+        "op10_raking": raking.mix_sql(RAKING_SWEEPS),
+    }
