@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tallyfield.functions.text import column_named
 from tallyfield.session import ensure_checkpoint_dir
@@ -89,7 +90,7 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def map_batches(
-    df: DataFrame, function: Callable[[pa.RecordBatch], pa.Table | pa.RecordBatch], schema: str
+    df: DataFrame, function: Callable[[pa.RecordBatch], pa.Table | pa.RecordBatch], schema: str | StructType
 ) -> DataFrame:
     """Apply `function` to every Arrow batch of `df`."""
 
@@ -102,6 +103,12 @@ def map_batches(
     return df.mapInArrow(batches, schema)
 
 
+def tokenizer_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def code_points(text: str) -> np.ndarray:
     """The characters of a text as numbers; a lone surrogate counts as a character."""
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyfield.functions.text import column_named
+
 from .common import code_points, fold, map_batches, mix, only, ship_package
 
 DIMENSIONS = 1024
@@ -87,23 +89,16 @@ def apply_profiles(
 ) -> DataFrame:
     rows = only(docs, key=key, text=text)
     rows = rows.select("key", F.coalesce(fold("key", FOLDS) == 0, F.lit(True)).alias("held_out"), "text")
-    names = sorted(name for name, vector in model.items() if vector.any())
-    units = np.array([model[n] / np.linalg.norm(model[n]) for n in names]).reshape(-1, dimensions)
+    nearest = _nearest(model, dimensions)
 
     def predict(batch: pa.RecordBatch) -> pa.Table:
-        n = batch.num_rows
-        best, score = np.full(n, -1), np.zeros(n)
-        if names:
-            for at, vectors, norms in bundled(batch.column("text").to_pylist(), dimensions):
-                cosines = vectors @ units.T / np.maximum(norms, 1e-9)[:, None]
-                best[at] = cosines.round(12).argmax(axis=1)
-                score[at] = cosines.max(axis=1)
+        names, scores = nearest(batch.column("text").to_pylist())
         return pa.table(
             {
                 key: batch.column("key"),
                 "held_out": batch.column("held_out"),
-                "lang_pred": pa.array([names[i] if i >= 0 else UNKNOWN for i in best], pa.string()),
-                "score": pa.array(np.clip(score, 0.0, 1.0)),
+                "lang_pred": pa.array(names, pa.string()),
+                "score": pa.array(scores),
             }
         )
 
@@ -113,6 +108,45 @@ def apply_profiles(
     )
 
 
+def identified_stage(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang"
+) -> DataFrame:
+    """The documents with a language, their columns as they were but for a NULL `lang`, which
+    becomes the predicted one. Documents without a letter go. If nothing could be learned,
+    all documents with a text stay."""
+    model = learn_profiles(docs, key, text, lang)
+    if not model:
+        return docs.where(column_named(text).isNotNull())
+    nearest = _nearest(model, DIMENSIONS)
+    at_text, at_lang = docs.columns.index(text), docs.columns.index(lang)
+
+    def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
+        names, _ = nearest(batch.column(at_text).to_pylist())
+        old = batch.column(at_lang).to_pylist()
+        filled = pa.array([n if o is None else o for n, o in zip(names, old)], batch.column(at_lang).type)
+        batch = batch.set_column(at_lang, batch.schema.field(at_lang), filled)
+        return batch.filter(pa.array([n != UNKNOWN for n in names]))
+
+    return map_batches(docs, keep, docs.schema)
+
+
+def _nearest(model: dict[str, np.ndarray], dimensions: int):
+    """A function from texts to the names of their languages and the scores."""
+    names = sorted(name for name, vector in model.items() if vector.any())
+    units = np.array([model[n] / np.linalg.norm(model[n]) for n in names]).reshape(-1, dimensions)
+
+    def nearest(texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        best, score = np.full(len(texts), -1), np.zeros(len(texts))
+        if names:
+            for at, vectors, norms in bundled(texts, dimensions):
+                cosines = vectors @ units.T / np.maximum(norms, 1e-9)[:, None]
+                best[at] = cosines.round(12).argmax(axis=1)
+                score[at] = cosines.max(axis=1)
+        return [names[i] if i >= 0 else UNKNOWN for i in best], np.clip(score, 0.0, 1.0)
+
+    return nearest
+
+
 def bundled(
     texts: list[str | None], dimensions: int
 ) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from . import (
     chat_repair,
     dart_minhash,
@@ -19,7 +21,7 @@ from . import (
     raking,
     topk,
 )
-from .common import written
+from .common import tokenizer_file, written
 
 RAKING_SWEEPS = 8
 
@@ -28,12 +30,6 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def tokenizer_file() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
-
-
 def op1_merkle_audit(spark: SparkSession, d: str) -> DataFrame:
     """The pages against a replica of them in which some are altered, lost or added."""
     digits = F.substring(F.md5(F.col("page_id").cast("string").cast("binary")), 1, 7)
@@ -168,6 +164,10 @@ def op10_raking(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def pipeline(spark: SparkSession, d: str) -> DataFrame:
+    return corpus_pipeline.run(spark, d)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_merkle_audit": op1_merkle_audit,

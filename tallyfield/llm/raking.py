@@ -18,7 +18,7 @@ from .common import WORD, written
 
 # Shares of the targets go with the tokens to this power: 1 leaves a marginal as it is, 0
 # makes its values equal.
-TEMPER = {"source": 0.7, "lang": 0.8, "topic": 0.9}
+TEMPER = {"source": 0.8, "lang": 0.9, "topic": 0.95}
 MAX_SWEEPS, TOLERANCE = 40, 1e-6
 MAX_BROADCAST_BYTES = 16 * 1024 * 1024
 
