@@ -27,7 +27,7 @@ from tallyfield.sources import star  # noqa: E402
 
 # The training-data operators are a part of their own; everything else works without it.
 try:
-    from tallyfield.llm import queries as llm_queries  # noqa: E402
+    import tallyfield.llm.queries as llm_queries  # noqa: E402
 except ModuleNotFoundError as missing:
     if not (missing.name or "").startswith(("tallyfield.llm", "corpus_pipeline")):
         raise
