@@ -23,7 +23,7 @@ from tallyfield.operators import (  # noqa: E402
     sales,
 )
 from tallyfield.plans import jobs  # noqa: E402
-from tallyfield.sources import star  # noqa: E402
+from tallyfield.sources import catalog, star  # noqa: E402
 
 # The training-data operators are a part of their own; everything else works without it.
 try:
@@ -46,6 +46,12 @@ ORDER_ROW = T.StructType(
         T.StructField("absent", T.StringType()),
     ]
 )
+ORDER_COLUMNS = T.StructType(
+    [
+        T.StructField("o_orderkey", T.StringType()),
+        T.StructField("o_totalprice", T.DecimalType(18, 2)),
+    ]
+)
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -112,7 +118,7 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             star.sale_lines(s, d), star.products(s, d), CENTS
         ),
         "product_sales_ranking_in_slices": lambda s, d: sales.product_sales_ranking(
-            star.sale_lines(s, d), star.products(s, d), CENTS, rows_per_slice=150
+            star.sale_lines(s, d), star.products(s, d), CENTS
         ),
         "ranking_preview": lambda s, d: sales.ranking_preview(
             star.sale_lines(s, d), star.products(s, d), 10, CENTS
@@ -136,7 +142,6 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             star.sale_lines(s, d).groupBy("transaction_id").agg(F.sum("quantity").alias("units")),
             "units",
             "units_rank",
-            rows_per_slice=500,
         ),
         "upstream_tables": lambda s, d: lineage.upstream_tables(star.lineage_events(s, d), PART),
         "downstream_tables": lambda s, d: lineage.downstream_tables(
@@ -152,7 +157,9 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "missing_edges": lambda s, d: lineage.missing_edges(
             jobs.declared_edges(s, NAMESPACE), star.job_events(s, d, NAMESPACE)
         ),
-        "list_catalogs": lambda s, d: metadata.list_catalogs(star.tables_meta(s, d)),
+        "list_catalogs": lambda s, d: metadata.list_catalogs(
+            star.tables_meta(s, d).withColumn("catalog", F.concat("schema", F.lit("_cat")))
+        ),
         "list_schemas": lambda s, d: metadata.list_schemas(star.tables_meta(s, d), "lake"),
         "list_tables": lambda s, d: metadata.search_tables(
             star.tables_meta(s, d), "lake", "Brand#1"
@@ -181,7 +188,27 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             star.table(s, d, "conversations")
         ),
         "question_answer_pairs_in_slices": lambda s, d: messages.question_answer_pairs(
-            star.table(s, d, "conversations"), turns_per_slice=2
+            star.table(s, d, "conversations").where("turn <> 1")
+        ),
+        "concat_batches": lambda s, d: preview.concat_batches(
+            [
+                star.table(s, d, "orders").where(F.col("o_orderstatus") == status)
+                .select("o_orderkey", "o_orderstatus")
+                for status in ("F", "O", "P")
+            ]
+        ),
+        "declared_columns": lambda s, d: catalog.declared_columns(
+            star.table(s, d, "orders").select("o_totalprice", "o_orderkey"), ORDER_COLUMNS
+        ),
+        "render_cells": lambda s, d: preview.render(
+            star.table(s, d, "part").select(
+                "p_partkey",
+                F.when(F.col("p_size") > 10, F.create_map(F.lit("size"), "p_size")).alias("facts"),
+                F.when(F.col("p_size") > 20, F.encode("p_brand", "UTF-8")).alias("body"),
+            )
+        ),
+        "preview_all_binary": lambda s, d: preview.preview(
+            star.table(s, d, "nation").select(F.encode("n_name", "UTF-8").alias("body")), n=1000
         ),
         "apply_row_filter": lambda s, d: policy.apply_row_filter(
             star.customer_segments(s, d),
@@ -290,13 +317,16 @@ FROM lineitem
 _MESSAGES = """
 WITH flat AS (
   SELECT *, 'turn ' || turn AS question, 'm-' || conv_id || '-' || turn AS message_id,
-         'c-' || conv_id AS conversation_id,
+         'k-' || conv_id AS conversation_id, role = 'user' AND turn % 6 = 4 AS broken,
          CASE WHEN role = 'assistant' THEN text ELSE '' END AS texts,
          CASE WHEN role = 'assistant' THEN 'SELECT ' || turn END AS sql_query,
          CASE WHEN role = 'assistant' THEN
               CASE WHEN turn > 2 THEN 'q-' ELSE 'b-' END || conv_id || '-' || turn
          END AS attachment_id,
-         CASE WHEN role = 'system' THEN 'stopped' WHEN role = 'user' THEN 'no answer' END AS error
+         CASE WHEN role = 'system' THEN 'stopped'
+              WHEN role = 'user' AND turn % 6 = 4 THEN 'unreadable document'
+              WHEN role = 'user' AND turn % 6 = 2 THEN '0'
+              WHEN role = 'user' THEN 'no answer' END AS error
   FROM conversations
 )
 """
@@ -307,6 +337,7 @@ FROM (
   SELECT conv_id, turn, role, text AS question,
          CASE WHEN lead(role) OVER w = 'assistant' THEN lead(text) OVER w END AS answer
   FROM conversations
+  WHERE {rows}
   WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
 )
 WHERE role = 'user'
@@ -432,7 +463,7 @@ WITH declared(source, target) AS (VALUES
 SELECT '{NAMESPACE}.' || source AS source, '{NAMESPACE}.' || target AS target
 FROM (SELECT source, target FROM declared EXCEPT SELECT source, target FROM seen)
 """,
-        "list_catalogs": "SELECT DISTINCT 'lake' AS catalog FROM part",
+        "list_catalogs": "SELECT DISTINCT p_brand || '_cat' AS catalog FROM part",
         "list_schemas": "SELECT DISTINCT p_brand AS schema FROM part",
         "list_tables": _SEARCH,
         "search_tables": _SEARCH + "AND contains(lower(name), 'bolt_1')",
@@ -465,21 +496,24 @@ FROM pages
 """,
         "flatten_messages": _MESSAGES
         + """
-SELECT question, message_id, conversation_id,
-       CASE role WHEN 'assistant' THEN 'COMPLETED' WHEN 'user' THEN 'FAILED' ELSE 'UNKNOWN' END
-         AS status,
+SELECT question, CASE WHEN broken THEN '' ELSE message_id END AS message_id, conversation_id,
+       CASE WHEN role = 'assistant' THEN 'COMPLETED' WHEN role = 'user' AND NOT broken THEN 'FAILED'
+            ELSE 'UNKNOWN' END AS status,
        CAST(CASE WHEN texts <> '' THEN 1 ELSE 0 END AS bigint) AS texts, texts AS text,
-       sql_query, CAST(NULL AS varchar) AS query_description, attachment_id, error
+       sql_query,
+       CASE WHEN role = 'assistant' AND turn % 4 = 1 THEN 'about the turn' END AS query_description,
+       attachment_id, error
 FROM flat
 """,
         "chat_history": _MESSAGES
         + """
-SELECT message_id, question, texts AS text, sql_query, error,
-       CASE WHEN role = 'assistant' AND turn <= 5 AND turn <> 3 THEN 'turn,col_1' END
+SELECT CASE WHEN broken THEN '' ELSE message_id END AS message_id, question, texts AS text,
+       sql_query, error,
+       CASE WHEN role = 'assistant' AND turn % 10 NOT IN (3, 9) THEN 'turn,col_1' END
          AS result_columns,
-       CASE WHEN role = 'assistant' AND turn <= 5 AND turn <> 3 THEN turn || ',' || conv_id END
+       CASE WHEN role = 'assistant' AND turn % 10 NOT IN (3, 9) THEN turn || ',' || conv_id END
          AS result_values,
-       CASE WHEN role = 'assistant' AND turn = 3 THEN 'timed out' END AS query_result_error
+       CASE WHEN role = 'assistant' AND turn % 10 = 3 THEN 'timed out' END AS query_result_error
 FROM flat
 """,
         "rows_from_result_documents": _RESULT_ROWS
@@ -504,8 +538,18 @@ SELECT doc_id, row_no, 2, CASE WHEN urgent THEN 'order' ELSE 'total' END,
        CASE WHEN urgent THEN key ELSE total END
 FROM cells
 """,
-        "question_answer_pairs": _PAIRS,
-        "question_answer_pairs_in_slices": _PAIRS,
+        "question_answer_pairs": _PAIRS.format(rows="true"),
+        "question_answer_pairs_in_slices": _PAIRS.format(rows="turn <> 1"),
+        "concat_batches": "SELECT o_orderkey, o_orderstatus FROM orders "
+        "WHERE o_orderstatus IN ('F', 'O', 'P')",
+        "declared_columns": "SELECT CAST(o_orderkey AS varchar) AS o_orderkey, "
+        "CAST(o_totalprice AS decimal(18,2)) AS o_totalprice FROM orders",
+        "render_cells": """
+SELECT p_partkey, CASE WHEN p_size > 10 THEN '{"size":' || p_size || '}' END AS facts,
+       CASE WHEN p_size > 20 THEN to_base64(encode(p_brand)) END AS body
+FROM part
+""",
+        "preview_all_binary": "SELECT to_base64(encode(n_name)) AS body FROM nation",
         "apply_row_filter": """
 SELECT c_custkey AS customer_id, c_name AS company_name, c_mktsegment AS segment, n_name AS region
 FROM customer JOIN nation ON c_nationkey = n_nationkey

@@ -15,8 +15,9 @@ def exact_total(df: DataFrame, amount: str, money_scale: int | None) -> Column:
     """Sum of a money column of `df`.
 
     A sum of doubles depends on the order in which tasks finish. With `money_scale` the
-    values are rounded to that many places and added as whole numbers, which does not.
-    Values with more places need a larger scale, or None for the plain double sum.
+    values are added as whole numbers of their last place, which does not. A value that is
+    no such number (more places, NaN, infinite, beyond BIGINT) stops the query: it needs a
+    larger scale, or None for the plain double sum.
 
     The whole numbers are added as BIGINT, several times faster than as decimals, and in
     two parts, so that the sum of the low bits and the sum of the rest both stay far
@@ -26,7 +27,15 @@ def exact_total(df: DataFrame, amount: str, money_scale: int | None) -> Column:
     floating = isinstance(df.schema[amount].dataType, (T.DoubleType, T.FloatType))
     if money_scale is None or not floating:
         return F.sum(value)
-    units = F.rint(value * F.lit(float(10**money_scale))).cast("bigint")
+    scale = float(10**money_scale)
+    whole = F.rint(value.cast("double") * F.lit(scale))
+    # Dividing gives the double nearest to the decimal number, which is what was stored.
+    same = (whole / F.lit(scale)).cast(df.schema[amount].dataType) == value
+    fits = ~F.isnan(value) & (F.abs(whole) < F.lit(2.0**63)) & same
+    message = f"{amount} does not fit {money_scale} decimal places: "
+    units = F.when(value.isNull() | fits, whole.cast("bigint")).otherwise(
+        F.raise_error(F.concat(F.lit(message), value.cast("string"))).cast("bigint")
+    )
     high = F.sum(F.shiftright(units, _LOW_BITS)).cast("decimal(20,0)")
     low = F.sum(units.bitwiseAND(F.lit((1 << _LOW_BITS) - 1))).cast("decimal(20,0)")
     total = high * F.lit(Decimal(1 << _LOW_BITS)) + low

@@ -9,12 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import dotted_name
+from ..functions import broadcast_if_small, dotted_name
 
 SOURCE = "source_table_full_name"
 TARGET = "target_table_full_name"
 # Fixed value: neighbours listed per table and direction.
 NEIGHBOUR_LIMIT = 100
+# Spark's own bound for limiting a ranked group before it is sent.
+SENT_LIMIT = 1000
+SHARES = 64
 
 _NODE = "struct<tableInfo: struct<catalog_name: string, schema_name: string, name: string, table_type: string>>"
 LINEAGE_DOCUMENT = f"upstreams array<{_NODE}>, downstreams array<{_NODE}>"
@@ -43,9 +46,9 @@ def _neighbours(events: DataFrame, table: str, of: str, at: str, limit: int) ->
 def lineage_for_all(events: DataFrame, limit: int = NEIGHBOUR_LIMIT) -> DataFrame:
     """Both directions for every table of the log: `table, direction, tbl`.
 
-    Repeated events are merged before the first shuffle. Spark applies the limit on the
-    sending side of the second one too, so a table with very many neighbours sends only
-    its first `limit` from each task.
+    Repeated events are merged before the first shuffle. A table with very many neighbours
+    is cut into shares that are limited apart, so that no task gets more than the first
+    `limit` of each share.
     """
     edges = (
         events.where(F.col(SOURCE).isNotNull() & F.col(TARGET).isNotNull())
@@ -61,6 +64,12 @@ def lineage_for_all(events: DataFrame, limit: int = NEIGHBOUR_LIMIT) -> DataFram
         )
     )
     by_name = Window.partitionBy("table", "direction").orderBy("tbl")
+    if limit > SENT_LIMIT:
+        # Up to there Spark limits on the sending side by itself.
+        both = both.withColumn("share", F.pmod(F.xxhash64("tbl"), F.lit(SHARES)))
+        in_share = Window.partitionBy("table", "direction", "share").orderBy("tbl")
+        both = both.withColumn("position", F.row_number().over(in_share))
+        both = both.where(F.col("position") <= limit).drop("position", "share")
     return (
         both.withColumn("position", F.row_number().over(by_name))
         .where(F.col("position") <= limit)
@@ -122,13 +131,13 @@ def neighbours_in_documents(documents: DataFrame, table: str, direction: str) ->
 def missing_edges(declared: DataFrame, events: DataFrame) -> DataFrame:
     """Declared edges that the log never shows: `source, target`.
 
-    `declared` has one row per source of each derived table (`plans.jobs.declared_edges`),
-    a few rows that are broadcast to the log; only edges that are declared and seen are
-    shuffled, each once per task.
+    `declared` has one row per source of each derived table (`plans.jobs.declared_edges`).
+    As a rule it is small, and then sent to the log, so that only edges that are declared
+    and seen are shuffled, each once per task.
     """
     seen = (
         events.select(F.col(SOURCE).alias("source"), F.col(TARGET).alias("target"))
-        .join(F.broadcast(declared), ["source", "target"], "left_semi")
+        .join(broadcast_if_small(declared), ["source", "target"], "left_semi")
         .distinct()
     )
     return declared.join(seen, ["source", "target"], "left_anti")

@@ -6,20 +6,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import broadcast_if_small, column_named, or_null
-from ..session import ensure_checkpoint_dir
+from ..functions import broadcast_if_small, column_named, or_null, ranged
 
 # Parts that may come as an object or as something else are kept as text.
 MESSAGE_DOCUMENT = (
-    "id string, conversation_id string, status string, error string, "
-    "attachments array<struct<attachment_id: string, text: struct<content: string>, query: string>>"
+    "id string, conversation_id string, status string, error variant, "
+    "attachments array<struct<attachment_id: string, text: struct<content: string>, query: string>>, "
+    "_unreadable string"
 )
 QUERY_PART = "id string, query string, description string"
 RESULT_DOCUMENT = (
     "statement_response struct<"
     "manifest: struct<schema: struct<columns: array<struct<name: string>>>>, "
-    "result: struct<data_array: array<array<string>>>>"
+    "result: struct<data_array: array<array<string>>>>, _unreadable string"
 )
+UNREADABLE = "unreadable document"
 MESSAGE_COLUMNS = (
     "message_id",
     "conversation_id",
@@ -30,31 +31,32 @@ MESSAGE_COLUMNS = (
     "attachment_id",
     "error",
 )
-# JSON texts that count as "nothing there".
-EMPTY_JSON = ["", "{}", "[]", "false", "0"]
+# JSON texts of objects, lists, numbers and flags that count as "nothing there".
+EMPTY_JSON = ["", "{}", "[]", "false", "0", "null"]
 
-TURNS_PER_SLICE = 100_000
 
-
-def flatten_messages(messages: DataFrame) -> DataFrame:
+def flatten_messages(messages: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
     """One row per message `document` (JSON text), its parts as columns.
 
-    `conversation_id` falls back to the input's column of that name, where it has one.
-    The query comes from the last attachment that carries one. Other input columns, such
-    as the question, are kept.
+    The input's column `conversation_id`, where it has one, is the conversation the
+    message was asked for in, and goes before the document's own. The query comes from
+    the last attachment that carries one. An error that is text is kept as it is; of an
+    object its message is, or else all of it. With mode FAILFAST an unreadable document
+    stops the job; otherwise that is its error. Other input columns, such as the question,
+    are kept.
     """
     kept = _besides(messages, "document", *MESSAGE_COLUMNS)
     known = F.col("conversation_id") if "conversation_id" in messages.columns else F.lit(None)
     parsed = messages.select(
         *kept,
         known.cast("string").alias("_known_conversation"),
-        F.from_json("document", MESSAGE_DOCUMENT).alias("_message"),
+        F.from_json("document", MESSAGE_DOCUMENT, _read_as(mode)).alias("_message"),
     )
     queries = F.filter("_message.attachments", lambda a: _present(a["query"]))
     error = F.col("_message.error")
     parts = parsed.select(
         "*",
-        F.when(_present(error), error).alias("_error"),
+        _error_text(error).alias("_error"),
         F.filter(
             F.transform("_message.attachments", lambda a: a["text"]["content"]), lambda t: t != ""
         ).alias("_texts"),
@@ -63,13 +65,33 @@ def flatten_messages(messages: DataFrame) -> DataFrame:
     return parts.select(
         *kept,
         F.coalesce("_message.id", F.lit("")).alias("message_id"),
-        F.coalesce("_message.conversation_id", "_known_conversation").alias("conversation_id"),
+        F.coalesce("_known_conversation", "_message.conversation_id").alias("conversation_id"),
         F.coalesce("_message.status", F.lit("UNKNOWN")).alias("status"),
         F.coalesce("_texts", F.array().cast("array<string>")).alias("text_responses"),
         F.col("_query.query").alias("sql_query"),
         F.col("_query.description").alias("query_description"),
         F.coalesce(or_null(F.col("_query.id")), F.col("_last.attachment_id")).alias("attachment_id"),
-        F.coalesce(F.get_json_object("_error", "$.message"), "_error").alias("error"),
+        F.when(F.col("_message._unreadable").isNotNull(), UNREADABLE)
+        .otherwise(F.col("_error"))
+        .alias("error"),
+    )
+
+
+def _read_as(mode: str) -> dict[str, str]:
+    return {"mode": mode, "columnNameOfCorruptRecord": "_unreadable"}
+
+
+def _error_text(error: Column) -> Column:
+    """Text of an error that may be text, an object or any other JSON value."""
+    as_json = F.to_json(error)
+    kind = F.schema_of_variant(error)
+    message = F.coalesce(F.try_variant_get(error, "$.message", "string"), as_json)
+    text = F.try_variant_get(error, "$", "string")
+    return (
+        F.when(kind == "STRING", F.when(text != "", text))
+        .when(as_json.isin(EMPTY_JSON), None)
+        .when(kind.startswith("OBJECT"), message)
+        .otherwise(as_json)
     )
 
 
@@ -81,18 +103,21 @@ def _present(part: Column) -> Column:
     return part.isNotNull() & ~part.isin(EMPTY_JSON)
 
 
-def read_results(documents: DataFrame) -> DataFrame:
-    """Parse result documents: `document` gives way to `result_columns` and `result_rows`.
+def read_results(documents: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
+    """Parse result documents: `document` gives way to `result_columns`, `result_rows` and
+    `unreadable`.
 
     A column without a name is called col_0, col_1, ... by its position; a document
-    without rows has an empty `result_rows`.
+    without rows has an empty `result_rows`. With mode FAILFAST an unreadable document
+    stops the job; otherwise it has no rows and `unreadable` is true.
     """
     kept = _besides(documents, "document")
     parsed = documents.select(
-        *kept, F.from_json("document", RESULT_DOCUMENT)["statement_response"].alias("_response")
-    )
+        *kept, F.from_json("document", RESULT_DOCUMENT, _read_as(mode)).alias("_read")
+    ).select("*", F.col("_read.statement_response").alias("_response"))
     return parsed.select(
         *kept,
+        F.col("_read._unreadable").isNotNull().alias("unreadable"),
         F.transform(
             F.coalesce("_response.manifest.schema.columns", F.array().cast("array<struct<name: string>>")),
             lambda c, i: F.coalesce(c["name"], F.concat(F.lit("col_"), i.cast("string"))),
@@ -107,24 +132,28 @@ def rows_from_result_documents(documents: DataFrame, columns: T.StructType) -> D
     """The rows of all result documents under the given columns, found by name in each document.
 
     Values arrive as text and are cast to the declared types; what cannot be cast, or is
-    not in the document, is NULL. `row_no` counts from 0 within a document.
+    not in the document, is NULL. Columns that share a name are taken in their order, so a
+    document with `a, a` fills two declared `a`. `row_no` counts from 0 within a document.
     """
     results = read_results(documents)
-    kept = _besides(results, "result_columns", "result_rows")
+    kept = _besides(results, "result_columns", "result_rows", "unreadable")
     rows = _exploded(results.select(*kept, "result_columns", "result_rows"))
 
-    def value(field: T.StructField) -> Column:
-        at = F.array_position("result_columns", F.lit(field.name)) - 1
-        text = F.when(at >= 0, F.get("row", at))
+    def value(field: T.StructField, nth: int) -> Column:
+        numbered = F.transform("result_columns", lambda c, i: F.when(c == field.name, i))
+        at = F.get(F.filter(numbered, lambda i: i.isNotNull()), F.lit(nth))
+        text = F.when(at.isNotNull(), F.get("row", at))
         return text.try_cast(field.dataType).alias(field.name)
 
-    return rows.select(*kept, "row_no", *[value(field) for field in columns.fields])
+    names = columns.names
+    values = [value(field, names[:i].count(field.name)) for i, field in enumerate(columns.fields)]
+    return rows.select(*kept, "row_no", *values)
 
 
 def result_cells(documents: DataFrame) -> DataFrame:
     """The same rows, one value per line and untyped, for documents of any columns."""
     results = read_results(documents)
-    kept = _besides(results, "result_columns", "result_rows")
+    kept = _besides(results, "result_columns", "result_rows", "unreadable")
     rows = _exploded(results.select(*kept, "result_columns", "result_rows"))
     cells = rows.select(
         *kept, "row_no", "result_columns", F.posexplode("row").alias("position", "value")
@@ -153,13 +182,14 @@ def chat_history(messages: DataFrame, results: DataFrame) -> DataFrame:
     failed, or holds no query, has no result.
     """
     entries = flatten_messages(messages)
+    failed = F.coalesce("error", F.when(F.col("unreadable"), UNREADABLE))
     fetched = read_results(results).select(
         F.col("message_id").alias("result_of"),
         F.col("conversation_id").alias("in_conversation"),
         F.col("attachment_id").alias("for_attachment"),
-        F.when(F.col("error").isNull(), F.col("result_columns")).alias("result_columns"),
-        F.when(F.col("error").isNull(), F.col("result_rows")).alias("result_rows"),
-        F.col("error").alias("query_result_error"),
+        F.when(failed.isNull(), F.col("result_columns")).alias("result_columns"),
+        F.when(failed.isNull(), F.col("result_rows")).alias("result_rows"),
+        failed.alias("query_result_error"),
     )
     # Messages without a result are spread by their id, not gathered under a NULL key.
     same = (
@@ -184,74 +214,31 @@ def chat_history(messages: DataFrame, results: DataFrame) -> DataFrame:
     )
 
 
-def question_answer_pairs(chats: DataFrame, turns_per_slice: int = TURNS_PER_SLICE) -> DataFrame:
+def question_answer_pairs(chats: DataFrame) -> DataFrame:
     """Every user turn with its direct reply: `conv_id, turn, question, answer`.
 
     The answer is NULL if the next turn is not the assistant's. `turn` is a whole number,
-    unique within a conversation, but may have gaps. A conversation of more than
-    `turns_per_slice` turns is cut into ranges of turn numbers, so that no task has to
-    hold a whole one. Two narrow columns are enough to tell whether there is any.
+    unique within a conversation, but may have gaps; turns without a `conv_id` are one
+    conversation. All turns are put in order over range partitions, so that a conversation
+    of any length is spread over many tasks; the last turn of a partition is continued by
+    the first one of the next, one row a partition.
     """
-    ensure_checkpoint_dir(chats.sparkSession)
-    slices = F.expr(f"(turns + {turns_per_slice - 1}) div {turns_per_slice}")
-    long_ones = (
-        chats.groupBy("conv_id")
-        .agg(
-            F.count(F.lit(1)).alias("turns"),
-            F.min("turn").alias("first_turn"),
-            F.max("turn").alias("last_turn"),
-        )
-        .where(F.col("turns") > turns_per_slice)
-        .select("conv_id", "first_turn", "last_turn", slices.alias("slices"))
-        .selectExpr("conv_id", "first_turn", "(last_turn - first_turn) div slices + 1 AS width")
-        .checkpoint()
-    )
     # Texts of other roles count for nothing, and need not be shuffled.
     said = F.when(F.col("role").isin("user", "assistant"), F.col("text"))
     turns = chats.select("conv_id", "turn", "role", said.alias("text"))
-    question = F.col("text").alias("question")
-    answer = F.when(F.col("next_role") == "assistant", F.col("next_text"))
-    if long_ones.isEmpty():
-        asked = _with_next(turns, ["conv_id"])
-        return asked.select("conv_id", "turn", question, answer.alias("answer"))
-
-    sliced = turns.join(broadcast_if_small(long_ones), "conv_id", "left").withColumn(
-        "slice", F.expr("coalesce((turn - first_turn) div width, 0)")
-    )
-    # Where a long conversation goes on in another slice: one row per slice.
-    by_slice = Window.partitionBy("conv_id").orderBy("slice")
-    crossings = (
-        sliced.where(F.col("width").isNotNull())
-        .groupBy("conv_id", "slice")
-        .agg(F.min("turn").alias("opening_turn"))
-        .select("conv_id", "slice", F.lead("opening_turn").over(by_slice).alias("opening_turn"))
-        .where(F.col("opening_turn").isNotNull())
-        .checkpoint()
-    )
-    openings = turns.where(F.col("role") == "assistant").select(
-        "conv_id", F.col("turn").alias("opening_turn"), F.col("text").alias("opening_text")
-    )
-    replies = (
-        openings.join(broadcast_if_small(crossings), ["conv_id", "opening_turn"])
-        .drop("opening_turn")
-    )
-    answer = F.when(F.col("next_turn").isNull(), F.col("opening_text")).otherwise(answer)
-    return (
-        _with_next(sliced, ["conv_id", "slice"])
-        .join(replies, ["conv_id", "slice"], "left")
-        .select("conv_id", "turn", question, answer.alias("answer"))
-    )
-
-
-def _with_next(turns: DataFrame, group: list[str]) -> DataFrame:
-    """The user turns, with number, role and text of the next turn of their group."""
-    in_order = Window.partitionBy(*group).orderBy("turn")
-    return turns.select(
-        *group,
+    parts = ranged(turns, [F.col("conv_id"), F.col("turn")], "part")
+    row = F.struct("conv_id", "role", "text")
+    firsts = parts.groupBy("part").agg(F.min_by(row, F.struct("conv_id", "turn")).alias("first"))
+    later = Window.orderBy("part")
+    firsts = firsts.select("part", F.lead("first").over(later).alias("opening"))
+    within = Window.partitionBy("part").orderBy("conv_id", "turn")
+    followed = parts.select("*", F.lead(row).over(within).alias("next"))
+    joined = followed.join(broadcast_if_small(firsts), "part")
+    after = F.coalesce("next", "opening")
+    replied = after["conv_id"].eqNullSafe(F.col("conv_id")) & (after["role"] == "assistant")
+    return joined.where(F.col("role") == "user").select(
+        "conv_id",
         "turn",
-        "role",
-        "text",
-        F.lead("turn").over(in_order).alias("next_turn"),
-        F.lead("role").over(in_order).alias("next_role"),
-        F.lead("text").over(in_order).alias("next_text"),
-    ).where(F.col("role") == "user")
+        F.col("text").alias("question"),
+        F.when(after.isNotNull() & replied, after["text"]).alias("answer"),
+    )

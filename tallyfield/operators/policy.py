@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import broadcast_if_small, column_named
+from ..functions import column_named
 
 
 def apply_row_filter(
@@ -17,11 +17,13 @@ def apply_row_filter(
 ) -> DataFrame:
     """Rows of `table` whose `key` is granted to the user.
 
-    Repeated grants are merged first. The grants are broadcast if they are few, else
-    both sides are shuffled, and adaptive execution splits a hot key.
+    Grants are text and take the type of the key column; one that cannot grants nothing.
+    Repeated grants are merged first. Adaptive execution broadcasts few grants, and else
+    splits a hot key; the policy is read once.
     """
-    granted = _of(policy, user, table).select(F.col("key").alias(key)).distinct()
-    allowed = rows.join(broadcast_if_small(granted), key, "left_semi")
+    grant = F.col("key").try_cast(rows.schema[key].dataType).alias(key)
+    granted = _of(policy, user, table).select(grant).distinct()
+    allowed = rows.join(granted, key, "left_semi")
     return allowed.select(*[column_named(name) for name in rows.columns])
 
 

@@ -2,117 +2,29 @@
 
 from __future__ import annotations
 
-import math
-
-import pyarrow as pa
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import column_named
+from ..functions import column_named, running_total
 from ..session import ensure_checkpoint_dir
 
-ROWS_PER_SLICE = 250_000
-MAX_SLICES = 20_000
-SAMPLE_ROWS = 2_000_000
-
 
-def global_rank(
-    rows: DataFrame, measure: str, rank_name: str, rows_per_slice: int = ROWS_PER_SLICE
-) -> DataFrame:
+def global_rank(rows: DataFrame, measure: str, rank_name: str) -> DataFrame:
     """Add `RANK() OVER (ORDER BY measure DESC)`; NULL measures come last.
 
-    The rows are written once, so that each pass sees the same values whatever executor
-    is lost in between. Up to `rows_per_slice` of them are ranked by a plain window.
-    More are cut into value ranges: a row's rank is its rank in its range plus the
-    number of rows in the higher ranges.
+    Rows are first counted per value, so that ties, NaN and NULL send one row a task. The
+    different values are put in order over range partitions, where a running total counts
+    the rows above each; that is the rank less one, and is joined back to the rows. A
+    value that holds very many rows is split by adaptive execution. Any type that can be
+    sorted will do. The rows are written once, as they are used twice.
     """
     ensure_checkpoint_dir(rows.sparkSession)
     rows = rows.checkpoint()
-    count = rows.count()
-    highest_first = F.col(measure).desc_nulls_last()
-    if count <= rows_per_slice:
-        rank = F.rank().over(Window.orderBy(highest_first))
-        return rows.withColumn(rank_name, rank.cast("bigint"))
-
-    slices = min(MAX_SLICES, math.ceil(count / rows_per_slice))
-    sliced = _add_slice(rows, measure, _cuts(rows, measure, count, slices), salts=slices)
-
-    # At most three slices per cut and one for NULL: small enough for one task, and to broadcast.
-    above = Window.orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)
-    higher = (
-        sliced.groupBy("_slice")
-        .count()
-        .select("_slice", F.coalesce(F.sum("count").over(above), F.lit(0)).alias("_rows_above"))
-    )
-    in_slice = Window.partitionBy("_slice", "_salt").orderBy(highest_first)
-    return (
-        sliced.withColumn("_rank_in_slice", F.rank().over(in_slice))
-        .join(F.broadcast(higher), "_slice")
-        .select(
-            *[column_named(name) for name in rows.columns],
-            (F.col("_rows_above") + F.col("_rank_in_slice")).cast("bigint").alias(rank_name),
-        )
-    )
-
-
-def _cuts(rows: DataFrame, measure: str, count: int, slices: int) -> list:
-    """The measure's quantiles, ascending; a much-repeated value appears more than once.
-
-    They only balance the slices, so a sample will do; ranks do not depend on them.
-    """
-    shares = [i / slices for i in range(1, slices)]
-    quantiles = F.percentile_approx(measure, shares, max(10_000, 4 * slices))
-    sample = rows.sample(min(1.0, SAMPLE_ROWS / count), seed=1)
-    found = sample.agg(quantiles.alias("cuts")).first()["cuts"] or []
-    return [cut for cut in found if math.isfinite(cut)]
-
-
-def _add_slice(rows: DataFrame, measure: str, cuts: list, salts: int) -> DataFrame:
-    """Number value ranges upwards; a value that fills whole ranges gets one of its own.
-
-    Rows of such a slice are ties, so any split of them ranks the same: they are salted.
-    """
-    kept = [column_named(name) for name in rows.columns]
-    value = F.col(measure)
-    salt = F.pmod(F.xxhash64(*kept), F.lit(salts))
-    if not cuts:
-        # Nothing but NULL, as a rule.
-        return rows.select(
-            *kept,
-            F.when(value.isNull(), -1).otherwise(0).alias("_slice"),
-            F.when(value.isNull(), salt).otherwise(0).alias("_salt"),
-        )
-    bounds = sorted({float(cut) for cut in cuts})
-    # Range 0 lies below the first bound, range i starts at bound i.
-    starts = {bound: float(i + 1) for i, bound in enumerate(bounds)}
-    repeated = {
-        starts[float(left)]: left for left, right in zip(cuts, cuts[1:]) if left == right
-    }
-    # Adding 0.0 turns -0.0 into 0.0: the two are ties.
-    ranged = Bucketizer(
-        splits=[-math.inf, *bounds, math.inf],
-        inputCol="_measure_as_double",
-        outputCol="_value_range",
-        handleInvalid="keep",
-    ).transform(rows.withColumn("_measure_as_double", value.cast("double") + F.lit(0.0)))
-
-    side: Column = F.lit(0)
-    if repeated:
-        points = pa.table(
-            {"_value_range": list(repeated), "_repeated_value": list(repeated.values())}
-        )
-        # At most one row per cut.
-        points = rows.sparkSession.createDataFrame(points)
-        ranged = ranged.join(F.broadcast(points), "_value_range", "left")
-        side = (
-            F.when(value == F.col("_repeated_value"), 1)
-            .when(value > F.col("_repeated_value"), 2)
-            .otherwise(0)
-        )
-    number = F.col("_value_range").cast("int") * 3 + side
-    return ranged.select(
-        *kept,
-        F.when(value.isNull(), -1).otherwise(number).alias("_slice"),
-        F.when(value.isNull() | (side == 1), salt).otherwise(0).alias("_salt"),
+    value = column_named(measure)
+    counts = rows.groupBy(value.alias("_value")).agg(F.count(F.lit(1)).alias("_rows"))
+    placed = running_total(counts, [F.col("_value").desc_nulls_last()], "_rows", "_above")
+    ranks = placed.select("_value", (F.col("_above") + 1).cast("bigint").alias("_rank"))
+    kept = [column_named(name) for name in rows.columns if name != rank_name]
+    return rows.join(ranks, value.eqNullSafe(F.col("_value"))).select(
+        *kept, F.col("_rank").alias(rank_name)
     )

@@ -10,9 +10,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import exact_total, fits_broadcast, mean_of, month_label, month_start
+from ..functions import (
+    exact_total,
+    fits_broadcast,
+    mean_of,
+    month_label,
+    month_start,
+    running_total,
+)
 from ..session import ensure_checkpoint_dir
-from .ranking import ROWS_PER_SLICE, global_rank
+from .ranking import global_rank
 
 # Bits of a BIGINT that stand for channels.
 WORD_BITS = 62
@@ -83,14 +90,11 @@ def product_totals(
 
 
 def product_sales_ranking(
-    sales: DataFrame,
-    products: DataFrame,
-    money_scale: int | None = None,
-    rows_per_slice: int = ROWS_PER_SLICE,
+    sales: DataFrame, products: DataFrame, money_scale: int | None = None
 ) -> DataFrame:
     """Totals per product and their rank by revenue; ties share a rank and leave a gap."""
     totals = product_totals(sales, products, money_scale)
-    ranked = global_rank(totals, "revenue", "revenue_rank", rows_per_slice)
+    ranked = global_rank(totals, "revenue", "revenue_rank")
     return ranked.select(*_product_columns(), "revenue_rank")
 
 
@@ -189,13 +193,9 @@ def _customer_counts(by_channel: DataFrame, customers: DataFrame, small: bool) -
     shuffled once per word, not once per channel, and a customer of several regions gets
     the bits of all.
     """
-    # Written, because these numbers may differ when a lost task runs again.
-    numbered = (
-        by_channel.select(F.col("channel").alias("c"))
-        .distinct()
-        .withColumn("number", F.monotonically_increasing_id())
-        .checkpoint()
-    )
+    # Dense numbers, so that few channels make few words however they are partitioned.
+    channels = by_channel.select(F.col("channel").alias("c"), F.lit(1).alias("one")).distinct()
+    numbered = running_total(channels, [F.col("c")], "one", "number").checkpoint()
     bits = numbered.select(
         "c",
         F.expr(f"number div {WORD_BITS}").alias("word"),
@@ -231,18 +231,25 @@ def channel_category_analysis(
 ) -> DataFrame:
     """Transactions, units, revenue and average sale price per channel and product category.
 
-    The average price is not weighted by units. A small product table is broadcast; a
-    large one makes a sort-merge join, where adaptive execution splits a hot product.
+    The average price is not weighted by units. Sales are added up per product and channel
+    before they meet the products, so a best seller is a row for each channel by then.
     """
+    per_id = sales.groupBy("product_id", "channel").agg(
+        F.count("transaction_id").alias("id_transactions"),
+        F.sum("quantity").alias("id_quantity"),
+        exact_total(sales, "amount", money_scale).alias("id_revenue"),
+        exact_total(sales, "unit_price", money_scale).alias("id_prices"),
+        F.count("unit_price").alias("id_priced"),
+    )
     totals = (
-        sales.join(products.select("product_id", "category"), "product_id")
+        per_id.join(products.select("product_id", "category"), "product_id")
         .groupBy("channel", "category")
         .agg(
-            F.count("transaction_id").alias("transaction_count"),
-            F.sum("quantity").alias("total_quantity"),
-            exact_total(sales, "amount", money_scale).alias("revenue"),
-            exact_total(sales, "unit_price", money_scale).alias("prices"),
-            F.count("unit_price").alias("priced"),
+            F.sum("id_transactions").alias("transaction_count"),
+            F.sum("id_quantity").alias("total_quantity"),
+            F.sum("id_revenue").alias("revenue"),
+            F.sum("id_prices").alias("prices"),
+            F.sum("id_priced").alias("priced"),
         )
     )
     return totals.select(

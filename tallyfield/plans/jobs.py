@@ -19,6 +19,8 @@ class Job:
     build: Callable[..., DataFrame]
     order_by: tuple[str | Column, ...]
     comment: str
+    # Decimal places of the money it adds up: its sums are the same in every run.
+    money_scale: int | None = 2
 
 
 def jobs() -> dict[str, Job]:
@@ -51,11 +53,13 @@ def jobs() -> dict[str, Job]:
     }
 
 
-def run_job(
-    spark: SparkSession, name: str, namespace: str, money_scale: int | None = None
-) -> None:
-    """Build one derived table from the base tables of `namespace` and replace it there."""
+def run_job(spark: SparkSession, name: str, namespace: str, money_scale: int | None = -1) -> None:
+    """Build one derived table from the base tables of `namespace` and replace it there.
+
+    `money_scale` takes the place of the job's own, if given; None is the plain double sum.
+    """
     job = jobs()[name]
+    money_scale = job.money_scale if money_scale == -1 else money_scale
     inputs = [spark.table(f"{namespace}.{source}") for source in job.sources]
     write_table(
         job.build(*inputs, money_scale=money_scale),
@@ -65,7 +69,7 @@ def run_job(
     )
 
 
-def run_all(spark: SparkSession, namespace: str, money_scale: int | None = None) -> None:
+def run_all(spark: SparkSession, namespace: str, money_scale: int | None = -1) -> None:
     """Build all derived tables; they read base tables only, so any order will do."""
     for name in jobs():
         run_job(spark, name, namespace, money_scale)

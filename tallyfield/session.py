@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -43,8 +46,9 @@ def build_session(
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Make `DataFrame.checkpoint` usable, in the folder the cluster names.
 
-    A machine-local folder is taken only by a local session: on a cluster the
-    executors could not read each other's files, and a lost one would lose them.
+    The folder is the one `spark.checkpoint.dir` names, which all executors must share. A
+    machine-local one is made only for `local` and `local[...]`, where there are no other
+    executors, and is removed when the driver ends.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
@@ -52,7 +56,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         context.setCheckpointDir(shared)
-    elif context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tallyfield-"))
+    elif re.fullmatch(r"local(\[.*\])?", context.master):
+        folder = tempfile.mkdtemp(prefix="tallyfield-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.setCheckpointDir(folder)
     else:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -29,15 +30,21 @@ def load_table(
     """Fill a table of declared columns anew; loading twice leaves the same rows.
 
     A list is for a few literal rows. Columns of a DataFrame are taken by name, cast to
-    the declared types, and a value that does not fit stops the load.
+    the declared types, and a value that does not fit stops the load: the old rows stay.
     """
     if isinstance(rows, list):
         rows = spark.createDataFrame(rows, schema)
-    declared = [
-        column_named(f.name).cast(f.dataType).alias(f.name, metadata=f.metadata)
-        for f in schema.fields
-    ]
-    _save(rows.select(*declared), name, comment)
+    _replace(declared_columns(rows, schema), name, comment)
+
+
+def declared_columns(rows: DataFrame, schema: T.StructType) -> DataFrame:
+    """The declared columns, found by name and cast to the declared types."""
+    return rows.select(
+        *[
+            column_named(f.name).cast(f.dataType).alias(f.name, metadata=f.metadata)
+            for f in schema.fields
+        ]
+    )
 
 
 def write_table(df: DataFrame, name: str, comment: str = "", order_by: tuple = ()) -> None:
@@ -46,23 +53,52 @@ def write_table(df: DataFrame, name: str, comment: str = "", order_by: tuple = (
     The rows are written beside it first: until they are complete the old table stays,
     and `df` may read it. The order only clusters the files; readers sort again.
     """
-    spark = df.sparkSession
-    staged = f"{name}__staged"
-    _save(df.orderBy(*order_by) if order_by else df, staged, comment)
-    spark.sql("DROP TABLE IF EXISTS IDENTIFIER(:name)", args={"name": name})
-    spark.sql(f"ALTER TABLE {_ticked(staged)} RENAME TO {_ticked(name)}")
+    _replace(df.orderBy(*order_by) if order_by else df, name, comment)
 
 
-def _save(df: DataFrame, name: str, comment: str) -> None:
-    df.write.mode("overwrite").format("parquet").saveAsTable(name)
+def _replace(df: DataFrame, name: str, comment: str) -> None:
+    """Write beside the table, put the old one aside, and drop it when the new one is there."""
+    spark = df.sparkSession
+    recover_table(spark, name)
+    staged, aside = _beside(name, STAGED), _beside(name, ASIDE)
+    df.write.mode("overwrite").format("parquet").saveAsTable(staged)
     if comment:
-        df.sparkSession.sql(
-            "COMMENT ON TABLE IDENTIFIER(:name) IS '" + _quoted(comment) + "'", args={"name": name}
-        )
+        spark.sql(f"COMMENT ON TABLE {staged} IS '" + _quoted(comment) + "'")
+    if spark.catalog.tableExists(_beside(name)):
+        spark.sql(f"ALTER TABLE {_beside(name)} RENAME TO {aside}")
+    spark.sql(f"ALTER TABLE {staged} RENAME TO {_beside(name)}")
+    spark.sql(f"DROP TABLE IF EXISTS {aside}")
+
+
+def recover_table(spark: SparkSession, name: str) -> None:
+    """Finish what an interrupted replacement left: put the old table back if there is no
+    new one, and drop what lies beside it. Does nothing otherwise."""
+    aside = _beside(name, ASIDE)
+    if spark.catalog.tableExists(aside):
+        if not spark.catalog.tableExists(_beside(name)):
+            spark.sql(f"ALTER TABLE {aside} RENAME TO {_beside(name)}")
+        else:
+            spark.sql(f"DROP TABLE {aside}")
+    spark.sql(f"DROP TABLE IF EXISTS {_beside(name, STAGED)}")
+
+
+STAGED, ASIDE = "__staged", "__before"
+
+
+def _beside(name: str, ending: str = "") -> str:
+    """The quoted name with an ending on its last part."""
+    parts = name_parts(name)
+    return ".".join(_ticked(part) for part in [*parts[:-1], parts[-1] + ending])
+
 
+def name_parts(name: str) -> list[str]:
+    """Parts of a name that dots separate; a part in backticks may hold any character."""
+    found = re.findall(r"`((?:[^`]|``)*)`|([^.`]+)", name)
+    return [quoted.replace("``", "`") if quoted else plain for quoted, plain in found]
 
-def _ticked(name: str) -> str:
-    return ".".join(f"`{part}`" for part in name.split("."))
+
+def _ticked(part: str) -> str:
+    return "`" + part.replace("`", "``") + "`"
 
 
 def _quoted(text: str) -> str:
@@ -74,57 +110,97 @@ def catalogs(spark: SparkSession) -> list[str]:
     return [c.name for c in spark.catalog.listCatalogs()]
 
 
-def schemas(spark: SparkSession) -> list[str]:
-    return [d.name for d in spark.catalog.listDatabases()]
+def schemas(spark: SparkSession, catalog: str | None = None) -> list[str]:
+    """Schemas of a catalog, of the current one unless it is named."""
+    inside = f" IN {_ticked(catalog)}" if catalog else ""
+    return [row[0] for row in spark.sql("SHOW SCHEMAS" + inside).collect()]
 
 
-def harvest_tables(spark: SparkSession, schema: str) -> DataFrame:
+def harvest_tables(spark: SparkSession, schema: str, catalog: str | None = None) -> DataFrame:
     """Inventory of a schema's tables, one row each, as `TABLES_META`.
 
-    Metadata lives with the driver, so it is read there; searching it is a query. The
-    session catalog does not record who changed a table last.
+    The catalog may be given apart or in the name (`catalog.schema`); else it is the
+    current one. Metadata lives with the driver, so it is read there; searching it is a
+    query. The session catalog does not record who changed a table last.
     """
-    found = []
-    for table in _listed(spark, schema):
-        facts = _facts(spark, schema, table.name)
-        found.append(
-            (
-                table.catalog,
-                schema,
-                table.name,
-                f"{table.catalog}.{schema}.{table.name}",
-                table.tableType,
-                facts.get("comment"),
-                facts.get("provider"),
-                facts.get("location"),
-                facts.get("owner"),
-                None,
-            )
-        )
-    return spark.createDataFrame(found, TABLES_META)
+    names = _listed(spark, schema, catalog)
+    return spark.createDataFrame([_table_meta(n, _facts(spark, n)) for n in names], TABLES_META)
 
 
-def harvest_columns(spark: SparkSession, schema: str) -> DataFrame:
+def harvest_columns(spark: SparkSession, schema: str, catalog: str | None = None) -> DataFrame:
     """Inventory of their columns, one row each, as `COLUMNS_META`."""
-    found = [
+    names = _listed(spark, schema, catalog)
+    found = [row for n in names for row in _columns_meta(n, _facts(spark, n))]
+    return spark.createDataFrame(found, COLUMNS_META)
+
+
+def describe_one(spark: SparkSession, full_name: str) -> tuple[DataFrame, DataFrame]:
+    """The inventory rows of one table and of its columns, from a single statement."""
+    parts = name_parts(full_name)
+    if len(parts) < 3:
+        parts = [spark.catalog.currentCatalog(), *parts]
+    if len(parts) < 3:
+        parts.insert(1, spark.catalog.currentDatabase())
+    facts = _facts(spark, parts)
+    return (
+        spark.createDataFrame([_table_meta(parts, facts)], TABLES_META),
+        spark.createDataFrame(_columns_meta(parts, facts), COLUMNS_META),
+    )
+
+
+def _listed(spark: SparkSession, schema: str, catalog: str | None) -> list[list[str]]:
+    parts = [catalog, *name_parts(schema)[-1:]] if catalog else name_parts(schema)
+    if len(parts) == 1:
+        parts = [spark.catalog.currentCatalog(), *parts]
+    inside = ".".join(map(_ticked, parts))
+    rows = spark.sql(f"SHOW TABLES IN {inside}").collect()
+    return [[*parts, row["tableName"]] for row in rows if not row["isTemporary"]]
+
+
+def _table_meta(name: list[str], facts: dict) -> tuple:
+    return (
+        *name,
+        ".".join(name),
+        facts.get("type"),
+        facts.get("comment"),
+        facts.get("provider"),
+        facts.get("location"),
+        facts.get("owner"),
+        None,
+    )
+
+
+def _columns_meta(name: list[str], facts: dict) -> list[tuple]:
+    return [
         (
-            f"{table.catalog}.{schema}.{table.name}",
+            ".".join(name),
             position,
-            field.name,
-            field.dataType.simpleString(),
-            field.nullable,
-            field.metadata.get("comment"),
+            column["name"],
+            _type_text(column["type"]),
+            column.get("nullable", True),
+            column.get("comment"),
         )
-        for table in _listed(spark, schema)
-        for position, field in enumerate(spark.table(f"`{schema}`.`{table.name}`").schema.fields)
+        for position, column in enumerate(facts["columns"])
     ]
-    return spark.createDataFrame(found, COLUMNS_META)
-
-
-def _listed(spark: SparkSession, schema: str) -> list:
-    return [t for t in spark.catalog.listTables(schema) if not t.isTemporary]
 
 
-def _facts(spark: SparkSession, schema: str, table: str) -> dict:
-    described = spark.sql(f"DESCRIBE TABLE EXTENDED `{schema}`.`{table}` AS JSON").first()
-    return json.loads(described[0])
+def _type_text(kind: dict) -> str:
+    """A described type as it is written in SQL."""
+    name = kind["name"]
+    if name == "array":
+        return f"array<{_type_text(kind['element_type'])}>"
+    if name == "map":
+        return f"map<{_type_text(kind['key_type'])},{_type_text(kind['value_type'])}>"
+    if name == "struct":
+        fields = (f"{f['name']}:{_type_text(f['type'])}" for f in kind["fields"])
+        return f"struct<{','.join(fields)}>"
+    if name == "decimal":
+        return f"decimal({kind['precision']},{kind['scale']})"
+    if name in ("char", "varchar"):
+        return f"{name}({kind['length']})"
+    return {"timestamp_ltz": "timestamp", "integer": "int"}.get(name, name)
+
+
+def _facts(spark: SparkSession, name: list[str]) -> dict:
+    full = ".".join(map(_ticked, name))
+    return json.loads(spark.sql(f"DESCRIBE TABLE EXTENDED {full} AS JSON").first()[0])

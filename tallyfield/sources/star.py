@@ -241,6 +241,7 @@ def chat_messages(spark: SparkSession, folder: str) -> DataFrame:
             F.struct(
                 F.when(F.col("turn") > 2, F.concat(F.lit("q-"), key)).alias("id"),
                 F.concat(F.lit("SELECT "), F.col("turn")).alias("query"),
+                F.when(F.col("turn") % 4 == 1, "about the turn").alias("description"),
             ).alias("query"),
         ),
         F.struct(F.struct().alias("query"), F.struct(F.lit("").alias("content")).alias("text")),
@@ -256,23 +257,29 @@ def chat_messages(spark: SparkSession, folder: str) -> DataFrame:
             F.concat(head, F.lit(',"status":"COMPLETED","attachments":['), attachments, F.lit("]}")),
         )
         .when(role == "system", F.concat(head, F.lit(',"error":{"message":"stopped","code":7}}')))
+        # Broken off, an error that reads like a number, a plain error.
+        .when(F.col("turn") % 6 == 4, F.concat(head, F.lit(',"status":"FAIL')))
+        .when(F.col("turn") % 6 == 2, F.concat(head, F.lit(',"status":"FAILED","error":"0"}')))
         .otherwise(F.concat(head, F.lit(',"status":"FAILED","error":"no answer","attachments":null}')))
     )
+    # The conversation asked in is not the one the documents name.
     return table(spark, folder, "conversations").select(
-        F.concat(F.lit("turn "), F.col("turn")).alias("question"), document.alias("document")
+        F.concat(F.lit("turn "), F.col("turn")).alias("question"),
+        F.concat(F.lit("k-"), F.col("conv_id")).alias("conversation_id"),
+        document.alias("document"),
     )
 
 
 def chat_results(spark: SparkSession, folder: str) -> DataFrame:
-    """The results of the assistants' queries; late turns have none, the third failed."""
+    """The results of the assistants' queries; every tenth turn has none, the third of ten failed."""
     turns = table(spark, folder, "conversations").where(
-        (F.col("role") == "assistant") & (F.col("turn") <= 5)
+        (F.col("role") == "assistant") & (F.col("turn") % 10 != 9)
     )
     key = F.concat(F.col("conv_id"), F.lit("-"), F.col("turn"))
     late = F.col("turn") > 2
     return turns.select(
         F.concat(F.lit("m-"), key).alias("message_id"),
-        F.concat(F.lit("c-"), F.col("conv_id")).alias("conversation_id"),
+        F.concat(F.lit("k-"), F.col("conv_id")).alias("conversation_id"),
         F.concat(F.when(late, "q-").otherwise("b-"), key).alias("attachment_id"),
         F.concat(
             F.lit('{"statement_response":{"manifest":{"schema":{"columns":[{"name":"turn"},{}]}},'),
@@ -282,7 +289,7 @@ def chat_results(spark: SparkSession, folder: str) -> DataFrame:
             F.col("conv_id"),
             F.lit('"]]}}}'),
         ).alias("document"),
-        F.when(F.col("turn") == 3, "timed out").alias("error"),
+        F.when(F.col("turn") % 10 == 3, "timed out").alias("error"),
     )
 
 

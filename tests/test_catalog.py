@@ -89,9 +89,35 @@ def test_load_takes_columns_by_name_and_casts(spark, namespace):
     wrong = raw.withColumn("launch_date", raw.product_name)
     with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
         catalog.load_table(spark, f"{namespace}.one_product", wrong, schemas.PRODUCTS)
+    assert rows_of(spark.table(f"{namespace}.one_product").select("product_name")) == [("n",)]
     spark.sql(f"DROP TABLE IF EXISTS {namespace}.one_product")
 
 
+def test_an_interrupted_replacement_is_finished(spark, namespace):
+    name = f"{namespace}.halfway"
+    catalog.write_table(spark.range(3), name)
+    # As after a stop between the two renames.
+    spark.sql(f"ALTER TABLE {name} RENAME TO {name}__before")
+    spark.range(9).write.saveAsTable(f"{name}__staged")
+    catalog.recover_table(spark, name)
+    assert spark.table(name).count() == 3
+    left = {r["tableName"] for r in spark.sql(f"SHOW TABLES IN {namespace}").collect()}
+    assert not {x for x in left if x.startswith("halfway__")}
+    spark.sql(f"DROP TABLE {name}")
+
+
+def test_catalog_and_single_table(spark, namespace):
+    assert namespace in catalog.schemas(spark, "spark_catalog")
+    assert catalog.harvest_tables(spark, f"spark_catalog.{namespace}").count() == 7
+    assert catalog.harvest_columns(spark, namespace, "spark_catalog").count() == 50
+    table, columns = catalog.describe_one(spark, f"spark_catalog.{namespace}.products")
+    assert table.first()["full_name"] == f"spark_catalog.{namespace}.products"
+    assert [r["type_text"] for r in columns.orderBy("position").collect()] == [
+        f.dataType.simpleString() for f in schemas.PRODUCTS.fields
+    ]
+    assert catalog.name_parts("a.`b``c.d`.e") == ["a", "b`c.d", "e"]
+
+
 def test_scan_reads_paths(spark, tmp_path):
     spark.range(3).write.parquet(str(tmp_path / "t"))
     assert catalog.scan(spark, str(tmp_path / "t")).count() == 3

@@ -127,3 +127,12 @@ def test_missing_edges(spark):
     events = spark.createDataFrame(seen, EVENTS)
     assert as_set(lineage.missing_edges(declared, events)) == EDGES - {seen[0]}
     assert as_set(lineage.missing_edges(declared, events.where("false"))) == EDGES
+
+
+def test_a_limit_beyond_sparks_own_splits_a_hub(spark):
+    events = spark.range(6000).selectExpr(
+        "format_string('t%05d', id) AS source_table_full_name", "'hub' AS target_table_full_name"
+    )
+    rows = lineage.lineage_for_all(events, limit=5000).where("direction = 'upstream'")
+    found = sorted(r["tbl"] for r in rows.collect())
+    assert found == [f"t{i:05d}" for i in range(5000)]

@@ -67,6 +67,11 @@ def test_attachment_id_falls_back(spark):
         ([], None),
         (0, None),
         (False, None),
+        ("0", "0"),
+        ("false", "false"),
+        ("{}", "{}"),
+        ('{"message":"x"}', '{"message":"x"}'),
+        ([1], "[1]"),
     ],
 )
 def test_errors(spark, error, shown):
@@ -86,7 +91,7 @@ def test_known_conversation_and_other_columns(spark):
         "question string, conversation_id string, document string",
     )
     flat = m.flatten_messages(df).select("question", "conversation_id")
-    assert sorted(rows_of(flat)) == [("how?", "c2"), ("why?", "c1")]
+    assert sorted(rows_of(flat)) == [("how?", "c1"), ("why?", "c1")]
 
 
 def test_input_columns_of_the_same_names(spark):
@@ -208,8 +213,7 @@ def _pairs(chats):
     return sorted(expected, key=lambda r: r[:2])
 
 
-@pytest.mark.parametrize("turns_per_slice", [100_000, 50, 7, 1])
-def test_question_answer_pairs(spark, turns_per_slice):
+def test_question_answer_pairs(spark):
     rng = random.Random(3)
     chats = []
     # One conversation holds most turns; numbers have gaps, some are negative.
@@ -218,4 +222,35 @@ def test_question_answer_pairs(spark, turns_per_slice):
             role = rng.choice(["user", "assistant", "system", "user", None])
             chats.append((conv, turn, role, None if rng.random() < 0.05 else f"{conv}/{turn}"))
     df = spark.createDataFrame(chats, "conv_id int, turn bigint, role string, text string")
-    assert rows_of(m.question_answer_pairs(df, turns_per_slice), 0, 1) == _pairs(chats)
+    assert rows_of(m.question_answer_pairs(df), 0, 1) == _pairs(chats)
+
+
+def test_unreadable_documents(spark):
+    df = spark.createDataFrame([(1, '{"id": "m"'), (2, '{"id": "m"}'), (3, None)], "n int, document string")
+    flat = m.flatten_messages(df).select("n", "error")
+    assert rows_of(flat, 0) == [(1, m.UNREADABLE), (2, None), (3, None)]
+    results = m.read_results(df).select("n", "unreadable")
+    assert rows_of(results, 0) == [(1, True), (2, False), (3, False)]
+    with pytest.raises(Exception, match="MALFORMED_RECORD"):
+        m.flatten_messages(df, "FAILFAST").collect()
+
+
+def test_columns_that_share_a_name(spark):
+    document = _result([{"name": "a"}, {"name": "b"}, {"name": "a"}], [["1", "2", "3"]])
+    df = spark.createDataFrame([(document,)], "document string")
+    columns = T.StructType([T.StructField(n, T.IntegerType()) for n in ("a", "a", "b", "a")])
+    (row,) = m.rows_from_result_documents(df, columns).collect()
+    assert tuple(row) == (0, 1, 3, 2, None)
+
+
+def test_pairs_over_gaps_and_without_conversation(spark):
+    rows = [(1, t, "user" if t % 2 == 0 else "assistant", f"t{t}") for t in range(999)]
+    rows += [(1, 10**12, "user", "late")]
+    rows += [(None, t, "assistant" if t % 2 else "user", f"n{t}") for t in range(300)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    got = {(r[0], r[1]): (r[2], r[3]) for r in m.question_answer_pairs(df.repartition(5)).collect()}
+    assert len(got) == 500 + 1 + 150
+    assert got[1, 0] == ("t0", "t1")
+    assert got[1, 998] == ("t998", None)
+    assert got[1, 10**12] == ("late", None)
+    assert all(got[None, t] == (f"n{t}", f"n{t + 1}") for t in range(0, 300, 2))

@@ -25,11 +25,9 @@ def grants(spark):
     return spark.createDataFrame(rows, "user string, table string, key string, column string")
 
 
-@pytest.mark.parametrize("max_bytes", [1_000_000, 0])
-def test_row_filter(accounts, grants, monkeypatch, max_bytes):
-    monkeypatch.setattr(
-        p, "broadcast_if_small", lambda df: joins.broadcast_if_small(df, max_bytes)
-    )
+@pytest.mark.parametrize("threshold", ["10m", "-1"])
+def test_row_filter(spark, accounts, grants, threshold):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
 
     def ids(user):
         seen = p.apply_row_filter(accounts, user, "accounts", "region", grants)
@@ -39,6 +37,7 @@ def test_row_filter(accounts, grants, monkeypatch, max_bytes):
     assert ids("ann") == [1, 4]
     assert ids("bob") == [2]
     assert ids("eve") == []
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_column_mask(accounts, grants):
@@ -75,3 +74,11 @@ def test_broadcast_only_below_the_bound(spark):
         assert "BroadcastHashJoin" not in plan(5 * 135 - 1)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_grant_of_another_type_grants_nothing(spark):
+    rows = spark.range(5)
+    policy = spark.createDataFrame(
+        [("u", "t", "3"), ("u", "t", "n/a"), ("u", "t", None)], "user string, table string, key string"
+    )
+    assert [r[0] for r in p.apply_row_filter(rows, "u", "t", "id", policy).collect()] == [3]

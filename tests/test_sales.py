@@ -74,10 +74,9 @@ RANKED = [
 ]
 
 
-@pytest.mark.parametrize("rows_per_slice", [1000, 4])
-def test_product_sales_ranking(shop, scale, rows_per_slice):
+def test_product_sales_ranking(shop, scale):
     ranking = sales.product_sales_ranking(
-        shop["sales_transactions"], shop["products"], scale, rows_per_slice
+        shop["sales_transactions"], shop["products"], scale
     )
     assert ranking.columns == [
         "product_id",
@@ -245,8 +244,7 @@ def test_summary_equals_plain_sql(spark, untidy):
     assert _same(sales.monthly_sales_summary(untidy["sales"], 2), plain)
 
 
-@pytest.mark.parametrize("rows_per_slice", [1000, 3])
-def test_ranking_equals_plain_sql(spark, untidy, rows_per_slice):
+def test_ranking_equals_plain_sql(spark, untidy):
     plain = spark.sql(
         """SELECT p.product_id, p.product_name, p.category, p.supplier, count(s.transaction_id),
                   sum(s.quantity), cast(sum(cast(s.amount AS decimal(18,2))) AS double),
@@ -255,7 +253,7 @@ def test_ranking_equals_plain_sql(spark, untidy, rows_per_slice):
            GROUP BY p.product_id, p.product_name, p.category, p.supplier"""
     )
     ranking = sales.product_sales_ranking(
-        untidy["sales"], untidy["products"], 2, rows_per_slice
+        untidy["sales"], untidy["products"], 2
     )
     assert _same(ranking, plain)
 
@@ -318,6 +316,6 @@ def test_months_do_not_depend_on_the_session_zone(spark):
 
 def test_too_large_amounts_stop_the_query(spark):
     sold = spark.sql("SELECT date'2024-01-01' AS sale_date, 1e17D AS amount")
-    with pytest.raises(Exception, match="CAST_OVERFLOW"):
+    with pytest.raises(Exception, match="does not fit 2 decimal places"):
         sales.monthly_sales_trend(sold, 2).collect()
     assert rows_of(sales.monthly_sales_trend(sold)) == [("2024-01", 1e17)]

@@ -32,9 +32,10 @@ def test_only_a_local_session_chooses_its_own():
     spark, chosen = _fake("local[2]")
     ensure_checkpoint_dir(spark)
     assert len(chosen) == 1
-    spark, chosen = _fake("yarn")
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        ensure_checkpoint_dir(spark)
+    for master in ("yarn", "local-cluster[2,1,1024]"):
+        spark, _ = _fake(master)
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            ensure_checkpoint_dir(spark)
 
 
 def test_checkpoints_go_to_the_named_folder(spark):
