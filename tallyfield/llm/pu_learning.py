@@ -79,25 +79,29 @@ def _minimise(gradient, size: int, steps: int, rate: float = 0.05) -> np.ndarray
 def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     """Share of positives among the unlabelled (rows of spread features, with a 1 at the end).
 
-    Half of either set trains a classifier of one against the other; the other half gives
-    the smallest ratio of shares above a cut, with an allowance for few rows.
+    Half of either set trains a classifier of one against the other; on the other half the
+    ratio of shares above a cut is taken where its upper confidence bound is lowest. The
+    halves then change places, and the two results are averaged.
     """
-    p, q = positive[::2], unlabelled[::2]
-
-    def gradient(w: np.ndarray) -> np.ndarray:
-        up, down = _sigmoid(p @ w) - 1, _sigmoid(q @ w)
-        return p.T @ up / len(p) + q.T @ down / len(q) + 1e-4 * w
-
-    w = _minimise(gradient, p.shape[1], STEPS // 2)
-    p_score, q_score = np.sort(positive[1::2] @ w), np.sort(unlabelled[1::2] @ w)
-    cuts = p_score[:: max(1, len(p_score) // 200)]
-    p_above = 1 - np.searchsorted(p_score, cuts) / len(p_score)
-    q_above = 1 - np.searchsorted(q_score, cuts) / len(q_score)
-    slack = np.sqrt(1 / len(p_score)) + np.sqrt(1 / len(q_score))
-    wide = p_above > 0.05
-    ratio = (q_above[wide] + slack * 0.5) / p_above[wide]
-    at = int(np.argmin(ratio))
-    return float(np.clip(q_above[wide][at] / p_above[wide][at], 0.05, 0.99))
+    found = []
+    for half in (0, 1):
+        p, q = positive[half::2], unlabelled[half::2]
+
+        def gradient(w: np.ndarray, p=p, q=q) -> np.ndarray:
+            up, down = _sigmoid(p @ w) - 1, _sigmoid(q @ w)
+            return p.T @ up / len(p) + q.T @ down / len(q) + 1e-4 * w
+
+        w = _minimise(gradient, p.shape[1], STEPS // 2)
+        p_score = np.sort(positive[1 - half :: 2] @ w)
+        q_score = np.sort(unlabelled[1 - half :: 2] @ w)
+        cuts = p_score[:: max(1, len(p_score) // 200)]
+        p_above = 1 - np.searchsorted(p_score, cuts) / len(p_score)
+        q_above = 1 - np.searchsorted(q_score, cuts) / len(q_score)
+        slack = 1.5 * (np.sqrt(1 / len(p_score)) + np.sqrt(1 / len(q_score)))
+        wide = p_above > 0.05
+        at = int(np.argmin((q_above[wide] + slack) / p_above[wide]))
+        found.append(q_above[wide][at] / p_above[wide][at])
+    return float(np.clip(np.mean(found), 0.05, 0.99))
 
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None) -> Model:
