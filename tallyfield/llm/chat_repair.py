@@ -70,7 +70,8 @@ def repair(
     Turns are ordered by number, NULL first; turns of one number in an arbitrary but fixed
     order. Roles are compared in lower case without blanks around; NULL and unknown ones
     must get another. NULL text is empty. Rows without a conversation are one
-    conversation. Every row comes back, also one that repeats.
+    conversation. Every row comes back, also one that repeats. Of equally cheap mendings
+    one is given; in a conversation that spans partitions it may depend on the cuts.
     """
     rows = only(turns, conversation=conversation, turn=turn, role=role, text=text)
     rows = rows.withColumn("row", F.monotonically_increasing_id())

@@ -176,10 +176,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_decision_list": op4_decision_list,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_positive_unlabelled": op6_positive_unlabelled,
-        "op9_dart_minhash": op9_dart_minhash,
-        "op10_raking": op10_raking,
         "op7_role_repair": op7_role_repair,
         "op8_hyperdimensional_language": op8_hyperdimensional_language,
+        "op9_dart_minhash": op9_dart_minhash,
+        "op10_raking": op10_raking,
+        "pipeline": pipeline,
     }
 
 
