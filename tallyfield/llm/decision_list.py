@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, written
+from .common import hashed_sample, only, written
 from .text_stats import text_stats
 
 # What the rules may look at: ratios of the counts.
@@ -83,13 +83,8 @@ def labelled_sample(
         .select("key", "label")
     )
     names = list(RATIOS)
-    found = (
-        with_ratios(stats.join(known, "key"))
-        .orderBy(F.xxhash64("key"), "key", *names)
-        .limit(rows)
-        .select("label", *names)
-        .toPandas()
-    )
+    sample = hashed_sample(with_ratios(stats.join(known, "key")), "key", rows, *names)
+    found = sample.select("label", *names).toPandas()
     features = {name: found[name].to_numpy(dtype=np.float64) for name in names}
     return features, found["label"].to_numpy(dtype=np.int64)
 

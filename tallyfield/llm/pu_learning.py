@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, map_batches, only, written
+from .common import fold, hashed_sample, map_batches, only, written
 from .decision_list import RATIOS, with_ratios
 from .text_stats import text_stats
 
@@ -150,7 +150,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
 
     def sample(rows: DataFrame, n: int) -> np.ndarray:
         # Copies have the same features and so stand together; the key's hash mixes them.
-        picked = rows.orderBy(F.xxhash64("key"), "key", *FEATURES).limit(n).select(*FEATURES)
+        picked = hashed_sample(rows, "key", n, *FEATURES).select(*FEATURES)
         return picked.toPandas().to_numpy(dtype=np.float64).reshape(-1, len(FEATURES))
 
     positive = sample(learn.join(trusted, "key"), MAX_POSITIVE)
