@@ -188,7 +188,7 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             star.table(s, d, "conversations")
         ),
         "question_answer_pairs_in_slices": lambda s, d: messages.question_answer_pairs(
-            star.table(s, d, "conversations").where("turn <> 1")
+            star.table(s, d, "conversations").withColumn("turn", F.col("turn") * 3)
         ),
         "concat_batches": lambda s, d: preview.concat_batches(
             [
@@ -336,8 +336,7 @@ SELECT conv_id, turn, question, answer
 FROM (
   SELECT conv_id, turn, role, text AS question,
          CASE WHEN lead(role) OVER w = 'assistant' THEN lead(text) OVER w END AS answer
-  FROM conversations
-  WHERE {rows}
+  FROM (SELECT conv_id, role, text, turn * {gap} AS turn FROM conversations)
   WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
 )
 WHERE role = 'user'
@@ -538,8 +537,8 @@ SELECT doc_id, row_no, 2, CASE WHEN urgent THEN 'order' ELSE 'total' END,
        CASE WHEN urgent THEN key ELSE total END
 FROM cells
 """,
-        "question_answer_pairs": _PAIRS.format(rows="true"),
-        "question_answer_pairs_in_slices": _PAIRS.format(rows="turn <> 1"),
+        "question_answer_pairs": _PAIRS.format(gap=1),
+        "question_answer_pairs_in_slices": _PAIRS.format(gap=3),
         "concat_batches": "SELECT o_orderkey, o_orderstatus FROM orders "
         "WHERE o_orderstatus IN ('F', 'O', 'P')",
         "declared_columns": "SELECT CAST(o_orderkey AS varchar) AS o_orderkey, "
