@@ -65,7 +65,13 @@ def near_duplicates(
     members = nodes.select("node", F.explode("bands").alias("bucket"))
     candidates = shared_buckets(members)
     sets = _sets(rows, nodes, candidates)
-    labels = link(candidates, lambda pairs: _similar(pairs, sets, similarity))
+    labels = link(
+        candidates,
+        lambda pairs: _similar(pairs, sets, similarity),
+        lambda some: sets.join(some.distinct(), "node").select("node", F.explode("elements").alias("element")),
+        similarity,
+        parts=2,
+    )
     labelled = nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     classes = labelled.groupBy("component").agg(
         F.min("least").alias("class_id"), F.sum("copies").alias("class_rows")

@@ -8,11 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
 
+# Nodes of a bucket up to which those apart are tested pair by pair: at most so many tests a
+# node. Larger buckets go another, equally exact way.
+DIRECT = 16
+
 
 def components(edges: DataFrame) -> DataFrame:
     """`node`, `component` (its smallest node) of every node with an edge (`a`, `b`).
@@ -80,19 +84,25 @@ def shared_buckets(members: DataFrame) -> DataFrame:
 
 
 def link(
-    shared: DataFrame, similar: Callable[[DataFrame], DataFrame], parts: int = 4
+    shared: DataFrame,
+    similar: Callable[[DataFrame], DataFrame],
+    elements: Callable[[DataFrame], DataFrame],
+    similarity: float,
+    parts: int = 4,
 ) -> DataFrame:
     """`node`, `component` of all nodes that are similar to another one.
 
-    `shared` has `bucket`, `node`, each once; nodes of a bucket are candidates.
-    `similar` takes distinct pairs (`a` < `b`) and gives back those that truly are.
-
-    Not all pairs of a bucket are made. The buckets are taken in `parts`. In each, a bucket whose
-    nodes are not yet all in one component tests every node of another component against
-    the bucket's first node. What remains apart after that is tested against all nodes of
-    the bucket's largest component and against each other. So every pair of a bucket is
-    tested, or its nodes are in one component anyway: no link between components is lost.
-    A large group of near copies costs one test for each of its nodes, not one a pair.
+    `shared` has `bucket`, `node`, each once; nodes of a bucket are candidates. `similar`
+    takes distinct pairs (`a` < `b`) and gives back those whose Jaccard similarity is at
+    least `similarity`; `elements` gives the sets of some nodes (`node`, `element`).
+
+    Not all pairs of a bucket are made. The buckets are taken in `parts`. In each, a bucket
+    whose nodes are not yet all in one component tests every node against the bucket's
+    first one. After that, in buckets still apart, every node outside the bucket's largest
+    component has to be held against the rest. Small buckets do so pair by pair. In large
+    ones they first meet the most central node; then only pairs whose sets share a rare
+    element can be similar (`_rare_pairs`), and those are tested. So every pair of a bucket is tested, or cannot be similar, or its
+    nodes are in one component anyway: no link between components is lost.
     """
     edges = tested = labels = None
     for part in range(parts):
@@ -100,23 +110,94 @@ def link(
         first = apart.groupBy("bucket").agg(F.min_by(F.struct("node", "label"), "node").alias("lead"))
         pairs = _pairs(apart.join(first, "bucket"), F.col("lead.node"), F.col("lead.label"), tested)
         edges, tested, labels = _add(pairs, similar, edges, tested, labels)
-    apart = written(_apart(shared, labels))
-    sizes = apart.groupBy("bucket", "label").count()
-    main = sizes.groupBy("bucket").agg(
-        F.max_by("label", F.struct("count", "label")).alias("main")
-    )
-    others = apart.join(main, "bucket").where(F.col("label") != F.col("main"))
-    others = others.select(
-        "bucket", F.col("node").alias("other"), F.col("label").alias("other_label"), "main"
+    placed = _placed(_apart(shared, labels))
+    large = placed.where(F.col("nodes") > DIRECT)
+    ranked = None
+    if not large.isEmpty():
+        # A bucket's most central node, with the smallest share of elements nobody else has,
+        # is alike to most of those that are alike to any.
+        ranked = written(_ranked(elements(large.select("node"))))
+        lone = ranked.groupBy("node").agg(F.avg((F.col("times") == 1).cast("int")).alias("lone"))
+        centre = large.join(lone, "node").groupBy("bucket").agg(
+            F.min_by(F.struct("node", "label"), F.struct("lone", "node")).alias("lead")
+        )
+        pairs = _pairs(large.join(centre, "bucket"), F.col("lead.node"), F.col("lead.label"), tested)
+        edges, tested, labels = _add(pairs, similar, edges, tested, labels)
+        placed = _placed(_apart(placed.select("bucket", "node"), labels))
+        large = placed.where(F.col("nodes") > DIRECT)
+    small = placed.where(F.col("nodes") <= DIRECT)
+    others = small.where(F.col("label") != F.col("main")).select(
+        "bucket", F.col("node").alias("other"), F.col("label").alias("other_label")
     )
     # Two nodes outside the main component meet once, from the smaller label.
-    crossing = apart.join(others, "bucket").where(
+    crossing = small.join(others, "bucket").where(
         (F.col("label") == F.col("main")) | (F.col("label") < F.col("other_label"))
     )
     pairs = _pairs(crossing, F.col("other"), F.col("other_label"), tested)
+    if ranked is not None:
+        nodes = large.groupBy("node", "label").agg(F.max(F.col("label") != F.col("main")).alias("other"))
+        rare = _rare_pairs(ranked, written(nodes), similarity)
+        pairs = pairs.unionByName(rare.join(tested, ["a", "b"], "left_anti")).distinct()
     return _add(pairs, similar, edges, tested, labels)[2]
 
 
+def _placed(apart: DataFrame) -> DataFrame:
+    """Add each bucket's largest component, `main`, and its number of `nodes`."""
+    apart = written(apart)
+    sizes = apart.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("bucket").agg(
+        F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("nodes")
+    )
+    return written(apart.join(main, "bucket"))
+
+
+def _ranked(sets: DataFrame) -> DataFrame:
+    """`node`, `element` with its `place` in the set, rare elements first, the number of
+    `times` it occurs in all and the `size` of the set."""
+    sets = written(sets)
+    sizes = sets.groupBy("node").agg(F.count("*").alias("size"))
+    counts = sets.groupBy("element").agg(F.count("*").alias("times"))
+    order = Window.partitionBy("node").orderBy("times", "element")
+    return (
+        sets.join(counts, "element")
+        .join(sizes, "node")
+        .withColumn("place", F.row_number().over(order))
+    )
+
+
+def _rare_pairs(ranked: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of `nodes` with different labels that may be similar, at least one an `other`.
+
+    All elements are in one order, rare ones first. Sets of sizes m and n are similar only
+    if they share s / (1 + s) * (m + n) elements. Then their beginnings, of all but s * n
+    elements and one, share an element, and from the first shared one on enough is left in
+    both. Near copies of one text differ in elements that hardly any other has, so that a
+    copy too far from the others finds no partner here.
+    """
+    begins = written(
+        ranked.where(
+            (F.col("times") > 1)
+            & (F.col("place") <= F.col("size") - F.ceil(F.lit(similarity) * F.col("size") - 1e-9) + 1)
+        ).join(nodes, "node")
+    )
+    one = begins.where("other").select(
+        F.col("element").alias("element_1"),
+        *[F.col(c).alias(f"{c}_1") for c in ("node", "label", "size", "place")],
+    )
+    room = F.least(F.col("size") - F.col("place"), F.col("size_1") - F.col("place_1")) + 1
+    need = F.lit(similarity / (1 + similarity)) * (F.col("size") + F.col("size_1")) - 1e-9
+    met = begins.join(
+        one,
+        (F.col("element") == F.col("element_1"))
+        & (F.col("label") != F.col("label_1"))
+        & (~F.col("other") | (F.col("label") < F.col("label_1")))
+        & (room >= need),
+    )
+    return met.select(
+        F.least("node", "node_1").alias("a"), F.greatest("node", "node_1").alias("b")
+    ).distinct()
+
+
 def _apart(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     """The members with their components, of the buckets that have more than one."""
     if labels is None:

@@ -1,8 +1,8 @@
 """Fuzzy deduplication of lines by MinHash, with DataFrame functions alone.
 
-A line is compared by its lower-case characters without blanks and ASCII punctuation, as
-the set of its runs of eight characters. Equal lines are one node. A signature holds, for
-each of 18 masks, the smallest hash of a run XOR the mask; six bands of three are buckets.
+A line, without blanks at its ends, is compared as the set of its runs of eight characters.
+Equal lines are one node. A signature holds, for
+each of 24 masks, the smallest hash of a run XOR the mask; eight bands of three are buckets.
 Candidates whose signatures agree enough are verified by their exact Jaccard similarity;
 union-find joins what is similar, and of each component one line stays in the corpus.
 """
@@ -19,12 +19,12 @@ from .graph import link, shared_buckets
 
 RUN = 8
 SIMILARITY = 0.8
-# At similarity 0.8 a pair shares no band with probability (1 - 0.8 ** ROWS) ** BANDS = 1.3 %.
-BANDS, ROWS = 6, 3
+# At similarity 0.8 a pair shares no band with probability (1 - 0.8 ** ROWS) ** BANDS = 0.3 %.
+BANDS, ROWS = 8, 3
 HASHES = BANDS * ROWS
-# Of 18 signature places, a pair of similarity 0.8 agrees in fewer than 8 with probability 0.0001.
-AGREE = 8
-DROPPED = " \t\r\x0b\x0c" + "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+# Of 24 signature places, a pair of similarity 0.8 that shares a band agrees in fewer than 12
+# with probability 0.00002.
+AGREE = 12
 # Runs that one generated row hashes: fewer rows to make and to group.
 STEP = 4
 MAX_BROADCAST_BYTES = 32 * 1024 * 1024
@@ -36,8 +36,8 @@ def dedup_lines(
     """All columns of `docs`, with the text that is left, and `n_lines`, `n_removed`.
 
     Of all lines of a component, in all documents, the one in the document of smallest key
-    stays, there the first one. Lines with fewer than eight characters that count are not
-    compared and stay. Lines are what line feeds separate. Keys are integers. Rows that
+    stays, there the first one. Lines with fewer than eight characters between their outer
+    blanks are not compared and stay. Lines are what line feeds separate. Keys are integers. Rows that
     repeat key and text are one document: they keep the same lines. A NULL key comes after
     all others. A NULL text stays NULL, with 0 lines. The two new columns replace columns
     of the same name.
@@ -82,7 +82,13 @@ def removed_lines(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     members = nodes.select("node", F.explode("buckets").alias("bucket"))
     shared = shared_buckets(members)
     texts = _texts(rows, nodes, shared)
-    labels = link(shared, lambda pairs: _similar(pairs, nodes, texts, similarity), parts=1)
+    labels = link(
+        shared,
+        lambda pairs: _similar(pairs, nodes, texts, similarity),
+        lambda some: _elements(texts.join(some.distinct(), "node")),
+        similarity,
+        parts=2,
+    )
     labelled = nodes.join(labels, "node", "left").select(
         "i1", "i2", "first_key", "copies", F.coalesce("component", "node").alias("class")
     )
@@ -124,7 +130,7 @@ def _lines(rows: DataFrame, explode=F.explode) -> DataFrame:
     split = split.alias("line") if explode is F.explode else split.alias("at", "line")
     lines = rows.select("key", "text_hash", split)
     names = [c for c in lines.columns if c != "line"]
-    lines = lines.select(*names, F.translate(F.lower("line"), DROPPED, "").alias("line"))
+    lines = lines.select(*names, F.trim("line").alias("line"))
     lines = lines.where(F.char_length("line") >= RUN)
     return lines.select(
         *names, "line", F.xxhash64("line").alias("i1"), F.xxhash64(F.lit(RUN), "line").alias("i2")
@@ -215,8 +221,17 @@ def _similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: f
     return both.where(_jaccard(F.col("of_a"), F.col("of_b")) >= similarity - 1e-12).select("a", "b")
 
 
+def _runs(line: Column) -> Column:
+    return F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{RUN}}}))"), 1)
+
+
+def _elements(lines: DataFrame) -> DataFrame:
+    runs = lines.select("node", F.explode(F.array_distinct(_runs(F.col("line")))).alias("run"))
+    return runs.select("node", F.xxhash64("run").alias("element"))
+
+
 def _jaccard(a: Column, b: Column) -> Column:
-    runs = [F.regexp_extract_all(x, F.lit(f"(?s)(?=(.{{{RUN}}}))"), 1) for x in (a, b)]
+    runs = [_runs(a), _runs(b)]
     # In a lambda the two lists are made once and used twice.
     sizes = F.transform(
         F.array(F.struct(runs[0].alias("a"), runs[1].alias("b"))),
