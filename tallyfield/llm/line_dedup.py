@@ -1,7 +1,8 @@
 """Fuzzy deduplication of lines by MinHash, with DataFrame functions alone.
 
-A line, without blanks at its ends, is compared as the set of its runs of eight characters.
-Equal lines are one node. A signature holds, for
+A line is compared in a form of its own, as the set of its runs of eight characters: the query
+and the pipeline compare lower-case characters without white space and ASCII punctuation
+(`normal`). Equal forms are one node; the text that stays is the original. A signature holds, for
 each of 24 masks, the smallest hash of a run XOR the mask; eight bands of three are buckets.
 Candidates whose signatures agree enough are verified by their exact Jaccard similarity;
 union-find joins what is similar, and of each component one line stays in the corpus.
@@ -9,6 +10,8 @@ union-find joins what is similar, and of each component one line stays in the co
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,25 +28,43 @@ HASHES = BANDS * ROWS
 # Of 24 signature places, a pair of similarity 0.8 that shares a band agrees in fewer than 12
 # with probability 0.00002.
 AGREE = 12
+DROPPED = " \t\r\x0b\x0c" + "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 # Runs that one generated row hashes: fewer rows to make and to group.
 STEP = 4
 MAX_BROADCAST_BYTES = 32 * 1024 * 1024
 
 
+def trimmed(line: Column) -> Column:
+    """A line without blanks at its ends."""
+    return F.trim(line)
+
+
+def normal(line: Column) -> Column:
+    """The lower-case characters of a line without white space and ASCII punctuation."""
+    return F.translate(F.lower(line), DROPPED, "")
+
+
+Form = Callable[[Column], Column]
+
+
 def dedup_lines(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    similarity: float = SIMILARITY,
+    form: Form = trimmed,
 ) -> DataFrame:
     """All columns of `docs`, with the text that is left, and `n_lines`, `n_removed`.
 
     Of all lines of a component, in all documents, the one in the document of smallest key
-    stays, there the first one. Lines with fewer than eight characters between their outer
-    blanks are not compared and stay. Lines are what line feeds separate. Keys are integers. Rows that
+    stays, there the first one. Lines are compared in the given form; those of fewer than
+    eight characters in it are not compared and stay. Lines are what line feeds separate. Keys are integers. Rows that
     repeat key and text are one document: they keep the same lines. A NULL key comes after
     all others. A NULL text stays NULL, with 0 lines. The two new columns replace columns
     of the same name.
     """
     rows = only(docs, key=key, text=text).withColumn("text_hash", F.xxhash64("text"))
-    removed = removed_lines(rows, similarity)
+    removed = removed_lines(rows, similarity, form)
     left = F.filter(F.split(F.col("_text"), "\n"), lambda _, i: ~F.array_contains("_gone", i))
     kept = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(F.array_join(left, "\n"))
     n_lines = F.coalesce(F.size(F.split(F.col("_text"), "\n")), F.lit(0))
@@ -70,18 +91,18 @@ def dedup_lines(
 
 def dedup_stage(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with the lines that are left; those that lost every line they had go."""
-    done = dedup_lines(docs, key, text)
+    done = dedup_lines(docs, key, text, form=normal)
     something = F.regexp_instr(F.col(f"`{text}`"), F.lit(r"\S")) > 0
     stays = (F.col("n_removed") == 0) | something
     return done.where(stays).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def removed_lines(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def removed_lines(rows: DataFrame, similarity: float = SIMILARITY, form: Form = trimmed) -> DataFrame:
     """`key`, `text_hash` and `gone`, the numbers (from 0) of the lines that go."""
-    nodes = written(_nodes(rows))
+    nodes = written(_nodes(_lines(rows, form)))
     members = nodes.select("node", F.explode("buckets").alias("bucket"))
     shared = shared_buckets(members)
-    texts = _texts(rows, nodes, shared)
+    texts = _texts(_lines(rows, form), nodes, shared)
     labels = link(
         shared,
         lambda pairs: _similar(pairs, nodes, texts, similarity),
@@ -100,7 +121,7 @@ def removed_lines(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         labelled.select("i1", "i2", "class").join(several, "class")
     )
     found = (
-        _lines(rows, F.posexplode)
+        _lines(rows, form, F.posexplode)
         .join(broadcast_if_small(affected, MAX_BROADCAST_BYTES), ["i1", "i2"])
         .select("key", "text_hash", "at", "class", "first_key")
     )
@@ -121,23 +142,23 @@ def removed_lines(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     )
 
 
-def _lines(rows: DataFrame, explode=F.explode) -> DataFrame:
-    """The lines that are compared, with the two halves of their 128-bit hash.
+def _lines(rows: DataFrame, form: Form, explode=F.explode) -> DataFrame:
+    """The lines that are compared, in their form, with the two halves of its 128-bit hash.
 
-    (i1, i2) stands for the line's text from here on.
+    (i1, i2) stands for the form from here on.
     """
     split = explode(F.split("text", "\n"))
     split = split.alias("line") if explode is F.explode else split.alias("at", "line")
     lines = rows.select("key", "text_hash", split)
     names = [c for c in lines.columns if c != "line"]
-    lines = lines.select(*names, F.trim("line").alias("line"))
+    lines = lines.select(*names, form(F.col("line")).alias("line"))
     lines = lines.where(F.char_length("line") >= RUN)
     return lines.select(
         *names, "line", F.xxhash64("line").alias("i1"), F.xxhash64(F.lit(RUN), "line").alias("i2")
     )
 
 
-def _nodes(rows: DataFrame) -> DataFrame:
+def _nodes(lines: DataFrame) -> DataFrame:
     """A row per different line: number, hash, smallest key, copies, buckets and sketch.
 
     Each generated row hashes STEP runs that follow each other, and takes the last run of
@@ -145,7 +166,7 @@ def _nodes(rows: DataFrame) -> DataFrame:
     place a multiplication; all of it runs in generated code, with no lambda.
     """
     width = 4 * RUN
-    lines = _lines(rows).select(
+    lines = lines.select(
         "key", "i1", "i2", F.encode("line", "UTF-32").alias("b")
     ).withColumn("last", F.octet_length("b") - (width - 1))
     runs = lines.select(
@@ -195,9 +216,9 @@ def _masks() -> list[int]:
     return [(0x9E3779B97F4A7C15 * (2 * j + 1) ** 3) % 2**63 for j in range(1, HASHES + 1)]
 
 
-def _texts(rows: DataFrame, nodes: DataFrame, shared: DataFrame) -> DataFrame:
+def _texts(lines: DataFrame, nodes: DataFrame, shared: DataFrame) -> DataFrame:
     wanted = nodes.join(shared.select("node").distinct(), "node").select("i1", "i2", "node")
-    found = _lines(rows).join(broadcast_if_small(written(wanted), MAX_BROADCAST_BYTES), ["i1", "i2"])
+    found = lines.join(broadcast_if_small(written(wanted), MAX_BROADCAST_BYTES), ["i1", "i2"])
     return written(found.groupBy("node").agg(F.first("line").alias("line")))
 
 

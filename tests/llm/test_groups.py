@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyfield.llm import dart_minhash, graph, line_dedup
+from tallyfield.llm import dart_minhash, graph, line_dedup, queries
 
 from llm_cases import prose
 
@@ -181,3 +181,15 @@ def test_lines_of_odd_rows(docs_of, odd_rows):
     assert line_dedup.dedup_lines(docs.where("false")).count() == 0
     kept = {r["doc_id"] for r in line_dedup.dedup_stage(docs_of(odd_rows)).collect()}
     assert 6 not in kept and {1, 2, 3, 4, 5, 7, 8, 9} <= kept
+
+
+def test_lines_that_differ_in_case_signs_and_returns(spark, docs_of, tmp_path):
+    first = "THE!! ERWHHA.\nThwhesnd esator whshing and hewh.\nabcdefgh"
+    second = "The erwhha.\r\nThwhesnd. Esator whshing and hewh\nabcdefgh\r\nAn Other line, as it is"
+    docs = docs_of([(1, first), (2, second)])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: r for r in queries.op2_line_dedup(spark, str(tmp_path)).collect()}
+    assert found[1]["text"] == first and found[1]["n_removed"] == 0
+    assert found[2]["text"] == "An Other line, as it is" and found[2]["n_removed"] == 3
+    staged = {r["doc_id"]: r["text"] for r in line_dedup.dedup_stage(docs).collect()}
+    assert staged == {1: first, 2: "An Other line, as it is"}
