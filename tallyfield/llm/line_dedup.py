@@ -2,7 +2,7 @@
 
 A line is compared in a form of its own, as the set of its runs of eight characters: the query
 and the pipeline compare lower-case characters without white space and ASCII punctuation
-(`normal`). Equal forms are one node; the text that stays is the original. A signature holds, for
+(`normal`), and a shorter form is one run. Equal forms are one node; the text that stays is the original. A signature holds, for
 each of 24 multiply-add hashes, the smallest of a run; eight bands of three are buckets.
 Candidates whose signatures agree enough are verified by their exact Jaccard similarity;
 union-find joins what is similar, and of each component one line stays in the corpus.
@@ -31,7 +31,8 @@ HASHES = BANDS * ROWS
 AGREE = 12
 # Places are hashed within so many bits: a product of two such numbers is a BIGINT.
 _BITS = 2**31 - 1
-DROPPED = " \t\r\x0b\x0c" + "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+BLANKS = " \t\r\x0b\x0c"
+DROPPED = BLANKS + "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 # Runs that one generated row hashes: fewer rows to make and to group.
 STEP = 4
 MAX_BROADCAST_BYTES = 32 * 1024 * 1024
@@ -43,8 +44,12 @@ def trimmed(line: Column) -> Column:
 
 
 def normal(line: Column) -> Column:
-    """The lower-case characters of a line without white space and ASCII punctuation."""
-    return F.translate(F.lower(line), DROPPED, "")
+    """The lower-case characters of a line without white space and ASCII punctuation.
+
+    A line of such punctuation alone is compared as it is, without white space.
+    """
+    plain = F.translate(F.lower(line), DROPPED, "")
+    return F.when(plain != "", plain).otherwise(F.translate(line, BLANKS, ""))
 
 
 Form = Callable[[Column], Column]
@@ -56,18 +61,20 @@ def dedup_lines(
     text: str = "text",
     similarity: float = SIMILARITY,
     form: Form = trimmed,
+    shortest: int = RUN,
 ) -> DataFrame:
     """All columns of `docs`, with the text that is left, and `n_lines`, `n_removed`.
 
     Of all lines of a component, in all documents, the one in the document of smallest key
-    stays, there the first one. Lines are compared in the given form; those of fewer than
-    eight characters in it are not compared and stay. Lines are what line feeds separate. Keys are integers. Rows that
+    stays, there the first one. Lines are compared in the given form; those with fewer
+    than `shortest` characters in it are not compared and stay. A form of fewer than eight
+    characters is one run: it is like its copies alone. Lines are what line feeds separate. Keys are integers. Rows that
     repeat key and text are one document: they keep the same lines. A NULL key comes after
     all others. A NULL text stays NULL, with 0 lines. The two new columns replace columns
     of the same name.
     """
     rows = only(docs, key=key, text=text).withColumn("text_hash", F.xxhash64("text"))
-    removed = removed_lines(rows, similarity, form)
+    removed = removed_lines(rows, similarity, form, shortest)
     left = F.filter(F.split(F.col("_text"), "\n"), lambda _, i: ~F.array_contains("_gone", i))
     kept = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(F.array_join(left, "\n"))
     n_lines = F.coalesce(F.size(F.split(F.col("_text"), "\n")), F.lit(0))
@@ -94,18 +101,20 @@ def dedup_lines(
 
 def dedup_stage(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with the lines that are left; those that lost every line they had go."""
-    done = dedup_lines(docs, key, text, form=normal)
+    done = dedup_lines(docs, key, text, form=normal, shortest=1)
     something = F.regexp_instr(F.col(f"`{text}`"), F.lit(r"\S")) > 0
     stays = (F.col("n_removed") == 0) | something
     return done.where(stays).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def removed_lines(rows: DataFrame, similarity: float = SIMILARITY, form: Form = trimmed) -> DataFrame:
+def removed_lines(
+    rows: DataFrame, similarity: float = SIMILARITY, form: Form = trimmed, shortest: int = RUN
+) -> DataFrame:
     """`key`, `text_hash` and `gone`, the numbers (from 0) of the lines that go."""
-    nodes = written(_nodes(_lines(rows, form)))
+    nodes = written(_nodes(_lines(rows, form, shortest)))
     members = nodes.select("node", F.explode("buckets").alias("bucket"))
     shared = shared_buckets(members)
-    texts = _texts(_lines(rows, form), nodes, shared)
+    texts = _texts(_lines(rows, form, shortest), nodes, shared)
     labels = link(
         shared,
         lambda pairs: _similar(pairs, nodes, texts, similarity),
@@ -124,7 +133,7 @@ def removed_lines(rows: DataFrame, similarity: float = SIMILARITY, form: Form =
         labelled.select("i1", "i2", "class").join(several, "class")
     )
     found = (
-        _lines(rows, form, F.posexplode)
+        _lines(rows, form, shortest, F.posexplode)
         .join(broadcast_if_small(affected, MAX_BROADCAST_BYTES), ["i1", "i2"])
         .select("key", "text_hash", "at", "class", "first_key")
     )
@@ -145,7 +154,7 @@ def removed_lines(rows: DataFrame, similarity: float = SIMILARITY, form: Form =
     )
 
 
-def _lines(rows: DataFrame, form: Form, explode=F.explode) -> DataFrame:
+def _lines(rows: DataFrame, form: Form, shortest: int, explode=F.explode) -> DataFrame:
     """The lines that are compared, in their form, with the two halves of its 128-bit hash.
 
     (i1, i2) stands for the form from here on.
@@ -155,7 +164,7 @@ def _lines(rows: DataFrame, form: Form, explode=F.explode) -> DataFrame:
     lines = rows.select("key", "text_hash", split)
     names = [c for c in lines.columns if c != "line"]
     lines = lines.select(*names, form(F.col("line")).alias("line"))
-    lines = lines.where(F.char_length("line") >= RUN)
+    lines = lines.where(F.char_length("line") >= max(1, shortest))
     return lines.select(
         *names, "line", F.xxhash64("line").alias("i1"), F.xxhash64(F.lit(RUN), "line").alias("i2")
     )
@@ -171,7 +180,7 @@ def _nodes(lines: DataFrame) -> DataFrame:
     width = 4 * RUN
     lines = lines.select(
         "key", "i1", "i2", F.encode("line", "UTF-32").alias("b")
-    ).withColumn("last", F.octet_length("b") - (width - 1))
+    ).withColumn("last", F.greatest(F.octet_length("b") - (width - 1), F.lit(1)))
     runs = lines.select(
         "key", "i1", "i2", "b", "last", F.explode(F.expr(f"sequence(1, last, {4 * STEP})")).alias("p")
     )
@@ -257,7 +266,8 @@ def _similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: f
 
 
 def _runs(line: Column) -> Column:
-    return F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{RUN}}}))"), 1)
+    runs = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{RUN}}}))"), 1)
+    return F.when(F.char_length(line) < RUN, F.array(line)).otherwise(runs)
 
 
 def _elements(lines: DataFrame) -> DataFrame:

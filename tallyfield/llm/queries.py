@@ -91,7 +91,8 @@ SELECT "offset" + 1, fate, NULL, length, NULL, digest FROM placed WHERE fate = '
 
 
 def op2_line_dedup(spark: SparkSession, d: str) -> DataFrame:
-    done = line_dedup.dedup_lines(_table(spark, d, "documents"), form=line_dedup.normal)
+    docs = _table(spark, d, "documents")
+    done = line_dedup.dedup_lines(docs, form=line_dedup.normal, shortest=1)
     return done.select("doc_id", "text", "n_lines", "n_removed")
 
 

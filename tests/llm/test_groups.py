@@ -202,3 +202,15 @@ def test_short_lines_at_the_bound_are_found(docs_of):
     found = line_dedup.dedup_lines(docs_of([(1, "\n".join(lines)), (2, "\n".join(x + "zz" for x in lines))]))
     by_key = {r["doc_id"]: r["n_removed"] for r in found.collect()}
     assert by_key[1] == 0 and 985 <= by_key[2] <= 1000
+
+
+def test_copies_of_lines_shorter_than_a_run_go(spark, docs_of, tmp_path):
+    rows = [(1, "Menu\n你好，世界\n---\n\nabcdefg"), (2, "menu.\r\n你好，世界\n\n---\nabcdefgh"), (3, "a\n--\n \nabcdefg")]
+    docs = docs_of(rows)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: r for r in queries.op2_line_dedup(spark, str(tmp_path)).collect()}
+    assert found[1]["text"] == rows[0][1]
+    assert found[2]["text"] == "\nabcdefgh" and found[2]["n_removed"] == 3
+    assert found[3]["text"] == "a\n--\n " and found[3]["n_removed"] == 1
+    staged = {r["doc_id"]: r["text"] for r in line_dedup.dedup_stage(docs).collect()}
+    assert staged == {k: r["text"] for k, r in found.items()}
