@@ -34,14 +34,16 @@ _TO_UNIT = 2.0**-64
 def near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY
 ) -> DataFrame:
-    """`key`, `text_hash`, `class_id` and `class_rows` of every row of `docs`.
+    """`key`, `text_hash`, `class_id`, `class_hash` and `class_rows` of every row of `docs`.
 
     Texts of at least the given weighted Jaccard similarity (runs of five lower-cased
     words, weighted by how often they occur) are in one class, and so are those linked
     through others; its id is the smallest key in it. A text of fewer than five words is
     one run. A text without words, or NULL, is alone: its class is its own key.
-    `text_hash` tells rows with one key but different texts apart. Repeated rows are
-    exact copies. Classes of rows without any key have a NULL id.
+    `text_hash` tells rows with one key but different texts apart, and `class_hash`, the
+    smallest `text_hash` under the smallest key, classes with one id; it is NULL for a text
+    without words. Repeated rows are exact copies. Classes of rows without any key have a
+    NULL id.
 
     Exact copies are merged before signatures are compared. Signatures and pairs are
     written to the checkpoint folder.
@@ -57,7 +59,7 @@ def near_duplicates(
         .agg(
             F.first("bands").alias("bands"),
             F.min(F.struct("key", "text_hash")).alias("sample"),
-            F.min("key").alias("least"),
+            F.min(F.when(F.col("key").isNotNull(), F.struct("key", "text_hash"))).alias("least"),
             F.count("*").alias("copies"),
         )
         .withColumn("node", F.monotonically_increasing_id())
@@ -74,12 +76,18 @@ def near_duplicates(
     )
     labelled = nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     classes = labelled.groupBy("component").agg(
-        F.min("least").alias("class_id"), F.sum("copies").alias("class_rows")
+        F.coalesce(F.min("least"), F.min("sample")).alias("first"), F.sum("copies").alias("class_rows")
     )
-    of_text = labelled.join(classes, "component").select("hi", "lo", "class_id", "class_rows")
-    named = worded.join(of_text, ["hi", "lo"]).select("key", "text_hash", "class_id", "class_rows")
+    of_text = labelled.join(classes, "component").select(
+        "hi", "lo", F.col("first.key").alias("class_id"), F.col("first.text_hash").alias("class_hash"), "class_rows"
+    )
+    named = worded.join(of_text, ["hi", "lo"]).select("key", "text_hash", "class_id", "class_hash", "class_rows")
     alone = signed.where(F.col("hi").isNull()).select(
-        "key", "text_hash", F.col("key").alias("class_id"), F.lit(1).cast("bigint").alias("class_rows")
+        "key",
+        "text_hash",
+        F.col("key").alias("class_id"),
+        F.lit(None).cast("bigint").alias("class_hash"),
+        F.lit(1).cast("bigint").alias("class_rows"),
     )
     return named.unionByName(alone).withColumnRenamed("key", key)
 
@@ -87,26 +95,25 @@ def near_duplicates(
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `docs` without all but one document of each class, the one of smallest key.
 
-    Rows without words stay. Of rows that repeat the key and the text of a kept one only
-    one stays. A class without any key keeps all its rows: they cannot be told apart.
+    Of several texts under the smallest key the one of smallest hash stays. Rows without
+    words stay. Of rows that repeat the key and the text of a kept one only one stays, also
+    where the key is NULL.
     """
     classes = near_duplicates(docs, key, text)
     id_, hash_ = F.col(f"`{key}`"), F.xxhash64(F.col(f"`{text}`"))
-    classes = written(classes.withColumnsRenamed({key: "_key", "text_hash": "_hash"}))
-    dropped = classes.where(
-        F.col("class_id").isNotNull() & ~F.col("_key").eqNullSafe(F.col("class_id"))
-    ).select("_key", "_hash").distinct()
-    left = docs.join(dropped, id_.eqNullSafe(F.col("_key")) & (hash_ == F.col("_hash")), "left_anti")
-    # Several rows may hold the smallest key of a class: one of them is enough.
-    again = classes.where(F.col("_key") == F.col("class_id")).groupBy("_key").agg(F.count("*").alias("n"))
-    again = written(again.where(F.col("n") > 1).select("_key"))
+    classes = classes.withColumnsRenamed({key: "_key", "text_hash": "_hash"})
+    classes = written(classes.where(F.col("class_hash").isNotNull()))
+    is_kept = F.col("_key").eqNullSafe(F.col("class_id")) & (F.col("_hash") == F.col("class_hash"))
+    same = id_.eqNullSafe(F.col("_key")) & (hash_ == F.col("_hash"))
+    dropped = classes.where(~is_kept).select("_key", "_hash").distinct()
+    left = docs.join(dropped, same, "left_anti")
+    # Several rows may hold the key and the text that are kept: one of them is enough.
+    again = classes.where(is_kept).groupBy("_key", "_hash").agg(F.count("*").alias("n"))
+    again = written(again.where(F.col("n") > 1).select("_key", "_hash"))
     if again.isEmpty():
         return left
-    several = left.join(again, id_ == F.col("_key"), "left_semi")
-    has_words = F.regexp_instr(F.col(f"`{text}`"), F.lit(r"[^\x20\x09-\x0D]")) > 0
-    return left.join(again, id_ == F.col("_key"), "left_anti").unionByName(
-        several.where(has_words).dropDuplicates([key])
-    ).unionByName(several.where(F.coalesce(~has_words, F.lit(True))))
+    several = left.join(again, same, "left_semi")
+    return left.join(again, same, "left_anti").unionByName(several.dropDuplicates([key, text]))
 
 
 def _sets(rows: DataFrame, nodes: DataFrame, candidates: DataFrame) -> DataFrame:

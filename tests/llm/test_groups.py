@@ -93,6 +93,22 @@ def test_near_duplicates_of_odd_rows(docs_of, odd_rows):
     assert dart_minhash.keep_one(docs.where("false")).count() == 0
 
 
+def test_one_row_of_each_class_stays_where_a_key_repeats(docs_of, odd_rows):
+    rng = random.Random(14)
+    texts = [prose(rng, 50) for _ in range(4)]
+    # Two classes of smallest key 20, one of them with a copy under another key; one without any key.
+    rows = [*odd_rows, (20, texts[0]), (20, texts[1]), (20, texts[1]), (21, texts[1]), (20, "")]
+    rows += [(None, texts[2]), (None, texts[2]), (None, texts[3]), (22, "")]
+    kept = Counter(tuple(r) for r in dart_minhash.keep_one(docs_of(rows)).select("doc_id", "text").collect())
+    wanted = Counter((k, t) for k, t in rows if (t or "").strip() and k not in (6, 21))
+    wanted = Counter({r: 1 for r in wanted if r != (None, odd_rows[4][1])})
+    wanted += Counter((k, t) for k, t in rows if not (t or "").strip())
+    assert kept == wanted and sum(k == 9 for k, _ in kept) == 2
+    classes = dart_minhash.near_duplicates(docs_of(rows)).where("doc_id in (9, 20, 21) and class_hash is not null")
+    found = Counter((r["class_id"], r["class_hash"], r["class_rows"]) for r in classes.collect())
+    assert sorted((k[0], k[2], n) for k, n in found.items()) == [(9, 1, 1), (9, 1, 1), (20, 1, 1), (20, 3, 3)]
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(1)
     elements = rng.integers(0, 2**63, 300).astype(np.uint64)
