@@ -8,6 +8,8 @@ DataFrame functions alone.
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,10 +18,14 @@ from tallyfield.functions.text import column_named
 
 from .common import WORD, written
 
+_log = logging.getLogger(__name__)
+
 # Shares of the targets go with the tokens to this power: 1 leaves a marginal as it is, 0
 # makes its values equal.
 TEMPER = {"source": 0.8, "lang": 0.9, "topic": 0.95}
 MAX_SWEEPS, TOLERANCE = 40, 1e-6
+# The pipeline samples this share of the tokens.
+SHARE = 0.7
 MAX_BROADCAST_BYTES = 16 * 1024 * 1024
 
 
@@ -71,6 +77,11 @@ def fit(
     met; the shares of the others are made to add up to 1. Only the cells are worked on,
     as many as there are combinations; each sweep writes them.
     """
+    return _sweep(cells, _present(cells, targets), max_sweeps, tolerance)
+
+
+def _present(cells: DataFrame, targets: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The targets of the values that have tokens, made to add up to 1."""
     shares = {}
     for name, target in targets.items():
         present = cells.where(F.col("tokens") > 0).select(F.col(name).alias("value")).distinct()
@@ -81,6 +92,12 @@ def fit(
                 F.col("value").alias(name), (F.col("share") / F.col("total")).alias("share")
             )
         )
+    return shares
+
+
+def _sweep(
+    cells: DataFrame, shares: dict[str, DataFrame], max_sweeps: int, tolerance: float
+) -> DataFrame:
     current = cells.withColumn("weight", F.col("tokens").cast("double"))
     for _ in range(max_sweeps):
         for name, share in shares.items():
@@ -105,6 +122,56 @@ def fit(
     return current
 
 
+def fit_to_budget(
+    cells: DataFrame,
+    targets: dict[str, DataFrame],
+    share: float,
+    max_sweeps: int = MAX_SWEEPS,
+    tolerance: float = TOLERANCE,
+) -> DataFrame:
+    """The cells with tokens and their `rate`, at which `share` of all tokens is sampled.
+
+    A cell whose target is more than it has is kept whole, rate 1. What it leaves of the
+    budget goes to the other cells, which are fitted again to what their values still lack,
+    until no rate is above 1: so a rare value takes what it has and no more, and does not
+    set the size of the sample. Logs how many cells are kept whole and the share kept.
+    """
+    if not 0 < share <= 1:
+        raise ValueError(f"a share of the tokens is above 0 and at most 1, not {share}")
+    names = list(targets)
+    free = written(cells.where(F.col("tokens") > 0))
+    total = free.agg(F.sum("tokens")).first()[0] or 0
+    left, whole, done = share * total, 0, None
+    while True:
+        shares = _present(free, targets)
+        fitted = _sweep(free, shares, max_sweeps, tolerance)
+        rated = written(
+            fitted.select(*names, "tokens", (F.col("weight") * F.lit(float(left)) / F.col("tokens")).alias("rate"))
+        )
+        over = rated.where(F.col("rate") > 1 + 1e-12)
+        n, taken = over.agg(F.count("*"), F.sum("tokens")).first()
+        if not n:
+            break
+        kept = over.withColumn("rate", F.lit(1.0))
+        done = kept if done is None else done.unionByName(kept)
+        whole += n
+        targets = {}
+        for name, known in shares.items():
+            used = over.groupBy(name).agg(F.sum("tokens").alias("used"))
+            lacks = F.col("share") * F.lit(float(left)) - F.coalesce("used", F.lit(0))
+            targets[name] = known.join(used, name, "left").select(
+                F.col(name).alias("value"), F.greatest(lacks, F.lit(0.0)).alias("share")
+            )
+        left -= taken
+        free = written(rated.where(F.col("rate") <= 1 + 1e-12).select(*names, "tokens"))
+    rates = written(rated if done is None else rated.unionByName(done))
+    sampled = rates.agg(F.sum(F.col("rate") * F.col("tokens"))).first()[0] or 0.0
+    _log.info(
+        "mixing samples %.4f of the tokens (budget %.4f), %d cells whole", sampled / max(total, 1), share, whole
+    )
+    return rates.withColumn("rate", F.least("rate", F.lit(1.0)))
+
+
 def mix_sources(
     docs: DataFrame,
     key: str = "doc_id",
@@ -114,14 +181,17 @@ def mix_sources(
     temper: dict[str, float] = TEMPER,
     max_sweeps: int = MAX_SWEEPS,
     tolerance: float = TOLERANCE,
+    share: float | None = None,
 ) -> DataFrame:
     """All columns of `docs` and `_topic`, `_tokens`, `_probability` and `_sampled`.
 
     The dimensions are expressions over `docs`, by default the columns `source` and `lang`
     and a topic read from the text; NULL is a value of its own. Targets are shares of the
     tokens by dimension (`value`, `share`; '=' before a value, '' for NULL), by default the
-    present ones tempered. The document of the most wanted cell has probability 1, so that
-    the expected tokens of the sample have the target shares. The draw depends on the key
+    present ones tempered. With `share`, that share of all tokens is sampled, see
+    `fit_to_budget`. Without it the document of the most wanted cell has probability 1: the
+    expected tokens of the sample have the target shares, but the rarest value sets its
+    size. The draw depends on the key
     alone: rows with one key are drawn alike. A cell without tokens has probability 0.
     """
     dimensions = dimensions or {
@@ -135,16 +205,22 @@ def mix_sources(
         .groupBy(*labels)
         .agg(F.sum("tokens").alias("tokens"))
     )
-    fitted = fit(cells, targets or tempered_targets(cells, temper), max_sweeps, tolerance)
-    scaled = fitted.where(F.col("tokens") > 0).select(
-        *[F.col(n).alias(f"_{n}_cell") for n in labels], (F.col("weight") / F.col("tokens")).alias("_scale")
-    )
-    top = scaled.agg(F.max("_scale").alias("_top"))
-    rates = written(
-        scaled.join(F.broadcast(top)).select(  # one row
-            *[f"_{n}_cell" for n in labels], (F.col("_scale") / F.col("_top")).alias("_rate")
+    targets = targets or tempered_targets(cells, temper)
+    named = [F.col(n).alias(f"_{n}_cell") for n in labels]
+    if share is not None:
+        rated = fit_to_budget(cells, targets, share, max_sweeps, tolerance)
+        rates = written(rated.select(*named, F.col("rate").alias("_rate")))
+    else:
+        fitted = fit(cells, targets, max_sweeps, tolerance)
+        scaled = fitted.where(F.col("tokens") > 0).select(
+            *named, (F.col("weight") / F.col("tokens")).alias("_scale")
+        )
+        top = scaled.agg(F.max("_scale").alias("_top"))
+        rates = written(
+            scaled.join(F.broadcast(top)).select(  # one row
+                *[f"_{n}_cell" for n in labels], (F.col("_scale") / F.col("_top")).alias("_rate")
+            )
         )
-    )
     ready = docs.withColumns(
         {f"_{n}_label": c for n, c in labels.items()} | {"_tokens": word_count(column_named(text))}
     )
@@ -161,9 +237,12 @@ def mix_sources(
     )
 
 
-def sampled_stage(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The sampled documents, with the columns they had."""
-    return mix_sources(docs, key, text).where("_sampled").select(*[column_named(c) for c in docs.columns])
+def sampled_stage(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", share: float = SHARE
+) -> DataFrame:
+    """The sampled documents, `share` of all tokens, with the columns they had."""
+    mixed = mix_sources(docs, key, text, share=share)
+    return mixed.where("_sampled").select(*[column_named(c) for c in docs.columns])
 
 
 def mix_sql(sweeps: int) -> str:

@@ -236,6 +236,23 @@ def test_mixing_odd_rows(docs_of, odd_rows):
     assert raking.mix_sources(docs.where("false")).count() == 0
 
 
+def test_a_rare_value_does_not_set_the_size_of_the_sample(spark):
+    rows = [(i, "word " * (20 + i % 7), f"s{i % 10 // 6}", ("en", "de", "en")[i % 3]) for i in range(600)]
+    rows.append((600, "five words of new source", "rare", "en"))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string")
+    mixed = raking.mix_sources(docs, share=0.7).collect()
+    total = sum(r["_tokens"] for r in mixed)
+    wanted = sum(r["_tokens"] * r["_probability"] for r in mixed)
+    assert math.isclose(wanted, 0.7 * total, rel_tol=1e-9)
+    assert all(0 < r["_probability"] <= 1 for r in mixed)
+    assert [r["_probability"] for r in mixed if r["source"] == "rare"] == [1.0]
+    # The others have what is left of the budget, in the shares of their targets.
+    tokens = {s: sum(r["_tokens"] for r in mixed if r["source"] == s) for s in ("s0", "s1")}
+    found = {s: sum(r["_tokens"] * r["_probability"] for r in mixed if r["source"] == s) for s in tokens}
+    assert math.isclose(found["s0"] / found["s1"], (tokens["s0"] / tokens["s1"]) ** 0.8, rel_tol=1e-5)
+    assert raking.sampled_stage(docs).count() > 0.6 * 601
+
+
 # Pipeline
 
 
