@@ -152,7 +152,8 @@ def op9_dart_minhash(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op10_raking(spark: SparkSession, d: str) -> DataFrame:
-    # As many sweeps as the SQL has; 8 bring every marginal within 1e-6 of its target here.
+    # As many sweeps as the SQL has. Where languages follow sources they are too few: then a
+    # warning says how far off the result is; mix_sources by default sweeps until it is not.
     mixed = raking.mix_sources(
         _table(spark, d, "documents"), max_sweeps=RAKING_SWEEPS, tolerance=1e-9
     )

@@ -23,7 +23,10 @@ _log = logging.getLogger(__name__)
 # Shares of the targets go with the tokens to this power: 1 leaves a marginal as it is, 0
 # makes its values equal.
 TEMPER = {"source": 0.8, "lang": 0.9, "topic": 0.95}
-MAX_SWEEPS, TOLERANCE = 40, 1e-6
+# Sweeps go on until the tolerance holds. Targets that contradict each other never hold: then
+# the error stops falling, by a hundredth in STALL sweeps at least.
+MAX_SWEEPS, TOLERANCE = 1000, 1e-6
+STALL = 20
 # The pipeline samples this share of the tokens.
 SHARE = 0.7
 MAX_BROADCAST_BYTES = 16 * 1024 * 1024
@@ -71,13 +74,15 @@ def fit(
     tolerance: float = TOLERANCE,
 ) -> DataFrame:
     """`cells` (the dimensions, `tokens`) with `weight`, whose sums by each dimension are the
-    target shares as nearly as `tolerance`, or as `max_sweeps` sweeps come.
+    target shares as nearly as `tolerance`, or as `max_sweeps` sweeps come, and `off`.
 
-    A value without a target gets weight 0. A target of a value without tokens cannot be
+    `off` is the same in all rows: by how much of its target a value was off in the last sweep.
+    Above `tolerance` it says that the targets are not met, and a warning is logged. A value without a target gets weight 0. A target of a value without tokens cannot be
     met; the shares of the others are made to add up to 1. Only the cells are worked on,
     as many as there are combinations; each sweep writes them.
     """
-    return _sweep(cells, _present(cells, targets), max_sweeps, tolerance)
+    fitted, off = _sweep(cells, _present(cells, targets), max_sweeps, tolerance)
+    return fitted.withColumn("off", F.lit(off))
 
 
 def _present(cells: DataFrame, targets: dict[str, DataFrame]) -> dict[str, DataFrame]:
@@ -97,8 +102,9 @@ def _present(cells: DataFrame, targets: dict[str, DataFrame]) -> dict[str, DataF
 
 def _sweep(
     cells: DataFrame, shares: dict[str, DataFrame], max_sweeps: int, tolerance: float
-) -> DataFrame:
+) -> tuple[DataFrame, float]:
     current = cells.withColumn("weight", F.col("tokens").cast("double"))
+    errors: list[float] = []
     for _ in range(max_sweeps):
         for name, share in shares.items():
             sums = current.groupBy(name).agg(F.sum("weight").alias("total")).join(share, name, "left")
@@ -117,9 +123,15 @@ def _sweep(
             *[F.max(F.abs(F.col(name) - 1)).alias(name) for name in names]
         ).first()
         current = current.drop(*names)
-        if all(value is None or value <= tolerance for value in worst):
+        errors.append(max((value for value in worst if value is not None), default=0.0))
+        if errors[-1] <= tolerance:
+            break
+        if len(errors) > STALL and errors[-1] > 0.99 * errors[-1 - STALL]:
             break
-    return current
+    off = errors[-1] if errors else 0.0
+    if off > tolerance:
+        _log.warning("mixing misses its targets by up to %.3g of a target after %d sweeps", off, len(errors))
+    return current, off
 
 
 def fit_to_budget(
@@ -129,7 +141,8 @@ def fit_to_budget(
     max_sweeps: int = MAX_SWEEPS,
     tolerance: float = TOLERANCE,
 ) -> DataFrame:
-    """The cells with tokens and their `rate`, at which `share` of all tokens is sampled.
+    """The cells with tokens and their `rate`, at which `share` of all tokens is sampled, and
+    `off` as in `fit`, the largest of all fittings.
 
     A cell whose target is more than it has is kept whole, rate 1. What it leaves of the
     budget goes to the other cells, which are fitted again to what their values still lack,
@@ -141,10 +154,11 @@ def fit_to_budget(
     names = list(targets)
     free = written(cells.where(F.col("tokens") > 0))
     total = free.agg(F.sum("tokens")).first()[0] or 0
-    left, whole, done = share * total, 0, None
+    left, whole, done, worst = share * total, 0, None, 0.0
     while True:
         shares = _present(free, targets)
-        fitted = _sweep(free, shares, max_sweeps, tolerance)
+        fitted, off = _sweep(free, shares, max_sweeps, tolerance)
+        worst = max(worst, off)
         rated = written(
             fitted.select(*names, "tokens", (F.col("weight") * F.lit(float(left)) / F.col("tokens")).alias("rate"))
         )
@@ -169,7 +183,7 @@ def fit_to_budget(
     _log.info(
         "mixing samples %.4f of the tokens (budget %.4f), %d cells whole", sampled / max(total, 1), share, whole
     )
-    return rates.withColumn("rate", F.least("rate", F.lit(1.0)))
+    return rates.withColumns({"rate": F.least("rate", F.lit(1.0)), "off": F.lit(worst)})
 
 
 def mix_sources(
@@ -183,7 +197,7 @@ def mix_sources(
     tolerance: float = TOLERANCE,
     share: float | None = None,
 ) -> DataFrame:
-    """All columns of `docs` and `_topic`, `_tokens`, `_probability` and `_sampled`.
+    """All columns of `docs` and `_topic`, `_tokens`, `_probability`, `_sampled` and `_off`.
 
     The dimensions are expressions over `docs`, by default the columns `source` and `lang`
     and a topic read from the text; NULL is a value of its own. Targets are shares of the
@@ -191,7 +205,7 @@ def mix_sources(
     present ones tempered. With `share`, that share of all tokens is sampled, see
     `fit_to_budget`. Without it the document of the most wanted cell has probability 1: the
     expected tokens of the sample have the target shares, but the rarest value sets its
-    size. The draw depends on the key
+    size. `_off` says how far the targets are missed, see `fit`. The draw depends on the key
     alone: rows with one key are drawn alike. A cell without tokens has probability 0.
     """
     dimensions = dimensions or {
@@ -209,16 +223,16 @@ def mix_sources(
     named = [F.col(n).alias(f"_{n}_cell") for n in labels]
     if share is not None:
         rated = fit_to_budget(cells, targets, share, max_sweeps, tolerance)
-        rates = written(rated.select(*named, F.col("rate").alias("_rate")))
+        rates = written(rated.select(*named, F.col("rate").alias("_rate"), F.col("off").alias("_off")))
     else:
         fitted = fit(cells, targets, max_sweeps, tolerance)
         scaled = fitted.where(F.col("tokens") > 0).select(
-            *named, (F.col("weight") / F.col("tokens")).alias("_scale")
+            *named, (F.col("weight") / F.col("tokens")).alias("_scale"), F.col("off").alias("_off")
         )
         top = scaled.agg(F.max("_scale").alias("_top"))
         rates = written(
             scaled.join(F.broadcast(top)).select(  # one row
-                *[f"_{n}_cell" for n in labels], (F.col("_scale") / F.col("_top")).alias("_rate")
+                *[f"_{n}_cell" for n in labels], (F.col("_scale") / F.col("_top")).alias("_rate"), "_off"
             )
         )
     ready = docs.withColumns(
@@ -234,6 +248,7 @@ def mix_sources(
         "_tokens",
         "_probability",
         (draw(column_named(key)) < F.col("_probability")).alias("_sampled"),
+        "_off",
     )
 
 

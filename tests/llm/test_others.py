@@ -236,6 +236,27 @@ def test_mixing_odd_rows(docs_of, odd_rows):
     assert raking.mix_sources(docs.where("false")).count() == 0
 
 
+def test_sweeps_go_on_until_the_targets_hold_or_say_how_far_off_they_are(spark):
+    hot = [8000, 1000, 1000]
+    cells = [(f"s{i}", f"l{j}", hot[i] * (92 if i == j else 4)) for i in range(3) for j in range(3)]
+    df = spark.createDataFrame(cells, "source string, lang string, tokens bigint")
+    targets = raking.tempered_targets(df, {"source": 0.8, "lang": 0.9})
+    fitted = raking.fit(df, targets).collect()
+    assert {r["off"] for r in fitted} == {fitted[0]["off"]} and fitted[0]["off"] <= 1e-6
+    sums = {n: {} for n in targets}
+    for r in fitted:
+        for n in targets:
+            sums[n][r[n]] = sums[n].get(r[n], 0) + r["weight"]
+    for n, target in targets.items():
+        for value, share in target.collect():
+            assert math.isclose(sums[n][value], share, rel_tol=2e-6)
+    early = raking.fit(df, targets, max_sweeps=2).first()
+    assert early["off"] > 1e-3
+    # Each source in one language: the targets contradict each other.
+    apart = df.where("substr(source, 2) = substr(lang, 2)")
+    assert raking.fit(apart, targets).first()["off"] > 1e-3
+
+
 def test_a_rare_value_does_not_set_the_size_of_the_sample(spark):
     rows = [(i, "word " * (20 + i % 7), f"s{i % 10 // 6}", ("en", "de", "en")[i % 3]) for i in range(600)]
     rows.append((600, "five words of new source", "rare", "en"))
