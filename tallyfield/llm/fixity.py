@@ -63,19 +63,24 @@ def build_tree(records: DataFrame) -> list[DataFrame]:
     return levels
 
 
-def audit(originals: DataFrame, replicas: DataFrame) -> DataFrame:
+def audit(originals: DataFrame, replicas: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """What differs: `archive`, `replica`, `offset`, `kind`, and length and digest of both sides.
 
     `originals` has `archive`, `offset`, `length`, `digest`, and `replicas` also `replica`
     (an integer of at least 1). `kind` is 'altered', 'missing' or 'extra'. Records at one
-    offset are told apart by their digests: a repeated record counts once. Replicas that
-    hold no record of an archive at all are not seen; an empty original makes all extra.
+    offset are told apart by their digests: a repeated record counts once. `pairs`
+    (`archive`, `replica`) are the replicas there should be: of one that holds no record of
+    an archive all are missing. Without `pairs` such a replica is not seen. An empty original
+    makes all extra.
     """
     originals = originals.select("archive", F.lit(0).alias("replica"), "offset", "length", "digest")
     replicas = replicas.select("archive", F.col("replica").cast("int"), "offset", "length", "digest")
     records = written(originals.unionByName(replicas).distinct())
     levels = build_tree(records)
     known = levels[-1].where("replica > 0").select("archive", "replica").distinct()
+    if pairs is not None:
+        wanted = pairs.select("archive", F.col("replica").cast("int").alias("replica"))
+        known = written(known.unionByName(wanted).distinct())
     # Roots of every replica, also against an archive without an original.
     suspect = None
     for level in reversed(levels):

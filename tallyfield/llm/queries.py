@@ -59,7 +59,8 @@ def op1_merkle_audit(spark: SparkSession, d: str) -> DataFrame:
         }
     )
     extra = copies.where("fate = 'extra'").withColumn("offset", F.col("offset") + 1)
-    found = fixity.audit(originals, copies.unionByName(extra))
+    pairs = spark.range(1).select(F.lit("pages").alias("archive"), F.lit(1).alias("replica"))
+    found = fixity.audit(originals, copies.unionByName(extra), pairs)
     return found.select("offset", "kind", "length_expected", "length_found", "expected", "found")
 
 

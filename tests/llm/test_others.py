@@ -63,6 +63,14 @@ def test_audit_finds_what_differs(spark):
     assert fixity.audit(originals.where("false"), copies.where("replica = 2")).count() == 1800
 
 
+def test_audit_sees_a_replica_that_lost_all(spark):
+    originals = _records(spark, [(a, i * 5000, f"{a}{i}", None) for a in "pq" for i in range(100)])
+    copies = originals.where("archive = 'p'").withColumn("replica", F.lit(1))
+    pairs = spark.createDataFrame([("p", 1), ("q", 1), ("p", 2)], "archive string, replica int")
+    found = {(r["archive"], r["replica"], r["offset"], r["kind"]) for r in fixity.audit(originals, copies, pairs).collect()}
+    assert found == {(a, n, i * 5000, "missing") for a, n in (("q", 1), ("p", 2)) for i in range(100)}
+
+
 def test_offsets_follow_each_other(spark):
     df = spark.range(500).select(((F.col("id") * 37) % 500).alias("k"), (F.col("id") % 9 + 1).alias("length"))
     rows = fixity.with_offsets(df.repartition(6), ["k"]).orderBy("k").collect()
