@@ -4,7 +4,7 @@ from tallyfield.operators import metadata, sales
 from tallyfield.plans import jobs
 from tallyfield.sources import catalog, schemas
 
-from conftest import as_set, rows_of
+from row_helpers import as_set, rows_of
 from fixture_rows import base_tables
 
 

@@ -5,7 +5,7 @@ import pytest
 from tallyfield.operators import lineage
 from tallyfield.plans import jobs
 
-from conftest import as_set, rows_of
+from row_helpers import as_set, rows_of
 
 EVENTS = "source_table_full_name string, target_table_full_name string"
 

@@ -6,7 +6,7 @@ from pyspark.sql import types as T
 
 from tallyfield.operators import messages as m
 
-from conftest import rows_of
+from row_helpers import rows_of
 
 
 def _flat(spark, *documents):

@@ -3,7 +3,7 @@ import pytest
 from tallyfield.operators import metadata
 from tallyfield.sources.schemas import COLUMNS_META, TABLES_META
 
-from conftest import as_set, rows_of
+from row_helpers import as_set, rows_of
 
 
 @pytest.fixture(scope="module")

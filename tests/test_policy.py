@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from tallyfield.functions import joins
 from tallyfield.operators import policy as p
 
-from conftest import as_set, rows_of
+from row_helpers import as_set, rows_of
 
 
 @pytest.fixture(scope="module")

@@ -2,7 +2,7 @@ import base64
 
 from tallyfield.operators import preview as p
 
-from conftest import rows_of
+from row_helpers import rows_of
 
 LONG = bytes(range(256))
 

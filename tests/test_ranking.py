@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyfield.operators.ranking import global_rank
 
-from conftest import rows_of
+from row_helpers import rows_of
 
 
 def _values(kind):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyfield.operators import sales
 
-from conftest import rows_of
+from row_helpers import rows_of
 
 
 @pytest.fixture(params=[None, 2], ids=["doubles", "cents"])
