@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyfield.llm import dart_minhash, graph, line_dedup, queries
 
-from llm_cases import prose
+from llm_cases import docs_of, odd_rows, prose  # noqa: F401
 
 
 def _classes(keys, linked):

@@ -14,7 +14,7 @@ import corpus_pipeline
 from tallyfield.llm import chat_repair, fixity, queries, raking, topk
 from tallyfield.sources import star
 
-from llm_cases import FOLDER
+from llm_cases import docs_of, FOLDER, odd_rows  # noqa: F401
 
 tables = pytest.mark.skipif(not Path(FOLDER).exists(), reason="no test tables")
 

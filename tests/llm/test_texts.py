@@ -12,7 +12,7 @@ from tallyfield.llm import decision_list, hyperlang, packing, pu_learning
 from tallyfield.llm.common import tokenizer_file
 from tallyfield.llm.text_stats import COUNTS, stats_of, text_stats
 
-from llm_cases import prose
+from llm_cases import docs_of, odd_rows, prose  # noqa: F401
 
 WORDS = {"aa": ["katu", "molo", "piki"], "bb": ["schre", "gwent", "brizt"], "cc": ["éàu", "îlé", "ôrè"]}
 
