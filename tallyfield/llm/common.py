@@ -116,10 +116,10 @@ def map_batches(
     return df.mapInArrow(batches, schema)
 
 
-def tokenizer_file() -> str:
+def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def code_points(text: str) -> np.ndarray:

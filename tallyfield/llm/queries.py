@@ -16,9 +16,11 @@ from . import (
     fixity,
     hyperlang,
     line_dedup,
+    manifest,
     packing,
     pu_learning,
     raking,
+    token_counts,
     topk,
 )
 from .common import tokenizer_file, written
@@ -167,6 +169,16 @@ def op10_raking(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def op12_token_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Bytes and tokens of every document, whatever its columns hold; see `count_tokens`."""
+    return token_counts.count_tokens(_table(spark, d, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
+def op13_merkle_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """The documents' manifest and a copy with altered texts; see `audit_documents`."""
+    return manifest.audit_documents(_table(spark, d, "documents"))
+
+
 def pipeline(spark: SparkSession, d: str) -> DataFrame:
     return corpus_pipeline.run(spark, d)
 
@@ -183,6 +195,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_hyperdimensional_language": op8_hyperdimensional_language,
         "op9_dart_minhash": op9_dart_minhash,
         "op10_raking": op10_raking,
+        "op12_token_counts": op12_token_counts,
+        "op13_merkle_manifest": op13_merkle_manifest,
         "pipeline": pipeline,
     }
 
@@ -192,4 +206,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_merkle_audit": _AUDIT,
         "op3_block_top_k": _TOP_K,
         "op10_raking": raking.mix_sql(RAKING_SWEEPS),
+        "op13_merkle_manifest": manifest.audit_sql(),
     }
