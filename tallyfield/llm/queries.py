@@ -11,6 +11,7 @@ import corpus_pipeline
 
 from . import (
     chat_repair,
+    collocations,
     dart_minhash,
     decision_list,
     fixity,
@@ -169,6 +170,11 @@ def op10_raking(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def op11_collocations(spark: SparkSession, d: str) -> DataFrame:
+    """The best 2,000 phrases of every language; see `mine_phrases`."""
+    return collocations.mine_phrases(_table(spark, d, "documents"))
+
+
 def op12_token_counts(spark: SparkSession, d: str) -> DataFrame:
     """Bytes and tokens of every document, whatever its columns hold; see `count_tokens`."""
     return token_counts.count_tokens(_table(spark, d, "documents"), tokenizer_file("piece_bpe_32k.model"))
@@ -195,6 +201,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_hyperdimensional_language": op8_hyperdimensional_language,
         "op9_dart_minhash": op9_dart_minhash,
         "op10_raking": op10_raking,
+        "op11_collocations": op11_collocations,
         "op12_token_counts": op12_token_counts,
         "op13_merkle_manifest": op13_merkle_manifest,
         "pipeline": pipeline,
@@ -206,5 +213,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_merkle_audit": _AUDIT,
         "op3_block_top_k": _TOP_K,
         "op10_raking": raking.mix_sql(RAKING_SWEEPS),
+        "op11_collocations": collocations.mine_sql(),
         "op13_merkle_manifest": manifest.audit_sql(),
     }
