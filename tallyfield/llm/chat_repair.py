@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tallyfield.functions import ranged
 
-from .common import only, ship_package
+from .common import checkpointed, only, ship_package
 
 ROLES = ("system", "user", "assistant")
 START, END = "<|im_start|>", "<|im_end|>"
@@ -76,7 +76,7 @@ def repair(
     rows = only(turns, conversation=conversation, turn=turn, role=role, text=text)
     rows = rows.withColumn("row", F.monotonically_increasing_id())
     placed = ranged(rows, [F.col("conversation"), F.col("turn"), F.col("row")], "part")
-    placed = placed.sortWithinPartitions("conversation", "turn", "row")
+    placed = checkpointed(placed.sortWithinPartitions("conversation", "turn", "row"))
     cuts = _states_at_cuts(_edge_pieces(placed))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
 

@@ -29,8 +29,11 @@ def content(*fields: Column) -> Column:
 
 
 def with_offsets(records: DataFrame, order: list[str], length: str = "length") -> DataFrame:
-    """Add `offset`: where each record begins if they lie one after the other in `order`."""
-    return running_total(records, [F.col(c) for c in order], length, "offset")
+    """Add `offset`: where each record begins if they lie one after the other in `order`.
+
+    The records are written first, as they are read several times.
+    """
+    return running_total(written(records), [F.col(c) for c in order], length, "offset")
 
 
 def build_tree(records: DataFrame) -> list[DataFrame]:

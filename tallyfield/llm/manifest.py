@@ -267,13 +267,14 @@ def manifest(rows: DataFrame) -> Manifest:
     Leaves are in order of key (NULL first), then of their digest: rows with the same digest
     are leaves of their own beside each other. Trees are in order of their labels' bytes.
     """
-    order = [F.col("tree"), F.col("key").asc_nulls_first(), F.col("leaf")]
-    placed = written(running_total(rows.withColumn("_one", F.lit(1).cast("bigint")), order, "_one", "_at"))
+    order = [F.col("tree"), F.col("key"), F.col("leaf")]
+    rows = written(rows.withColumn("_one", F.lit(1).cast("bigint")))
+    placed = written(running_total(rows, order, "_one", "_at"))
     sizes = written(placed.groupBy("tree").agg(F.min("_at").alias("_first"), F.count("*").alias("n")))
     known = placed.join(broadcast_if_small(sizes), "tree")
     known = written(known.withColumn("pos", F.col("_at") - F.col("_first")).drop("_at", "_first", "_one"))
     levels = build(known.select("tree", "n", "pos", F.col("leaf").alias("digest")))
-    subroots = roots(levels).withColumn("_one", F.lit(1).cast("bigint"))
+    subroots = written(roots(levels).withColumn("_one", F.lit(1).cast("bigint")))
     trees = written(running_total(subroots, [F.col("tree")], "_one", "pos").drop("_one"))
     n = trees.count()
     over = build(
