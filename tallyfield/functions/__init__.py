@@ -1,6 +1,6 @@
 from .joins import broadcast_if_small, fits_broadcast
 from .measures import exact_total, mean_of, month_label, month_start
-from .running import ranged, running_total
+from .running import beside_ranges, range_number, ranged, running_total
 from .text import (
     base64_line,
     column_named,
@@ -14,6 +14,7 @@ from .text import (
 
 __all__ = [
     "base64_line",
+    "beside_ranges",
     "broadcast_if_small",
     "column_named",
     "dotted_name",
@@ -26,6 +27,7 @@ __all__ = [
     "month_start",
     "or_default",
     "or_null",
+    "range_number",
     "ranged",
     "running_total",
     "yes_no",

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import broadcast_if_small, column_named, or_null, ranged
+from ..functions import beside_ranges, column_named, or_null, ranged
 
 # Parts that may come as an object or as something else are kept as text.
 MESSAGE_DOCUMENT = (
@@ -220,8 +220,9 @@ def question_answer_pairs(chats: DataFrame) -> DataFrame:
     The answer is NULL if the next turn is not the assistant's. `turn` is a whole number,
     unique within a conversation, but may have gaps; turns without a `conv_id` are one
     conversation. All turns are put in order over range partitions, so that a conversation
-    of any length is spread over many tasks; the last turn of a partition is continued by
-    the first one of the next, one row a partition.
+    of any length is spread over many tasks; the last turn of a range is continued by the
+    first one of the next, one row a range. The log goes through one exchange, which both
+    the turns and the first ones are read from.
     """
     # Texts of other roles count for nothing, and need not be shuffled.
     said = F.when(F.col("role").isin("user", "assistant"), F.col("text"))
@@ -233,7 +234,8 @@ def question_answer_pairs(chats: DataFrame) -> DataFrame:
     firsts = firsts.select("part", F.lead("first").over(later).alias("opening"))
     within = Window.partitionBy("part").orderBy("conv_id", "turn")
     followed = parts.select("*", F.lead(row).over(within).alias("next"))
-    joined = followed.join(broadcast_if_small(firsts), "part")
+    # Partitioned alike, so that the turns stay where they are.
+    joined = followed.join(beside_ranges(firsts, "part"), "part", "left")
     after = F.coalesce("next", "opening")
     replied = after["conv_id"].eqNullSafe(F.col("conv_id")) & (after["role"] == "assistant")
     return joined.where(F.col("role") == "user").select(

@@ -16,13 +16,15 @@ def global_rank(rows: DataFrame, measure: str, rank_name: str) -> DataFrame:
     different values are put in order over range partitions, where a running total counts
     the rows above each; that is the rank less one, and is joined back to the rows. A
     value that holds very many rows is split by adaptive execution. Any type that can be
-    sorted will do. The rows are written once, as they are used twice.
+    sorted will do. The rows are written once, as they are used twice, and so are the counts,
+    which the cuts between ranges are drawn from.
     """
     ensure_checkpoint_dir(rows.sparkSession)
     rows = rows.checkpoint()
     value = column_named(measure)
     counts = rows.groupBy(value.alias("_value")).agg(F.count(F.lit(1)).alias("_rows"))
-    placed = running_total(counts, [F.col("_value").desc_nulls_last()], "_rows", "_above")
+    counts = counts.checkpoint()
+    placed = running_total(counts, [F.col("_value")], "_rows", "_above", descending=True)
     ranks = placed.select("_value", (F.col("_above") + 1).cast("bigint").alias("_rank"))
     kept = [column_named(name) for name in rows.columns if name != rank_name]
     return rows.join(ranks, value.eqNullSafe(F.col("_value"))).select(
