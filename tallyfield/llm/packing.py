@@ -206,7 +206,7 @@ class _Words(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.split = regex.compile(_SPLIT).findall
         self.parts = _Parts(self.tokenizer.model.tokenize)
 
@@ -228,7 +228,10 @@ class _Words(dict):
         return np.array(ids, dtype="<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
-        if _SEPARATORS.search(text):
+        # The library looks for added tokens, such as <|endoftext|>, in whole texts, also
+        # across what is cut here.
+        plain = text.lower()
+        if _SEPARATORS.search(text) or any(token in plain for token in self.added):
             return self.whole(text)
         if len(self) > _REMEMBERED or len(self.parts) > _REMEMBERED:
             self.clear()
@@ -242,8 +245,8 @@ def word_encoder(path: str):
 
     The tokenizer drops white space and works on what lies between it alone, so a text's
     ids are those of its words one after the other. That holds for files of this kind
-    (lower case, NFC, white space removed, BPE with word ends); any other file, and any
-    word beyond Latin-1, goes through the library whole.
+    (lower case, NFC, white space removed, BPE with word ends); any other file, any word
+    beyond Latin-1, and any text with an added token in it, goes through the library whole.
     """
     import json
 

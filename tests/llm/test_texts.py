@@ -171,9 +171,12 @@ def test_encoder_equals_the_library():
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(tokenizer_file())
-    library.encode_special_tokens = True
     encode = packing.word_encoder(tokenizer_file())
     texts = ["", " ", "Don't it's I'LL", "a\x1cb\x85c", "é̀x À2½ ª µ", "ΣΑΣ σας", "中文 字", "x" * 200]
+    # Strings of special tokens: at the start, the end, glued to words, in capitals, broken.
+    for token in ("<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>"):
+        texts += [f"{token} a", f"a {token}", f"a{token}b", f"a {token}{token} b", token, f" {token}\n", f"x.{token},y"]
+    texts += ["<|endoftext", "<| endoftext |>", "endoftext|>", "<|end\noftext|>", "<\u0338|endoftext|>"]
     texts += ["<|endoftext|> a", "\U0001f600a", "2024 $5,000.00", "a.b,c", "don'T,", "İstanbul"]
     for text in texts:
         ids = library.encode(text, add_special_tokens=False).ids
