@@ -39,8 +39,8 @@ SLOT_BITS = 27
 # Pairs in a slot with at least one in SPREAD of all words are dealt out by three words: at
 # most 2 * SPREAD slots.
 SPREAD = 2000
-# Bytes of text that are cut into words at once.
-CHUNK = 8 * 1024 * 1024
+# Bytes of text that are cut into words at once: bounds a worker's memory, at about fifty times this.
+CHUNK = 2 * 1024 * 1024
 UNKNOWN = "und"
 PIECE_END, BETWEEN = r"[.,;:!?\x0A-\x0D]", r"[\x20\x09]+"
 # Ranks are cut in so many shares of a language first.
@@ -103,6 +103,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
             before = sizes[start - 1] if start else 0
             end = max(start + 1, int(np.searchsorted(sizes, before + CHUNK, side="right")))
             yield Words(langs.slice(start, end - start), texts.slice(start, end - start))
+            pa.default_memory_pool().release_unused()
             start = end
 
 
