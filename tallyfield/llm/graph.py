@@ -16,6 +16,9 @@ from .common import written
 # Nodes of a bucket up to which those apart are tested pair by pair: at most so many tests a
 # node. Larger buckets go another, equally exact way.
 DIRECT = 16
+# Elements of a block of sets, about, and the shares that blocks around one component are dealt to.
+BLOCK = 16_384
+SHARES = 16
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -100,8 +103,10 @@ def link(
     whose nodes are not yet all in one component tests every node against the bucket's
     first one. After that, in buckets still apart, every node outside the bucket's largest
     component has to be held against the rest. Small buckets do so pair by pair. In large
-    ones they first meet the most central node; then only pairs whose sets share a rare
-    element can be similar (`_rare_pairs`), and those are tested. So every pair of a bucket is tested, or cannot be similar, or its
+    ones they first meet the most central node. Those still outside then meet, in blocks,
+    what lies in buckets with the same largest component; pairs are ruled out by the sizes
+    of their sets, or counted within the block, and only those similar by their hashed
+    elements become rows. So every pair of a bucket is tested, or cannot be similar, or its
     nodes are in one component anyway: no link between components is lost.
     """
     edges = tested = labels = None
@@ -112,12 +117,12 @@ def link(
         edges, tested, labels = _add(pairs, similar, edges, tested, labels)
     placed = _placed(_apart(shared, labels))
     large = placed.where(F.col("nodes") > DIRECT)
-    ranked = None
+    facts = None
     if not large.isEmpty():
         # A bucket's most central node, with the smallest share of elements nobody else has,
         # is alike to most of those that are alike to any.
-        ranked = written(_ranked(elements(large.select("node"))))
-        lone = ranked.groupBy("node").agg(F.avg((F.col("times") == 1).cast("int")).alias("lone"))
+        facts = written(_facts(elements(large.select("node"))))
+        lone = facts.select("node", (F.col("own") / F.col("size")).alias("lone"))
         centre = large.join(lone, "node").groupBy("bucket").agg(
             F.min_by(F.struct("node", "label"), F.struct("lone", "node")).alias("lead")
         )
@@ -134,10 +139,9 @@ def link(
         (F.col("label") == F.col("main")) | (F.col("label") < F.col("other_label"))
     )
     pairs = _pairs(crossing, F.col("other"), F.col("other_label"), tested)
-    if ranked is not None:
-        nodes = large.groupBy("node", "label").agg(F.max(F.col("label") != F.col("main")).alias("other"))
-        rare = _rare_pairs(ranked, written(nodes), similarity)
-        pairs = pairs.unionByName(rare.join(tested, ["a", "b"], "left_anti")).distinct()
+    if facts is not None:
+        met = _met_in_blocks(facts, large, similarity)
+        pairs = pairs.unionByName(met.join(tested, ["a", "b"], "left_anti")).distinct()
     return _add(pairs, similar, edges, tested, labels)[2]
 
 
@@ -151,51 +155,74 @@ def _placed(apart: DataFrame) -> DataFrame:
     return written(apart.join(main, "bucket"))
 
 
-def _ranked(sets: DataFrame) -> DataFrame:
-    """`node`, `element` with its `place` in the set, rare elements first, the number of
-    `times` it occurs in all and the `size` of the set."""
+def _facts(sets: DataFrame) -> DataFrame:
+    """`node`, the `size` of its set, how many elements are its `own`, in no other set, and
+    the others as `common`."""
     sets = written(sets)
-    sizes = sets.groupBy("node").agg(F.count("*").alias("size"))
     counts = sets.groupBy("element").agg(F.count("*").alias("times"))
-    order = Window.partitionBy("node").orderBy("times", "element")
     return (
         sets.join(counts, "element")
-        .join(sizes, "node")
-        .withColumn("place", F.row_number().over(order))
+        .groupBy("node")
+        .agg(
+            F.count("*").alias("size"),
+            F.sum((F.col("times") == 1).cast("bigint")).alias("own"),
+            F.collect_list(F.when(F.col("times") > 1, F.col("element"))).alias("common"),
+        )
     )
 
 
-def _rare_pairs(ranked: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of `nodes` with different labels that may be similar, at least one an `other`.
+def _met_in_blocks(facts: DataFrame, large: DataFrame, similarity: float) -> DataFrame:
+    """Pairs `a` < `b` of different labels that are similar by `facts`, one of them outside its
+    bucket's main component.
 
-    All elements are in one order, rare ones first. Sets of sizes m and n are similar only
-    if they share s / (1 + s) * (m + n) elements. Then their beginnings, of all but s * n
-    elements and one, share an element, and from the first shared one on enough is left in
-    both. Near copies of one text differ in elements that hardly any other has, so that a
-    copy too far from the others finds no partner here.
+    Nodes are gathered by the main component of their buckets, once however many buckets
+    they share, and dealt into blocks of about as many elements. A block of outside nodes
+    meets every block with that component, spread over shares where these are many. Two
+    sets of sizes m and n are similar only if they share s / (1 + s) * (m + n) elements, and
+    neither shares those that are its own; an outside node that fails this against the
+    smallest set is left out from the start.
     """
-    begins = written(
-        ranked.where(
-            (F.col("times") > 1)
-            & (F.col("place") <= F.col("size") - F.ceil(F.lit(similarity) * F.col("size") - 1e-9) + 1)
-        ).join(nodes, "node")
-    )
-    one = begins.where("other").select(
-        F.col("element").alias("element_1"),
-        *[F.col(c).alias(f"{c}_1") for c in ("node", "label", "size", "place")],
+    about = large.groupBy(F.col("main").alias("around"), "node", "label").agg(F.count("*").alias("_n")).drop("_n")
+    about = written(about.join(facts, "node").withColumn("outside", F.col("label") != F.col("around")))
+    sizes = about.groupBy("around").agg(
+        F.sum("size").alias("all_elements"),
+        F.sum(F.when(F.col("outside"), F.col("size"))).alias("out_elements"),
+        F.min("size").alias("least"),
     )
-    room = F.least(F.col("size") - F.col("place"), F.col("size_1") - F.col("place_1")) + 1
-    need = F.lit(similarity / (1 + similarity)) * (F.col("size") + F.col("size_1")) - 1e-9
-    met = begins.join(
-        one,
-        (F.col("element") == F.col("element_1"))
-        & (F.col("label") != F.col("label_1"))
-        & (~F.col("other") | (F.col("label") < F.col("label_1")))
-        & (room >= need),
+    about = about.join(sizes, "around")
+    entry = F.struct("node", "label", "size", "own", "common")
+
+    def block(elements: str):
+        return F.pmod(F.xxhash64("node"), F.ceil(F.col(elements) / F.lit(BLOCK)).cast("bigint"))
+
+    rest = about.groupBy("around", block("all_elements").alias("block")).agg(F.collect_list(entry).alias("rest"))
+    rest = rest.withColumn("share", F.pmod("block", F.lit(SHARES)))
+    factor = F.lit(similarity / (1 + similarity))
+    can_share = F.col("size") - F.col("own")
+    # The smallest partner this node can have is no smaller than what they share.
+    smallest = F.greatest(F.col("least"), can_share)
+    able = can_share >= factor * (F.col("size") + smallest) - 1e-9
+    outside = about.where(F.col("outside") & able)
+    outside = outside.groupBy("around", block("out_elements").alias("block")).agg(F.collect_list(entry).alias("outs"))
+    outside = outside.select("around", "outs", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("share"))
+
+    def similar(o, m):
+        need = factor * (o["size"] + m["size"]) - 1e-9
+        return (
+            (m["label"] != o["label"])
+            & (F.least(o["size"] - o["own"], m["size"] - m["own"]) >= need)
+            & (F.size(F.array_intersect(o["common"], m["common"])) >= need)
+        )
+
+    found = F.transform(
+        "outs",
+        lambda o: F.transform(
+            F.filter("rest", lambda m: similar(o, m)),
+            lambda m: F.struct(F.least(o["node"], m["node"]).alias("a"), F.greatest(o["node"], m["node"]).alias("b")),
+        ),
     )
-    return met.select(
-        F.least("node", "node_1").alias("a"), F.greatest("node", "node_1").alias("b")
-    ).distinct()
+    met = rest.join(outside, ["around", "share"]).select(F.flatten(found).alias("found"))
+    return met.where(F.size("found") > 0).select(F.inline("found")).distinct()
 
 
 def _apart(members: DataFrame, labels: DataFrame | None) -> DataFrame:

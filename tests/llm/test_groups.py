@@ -38,6 +38,55 @@ def test_components(spark, seed):
     assert graph.components(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("block, seed", [(60, 0), (400, 1), (16_384, 2)])
+def test_links_within_large_buckets_equal_brute_force(spark, monkeypatch, block, seed):
+    monkeypatch.setattr(graph, "BLOCK", block)
+    rng = random.Random(seed)
+    sets = []
+    for _ in range(5):
+        base = [rng.randrange(10**6) for _ in range(40)]
+        for _ in range(45):
+            copy = set(base)
+            for x in rng.sample(base, rng.randrange(0, 9)):
+                copy.discard(x)
+                # New elements are partly shared by others, partly nobody else's.
+                copy.add(rng.randrange(50) if rng.random() < 0.5 else rng.randrange(10**9))
+            sets.append(copy)
+    sets += [{i, 10**7} for i in range(30)]
+    order = list(range(len(sets)))
+    rng.shuffle(order)
+    buckets = {n: {rng.randrange(3), 3 + at % 2} for at, n in enumerate(order)}
+    members = [(b, n) for n, own in buckets.items() for b in own]
+    shared = graph.shared_buckets(spark.createDataFrame(members, "bucket bigint, node bigint"))
+    elements = spark.createDataFrame([(n, e) for n, x in enumerate(sets) for e in x], "node bigint, element bigint")
+    listed = elements.groupBy("node").agg(F.collect_list("element").alias("elements"))
+    labels = graph.link(
+        shared,
+        lambda pairs: dart_minhash._similar(pairs, listed, 0.8),
+        lambda some: elements.join(some.distinct(), "node"),
+        0.8,
+        parts=2,
+    )
+    linked = [
+        (j, i)
+        for i in range(len(sets))
+        for j in range(i)
+        if buckets[i] & buckets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9
+    ]
+    truth = _classes(range(len(sets)), linked)
+    found = {r["node"]: r["component"] for r in labels.collect()}
+    mine = {n: found.get(n, n) for n in range(len(sets))}
+    # Blocks hold some pairs without a bucket in common as well: those they link are similar too.
+    everyone = _classes(range(len(sets)), [
+        (j, i) for i in range(len(sets)) for j in range(i)
+        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9
+    ])
+    for a, b in linked:
+        assert mine[a] == mine[b]
+    assert all(everyone[n] == everyone[c] for n, c in mine.items())
+    assert len(set(truth.values())) > 20
+
+
 def _copies(rng):
     """Texts with exact copies, chains of near copies and a group spread around the bound."""
     rows = []
