@@ -1,13 +1,18 @@
 """Quality rules: a learned decision list over counts of each text.
 
 Sequential covering: rules are learned one after the other, each on the rows that no
-earlier rule has caught. A rule is grown, condition by condition, by information gain on
-two thirds of the rows and then pruned on the remaining third. The list is given back as
-one ordered CASE expression.
+earlier rule has caught. Rules are grown, condition by condition, by information gain on two
+thirds of the rows, a few of the best side by side. Pruning, on the remaining third, takes of
+all that were grown, their beginnings and their forms with a tighter last threshold the one
+of most worth that holds there too. Learning ends when none does, or when a rule costs more
+to write down than it saves. The list is given back as one ordered CASE expression.
 """
 
 from __future__ import annotations
 
+import logging
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import hashed_sample, only, written
 from .text_stats import text_stats
 
+_log = logging.getLogger(__name__)
+
 # What the rules may look at: ratios of the counts.
 RATIOS = {
     "mean_word_chars": ("word_chars", "n_words"),
@@ -34,6 +41,8 @@ RATIOS = {
 # The list is fitted on at most so many labelled rows, those with the smallest hash.
 MAX_LABELLED = 20_000
 MAX_THRESHOLDS, MAX_CONDITIONS, MAX_RULES = 48, 4, 24
+# Rules that are grown side by side, and tighter forms of the last threshold that pruning tries.
+BEAM, TIGHTER = 6, 10
 
 
 @dataclass(frozen=True)
@@ -94,27 +103,35 @@ def learn_rules(
 ) -> list[Rule]:
     """Ordered rules that tell the `bad` rows from the others.
 
-    A rule stays if, on the rows kept for pruning as on those it was grown on, at least
-    `min_precision` of what it catches is bad; learning ends with the first that fails.
+    A rule holds if, on the rows kept for pruning as on those it was grown on, at least
+    `min_precision` of what it catches is bad, `min_rows` of the latter and one of the former
+    at least. Its worth is the bad rows it catches, less the good ones times what
+    `min_precision` says one costs. Without a rule that holds the list is empty, and a warning
+    says so.
     """
     rules: list[Rule] = []
     n = len(bad)
     pruning = np.arange(n) % 3 == 2
     left = np.ones(n, dtype=bool)
     while len(rules) < MAX_RULES and (left & bad & ~pruning).sum() >= min_rows:
-        rule = _prune(
-            _grow(features, bad, left & ~pruning), features, bad, left & pruning
-        )
-        caught = _caught(rule, features) & left if rule else np.zeros(n, dtype=bool)
-        good_enough = all(
-            (caught & part).sum() >= least
-            and (caught & part & bad).sum() >= min_precision * (caught & part).sum()
-            for part, least in ((~pruning, min_rows), (pruning, 1))
-        )
-        if not good_enough:
+        best, best_worth, best_caught = None, (0.0, 0), left
+        for rule in _pruned(_grown(features, bad, left & ~pruning), features, bad, left & ~pruning):
+            caught = _caught(rule, features) & left
+            parts = [(caught & part & bad).sum() for part in (~pruning, pruning)]
+            sizes = [(caught & part).sum() for part in (~pruning, pruning)]
+            holds = sizes[0] >= min_rows and sizes[1] >= 1
+            if not holds or any(p < min_precision * size for p, size in zip(parts, sizes)):
+                continue
+            good = sum(sizes) - sum(parts)
+            worth = (sum(parts) - good * min_precision / max(1 - min_precision, 1e-9), -len(rule))
+            if worth > best_worth:
+                best, best_worth, best_caught = rule, worth, caught
+        if best is None or _saved(best_caught, left, bad) <= _cost(best, len(features)):
             break
-        rules.append(rule)
-        left &= ~caught
+        rules.append(best)
+        left &= ~best_caught
+    if not rules and bad.any():
+        _log.warning("no rule holds for %d labelled rows, %d of them bad", n, int(bad.sum()))
     return rules
 
 
@@ -122,57 +139,97 @@ def _caught(rule: Rule, features: dict[str, np.ndarray]) -> np.ndarray:
     return np.logical_and.reduce([c.holds(features) for c in rule])
 
 
-def _grow(features: dict[str, np.ndarray], bad: np.ndarray, rows: np.ndarray) -> Rule:
-    """Add the condition of highest gain until only bad rows are caught."""
-    rule: Rule = ()
-    while len(rule) < MAX_CONDITIONS:
-        p0, n0 = (rows & bad).sum(), (rows & ~bad).sum()
-        if p0 == 0 or n0 == 0:
-            break
-        best, best_gain, best_rows = None, 1e-9, rows
-        for name, values in features.items():
-            seen = values[rows]
-            for threshold in np.unique(
-                np.quantile(seen, np.linspace(0, 1, MAX_THRESHOLDS), method="nearest")
-            ).tolist() + _borders(seen, bad[rows]):
-                for above in (True, False):
-                    condition = Condition(name, above, threshold)
-                    caught = condition.holds({name: seen})
-                    p, n = (caught & bad[rows]).sum(), (caught & ~bad[rows]).sum()
-                    if p == 0:
-                        continue
-                    gain = p * (np.log2(p / (p + n)) - np.log2(p0 / (p0 + n0)))
-                    if gain > best_gain:
-                        best, best_gain = condition, gain
-        if best is None:
-            break
-        rule += (best,)
-        rows = rows & best.holds(features)
-    return rule
-
-
-def _borders(values: np.ndarray, bad: np.ndarray) -> list[float]:
-    """Half-way beyond the good rows on either side: the most that a pure condition catches."""
-    good, found = values[~bad], []
-    if len(good):
-        low, high = good.min(), good.max()
-        if (values < low).any():
-            found.append(float((values[values < low].max() + low) / 2))
-        if (values > high).any():
-            found.append(float((values[values > high].min() + high) / 2))
+def _cost(rule: Rule, features: int) -> float:
+    """Bits that write down a rule: a feature, a side and a threshold for each condition."""
+    return len(rule) * (math.log2(max(features, 2)) + 1 + math.log2(MAX_THRESHOLDS))
+
+
+def _saved(caught: np.ndarray, left: np.ndarray, bad: np.ndarray) -> float:
+    """Bits by which the labels of the rows left are told shorter once the rule is known."""
+
+    def bits(rows: np.ndarray) -> float:
+        n, k = int(rows.sum()), int((rows & bad).sum())
+        return (math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)) / math.log(2)
+
+    return bits(left) - bits(left & caught) - bits(left & ~caught)
+
+
+def _grown(features: dict[str, np.ndarray], bad: np.ndarray, rows: np.ndarray) -> list[Rule]:
+    """The rules of a beam: at every length those of highest gain, until only bad rows are
+    caught. Rules that catch the same rows count once."""
+    found: list[Rule] = []
+    beam: list[tuple[Rule, np.ndarray]] = [((), rows)]
+    while beam and len(beam[0][0]) < MAX_CONDITIONS:
+        longer = []
+        for rule, held in beam:
+            for gain, condition in _conditions(features, bad, held):
+                longer.append((gain, rule + (condition,), held))
+        longer.sort(key=lambda x: -x[0])
+        beam, seen = [], set()
+        for _, rule, held in longer:
+            caught = held & rule[-1].holds(features)
+            key = caught.tobytes()
+            if key not in seen:
+                seen.add(key)
+                beam.append((rule, caught))
+            if len(beam) == BEAM:
+                break
+        found += [rule for rule, _ in beam]
+        beam = [(rule, held) for rule, held in beam if (held & ~bad).any()]
     return found
 
 
-def _prune(rule: Rule, features: dict[str, np.ndarray], bad: np.ndarray, rows: np.ndarray) -> Rule:
-    """The beginning of the rule that does best on rows it was not grown on."""
+def _conditions(
+    features: dict[str, np.ndarray], bad: np.ndarray, rows: np.ndarray
+) -> Iterator[tuple[float, Condition]]:
+    """The best condition of every feature and side for a rule that holds for `rows`, with its gain."""
+    is_bad = bad[rows]
+    p0, n0 = int(is_bad.sum()), int((~is_bad).sum())
+    if p0 == 0 or n0 == 0:
+        return
+    before = math.log2(p0 / (p0 + n0))
+    for name, values in features.items():
+        seen = values[rows]
+        ours, theirs = np.sort(seen[is_bad]), np.sort(seen[~is_bad])
+        cuts = np.unique(np.quantile(seen, np.linspace(0, 1, MAX_THRESHOLDS), method="nearest"))
+        cuts = np.unique(np.concatenate([cuts, _borders(ours, theirs)]))
+        below = np.searchsorted(ours, cuts), np.searchsorted(theirs, cuts)
+        for above in (True, False):
+            p, n = (p0 - below[0], n0 - below[1]) if above else below
+            with np.errstate(divide="ignore", invalid="ignore"):
+                gain = np.where(p > 0, p * (np.log2(p / (p + n)) - before), 0.0)
+            at = int(np.argmax(gain))
+            if gain[at] > 1e-9:
+                yield float(gain[at]), Condition(name, above, float(cuts[at]))
+
+
+def _borders(bad: np.ndarray, good: np.ndarray) -> list[float]:
+    """Half-way beyond the good rows on either side, both sorted: the most that a pure
+    condition catches."""
+    found = []
+    low, high = np.searchsorted(bad, good[0]), np.searchsorted(bad, good[-1], side="right")
+    if low > 0:
+        found.append(float((bad[low - 1] + good[0]) / 2))
+    if high < len(bad):
+        found.append(float((bad[high] + good[-1]) / 2))
+    return found
 
-    def worth(part: Rule) -> float:
-        caught = _caught(part, features) & rows
-        p, n = (caught & bad).sum(), (caught & ~bad).sum()
-        return (p - n) / (p + n) if p + n else -1.0
 
-    parts = [rule[: i + 1] for i in range(len(rule))]
-    return max(parts, key=worth) if parts else ()  # the shortest of equal ones
+def _pruned(
+    grown: list[Rule], features: dict[str, np.ndarray], bad: np.ndarray, rows: np.ndarray
+) -> Iterator[Rule]:
+    """The grown rules, each also with its last threshold moved so that fewer of the bad rows it
+    was grown on pass: a threshold just beyond the good rows of one part often lets through
+    some of the other's. Beginnings of rules are in the beam themselves."""
+    for rule in grown:
+        yield rule
+        last = rule[-1]
+        values = features[last.feature][_caught(rule, features) & rows & bad]
+        if not len(values):
+            continue
+        shares = np.arange(1, TIGHTER) / TIGHTER
+        for cut in np.unique(np.quantile(values, shares if last.above else 1 - shares, method="nearest")):
+            yield (*rule[:-1], Condition(last.feature, last.above, float(cut)))
 
 
 def as_columns(rules: list[Rule]) -> tuple[Column, Column]:
