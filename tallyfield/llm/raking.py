@@ -1,16 +1,17 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Tokens are added up per cell (source, language, topic). The cells' weights are scaled to
-the target of every source, then of every language, then of every topic, and again, until
-all three hold. A document is sampled with the probability its cell's scale gives.
-DataFrame functions alone.
+the goal of every source, then of every language, then of every topic, and again, until
+all three hold. The goals share out a budget, a stated part of all tokens; no cell gives more
+than it has. A document is sampled with the probability its cell's weight gives. DataFrame
+functions alone: a sweep is three window sums over the cells.
 """
 
 from __future__ import annotations
 
 import logging
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyfield.functions import broadcast_if_small
@@ -20,14 +21,20 @@ from .common import WORD, written
 
 _log = logging.getLogger(__name__)
 
-# Shares of the targets go with the tokens to this power: 1 leaves a marginal as it is, 0
+# Shares of the goals go with the tokens to this power: 1 leaves a marginal as it is, 0
 # makes its values equal.
 TEMPER = {"source": 0.8, "lang": 0.9, "topic": 0.95}
-# Sweeps go on until the tolerance holds. Targets that contradict each other never hold: then
-# the error stops falling, by a hundredth in STALL sweeps at least.
-MAX_SWEEPS, TOLERANCE = 1000, 1e-6
-STALL = 20
-# The pipeline samples this share of the tokens.
+# Sweeps go on until the tolerance holds. Goals that contradict each other never hold: then
+# the error stops falling, by a tenth in STALL sweeps at least.
+MAX_SWEEPS, TOLERANCE = 1000, 1e-12
+STALL = 24
+# Sweeps in one plan, before the cells are written.
+AT_ONCE = 8
+# Up to so many cells are swept in one task, without an exchange for each window.
+IN_ONE_TASK = 50_000
+# The pipeline's sample is held to its goals as nearly as this.
+STAGE_TOLERANCE = 1e-6
+# The part of all tokens that is sampled.
 SHARE = 0.7
 MAX_BROADCAST_BYTES = 16 * 1024 * 1024
 
@@ -53,16 +60,12 @@ def draw(key: Column) -> Column:
 
 
 def tempered_targets(cells: DataFrame, temper: dict[str, float]) -> dict[str, DataFrame]:
-    """For each dimension `value`, `share`: its tokens to a power, made to add up to 1."""
+    """For each dimension `value`, `share`: its tokens to a power."""
     targets = {}
     for name, power in temper.items():
         sums = cells.groupBy(F.col(name).alias("value")).agg(F.sum("tokens").alias("tokens"))
-        raised = sums.where(F.col("tokens") > 0).select(
-            "value", F.pow(F.col("tokens").cast("double"), F.lit(power)).alias("raised")
-        )
-        total = raised.agg(F.sum("raised").alias("total"))
-        targets[name] = raised.join(F.broadcast(total)).select(  # one row
-            "value", (F.col("raised") / F.col("total")).alias("share")
+        targets[name] = sums.where(F.col("tokens") > 0).select(
+            "value", F.pow(F.col("tokens").cast("double"), F.lit(power)).alias("share")
         )
     return targets
 
@@ -70,120 +73,107 @@ def tempered_targets(cells: DataFrame, temper: dict[str, float]) -> dict[str, Da
 def fit(
     cells: DataFrame,
     targets: dict[str, DataFrame],
+    share: float = SHARE,
     max_sweeps: int = MAX_SWEEPS,
     tolerance: float = TOLERANCE,
 ) -> DataFrame:
-    """`cells` (the dimensions, `tokens`) with `weight`, whose sums by each dimension are the
-    target shares as nearly as `tolerance`, or as `max_sweeps` sweeps come, and `off`.
-
-    `off` is the same in all rows: by how much of its target a value was off in the last sweep.
-    Above `tolerance` it says that the targets are not met, and a warning is logged. A value without a target gets weight 0. A target of a value without tokens cannot be
-    met; the shares of the others are made to add up to 1. Only the cells are worked on,
-    as many as there are combinations; each sweep writes them.
+    """The `cells` with tokens (the dimensions, `tokens`), the `rate` at which each is sampled,
+    and `off`.
+
+    The rates sample `share` of all tokens so that the values of each dimension have the shares
+    of `targets` (`value`, `share`, in any scale). A value that would need more than it has
+    is kept whole, rate 1, and the others share what it leaves: so a rare value takes what it
+    has and does not set the size of the sample. Within a sweep a cell gives at most what it
+    has, and the free cells of its value make up for it. A value without a target gets
+    rate 0; targets of values without tokens count for nothing. `off` is the same in all rows:
+    by how much of its goal a value was off in the last sweep. Above `tolerance` it says
+    that the goals are not met, as where they contradict each other, and a warning is logged.
+    Labels are not NULL. Only the cells are worked on, as many as there are combinations.
     """
-    fitted, off = _sweep(cells, _present(cells, targets), max_sweeps, tolerance)
-    return fitted.withColumn("off", F.lit(off))
-
-
-def _present(cells: DataFrame, targets: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """The targets of the values that have tokens, made to add up to 1."""
-    shares = {}
+    if not 0 < share <= 1:
+        raise ValueError(f"a share of the tokens is above 0 and at most 1, not {share}")
+    cells = written(cells.where(F.col("tokens") > 0).withColumn("tokens", F.col("tokens").cast("double")))
+    budget = share * (cells.agg(F.sum("tokens")).first()[0] or 0.0)
+    aimed = cells.withColumns({"weight": F.col("tokens") * share, "whole": F.lit(False)})
     for name, target in targets.items():
-        present = cells.where(F.col("tokens") > 0).select(F.col(name).alias("value")).distinct()
-        known = target.join(present, "value").select("value", F.col("share").cast("double").alias("share"))
-        total = known.agg(F.sum("share").alias("total"))
-        shares[name] = written(
-            known.join(F.broadcast(total)).select(  # one row
-                F.col("value").alias(name), (F.col("share") / F.col("total")).alias("share")
-            )
-        )
-    return shares
-
-
-def _sweep(
-    cells: DataFrame, shares: dict[str, DataFrame], max_sweeps: int, tolerance: float
-) -> tuple[DataFrame, float]:
-    current = cells.withColumn("weight", F.col("tokens").cast("double"))
+        goals = _goals(cells, name, target, budget)
+        aimed = aimed.join(broadcast_if_small(goals, MAX_BROADCAST_BYTES), name)
+        aimed = aimed.withColumn("whole", F.col("whole") | F.col(f"all_{name}")).drop(f"all_{name}")
+    current = written(aimed)
+    small = current.count() <= IN_ONE_TASK
     errors: list[float] = []
-    for _ in range(max_sweeps):
-        for name, share in shares.items():
-            sums = current.groupBy(name).agg(F.sum("weight").alias("total")).join(share, name, "left")
-            scales = sums.select(
-                name,
-                F.when(F.col("total") > 0, F.coalesce("share", F.lit(0.0)) / F.col("total"))
-                .otherwise(0.0)
-                .alias("scale"),
-            )
-            current = current.join(scales, name).withColumn("weight", F.col("weight") * F.col("scale"))
-            current = current.withColumnRenamed("scale", f"scale_{name}")
+    while True:
+        current = current.coalesce(1) if small else current
+        for _ in range(AT_ONCE):
+            current = _swept(current, list(targets))
         current = written(current)
-        # The scales say how far each dimension was off.
-        names = [f"scale_{name}" for name in shares]
-        worst = current.where(F.col("weight") > 0).agg(
-            *[F.max(F.abs(F.col(name) - 1)).alias(name) for name in names]
-        ).first()
-        current = current.drop(*names)
-        errors.append(max((value for value in worst if value is not None), default=0.0))
-        if errors[-1] <= tolerance:
+        worst = current.agg(F.max(F.greatest(F.lit(0.0), *[F.col(f"off_{n}") for n in targets]))).first()[0]
+        errors.append(worst or 0.0)
+        sweeps = AT_ONCE * len(errors)
+        stalled = sweeps > STALL and errors[-1] > 0.9 * errors[-1 - STALL // AT_ONCE]
+        if errors[-1] <= tolerance or stalled or sweeps >= max_sweeps:
             break
-        if len(errors) > STALL and errors[-1] > 0.99 * errors[-1 - STALL]:
-            break
-    off = errors[-1] if errors else 0.0
+    off = errors[-1]
     if off > tolerance:
-        _log.warning("mixing misses its targets by up to %.3g of a target after %d sweeps", off, len(errors))
-    return current, off
+        _log.warning("mixing misses its goals by up to %.3g of a goal after %d sweeps", off, sweeps)
+    rate = F.when(_full(), 1.0).otherwise(F.col("weight") / F.col("tokens"))
+    return current.select(*targets, F.col("tokens").cast("bigint").alias("tokens"), rate.alias("rate"), F.lit(off).alias("off"))
 
 
-def fit_to_budget(
-    cells: DataFrame,
-    targets: dict[str, DataFrame],
-    share: float,
-    max_sweeps: int = MAX_SWEEPS,
-    tolerance: float = TOLERANCE,
-) -> DataFrame:
-    """The cells with tokens and their `rate`, at which `share` of all tokens is sampled, and
-    `off` as in `fit`, the largest of all fittings.
+def _goals(cells: DataFrame, name: str, target: DataFrame, budget: float) -> DataFrame:
+    """`name`, `goal_`: the tokens each value is to give, and `all_`, whether that is all it has.
 
-    A cell whose target is more than it has is kept whole, rate 1. What it leaves of the
-    budget goes to the other cells, which are fitted again to what their values still lack,
-    until no rate is above 1: so a rare value takes what it has and no more, and does not
-    set the size of the sample. Logs how many cells are kept whole and the share kept.
+    The budget is shared out by the targets; what values cannot give for lack of tokens goes to
+    the others, again by their targets, until no goal is more than its value has.
     """
-    if not 0 < share <= 1:
-        raise ValueError(f"a share of the tokens is above 0 and at most 1, not {share}")
-    names = list(targets)
-    free = written(cells.where(F.col("tokens") > 0))
-    total = free.agg(F.sum("tokens")).first()[0] or 0
-    left, whole, done, worst = share * total, 0, None, 0.0
+    shares = target.select(F.col("value").alias(name), F.col("share").cast("double").alias("share"))
+    held = cells.groupBy(name).agg(F.sum("tokens").alias("has")).join(shares, name, "left")
+    held = written(held.withColumn("share", F.coalesce("share", F.lit(0.0))))
+    scale, lacking = 0.0, -1
     while True:
-        shares = _present(free, targets)
-        fitted, off = _sweep(free, shares, max_sweeps, tolerance)
-        worst = max(worst, off)
-        rated = written(
-            fitted.select(*names, "tokens", (F.col("weight") * F.lit(float(left)) / F.col("tokens")).alias("rate"))
-        )
-        over = rated.where(F.col("rate") > 1 + 1e-12)
-        n, taken = over.agg(F.count("*"), F.sum("tokens")).first()
-        if not n:
+        lacks = F.col("has") <= F.lit(scale) * F.col("share")
+        n, has, rest = held.agg(
+            F.count(F.when(lacks, 1)),
+            F.coalesce(F.sum(F.when(lacks, F.col("has"))), F.lit(0.0)),
+            F.coalesce(F.sum(F.when(~lacks, F.col("share"))), F.lit(0.0)),
+        ).first()
+        if n == lacking or not rest:
             break
-        kept = over.withColumn("rate", F.lit(1.0))
-        done = kept if done is None else done.unionByName(kept)
-        whole += n
-        targets = {}
-        for name, known in shares.items():
-            used = over.groupBy(name).agg(F.sum("tokens").alias("used"))
-            lacks = F.col("share") * F.lit(float(left)) - F.coalesce("used", F.lit(0))
-            targets[name] = known.join(used, name, "left").select(
-                F.col(name).alias("value"), F.greatest(lacks, F.lit(0.0)).alias("share")
-            )
-        left -= taken
-        free = written(rated.where(F.col("rate") <= 1 + 1e-12).select(*names, "tokens"))
-    rates = written(rated if done is None else rated.unionByName(done))
-    sampled = rates.agg(F.sum(F.col("rate") * F.col("tokens"))).first()[0] or 0.0
-    _log.info(
-        "mixing samples %.4f of the tokens (budget %.4f), %d cells whole", sampled / max(total, 1), share, whole
+        scale, lacking = (budget - has) / rest, n
+    wanted = F.lit(scale) * F.col("share")
+    return held.select(
+        name, F.least("has", wanted).alias(f"goal_{name}"), (F.col("has") <= wanted).alias(f"all_{name}")
     )
-    return rates.withColumns({"rate": F.least("rate", F.lit(1.0)), "off": F.lit(worst)})
+
+
+def _full() -> Column:
+    return F.col("whole") | (F.col("weight") >= F.col("tokens"))
+
+
+def _swept(cells: DataFrame, names: list[str]) -> DataFrame:
+    """The cells with weights scaled to the goals of every dimension in turn, and how far off
+    each was before."""
+    for name in names:
+        value, goal = Window.partitionBy(name), F.col(f"goal_{name}")
+        cells = cells.withColumns(
+            {
+                "_full": F.sum(F.when(_full(), F.col("tokens")).otherwise(0.0)).over(value),
+                "_free": F.sum(F.when(_full(), 0.0).otherwise(F.col("weight"))).over(value),
+            }
+        )
+        total = F.col("_full") + F.col("_free")
+        scale = (
+            F.when((total < goal) & (F.col("_free") > 0), (goal - F.col("_full")) / F.col("_free"))
+            .when(total > goal, goal / total)
+            .otherwise(1.0)
+        )
+        cells = cells.withColumns(
+            {
+                "weight": F.col("weight") * scale,
+                f"off_{name}": F.when(goal > 0, F.abs(total / goal - 1)).otherwise(0.0),
+            }
+        ).drop("_full", "_free")
+    return cells
 
 
 def mix_sources(
@@ -193,20 +183,19 @@ def mix_sources(
     dimensions: dict[str, Column] | None = None,
     targets: dict[str, DataFrame] | None = None,
     temper: dict[str, float] = TEMPER,
+    share: float = SHARE,
     max_sweeps: int = MAX_SWEEPS,
     tolerance: float = TOLERANCE,
-    share: float | None = None,
 ) -> DataFrame:
     """All columns of `docs` and `_topic`, `_tokens`, `_probability`, `_sampled` and `_off`.
 
     The dimensions are expressions over `docs`, by default the columns `source` and `lang`
     and a topic read from the text; NULL is a value of its own. Targets are shares of the
     tokens by dimension (`value`, `share`; '=' before a value, '' for NULL), by default the
-    present ones tempered. With `share`, that share of all tokens is sampled, see
-    `fit_to_budget`. Without it the document of the most wanted cell has probability 1: the
-    expected tokens of the sample have the target shares, but the rarest value sets its
-    size. `_off` says how far the targets are missed, see `fit`. The draw depends on the key
-    alone: rows with one key are drawn alike. A cell without tokens has probability 0.
+    present ones tempered. `share` of all tokens is sampled, see `fit`, where `_off` is told
+    too. The draw depends on the key alone: rows with one key, or none, are drawn alike. A row
+    without tokens is sampled where its cell has tokens in other rows; a cell without any has
+    probability 0. The five new columns replace columns of the same name.
     """
     dimensions = dimensions or {
         "source": F.col("source"),
@@ -214,41 +203,34 @@ def mix_sources(
         "topic": topic_of(column_named(text)),
     }
     labels = {n: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("")) for n, c in dimensions.items()}
+    counted = word_count(column_named(text))
     cells = written(
-        docs.select(*[c.alias(n) for n, c in labels.items()], word_count(column_named(text)).alias("tokens"))
+        docs.select(*[c.alias(n) for n, c in labels.items()], counted.alias("tokens"))
         .groupBy(*labels)
         .agg(F.sum("tokens").alias("tokens"))
     )
-    targets = targets or tempered_targets(cells, temper)
-    named = [F.col(n).alias(f"_{n}_cell") for n in labels]
-    if share is not None:
-        rated = fit_to_budget(cells, targets, share, max_sweeps, tolerance)
-        rates = written(rated.select(*named, F.col("rate").alias("_rate"), F.col("off").alias("_off")))
-    else:
-        fitted = fit(cells, targets, max_sweeps, tolerance)
-        scaled = fitted.where(F.col("tokens") > 0).select(
-            *named, (F.col("weight") / F.col("tokens")).alias("_scale"), F.col("off").alias("_off")
-        )
-        top = scaled.agg(F.max("_scale").alias("_top"))
-        rates = written(
-            scaled.join(F.broadcast(top)).select(  # one row
-                *[f"_{n}_cell" for n in labels], (F.col("_scale") / F.col("_top")).alias("_rate"), "_off"
-            )
-        )
-    ready = docs.withColumns(
-        {f"_{n}_label": c for n, c in labels.items()} | {"_tokens": word_count(column_named(text))}
+    fitted = fit(cells, targets or tempered_targets(cells, temper), share, max_sweeps, tolerance)
+    off = fitted.agg(F.max("off")).first()[0] or 0.0
+    rates = written(fitted.select(*labels, "rate"))
+    # The input row is one column, so that its columns may have any names.
+    ready = docs.select(
+        F.struct(*[column_named(c) for c in docs.columns]).alias("row"),
+        *[c.alias(n) for n, c in labels.items()],
+        counted.alias("_tokens"),
+        draw(column_named(key)).alias("_draw"),
     )
-    on = [F.col(f"_{n}_label") == F.col(f"_{n}_cell") for n in labels]
-    rated = ready.join(broadcast_if_small(rates, MAX_BROADCAST_BYTES), on, "left")
-    rated = rated.withColumn("_probability", F.coalesce("_rate", F.lit(0.0)))
-    last = list(labels)[-1]
+    rated = ready.join(broadcast_if_small(rates, MAX_BROADCAST_BYTES), list(labels), "left")
+    probability = F.coalesce("rate", F.lit(0.0))
+    new = {
+        "_topic": F.substring(list(labels)[-1], 2, 1000),
+        "_tokens": F.col("_tokens"),
+        "_probability": probability,
+        "_sampled": F.col("_draw") < probability,
+        "_off": F.lit(off),
+    }
     return rated.select(
-        *[column_named(c) for c in docs.columns],
-        F.substring(f"_{last}_label", 2, 1000).alias("_topic"),
-        "_tokens",
-        "_probability",
-        (draw(column_named(key)) < F.col("_probability")).alias("_sampled"),
-        "_off",
+        *[F.col("row").getField(c).alias(c) for c in docs.columns if c not in new],
+        *[c.alias(n) for n, c in new.items()],
     )
 
 
@@ -256,29 +238,66 @@ def sampled_stage(
     docs: DataFrame, key: str = "doc_id", text: str = "text", share: float = SHARE
 ) -> DataFrame:
     """The sampled documents, `share` of all tokens, with the columns they had."""
-    mixed = mix_sources(docs, key, text, share=share)
-    return mixed.where("_sampled").select(*[column_named(c) for c in docs.columns])
-
-
-def mix_sql(sweeps: int) -> str:
-    """The same in SQL, for the default dimensions, with a fixed number of sweeps."""
+    marked = docs.select(
+        F.struct(*[column_named(c) for c in docs.columns]).alias("row"),
+        column_named(key).alias("key"),
+        column_named(text).alias("text"),
+        *[F.col(c) for c in ("source", "lang")],
+    )
+    mixed = mix_sources(marked, "key", "text", share=share, tolerance=STAGE_TOLERANCE)
+    return mixed.where("_sampled").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
+# Sweeps in SQL, several times as many as the tolerance takes on tables like the given ones.
+SQL_SWEEPS = 40
+
+
+def mix_sql(share: float = SHARE, sweeps: int = SQL_SWEEPS) -> str:
+    """The same in SQL, for the default dimensions, with a number of sweeps after which
+    weights no longer change in the places that are compared."""
+    goals = []
+    for name, power in TEMPER.items():
+        goals.append(
+            f"""has_{name} AS MATERIALIZED (
+  SELECT {name}, sum(tokens) AS has, pow(sum(tokens), {power}) AS share FROM cells GROUP BY {name}
+), filled_{name} AS MATERIALIZED (
+  SELECT *, ({share} * (SELECT sum(tokens) FROM cells)
+             - coalesce(sum(has) OVER (ORDER BY has / share, {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / sum(share) OVER (ORDER BY has / share, {name} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+            >= has / share AS all_{name}
+  FROM has_{name}
+), goal_{name} AS MATERIALIZED (
+  SELECT {name}, all_{name}, CASE WHEN all_{name} THEN has ELSE share
+    * ({share} * (SELECT sum(tokens) FROM cells) - coalesce(sum(has) FILTER (all_{name}) OVER (), 0))
+    / sum(share) FILTER (NOT all_{name}) OVER () END AS goal_{name}
+  FROM filled_{name}
+)"""
+        )
     steps, last = [], "start"
+    full = "(whole OR weight >= tokens)"
     for sweep in range(sweeps):
         for name in TEMPER:
             step = f"step_{sweep}_{name}"
             steps.append(
-                f"{step} AS MATERIALIZED (SELECT source, lang, topic, tokens, "
-                f"CASE WHEN sum(weight) OVER (PARTITION BY {name}) > 0 THEN weight * share "
-                f"/ sum(weight) OVER (PARTITION BY {name}) ELSE 0 END AS weight "
-                f"FROM {last} JOIN share_{name} USING ({name}))"
+                f"""{step} AS MATERIALIZED (
+  SELECT * EXCLUDE (weight, held, free), weight * CASE
+      WHEN held + free < goal_{name} AND free > 0 THEN (goal_{name} - held) / free
+      WHEN held + free > goal_{name} THEN goal_{name} / (held + free) ELSE 1 END AS weight
+  FROM (SELECT *, sum(CASE WHEN {full} THEN tokens ELSE 0 END) OVER (PARTITION BY {name}) AS held,
+               sum(CASE WHEN {full} THEN 0 ELSE weight END) OVER (PARTITION BY {name}) AS free FROM {last})
+)"""
             )
             last = step
-    shares = [
-        f"share_{name} AS MATERIALIZED (SELECT {name}, pow(sum(tokens), {power}) "
-        f"/ sum(pow(sum(tokens), {power})) OVER () AS share FROM cells GROUP BY {name})"
-        for name, power in TEMPER.items()
-    ]
-    ctes = ",\n".join([*shares, "start AS (SELECT *, CAST(tokens AS double) AS weight FROM cells)", *steps])
+    joins = " ".join(f"JOIN goal_{name} USING ({name})" for name in TEMPER)
+    whole = " OR ".join(f"all_{name}" for name in TEMPER)
+    ctes = ",\n".join(
+        [
+            *goals,
+            f"start AS MATERIALIZED (SELECT * EXCLUDE (tokens), CAST(tokens AS double) AS tokens, "
+            f"tokens * {share} AS weight, {whole} AS whole FROM cells {joins})",
+            *steps,
+        ]
+    )
     return f"""
 WITH docs AS MATERIALIZED (
   SELECT doc_id, coalesce('=' || source, '') AS source, coalesce('=' || lang, '') AS lang,
@@ -294,7 +313,7 @@ cells AS MATERIALIZED (
 ),
 {ctes},
 rates AS MATERIALIZED (
-  SELECT source, lang, topic, weight / tokens / max(weight / tokens) OVER () AS rate FROM {last}
+  SELECT source, lang, topic, CASE WHEN {full} THEN 1 ELSE weight / tokens END AS rate FROM {last}
 )
 SELECT doc_id, substr(topic, 2) AS topic, CAST(tokens AS bigint) AS tokens,
        round(coalesce(rate, 0), 6) AS probability,

@@ -37,7 +37,7 @@ def test_equals_sql(spark, name):
 
 def test_every_operator_is_registered():
     numbers = {int(n[2:].split("_")[0]) for n in entry.queries() if n.startswith("op")}
-    assert numbers == set(range(1, 11)) and "pipeline" in entry.queries()
+    assert numbers == set(range(1, 14)) and "pipeline" in entry.queries()
 
 
 # Audit
@@ -217,6 +217,14 @@ def test_long_conversations_over_many_partitions(spark):
 # Mixing
 
 
+def _given(rows, name):
+    """Tokens that are sampled by value of a dimension."""
+    sums = {}
+    for r in rows:
+        sums[r[name]] = sums.get(r[name], 0) + r["tokens"] * r["rate"]
+    return sums
+
+
 def test_marginals_reach_their_targets(spark):
     cells = spark.createDataFrame(
         [("a", "x", 10), ("a", "y", 30), ("b", "x", 50), ("b", "y", 5), ("c", "y", 0)],
@@ -226,21 +234,53 @@ def test_marginals_reach_their_targets(spark):
         "source": spark.createDataFrame([("a", 0.5), ("b", 0.4), ("c", 0.1)], "value string, share double"),
         "lang": spark.createDataFrame([("x", 0.25), ("y", 0.75)], "value string, share double"),
     }
-    fitted = raking.fit(cells, targets).collect()
-    for at, name, share in ((0, "a", 5 / 9), (0, "b", 4 / 9), (1, "x", 0.25), (1, "y", 0.75)):
-        total = sum(r["weight"] for r in fitted if r[("source", "lang")[at]] == name)
-        assert math.isclose(total, share, rel_tol=1e-5)
+    fitted = raking.fit(cells, targets, share=0.2).collect()
+    for name, shares in (("source", {"a": 5 / 9, "b": 4 / 9}), ("lang", {"x": 0.25, "y": 0.75})):
+        given = _given(fitted, name)
+        assert given.keys() == shares.keys()
+        for value, share in shares.items():
+            assert math.isclose(given[value], 0.2 * 95 * share, rel_tol=1e-9)
+    assert {r["off"] <= 1e-12 for r in fitted} == {True}
+    # A value without a target is not sampled; all else is as before.
+    some = {**targets, "lang": targets["lang"].where("value = 'y'")}
+    assert {r["lang"] for r in raking.fit(cells, some, share=0.2).where("rate > 0").collect()} == {"y"}
+
+
+def test_full_cells_and_values_are_made_up_for(spark):
+    rng = np.random.default_rng(4)
+    cells = [(f"s{i}", f"l{j}", int(rng.pareto(0.6) * 50) + 1) for i in range(12) for j in range(5)]
+    cells.append(("rare", "l0", 3))
+    df = spark.createDataFrame(cells, "source string, lang string, tokens bigint")
+    targets = raking.tempered_targets(df, {"source": 0.3, "lang": 0.7})
+    fitted = raking.fit(df, targets, share=0.6).collect()
+    total = sum(c[2] for c in cells)
+    assert math.isclose(sum(r["rate"] * r["tokens"] for r in fitted), 0.6 * total, rel_tol=1e-9)
+    assert [r["rate"] for r in fitted if r["source"] == "rare"] == [1.0] and max(r["rate"] for r in fitted) == 1.0
+    # Below 1 a rate is a product of one factor a dimension; a full cell's product is above 1.
+    free = [r for r in fitted if r["rate"] < 1]
+    names = sorted({r["source"] for r in free}), sorted({r["lang"] for r in free})
+    rows = np.zeros((len(free), len(names[0]) + len(names[1])))
+    for at, r in enumerate(free):
+        rows[at, names[0].index(r["source"])] = rows[at, len(names[0]) + names[1].index(r["lang"])] = 1
+    logs = np.log([r["rate"] for r in free])
+    factors = np.linalg.lstsq(rows, logs, rcond=None)[0]
+    assert np.abs(rows @ factors - logs).max() < 1e-9
 
 
 def test_mixing_odd_rows(docs_of, odd_rows):
     docs = docs_of(odd_rows).withColumn("source", F.when(F.col("doc_id") > 5, F.col("source")))
-    docs = docs.withColumn("tokens", F.lit("x")).withColumn("topic", F.lit("y"))
-    mixed = raking.mix_sources(docs).collect()
-    assert len(mixed) == len(odd_rows)
-    assert max(r["_probability"] for r in mixed) == 1.0
+    clashing = {c: F.lit("x") for c in ("tokens", "topic", "_rate", "_source_cell", "row", "rate", "_off", "a`b.c")}
+    docs = docs.withColumns(clashing)
+    mixed = raking.mix_sources(docs)
+    assert set(mixed.columns) == {*docs.columns, "_topic", "_tokens", "_probability", "_sampled", "_off"}
+    mixed = mixed.collect()
+    assert len(mixed) == len(odd_rows) and {r["_rate"] for r in mixed} == {"x"} == {r["a`b.c"] for r in mixed}
     assert all(0 <= r["_probability"] <= 1 for r in mixed)
+    wanted = sum(r["_tokens"] * r["_probability"] for r in mixed)
+    assert math.isclose(wanted, 0.7 * sum(r["_tokens"] for r in mixed), rel_tol=0.05)
     kept = raking.sampled_stage(docs)
     assert kept.columns == docs.columns
+    assert {tuple(r) for r in kept.collect()} <= {tuple(r) for r in docs.collect()}
     assert raking.mix_sources(docs.where("false")).count() == 0
 
 
@@ -249,27 +289,25 @@ def test_sweeps_go_on_until_the_targets_hold_or_say_how_far_off_they_are(spark):
     cells = [(f"s{i}", f"l{j}", hot[i] * (92 if i == j else 4)) for i in range(3) for j in range(3)]
     df = spark.createDataFrame(cells, "source string, lang string, tokens bigint")
     targets = raking.tempered_targets(df, {"source": 0.8, "lang": 0.9})
-    fitted = raking.fit(df, targets).collect()
-    assert {r["off"] for r in fitted} == {fitted[0]["off"]} and fitted[0]["off"] <= 1e-6
-    sums = {n: {} for n in targets}
-    for r in fitted:
-        for n in targets:
-            sums[n][r[n]] = sums[n].get(r[n], 0) + r["weight"]
+    fitted = raking.fit(df, targets, share=0.5, tolerance=1e-7).collect()
+    assert {r["off"] for r in fitted} == {fitted[0]["off"]} and fitted[0]["off"] <= 1e-7
     for n, target in targets.items():
-        for value, share in target.collect():
-            assert math.isclose(sums[n][value], share, rel_tol=2e-6)
-    early = raking.fit(df, targets, max_sweeps=2).first()
-    assert early["off"] > 1e-3
+        given, shares = _given(fitted, n), {r["value"]: r["share"] for r in target.collect()}
+        for value, share in shares.items():
+            wanted = 0.5 * 1_000_000 * share / sum(shares.values())
+            assert math.isclose(given[value], wanted, rel_tol=1e-6)
+    early = raking.fit(df, targets, share=0.5, max_sweeps=2).first()
+    assert early["off"] > 1e-5
     # Each source in one language: the targets contradict each other.
     apart = df.where("substr(source, 2) = substr(lang, 2)")
-    assert raking.fit(apart, targets).first()["off"] > 1e-3
+    assert raking.fit(apart, targets, share=0.5).first()["off"] > 1e-3
 
 
 def test_a_rare_value_does_not_set_the_size_of_the_sample(spark):
     rows = [(i, "word " * (20 + i % 7), f"s{i % 10 // 6}", ("en", "de", "en")[i % 3]) for i in range(600)]
     rows.append((600, "five words of new source", "rare", "en"))
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string")
-    mixed = raking.mix_sources(docs, share=0.7).collect()
+    mixed = raking.mix_sources(docs).collect()
     total = sum(r["_tokens"] for r in mixed)
     wanted = sum(r["_tokens"] * r["_probability"] for r in mixed)
     assert math.isclose(wanted, 0.7 * total, rel_tol=1e-9)
@@ -278,7 +316,7 @@ def test_a_rare_value_does_not_set_the_size_of_the_sample(spark):
     # The others have what is left of the budget, in the shares of their targets.
     tokens = {s: sum(r["_tokens"] for r in mixed if r["source"] == s) for s in ("s0", "s1")}
     found = {s: sum(r["_tokens"] * r["_probability"] for r in mixed if r["source"] == s) for s in tokens}
-    assert math.isclose(found["s0"] / found["s1"], (tokens["s0"] / tokens["s1"]) ** 0.8, rel_tol=1e-5)
+    assert math.isclose(found["s0"] / found["s1"], (tokens["s0"] / tokens["s1"]) ** 0.8, rel_tol=1e-9)
     assert raking.sampled_stage(docs).count() > 0.6 * 601
 
 
