@@ -1,29 +1,62 @@
-"""Tables of the session catalog: create, load, replace, list, describe."""
+"""Tables of the session catalog: create, load, replace, list, describe.
+
+A table that is loaded or derived is a version with a name of its own, and a view of the
+table's name that points to it. One statement moves the view, so at no moment is there no
+table, whatever the new version's columns are; readers that have begun keep the version they
+began with, which stays for one more replacement.
+"""
 
 from __future__ import annotations
 
+import atexit
 import json
+import logging
 import re
+import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from ..functions import column_named
+from ..session import ensure_checkpoint_dir
 from .schemas import COLUMNS_META, TABLES_META
 
+VERSION = "__v"
+POINTS_TO, BEFORE = "tallyfield.points_to", "tallyfield.before"
+
 
 def scan(spark: SparkSession, name: str) -> DataFrame:
     """A table by its qualified name, or a Parquet path."""
     return spark.read.parquet(name) if "/" in name else spark.table(name)
 
 
-def create_schema(spark: SparkSession, schema: str, comment: str = "") -> None:
+def create_schema(
+    spark: SparkSession, schema: str, comment: str = "", location: str | None = None
+) -> None:
+    at = f" LOCATION '{_quoted(location)}'" if location else ""
     spark.sql(
-        "CREATE SCHEMA IF NOT EXISTS IDENTIFIER(:name) COMMENT '" + _quoted(comment) + "'",
+        "CREATE SCHEMA IF NOT EXISTS IDENTIFIER(:name) COMMENT '" + _quoted(comment) + "'" + at,
         args={"name": schema},
     )
 
 
+def scratch_schema(spark: SparkSession) -> str:
+    """A new schema below the shared checkpoint folder, dropped when the driver ends."""
+    ensure_checkpoint_dir(spark)
+    name = f"scratch_{uuid.uuid4().hex}"
+    create_schema(spark, name, "scratch", f"{spark.sparkContext.getCheckpointDir()}/{name}")
+    atexit.register(_drop_schema, spark, name)
+    return name
+
+
+def _drop_schema(spark: SparkSession, name: str) -> None:
+    try:
+        spark.sql(f"DROP SCHEMA IF EXISTS {_ticked(name)} CASCADE")
+    except Exception as error:  # the session may be gone already
+        logging.getLogger(__name__).info("a scratch schema was left behind: %s", error)
+
+
 def load_table(
     spark: SparkSession, name: str, rows: DataFrame | list, schema: T.StructType, comment: str = ""
 ) -> None:
@@ -50,39 +83,84 @@ def declared_columns(rows: DataFrame, schema: T.StructType) -> DataFrame:
 def write_table(df: DataFrame, name: str, comment: str = "", order_by: tuple = ()) -> None:
     """Replace the whole of a derived table.
 
-    The rows are written beside it first: until they are complete the old table stays,
-    and `df` may read it. The order only clusters the files; readers sort again.
+    Until the rows are complete the old table stays, and `df` may read it. The order only
+    clusters the files; readers sort again.
     """
     _replace(df.orderBy(*order_by) if order_by else df, name, comment)
 
 
 def _replace(df: DataFrame, name: str, comment: str) -> None:
-    """Write beside the table, put the old one aside, and drop it when the new one is there."""
+    """Write a new version, move the view to it, and drop all but it and the one before."""
     spark = df.sparkSession
     recover_table(spark, name)
-    staged, aside = _beside(name, STAGED), _beside(name, ASIDE)
-    df.write.mode("overwrite").format("parquet").saveAsTable(staged)
-    if comment:
-        spark.sql(f"COMMENT ON TABLE {staged} IS '" + _quoted(comment) + "'")
-    if spark.catalog.tableExists(_beside(name)):
-        spark.sql(f"ALTER TABLE {_beside(name)} RENAME TO {aside}")
-    spark.sql(f"ALTER TABLE {staged} RENAME TO {_beside(name)}")
-    spark.sql(f"DROP TABLE IF EXISTS {aside}")
+    version = _beside(name, f"{VERSION}{time.time_ns():020d}_{uuid.uuid4().hex[:6]}")
+    before = _pointer(spark, name).get(POINTS_TO, "")
+    df.write.mode("error").format("parquet").saveAsTable(version)
+    _point(spark, name, version, before, comment)
+    _drop_versions(spark, name, keep=(version, before))
 
 
-def recover_table(spark: SparkSession, name: str) -> None:
-    """Finish what an interrupted replacement left: put the old table back if there is no
-    new one, and drop what lies beside it. Does nothing otherwise."""
-    aside = _beside(name, ASIDE)
-    if spark.catalog.tableExists(aside):
-        if not spark.catalog.tableExists(_beside(name)):
-            spark.sql(f"ALTER TABLE {aside} RENAME TO {_beside(name)}")
-        else:
-            spark.sql(f"DROP TABLE {aside}")
-    spark.sql(f"DROP TABLE IF EXISTS {_beside(name, STAGED)}")
+def _point(spark: SparkSession, name: str, version: str, before: str, comment: str) -> None:
+    """Let the name mean a version: one statement, also where it meant another one before."""
+    about = f"'{POINTS_TO}' = '{_quoted(version)}', '{BEFORE}' = '{_quoted(before)}'"
+    said = f"COMMENT '{_quoted(comment)}' " if comment else ""
+    spark.sql(
+        f"CREATE OR REPLACE VIEW {_beside(name)} {said}TBLPROPERTIES ({about}) AS SELECT * FROM {version}"
+    )
+
 
+def _pointer(spark: SparkSession, name: str) -> dict[str, str]:
+    """What the view of this name points to, and the version before; empty if there is none."""
+    if not spark.catalog.tableExists(_beside(name)):
+        return {}
+    return _facts(spark, name_parts(name), follow=False).get("table_properties", {})
 
-STAGED, ASIDE = "__staged", "__before"
+
+def _versions(spark: SparkSession, name: str) -> list[str]:
+    """Quoted names of all versions that are written in full, oldest first."""
+    parts = name_parts(name)
+    inside = f" IN {'.'.join(map(_ticked, parts[:-1]))}" if parts[:-1] else ""
+    listed = [row["tableName"] for row in spark.sql(f"SHOW TABLES{inside}").collect()]
+    wanted = re.compile(re.escape(parts[-1].lower()) + _VERSION_ENDING)
+    found = sorted(t for t in listed if wanted.fullmatch(t.lower()))
+    return [".".join(map(_ticked, [*parts[:-1], t])) for t in found]
+
+
+_VERSION_ENDING = VERSION + r"\d{20}_[0-9a-f]{6}"
+
+
+def _drop_versions(spark: SparkSession, name: str, keep: tuple[str, ...] = ()) -> None:
+    for version in _versions(spark, name):
+        if version not in keep:
+            spark.sql(f"DROP TABLE IF EXISTS {version}")
+
+
+def recover_table(spark: SparkSession, name: str) -> None:
+    """Make a name a view of a version again, after anything that was interrupted.
+
+    A plain table of this name, made by other means, becomes its first version; should that
+    be interrupted between its two statements, the next call points to the version. Rows
+    that were being written when the driver was lost are no version, and those that
+    never got the view are dropped by the next replacement. Does nothing otherwise.
+    """
+    plain = spark.catalog.tableExists(_beside(name))
+    if plain and _facts(spark, name_parts(name), follow=False).get("type") != "VIEW":
+        version = _beside(name, f"{VERSION}{time.time_ns():020d}_{uuid.uuid4().hex[:6]}")
+        comment = _facts(spark, name_parts(name), follow=False).get("comment") or ""
+        spark.sql(f"ALTER TABLE {_beside(name)} RENAME TO {version}")
+        _point(spark, name, version, "", comment)
+    elif not plain:
+        versions = _versions(spark, name)
+        if versions:
+            _point(spark, name, versions[-1], "", "")
+
+
+def drop_table(spark: SparkSession, name: str) -> None:
+    """Drop a table with all its versions; a plain table or view as well."""
+    if spark.catalog.tableExists(_beside(name)):
+        is_view = _facts(spark, name_parts(name), follow=False).get("type") == "VIEW"
+        spark.sql(f"DROP {'VIEW' if is_view else 'TABLE'} {_beside(name)}")
+    _drop_versions(spark, name)
 
 
 def _beside(name: str, ending: str = "") -> str:
@@ -154,7 +232,11 @@ def _listed(spark: SparkSession, schema: str, catalog: str | None) -> list[list[
         parts = [spark.catalog.currentCatalog(), *parts]
     inside = ".".join(map(_ticked, parts))
     rows = spark.sql(f"SHOW TABLES IN {inside}").collect()
-    return [[*parts, row["tableName"]] for row in rows if not row["isTemporary"]]
+    names = [row["tableName"] for row in rows if not row["isTemporary"]]
+    version = re.compile("(.*)" + _VERSION_ENDING)
+    # A version is no table of its own where its view is there.
+    hidden = {n for n in names if (found := version.fullmatch(n)) and found[1] in names}
+    return [[*parts, name] for name in names if name not in hidden]
 
 
 def _table_meta(name: list[str], facts: dict) -> tuple:
@@ -201,6 +283,12 @@ def _type_text(kind: dict) -> str:
     return {"timestamp_ltz": "timestamp", "integer": "int"}.get(name, name)
 
 
-def _facts(spark: SparkSession, name: list[str]) -> dict:
+def _facts(spark: SparkSession, name: list[str], follow: bool = True) -> dict:
+    """What the catalog knows of a table; of a view that points to a version, the version's
+    facts under the view's name and comment."""
     full = ".".join(map(_ticked, name))
-    return json.loads(spark.sql(f"DESCRIBE TABLE EXTENDED {full} AS JSON").first()[0])
+    facts = json.loads(spark.sql(f"DESCRIBE TABLE EXTENDED {full} AS JSON").first()[0])
+    version = facts.get("table_properties", {}).get(POINTS_TO)
+    if not version or not follow:
+        return facts
+    return {**_facts(spark, name_parts(version)), "comment": facts.get("comment")}

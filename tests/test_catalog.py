@@ -1,4 +1,7 @@
+import threading
+
 import pytest
+from pyspark.sql import DataFrameWriter
 
 from tallyfield.operators import metadata, sales
 from tallyfield.plans import jobs
@@ -62,7 +65,7 @@ def test_inventory(spark, namespace):
         tables, f"spark_catalog.{namespace}.products"
     ).collect()
     assert (row["type"], row["data_source_format"]) == ("MANAGED", "parquet")
-    assert row["storage_location"].endswith("/products")
+    assert "/products__v" in row["storage_location"]
 
 
 def test_columns_inventory(spark, namespace):
@@ -90,20 +93,91 @@ def test_load_takes_columns_by_name_and_casts(spark, namespace):
     with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
         catalog.load_table(spark, f"{namespace}.one_product", wrong, schemas.PRODUCTS)
     assert rows_of(spark.table(f"{namespace}.one_product").select("product_name")) == [("n",)]
-    spark.sql(f"DROP TABLE IF EXISTS {namespace}.one_product")
+    catalog.drop_table(spark, f"{namespace}.one_product")
+
 
+def _tables(spark, namespace, start):
+    listed = spark.sql(f"SHOW TABLES IN {namespace}").collect()
+    return sorted(r["tableName"] for r in listed if r["tableName"].startswith(start))
 
-def test_an_interrupted_replacement_is_finished(spark, namespace):
+
+def test_a_reader_always_finds_a_table(spark, namespace):
+    """Fifty replacements, of changing columns, beside a reader that never stops."""
+    name = f"{namespace}.moving"
+    catalog.write_table(spark.range(3), name)
+    found, failures, done = [], [], threading.Event()
+
+    def read():
+        other = spark.newSession()
+        while not done.is_set():
+            try:
+                found.append(other.table(name).count())
+            except Exception as error:
+                failures.append(error)
+
+    reader = threading.Thread(target=read)
+    reader.start()
+    try:
+        for i in range(50):
+            df = spark.range(3) if i % 2 else spark.range(4).selectExpr("id AS k", "'x' AS v")
+            catalog.write_table(df.coalesce(1), name, f"round {i}")
+    finally:
+        done.set()
+        reader.join()
+    assert not failures and len(found) > 10 and set(found) <= {3, 4}
+    # The view, its version and the one before.
+    assert len(_tables(spark, namespace, "moving")) == 3
+    catalog.drop_table(spark, name)
+    assert _tables(spark, namespace, "moving") == []
+
+
+@pytest.mark.parametrize("at", range(8))
+@pytest.mark.parametrize("plain", [False, True])
+def test_a_stop_between_any_two_statements_leaves_a_table(spark, namespace, monkeypatch, at, plain):
+    """The driver is lost after `at` statements that change something."""
+    name = f"{namespace}.stopped"
+    if plain:
+        spark.range(3).write.saveAsTable(name)
+    else:
+        for _ in range(3):
+            catalog.write_table(spark.range(3), name, "old")
+    left = [at]
+    sql, save = type(spark).sql, DataFrameWriter.saveAsTable
+
+    def stop(first):
+        if first.startswith(("CREATE", "ALTER", "DROP", "save")):
+            if not left[0]:
+                raise KeyboardInterrupt
+            left[0] -= 1
+
+    monkeypatch.setattr(type(spark), "sql", lambda self, q, *a, **k: (stop(q), sql(self, q, *a, **k))[1])
+    monkeypatch.setattr(DataFrameWriter, "saveAsTable", lambda self, *a, **k: (stop("save"), save(self, *a, **k))[1])
+    stopped = False
+    try:
+        catalog.write_table(spark.range(9), name, "new")
+    except KeyboardInterrupt:
+        stopped = True
+    monkeypatch.undo()
+    if plain and at == 1:  # between the two statements that make a plain table a version
+        assert stopped and not spark.catalog.tableExists(name)
+        catalog.recover_table(spark, name)
+    assert spark.table(name).count() == (9 if not stopped or at >= (4 if plain else 2) else 3)
+    catalog.write_table(spark.range(5), name, "newer")
+    assert spark.table(name).count() == 5 and len(_tables(spark, namespace, "stopped")) <= 3
+    catalog.drop_table(spark, name)
+    assert _tables(spark, namespace, "stopped") == []
+
+
+def test_a_version_that_lost_its_view_is_found_again(spark, namespace):
     name = f"{namespace}.halfway"
     catalog.write_table(spark.range(3), name)
-    # As after a stop between the two renames.
-    spark.sql(f"ALTER TABLE {name} RENAME TO {name}__before")
-    spark.range(9).write.saveAsTable(f"{name}__staged")
+    spark.sql(f"DROP VIEW {name}")
+    assert len(catalog.harvest_tables(spark, namespace).where("name LIKE 'halfway%'").collect()) == 1
     catalog.recover_table(spark, name)
     assert spark.table(name).count() == 3
-    left = {r["tableName"] for r in spark.sql(f"SHOW TABLES IN {namespace}").collect()}
-    assert not {x for x in left if x.startswith("halfway__")}
-    spark.sql(f"DROP TABLE {name}")
+    (row,) = catalog.harvest_tables(spark, namespace).where("name LIKE 'halfway%'").collect()
+    assert (row["name"], row["table_type"]) == ("halfway", "MANAGED")
+    catalog.drop_table(spark, name)
 
 
 def test_catalog_and_single_table(spark, namespace):
@@ -136,5 +210,4 @@ def test_a_failed_build_leaves_the_old_table(spark, namespace):
     tables = catalog.harvest_tables(spark, namespace)
     (row,) = metadata.describe_table(tables, f"spark_catalog.{name}").collect()
     assert row["comment"] == "two"
-    spark.sql(f"DROP TABLE {name}")
-    spark.sql(f"DROP TABLE IF EXISTS {name}__staged")
+    catalog.drop_table(spark, name)
