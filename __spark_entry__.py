@@ -23,7 +23,8 @@ from tallyfield.operators import (  # noqa: E402
     sales,
 )
 from tallyfield.plans import jobs  # noqa: E402
-from tallyfield.sources import catalog, star  # noqa: E402
+from tallyfield.sources import catalog, live, star  # noqa: E402
+from tallyfield.sources.schemas import PRODUCTS  # noqa: E402
 
 # The training-data operators are a part of their own; everything else works without it.
 try:
@@ -36,6 +37,12 @@ except ModuleNotFoundError as missing:
 # Money in the test tables has two decimal places.
 CENTS = 2
 NAMESPACE = "lake.shop"
+DERIVED = (
+    "monthly_sales_summary",
+    "product_sales_ranking",
+    "customer_segment_performance",
+    "channel_category_analysis",
+)
 PART = "lake.mart.part_42"
 SUPPLIER = "lake.raw.supplier_7"
 ORDER_ROW = T.StructType(
@@ -99,6 +106,38 @@ def _masked_customers(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _derived(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A derived table, built and written by its job, as it is read back."""
+    schema = live.loaded_shop(spark, d, jobs.jobs()[name].sources)
+    jobs.run_job(spark, name, schema)
+    return catalog.scan(spark, f"{schema}.{name}")
+
+
+def _loaded_products(spark: SparkSession, d: str) -> DataFrame:
+    schema = live.loaded_shop(spark, d, ("products",), times=2)
+    return catalog.scan(spark, f"{schema}.products")
+
+
+def _harvested_tables(spark: SparkSession, d: str) -> DataFrame:
+    schema = live.listed_files(spark, d)
+    found = metadata.search_tables(catalog.harvest_tables(spark, schema), "spark_catalog", schema)
+    return found.drop("full_name")
+
+
+def _harvested_columns(spark: SparkSession, d: str) -> DataFrame:
+    found = metadata.describe_columns(catalog.harvest_columns(spark, live.listed_files(spark, d)))
+    return found.withColumn("full_name", F.substring_index("full_name", ".", -1))
+
+
+def _one_live_table(spark: SparkSession, d: str) -> DataFrame:
+    schema = live.loaded_shop(spark, d, ("products",))
+    table, columns = catalog.describe_one(spark, f"{schema}.products")
+    about = metadata.describe_table(table).select(
+        "full_name", F.col("type").alias("table_type"), "data_source_format", F.col("comment").alias("table_comment")
+    )
+    return metadata.describe_columns(columns).join(about, "full_name").drop("full_name")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return core_queries() | (llm_queries.queries() if llm_queries else {})
 
@@ -218,7 +257,11 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             star.region_policy(s, d),
         ),
         "apply_column_mask": _masked_customers,
-    }
+        "loaded_products": _loaded_products,
+        "harvested_tables": _harvested_tables,
+        "harvested_columns": _harvested_columns,
+        "one_live_table": _one_live_table,
+    } | {f"built_{name}": lambda s, d, name=name: _derived(s, d, name) for name in DERIVED}
 
 
 # ---------------------------------------------------------------------------------------
@@ -354,7 +397,44 @@ WITH result_rows AS (
 """
 
 
+_LIVE_NAMES = ", ".join(f"'{name}'" for name in star.TABLES)
+_LIVE_TYPE = """CASE data_type WHEN 'VARCHAR' THEN 'string' WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int'
+  WHEN 'DOUBLE' THEN 'double' WHEN 'FLOAT[]' THEN 'array<float>' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' END"""
+_PRODUCT_COLUMNS = [(f.name, f.dataType.simpleString(), f.metadata["comment"]) for f in PRODUCTS.fields]
+_PRODUCT_ROWS = ", ".join(f"({i}, '{n}', '{t}', '{c}')" for i, (n, t, c) in enumerate(_PRODUCT_COLUMNS))
+
+
 def core_oracle_sql() -> dict[str, str]:
+    own = _core_sql()
+    return own | {
+        "built_monthly_sales_summary": own["monthly_sales_summary"],
+        "built_product_sales_ranking": own["product_sales_ranking"],
+        "built_customer_segment_performance": own["customer_segment_performance"],
+        "built_channel_category_analysis": own["channel_category_analysis"],
+        "loaded_products": """
+SELECT CAST(p_partkey AS integer) AS product_id, p_name AS product_name, p_type AS category,
+       p_retailprice AS unit_price, p_size AS stock_qty, p_brand AS supplier,
+       make_date(2024, p_size % 12 + 1, 5) AS launch_date
+FROM part
+""",
+        "harvested_tables": f"""
+SELECT DISTINCT table_name AS name, 'EXTERNAL' AS type, '' AS comment, table_name AS display_name
+FROM information_schema.tables WHERE table_name IN ({_LIVE_NAMES})
+""",
+        "harvested_columns": f"""
+SELECT DISTINCT table_name AS full_name, CAST(ordinal_position - 1 AS integer) AS position,
+       column_name AS "column", {_LIVE_TYPE} AS type, 'Yes' AS nullable, '' AS comment
+FROM information_schema.columns WHERE table_name IN ({_LIVE_NAMES})
+""",
+        "one_live_table": f"""
+SELECT CAST(position AS integer) AS position, name AS "column", kind AS type, 'Yes' AS nullable, said AS comment,
+       'MANAGED' AS table_type, 'parquet' AS data_source_format, 'Product catalog' AS table_comment
+FROM (VALUES {_PRODUCT_ROWS}) AS t(position, name, kind, said)
+""",
+    }
+
+
+def _core_sql() -> dict[str, str]:
     return {
         "monthly_sales_summary": _MONTHLY,
         "monthly_preview": _MONTHLY + "ORDER BY 1, 2, 3 LIMIT 10",
