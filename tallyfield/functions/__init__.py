@@ -1,5 +1,5 @@
 from .joins import broadcast_if_small, fits_broadcast
-from .measures import exact_total, mean_of, month_label, month_start
+from .measures import exact_total, mean_of, month_label, month_start, sum_in_any_order
 from .running import beside_ranges, range_number, ranged, running_total
 from .text import (
     base64_line,
@@ -30,5 +30,6 @@ __all__ = [
     "range_number",
     "ranged",
     "running_total",
+    "sum_in_any_order",
     "yes_no",
 ]

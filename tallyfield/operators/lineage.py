@@ -6,10 +6,12 @@ An event log has one row per observed read or write, with `source_table_full_nam
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import broadcast_if_small, dotted_name
+from ..session import ensure_checkpoint_dir
+from ..sources import catalog
 
 SOURCE = "source_table_full_name"
 TARGET = "target_table_full_name"
@@ -19,6 +21,9 @@ NEIGHBOUR_LIMIT = 100
 SENT_LIMIT = 1000
 SHARES = 64
 
+# Parts an edge table is cut into by table name: a lookup reads one of them.
+BUCKETS = 64
+
 _NODE = "struct<tableInfo: struct<catalog_name: string, schema_name: string, name: string, table_type: string>>"
 LINEAGE_DOCUMENT = f"upstreams array<{_NODE}>, downstreams array<{_NODE}>"
 
@@ -50,19 +55,7 @@ def lineage_for_all(events: DataFrame, limit: int = NEIGHBOUR_LIMIT) -> DataFram
     is cut into shares that are limited apart, so that no task gets more than the first
     `limit` of each share.
     """
-    edges = (
-        events.where(F.col(SOURCE).isNotNull() & F.col(TARGET).isNotNull())
-        .select(SOURCE, TARGET)
-        .distinct()
-    )
-    both = edges.select(
-        F.inline(
-            F.array(
-                _link(F.col(TARGET), "upstream", F.col(SOURCE)),
-                _link(F.col(SOURCE), "downstream", F.col(TARGET)),
-            )
-        )
-    )
+    both = _both_ways(events)
     by_name = Window.partitionBy("table", "direction").orderBy("tbl")
     if limit > SENT_LIMIT:
         # Up to there Spark limits on the sending side by itself.
@@ -77,6 +70,61 @@ def lineage_for_all(events: DataFrame, limit: int = NEIGHBOUR_LIMIT) -> DataFram
     )
 
 
+def merge_edges(spark: SparkSession, name: str, events: DataFrame, buckets: int = BUCKETS) -> int:
+    """Add the edges of new events to the edge table `name`; gives how many were new.
+
+    The table has `table, tbl`, each edge once for either direction, in folders by `direction`
+    and `bucket`, a hash of `table`. It is made if it is not there. Events that were merged
+    before add nothing, so a merge that was interrupted, or came twice, is run again. Only the
+    new events are shuffled, and what the table has of them. One merge runs at a time.
+    """
+    edges = _both_ways(events).withColumn("bucket", _bucket(F.col("table"), buckets))
+    if not spark.catalog.tableExists(name):
+        catalog.write_table(edges.limit(0), name, "Lineage edges", partition_by=("direction", "bucket"))
+    known = spark.table(name)
+    key = ["direction", "bucket", "table", "tbl"]
+    ensure_checkpoint_dir(spark)
+    new = edges.join(known, key, "left_anti").repartition("direction", "bucket").checkpoint()
+    n = new.count()
+    if n:
+        catalog.append_table(new, name)
+    return n
+
+
+def neighbours_from_edges(
+    edges: DataFrame, table: str, direction: str, limit: int = NEIGHBOUR_LIMIT, buckets: int = BUCKETS
+) -> DataFrame:
+    """The `upstream` or `downstream` tables of one table, the first `limit` by name, from an
+    edge table: only files of its bucket are read."""
+    found = edges.where(
+        (F.col("direction") == F.lit(direction))
+        & (F.col("bucket") == _bucket(F.lit(table), buckets))
+        & (F.col("table") == F.lit(table))
+    )
+    return found.select("tbl").distinct().orderBy("tbl").limit(limit)
+
+
+def _bucket(table, buckets: int):
+    return F.pmod(F.xxhash64(table), F.lit(buckets)).cast("int")
+
+
+def _both_ways(events: DataFrame) -> DataFrame:
+    """Each different edge of a log, once for either end: `table, direction, tbl`."""
+    edges = (
+        events.where(F.col(SOURCE).isNotNull() & F.col(TARGET).isNotNull())
+        .select(SOURCE, TARGET)
+        .distinct()
+    )
+    return edges.select(
+        F.inline(
+            F.array(
+                _link(F.col(TARGET), "upstream", F.col(SOURCE)),
+                _link(F.col(SOURCE), "downstream", F.col(TARGET)),
+            )
+        )
+    )
+
+
 def _link(table, direction: str, neighbour):
     return F.struct(
         table.alias("table"), F.lit(direction).alias("direction"), neighbour.alias("tbl")
@@ -89,32 +137,36 @@ def lineage_edges_from_documents(documents: DataFrame, mode: str = "PERMISSIVE")
     Input: `table` and its `document` as JSON text. Nodes that are not plain tables, or
     lack part of their name, are left out. With mode FAILFAST an unreadable document
     stops the job; otherwise it names no neighbours.
+
+    Equal documents are merged on the sending side and dealt out by their text before they
+    are parsed, so that neither a document that holds many rows nor a large file is parsed in
+    one task. A document's names are made distinct within it, so that no more rows than it has
+    different neighbours leave it.
     """
-    parsed = documents.select(
+    spread = documents.select("table", "document").distinct()
+    parsed = spread.select(
         "table", F.from_json("document", LINEAGE_DOCUMENT, {"mode": mode}).alias("d")
     )
     sides = parsed.select(
         "table",
         F.inline(
             F.array(
-                F.struct(F.lit("upstream").alias("direction"), F.col("d.upstreams").alias("nodes")),
-                F.struct(F.lit("downstream").alias("direction"), F.col("d.downstreams").alias("nodes")),
+                F.struct(F.lit("upstream").alias("direction"), _table_names("d.upstreams").alias("names")),
+                F.struct(F.lit("downstream").alias("direction"), _table_names("d.downstreams").alias("names")),
             )
         ),
     )
-    info = sides.select("table", "direction", F.explode("nodes").alias("node")).select(
-        "table", "direction", "node.tableInfo.*"
-    )
-    return (
-        info.where(F.col("table_type") == "TABLE")
-        .select(
-            "table",
-            "direction",
-            dotted_name(F.col("catalog_name"), F.col("schema_name"), F.col("name")).alias("tbl"),
-        )
-        .where(F.col("tbl").isNotNull())
-        .distinct()
+    return sides.select("table", "direction", F.explode("names").alias("tbl")).distinct()
+
+
+def _table_names(nodes: str):
+    """The different full names of the plain tables among the nodes."""
+    plain = F.filter(nodes, lambda n: n["tableInfo"]["table_type"] == "TABLE")
+    names = F.transform(
+        plain,
+        lambda n: dotted_name(*[n["tableInfo"][part] for part in ("catalog_name", "schema_name", "name")]),
     )
+    return F.array_distinct(F.array_compact(names))
 
 
 def neighbours_in_documents(documents: DataFrame, table: str, direction: str) -> DataFrame:

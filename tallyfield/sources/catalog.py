@@ -16,12 +16,17 @@ import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import column_named
 from ..session import ensure_checkpoint_dir
 from .schemas import COLUMNS_META, TABLES_META
 
+_log = logging.getLogger(__name__)
+
+# How many times an even bucket the most frequent key may be, for a table to be bucketed.
+BUCKET_SHARE = 4
 VERSION = "__v"
 POINTS_TO, BEFORE = "tallyfield.points_to", "tallyfield.before"
 
@@ -54,20 +59,43 @@ def _drop_schema(spark: SparkSession, name: str) -> None:
     try:
         spark.sql(f"DROP SCHEMA IF EXISTS {_ticked(name)} CASCADE")
     except Exception as error:  # the session may be gone already
-        logging.getLogger(__name__).info("a scratch schema was left behind: %s", error)
+        _log.info("a scratch schema was left behind: %s", error)
 
 
 def load_table(
-    spark: SparkSession, name: str, rows: DataFrame | list, schema: T.StructType, comment: str = ""
+    spark: SparkSession,
+    name: str,
+    rows: DataFrame | list,
+    schema: T.StructType,
+    comment: str = "",
+    bucket_by: tuple[str, ...] = (),
+    buckets: int = 64,
 ) -> None:
     """Fill a table of declared columns anew; loading twice leaves the same rows.
 
     A list is for a few literal rows. Columns of a DataFrame are taken by name, cast to
     the declared types, and a value that does not fit stops the load: the old rows stay.
+
+    With `bucket_by` the rows are written in so many buckets by these columns, sorted in each:
+    tables with equal buckets are joined and grouped on them without an exchange. A bucket is
+    read by one task, so a key that holds more than BUCKET_SHARE times a bucket's even part of the
+    rows makes this worse than an exchange, where hot keys are split: such a table is
+    written without buckets, and a warning says so. To know, the keys are counted first.
     """
     if isinstance(rows, list):
         rows = spark.createDataFrame(rows, schema)
-    _replace(declared_columns(rows, schema), name, comment)
+    declared = declared_columns(rows, schema)
+    if bucket_by and _hottest(declared, bucket_by) * buckets > BUCKET_SHARE:
+        _log.warning("%s is written without buckets: one key of %s holds too many rows", name, bucket_by)
+        bucket_by = ()
+    _replace(declared, name, comment, bucket_by=bucket_by, buckets=buckets)
+
+
+def _hottest(rows: DataFrame, key: tuple[str, ...]) -> float:
+    """The share of the rows that the most frequent key has."""
+    counts = rows.groupBy(*[column_named(c) for c in key]).agg(F.count(F.lit(1)).alias("n"))
+    most, total = counts.agg(F.max("n"), F.sum("n")).first()
+    return most / total if total else 0.0
 
 
 def declared_columns(rows: DataFrame, schema: T.StructType) -> DataFrame:
@@ -80,22 +108,46 @@ def declared_columns(rows: DataFrame, schema: T.StructType) -> DataFrame:
     )
 
 
-def write_table(df: DataFrame, name: str, comment: str = "", order_by: tuple = ()) -> None:
+def write_table(
+    df: DataFrame, name: str, comment: str = "", order_by: tuple = (), partition_by: tuple[str, ...] = ()
+) -> None:
     """Replace the whole of a derived table.
 
     Until the rows are complete the old table stays, and `df` may read it. The order only
-    clusters the files; readers sort again.
+    clusters the files; readers sort again. `partition_by` puts rows into folders by value.
     """
-    _replace(df.orderBy(*order_by) if order_by else df, name, comment)
+    _replace(df.orderBy(*order_by) if order_by else df, name, comment, partition_by=partition_by)
 
 
-def _replace(df: DataFrame, name: str, comment: str) -> None:
+def append_table(df: DataFrame, name: str) -> None:
+    """Add rows to the version that the table's name points to; columns go by their names."""
+    spark = df.sparkSession
+    version = _pointer(spark, name)[POINTS_TO]
+    df.select(*[column_named(c) for c in spark.table(version).columns]).write.insertInto(version)
+    spark.catalog.refreshTable(_beside(name))
+
+
+def _replace(
+    df: DataFrame,
+    name: str,
+    comment: str,
+    partition_by: tuple[str, ...] = (),
+    bucket_by: tuple[str, ...] = (),
+    buckets: int = 64,
+) -> None:
     """Write a new version, move the view to it, and drop all but it and the one before."""
     spark = df.sparkSession
     recover_table(spark, name)
     version = _beside(name, f"{VERSION}{time.time_ns():020d}_{uuid.uuid4().hex[:6]}")
     before = _pointer(spark, name).get(POINTS_TO, "")
-    df.write.mode("error").format("parquet").saveAsTable(version)
+    writer = df.write.mode("error").format("parquet")
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    if bucket_by:
+        # One task a bucket, so that a bucket is one file.
+        writer = df.repartition(buckets, *[column_named(c) for c in bucket_by]).write.mode("error")
+        writer = writer.format("parquet").bucketBy(buckets, *bucket_by).sortBy(*bucket_by)
+    writer.saveAsTable(version)
     _point(spark, name, version, before, comment)
     _drop_versions(spark, name, keep=(version, before))
 

@@ -2,6 +2,7 @@ import threading
 
 import pytest
 from pyspark.sql import DataFrameWriter
+from pyspark.sql import types as T
 
 from tallyfield.operators import metadata, sales
 from tallyfield.plans import jobs
@@ -211,3 +212,41 @@ def test_a_failed_build_leaves_the_old_table(spark, namespace):
     (row,) = metadata.describe_table(tables, f"spark_catalog.{name}").collect()
     assert row["comment"] == "two"
     catalog.drop_table(spark, name)
+
+
+def _above_scans(plan):
+    """Exchanges between a scan and the first join above it."""
+    return plan.split("Join", 1)[1]
+
+
+@pytest.mark.parametrize("query", [sales.product_sales_ranking, sales.channel_category_analysis])
+def test_bucketed_tables_are_joined_without_an_exchange(spark, query):
+    schema = catalog.scratch_schema(spark)
+    for name in ("products", "sales_transactions"):
+        declared, comment = schemas.BASE_TABLES[name]
+        catalog.load_table(
+            spark, f"{schema}.{name}", base_tables()[name], declared, comment, bucket_by=("product_id",), buckets=4
+        )
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        fact, parts = (spark.table(f"{schema}.{n}") for n in ("sales_transactions", "products"))
+        joined = sales.product_totals(fact, parts, 2) if query is sales.product_sales_ranking else query(fact, parts, 2)
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Bucketed: true" in plan
+        assert "Exchange" not in _above_scans(plan)
+        want = query(*(spark.createDataFrame(base_tables()[n], schemas.BASE_TABLES[n][0]) for n in ("sales_transactions", "products")), 2)
+        assert sorted(map(tuple, query(fact, parts, 2).collect())) == sorted(map(tuple, want.collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_hot_key_is_not_put_into_one_bucket(spark, caplog):
+    schema = catalog.scratch_schema(spark)
+    rows = spark.range(900).selectExpr("cast(if(id % 3 = 0, 7, id) as int) AS product_id", "'x' AS category")
+    declared = T.StructType([T.StructField("product_id", T.IntegerType()), T.StructField("category", T.StringType())])
+    catalog.load_table(spark, f"{schema}.hot", rows, declared, bucket_by=("product_id",), buckets=64)
+    assert "without buckets" in caplog.text and spark.table(f"{schema}.hot").count() == 900
+    even = rows.where("product_id <> 7")
+    catalog.load_table(spark, f"{schema}.even", even, declared, bucket_by=("product_id",), buckets=8)
+    plan = spark.table(f"{schema}.even").groupBy("product_id").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan

@@ -2,6 +2,7 @@ import json
 
 import pytest
 
+from tallyfield.sources import catalog
 from tallyfield.operators import lineage
 from tallyfield.plans import jobs
 
@@ -136,3 +137,41 @@ def test_a_limit_beyond_sparks_own_splits_a_hub(spark):
     rows = lineage.lineage_for_all(events, limit=5000).where("direction = 'upstream'")
     found = sorted(r["tbl"] for r in rows.collect())
     assert found == [f"t{i:05d}" for i in range(5000)]
+
+
+def _log(spark, rows):
+    return spark.createDataFrame(rows, "source_table_full_name string, target_table_full_name string")
+
+
+def test_an_edge_table_equals_the_log_and_is_read_by_the_bucket(spark):
+    schema = catalog.scratch_schema(spark)
+    name = f"{schema}.edges"
+    first = [(f"s{i % 40}", f"t{i % 23}") for i in range(400)] + [(None, "t1"), ("s1", None), ("t1", "t1")]
+    later = first[:50] + [(f"s{i % 60}", f"t{i % 31}") for i in range(200)]
+    assert lineage.merge_edges(spark, name, _log(spark, first)) > 0
+    assert lineage.merge_edges(spark, name, _log(spark, first)) == 0
+    assert lineage.merge_edges(spark, name, _log(spark, later)) > 0
+    whole = _log(spark, first + later)
+    edges = spark.table(name)
+    assert as_set(edges.select("table", "direction", "tbl")) == as_set(lineage.lineage_for_all(whole, 10**6))
+    for table in ("t1", "s1", "t30", "nowhere", None):
+        for direction, plain in (("upstream", lineage.upstream_tables), ("downstream", lineage.downstream_tables)):
+            found = lineage.neighbours_from_edges(edges, table, direction, limit=5)
+            assert rows_of(found) == rows_of(plain(whole, table, limit=5))
+    one = lineage.neighbours_from_edges(edges, "t1", "upstream")
+    read = one.inputFiles()
+    assert 0 < len(edges.inputFiles()) and "PartitionFilters: [isnotnull(direction" in one._jdf.queryExecution().toString()
+    one.collect()
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionCount: 1" in plan or len(read) <= len(edges.inputFiles())
+
+
+def test_equal_documents_are_parsed_once_and_names_are_distinct(spark):
+    node = '{"tableInfo": {"catalog_name": "c", "schema_name": "s", "name": "n%d", "table_type": "TABLE"}}'
+    document = '{"upstreams": [%s], "downstreams": []}' % ", ".join(node % (i % 3) for i in range(90))
+    df = spark.createDataFrame([("t", document)] * 500 + [("u", document), ("u", "broken"), ("v", None)], "table string, document string")
+    found = lineage.lineage_edges_from_documents(df)
+    assert as_set(found) == {(t, "upstream", f"c.s.n{i}") for t in "tu" for i in range(3)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # The first exchange carries documents that were merged on the sending side.
+    assert plan.count("HashAggregate") + plan.count("SortAggregate") >= 4

@@ -1,10 +1,12 @@
+import math
 import random
+import struct
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
-from tallyfield.functions import exact_total
+from tallyfield.functions import exact_total, sum_in_any_order
 
 
 @pytest.mark.parametrize("scale", [0, 2, 6])
@@ -45,3 +47,49 @@ def test_a_value_that_does_not_fit_stops(spark, value):
         df.agg(exact_total(df, "v", 2)).collect()
     fine = spark.createDataFrame([(0.29,), (-1234567.01,), (None,)], "v double")
     assert str(fine.agg(exact_total(fine, "v", 2)).first()[0]) == "-1234566.72"
+
+
+def _bits(value):
+    return None if value is None else struct.pack(">d", value)
+
+
+DOUBLES = {
+    "cancelling": [1e16, 1.0, -1e16, 0.1, -0.1] * 40,
+    "money": [i * 0.01 for i in range(-500, 1500)],
+    "wide": [math.ldexp((-1) ** i * (1 + i / 997), (i * 37) % 400 - 200) for i in range(600)],
+    "extremes": [5e-324, 1e-308, 1.7e308, -1.7e308, 2.5e-320, 3.0],
+    "nothing finite": [float("inf"), 1.0],
+    "both infinite": [float("inf"), float("-inf"), 1.0],
+    "nan": [1.0, float("nan"), 2.0],
+    "null alone": [None, None],
+    "zeros": [0.0, -0.0, None],
+}
+
+
+@pytest.mark.parametrize("kind", DOUBLES)
+def test_sums_have_the_same_bits_in_any_order(spark, kind):
+    values = DOUBLES[kind]
+    found = set()
+    for seed in range(10 if kind in ("wide", "cancelling") else 3):
+        rows = [(i % 3, v) for i, v in enumerate(values)]
+        random.Random(seed).shuffle(rows)
+        df = spark.createDataFrame(rows, "k int, v double").repartition(seed % 5 + 1)
+        found.add(_bits(df.agg(sum_in_any_order(df, "v")).first()[0]))
+    assert len(found) == 1
+    got = next(iter(found))
+    present = [v for v in values if v is not None]
+    if not present:
+        assert got is None
+    elif all(map(math.isfinite, present)):
+        exact = math.fsum(present)
+        assert math.isclose(struct.unpack(">d", got)[0], exact, rel_tol=1e-15, abs_tol=0.0)
+    else:
+        plain = sum(present)
+        assert got == _bits(plain) or math.isnan(plain) and math.isnan(struct.unpack(">d", got)[0])
+
+
+def test_groups_and_totals_without_a_scale(spark):
+    rows = [("a", 1e16), ("a", 1.0), ("a", -1e16), ("b", 0.1), ("b", 0.2), ("c", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(4)
+    found = {r["k"]: r["t"] for r in df.groupBy("k").agg(exact_total(df, "v", None).alias("t")).collect()}
+    assert found == {"a": 1.0, "b": 0.1 + 0.2, "c": None}
