@@ -88,36 +88,59 @@ def test_null_and_empty_contents_differ(spark):
 # Top-k
 
 
-def _best(ids, values, k, every):
+def _best(rows, k, every):
+    """The contract by brute force; rows are different (id, vector)."""
     out = []
-    for q, v in zip(ids, values):
+    for at, (q, v) in enumerate(rows):
         if q % every == 0:
-            scores = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in zip(ids, values) if i != q)
-            out += [(q, r, i, -s) for r, (s, i) in enumerate(scores[:k], 1)]
+            scores = [(-sum(map(int.__mul__, v, w)), i) for j, (i, w) in enumerate(rows) if j != at and len(v) == len(w)]
+            out += [(q, r, i, -s) for r, (s, i) in enumerate(sorted(scores)[:k], 1)]
     return sorted(out)
 
 
 @pytest.mark.parametrize("high", [3, 40, 10**9])
-def test_top_k_equals_brute_force(spark, high):
+def test_top_k_equals_brute_force(spark, monkeypatch, high):
+    monkeypatch.setattr(topk, "GROUP", 40)
     rng = np.random.default_rng(high % 97)
     n = 230 if high < 10**6 else 60
     values = rng.integers(-high, high, (n, 6)).tolist()
     values[5] = values[9] = values[10]
-    ids = list(range(n))
-    df = spark.createDataFrame(list(zip(ids, values, ["x"] * n)), "vec_id bigint, values array<bigint>, score string")
-    found = topk.top_k(df.unionByName(df.limit(20)), k=7, every=10)
-    assert sorted(map(tuple, found.collect())) == _best(ids, values, 7, 10)
+    rows = list(enumerate(values))
+    # Ids with several vectors, a vector with very many ids, and another length.
+    rows += [(10, values[3]), (10, values[10][::-1]), (20, values[20][::-1]), (7, values[8])]
+    rows += [(1000 + i, values[10]) for i in range(60)] + [(30, [1, 2]), (31, [2, 1]), (60, [1, -2])]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id bigint, values array<bigint>, score string")
+    clashing = df.unionByName(df.limit(20)).withColumns({"group": F.lit(1), "dims": F.lit(2), "chunk": F.lit(3), "v": F.lit(4)})
+    found = topk.top_k(clashing, k=7, every=10)
+    assert sorted(map(tuple, found.collect())) == _best(rows, 7, 10)
+
+
+def test_bounds_in_slices_and_groups_that_are_not_asked(spark, monkeypatch):
+    monkeypatch.setattr(topk, "GROUP", 50)
+    monkeypatch.setattr(topk, "BOUNDS_BYTES", 500)
+    rng = np.random.default_rng(1)
+    centres = rng.integers(-60, 60, (12, 8))
+    rows = [(i, (centres[i % 12] + rng.integers(-3, 4, 8)).tolist()) for i in range(600)]
+    df = spark.createDataFrame(rows, "vec_id bigint, values array<bigint>")
+    sent = []
+    plain = topk._sent
+    monkeypatch.setattr(topk, "_sent", lambda *a: sent.append(plain(*a)) or sent[-1])
+    assert sorted(map(tuple, topk.top_k(df, k=5, every=20).collect())) == _best(rows, 5, 20)
+    # 30 queries, 12 groups: few meet more than their own and one more.
+    assert [x.count() <= limit for x, limit in zip(sent, (30 * 8, 100))] == [True, True]
 
 
 def test_blocks_are_skipped_without_loss():
     rng = np.random.default_rng(0)
     centres = rng.integers(-50, 50, (30, 8))
     values = np.concatenate([c + rng.integers(-3, 4, (64, 8)) for c in centres])
-    ids = np.arange(len(values))
-    got = topk.search_blocks(ids, values, ids[:40], values[:40], 5, np.full(40, -np.inf))
-    truth = _best(ids[:].tolist(), values.tolist(), 5, 1)
-    want = sorted((q, i, s) for q, _, i, s in truth if q < 40)
-    assert sorted(zip(*(x.tolist() for x in got))) == want
+    ids = np.arange(len(values))[::-1].copy()
+    row, at, score = topk.search_blocks(ids, values, values[:40], 5, np.full(40, -np.inf))
+    want = []
+    for q in range(40):
+        scores = sorted((-int(values[q] @ v), int(i)) for v, i in zip(values, ids))
+        want += [(q, i, -s) for s, i in scores[:5]]
+    assert sorted(zip(row.tolist(), ids[at].tolist(), score.tolist())) == sorted(want)
 
 
 def test_unusable_vectors(spark):
