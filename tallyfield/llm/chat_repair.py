@@ -6,10 +6,12 @@ finds the cheapest mending: a turn may be merged into the message before it, get
 role, or have empty messages put in before it. The repaired messages are then rendered.
 
 The conversation's cost is a path through a product of one small (min, +) matrix a turn.
-Such products can be cut anywhere: turns are dealt out in order over partitions of about
-equal size, each partition's piece of a conversation becomes one matrix, and from these
-few matrices the best state at every cut is found. A conversation may therefore be longer
-than any task's memory.
+Such products can be cut anywhere: turns are dealt out in order over ranges of about equal
+size, each range's piece of a conversation becomes one matrix, and from these few matrices
+the best state at every cut is found. Roles alone go through this, and through the choice of
+each turn's step, which is one byte a turn; the texts then pass by in the same order, a batch
+at a time, and take their steps. A conversation may therefore be longer than any task's
+memory, and a task never holds more than a batch of texts.
 """
 
 from __future__ import annotations
@@ -23,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfield.functions import ranged
+from tallyfield.functions import range_number
 
-from .common import checkpointed, only, ship_package
+from .common import only, ship_package, ticked, written
 
 ROLES = ("system", "user", "assistant")
 START, END = "<|im_start|>", "<|im_end|>"
@@ -47,6 +49,11 @@ STATES = 4
 _FAR = 1 << 60
 _NEXT = {0: (1, 2), 1: (2,), 2: (3,), 3: (2,)}
 
+# Turns whose steps lie in one row.
+STEPS = 8192
+# A step as a byte: the state after it, the state before it, and whether a conversation begins or ends.
+_BEFORE, _OPENS, _CLOSES = 2, 16, 32
+
 _SCHEMA = (
     "action string, new_role string, put_in array<string>, closes boolean, rendered string"
 )
@@ -67,52 +74,99 @@ def repair(
     conversation, in order, are the whole. After a turn that closes, an empty assistant
     message follows within the piece if the repaired sequence needs one.
 
-    Turns are ordered by number, NULL first; turns of one number in an arbitrary but fixed
-    order. Roles are compared in lower case without blanks around; NULL and unknown ones
-    must get another. NULL text is empty. Rows without a conversation are one
-    conversation. Every row comes back, also one that repeats. Of equally cheap mendings
-    one is given; in a conversation that spans partitions it may depend on the cuts.
+    Turns are ordered by number, NULL first; turns of one number by role and text. Roles are
+    compared in lower case without blanks around; NULL and unknown ones must get another.
+    NULL text is empty. Rows without a conversation are one conversation. Every row comes
+    back, also one that repeats. Of equally cheap mendings one is given; in a conversation
+    that spans ranges it may depend on the cuts. Other columns of `turns` count for nothing,
+    whatever their names. The turns are read several times, mostly without their texts.
     """
+    spark = turns.sparkSession
+    ship_package(spark)
     rows = only(turns, conversation=conversation, turn=turn, role=role, text=text)
-    rows = rows.withColumn("row", F.monotonically_increasing_id())
-    placed = ranged(rows, [F.col("conversation"), F.col("turn"), F.col("row")], "part")
-    placed = checkpointed(placed.sortWithinPartitions("conversation", "turn", "row"))
-    cuts = _states_at_cuts(_edge_pieces(placed))
+    rows = rows.withColumn("mark", F.xxhash64("text"))
+    names = ["conversation", "turn", "role", "mark"]
+    order = [F.col(c) for c in names]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    numbered = rows.withColumn("part", range_number(rows, order, parts=parts))
+    keys = numbered.drop("text").withColumn("name", F.col("conversation").cast("string"))
+    keys = keys.repartitionById(parts, F.col("part")).sortWithinPartitions(*order)
+    steps = written(_chosen(keys, _states_at_cuts(_edge_pieces(keys))))
+    nothing = F.lit(None)
+    # The steps of a stretch of turns come just ahead of its first turn.
+    ahead = steps.withColumns({"text": nothing.cast("string"), "late": F.lit(0)})
+    told = numbered.withColumns({"steps": nothing.cast("binary"), "at": F.lit(0).cast("bigint"), "late": F.lit(1)})
+    told = ahead.unionByName(told).repartitionById(parts, F.col("part"))
+    told = told.sortWithinPartitions(*order, "late", "at").drop("mark", "part", "at")
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
 
     def mend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = list(batches)  # one range partition
-        if not any(p.num_rows for p in parts):
-            return
-        table = pa.Table.from_batches(parts)
-        part = table["part"][0].as_py()
-        found = []
-        pieces = list(_pieces(table["conversation"].to_pylist()))
-        roles, texts = table["role"].to_pylist(), table["text"].to_pylist()
-        for i, (start, stop) in enumerate(pieces):
-            enters = cuts.get((part, "first"), (None, None))[0] if i == 0 else None
-            leaves = cuts.get((part, "last"), (None, None))[1] if i == len(pieces) - 1 else None
-            found += repaired(roles[start:stop], texts[start:stop], enters, leaves)
-        columns = list(zip(*found))
-        yield from pa.table(
-            {
-                conversation: table["conversation"],
-                turn: table["turn"],
-                role: table["role"],
-                "action": pa.array(columns[0], pa.string()),
-                "new_role": pa.array(columns[1], pa.string()),
-                "put_in": pa.array(columns[2], pa.list_(pa.string())),
-                "closes": pa.array(columns[3], pa.bool_()),
-                "rendered": pa.array(columns[4], pa.string()),
-            }
-        ).to_batches(max_chunksize=10_000)
-
-    return placed.mapInArrow(
+        todo, done = bytearray(), 0
+        for batch in batches:
+            found, at = [], []
+            columns = (batch.column(c).to_pylist() for c in ("role", "text", "steps"))
+            for i, (said, content, codes) in enumerate(zip(*columns)):
+                if codes is not None:
+                    todo, done = todo[done:] + codes, 0
+                    continue
+                at.append(i)
+                found.append(mended(said, content, todo[done]))
+                done += 1
+            if found:
+                own = batch.select(["conversation", "turn", "role"]).take(pa.array(at, pa.int64()))
+                columns = [pa.array(c, t) for c, t in zip(zip(*found), _KINDS)]
+                yield pa.RecordBatch.from_arrays([*own.columns, *columns], names=out)
+
+    out = [conversation, turn, role, "action", "new_role", "put_in", "closes", "rendered"]
+    return told.mapInArrow(
         mend,
-        f"`{conversation}` {kinds['conversation']}, `{turn}` {kinds['turn']}, `{role}` string, {_SCHEMA}",
+        f"{ticked(conversation)} {kinds['conversation']}, {ticked(turn)} {kinds['turn']}, "
+        f"{ticked(role)} {kinds['role']}, {_SCHEMA}",
     )
 
 
+_KINDS = (pa.string(), pa.string(), pa.list_(pa.string()), pa.bool_(), pa.string())
+
+
+def _chosen(keys: DataFrame, cuts: dict[tuple[int, str], tuple[int | None, int | None]]) -> DataFrame:
+    """The steps of all turns, a byte each: rows of up to STEPS turns, with the columns of the first
+    of them and the number of the row in its range as `at`."""
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        firsts: list[pa.RecordBatch] = []
+        codes = bytearray()
+        path, name, part, n = None, None, None, 0
+        for batch in batches:
+            names, roles = batch.column("name").to_pylist(), batch.column("role").to_pylist()
+            for i, (own, role) in enumerate(zip(names, roles)):
+                if n % STEPS == 0:
+                    firsts.append(batch.take(pa.array([i])))  # a copy, not the batch
+                if path is None or own != name:
+                    if path is not None:
+                        enters = cuts.get((part, "first"), (None, None))[0] if not codes else None
+                        codes += path.codes(enters, None)
+                    else:
+                        part = batch.column("part")[0].as_py()
+                    name = own
+                    path = Path(cuts.get((part, "first"), (None, None))[0] if not codes else None)
+                path.add(_plain(role))
+                n += 1
+        if path is None:
+            return
+        alone = not codes
+        enters = cuts.get((part, "first"), (None, None))[0] if alone else None
+        codes += path.codes(enters, cuts.get((part, "last"), (None, None))[1])
+        stretches = [bytes(codes[i : i + STEPS]) for i in range(0, len(codes), STEPS)]
+        table = pa.Table.from_batches(firsts).drop_columns(["name"]).combine_chunks()
+        table = table.append_column("steps", pa.array(stretches, pa.binary()))
+        table = table.append_column("at", pa.array(range(len(stretches)), pa.int64()))
+        yield from table.to_batches()
+
+    kinds = {f.name: f.dataType.simpleString() for f in keys.schema.fields if f.name != "name"}
+    schema = ", ".join(f"{c} {k}" for c, k in kinds.items())
+    return keys.mapInArrow(choose, f"{schema}, steps binary, at bigint")
+
+
 def _pieces(keys: list) -> Iterator[tuple[int, int]]:
     """Where each conversation begins and ends within a partition."""
     start = 0
@@ -129,12 +183,12 @@ def _edge_pieces(placed: DataFrame) -> list[dict]:
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges: list[dict] = []
         for batch in batches:
-            keys, roles = batch.column("conversation").to_pylist(), batch.column("role").to_pylist()
+            keys, roles = batch.column("name").to_pylist(), batch.column("role").to_pylist()
             for start, stop in _pieces(keys):
-                if not edges or edges[-1]["key"] != str(keys[start]):
+                if not edges or edges[-1]["key"] != keys[start]:
                     del edges[1:]  # only the first and the last piece count
                     part = batch.column("part")[0].as_py()
-                    edges.append({"part": part, "key": str(keys[start]), "matrix": _identity()})
+                    edges.append({"part": part, "key": keys[start], "matrix": _identity()})
                 for role in roles[start:stop]:
                     edges[-1]["matrix"] = _times(edges[-1]["matrix"], _matrix(_plain(role)))
         if edges:
@@ -144,8 +198,7 @@ def _edge_pieces(placed: DataFrame) -> list[dict]:
                 edge["matrix"] = edge["matrix"].ravel().tolist()
             yield pa.RecordBatch.from_pylist(edges, schema=_EDGES)
 
-    ship_package(placed.sparkSession)
-    found = placed.select("part", "conversation", "role").mapInArrow(
+    found = placed.select("part", "name", "role").mapInArrow(
         matrices, "part int, key string, matrix array<bigint>, first boolean, last boolean"
     )
     return sorted((row.asDict() for row in found.collect()), key=lambda e: (e["part"], not e["first"]))
@@ -245,58 +298,90 @@ def _ending() -> np.ndarray:
     return np.array([0, 2 * EMPTY, EMPTY, 0], dtype=np.int64)
 
 
+class Path:
+    """The cheapest ways to every state, turn by turn, in a few bytes a turn."""
+
+    def __init__(self, enters: int | None = None) -> None:
+        self.cost = [_FAR] * STATES
+        self.cost[0 if enters is None else enters] = 0
+        # For each turn and state after it the state before.
+        self.back = bytearray()
+
+    def add(self, role: str | None) -> None:
+        after, before = [_FAR] * STATES, [0] * STATES
+        # Equal sums: the smaller state.
+        for step in _steps(role):
+            total = self.cost[step[0]] + step[2]
+            if total < after[step[1]] or (total == after[step[1]] < _FAR and step[0] < before[step[1]]):
+                after[step[1]], before[step[1]] = total, step[0]
+        self.cost = after
+        self.back += bytes(before)
+
+    def end(self, leaves: int | None = None) -> tuple[int, int]:
+        """Cost and last state."""
+        if leaves is not None:
+            return self.cost[leaves], leaves
+        ends = [c + e for c, e in zip(self.cost, _ending().tolist())]
+        return min(ends), ends.index(min(ends))
+
+    def codes(self, enters: int | None, leaves: int | None) -> bytearray:
+        """The steps of all turns, see `mended`."""
+        state = self.end(leaves)[1]
+        n = len(self.back) // STATES
+        codes = bytearray(n)
+        for i in range(n - 1, -1, -1):
+            before = self.back[STATES * i + state]
+            codes[i] = state | before << _BEFORE
+            state = before
+        if enters is None:
+            codes[0] |= _OPENS
+        if leaves is None:
+            codes[-1] |= _CLOSES
+        return codes
+
+
 def cheapest(
     roles: list[str | None], enters: int | None = None, leaves: int | None = None
 ) -> tuple[int, list[tuple[int, int, int, bool, tuple[str, ...]]], int]:
-    """Cost, the step of every turn and the last state. Equal sums: the smaller state."""
-    cost = [_FAR] * STATES
-    cost[0 if enters is None else enters] = 0
-    back: list[list] = []
+    """Cost, the step of every turn and the last state."""
+    path = Path(enters)
     for role in roles:
-        after_cost, after_step = [_FAR] * STATES, [None] * STATES
-        for step in _steps(_plain(role)):
-            total = cost[step[0]] + step[2]
-            if total < after_cost[step[1]] or (
-                total == after_cost[step[1]] < _FAR and step[0] < after_step[step[1]][0]
-            ):
-                after_cost[step[1]], after_step[step[1]] = total, step
-        cost = after_cost
-        back.append(after_step)
-    if leaves is None:
-        ends = [c + e for c, e in zip(cost, _ending().tolist())]
-        state = ends.index(min(ends))
-        total = ends[state]
+        path.add(_plain(role))
+    total, last = path.end(leaves)
+    steps = [_step(_plain(role), code) for role, code in zip(roles, path.codes(enters, leaves))]
+    return total, steps, last
+
+
+@functools.cache
+def _step(role: str | None, code: int) -> tuple[int, int, int, bool, tuple[str, ...]]:
+    before, after = code >> _BEFORE & 3, code & 3
+    return next(step for step in _steps(role) if step[:2] == (before, after))
+
+
+def mended(role: str | None, text: str | None, code: int) -> tuple[str, str, list[str], bool, str]:
+    """The output columns of one turn and its step."""
+    plain = _plain(role)
+    _, after, _, merged, between = _step(plain, code)
+    name, closes = ROLES[after - 1], bool(code & _CLOSES)
+    if merged:
+        piece = "\n" + (text or "")
     else:
-        state, total = leaves, cost[leaves]
-    last, steps = state, []
-    for after_step in reversed(back):
-        steps.append(after_step[state])
-        state = after_step[state][0]
-    return total, steps[::-1], last
+        piece = "" if code & _OPENS else f"{END}\n"
+        piece += "".join(f"{START}{r}\n{END}\n" for r in between)
+        piece += f"{START}{name}\n{text or ''}"
+    if closes:
+        piece += f"{END}\n"
+        missing = {1: ("user", "assistant"), 2: ("assistant",)}.get(after, ())
+        piece += "".join(f"{START}{r}\n{END}\n" for r in missing)
+    action = ", ".join(x for x in ("merge" if merged else "", "" if plain == name else "relabel") if x) or "keep"
+    return action, name, list(between), closes, piece
 
 
 def repaired(
     roles: list[str | None], texts: list[str | None], enters: int | None, leaves: int | None
 ) -> list[tuple[str, str, list[str], bool, str]]:
     """The output columns of a piece of a conversation."""
-    _, steps, last = cheapest(roles, enters, leaves)
-    out = []
-    begun = enters is not None
-    for i, (role, text, (_, after, _, merged, between)) in enumerate(zip(roles, texts, steps)):
-        name = ROLES[after - 1]
-        changed = "" if _plain(role) == name else "relabel"
-        closes = leaves is None and i == len(steps) - 1
-        if merged:
-            piece = "\n" + (text or "")
-        else:
-            piece = f"{END}\n" if begun else ""
-            piece += "".join(f"{START}{r}\n{END}\n" for r in between)
-            piece += f"{START}{name}\n{text or ''}"
-        begun = True
-        if closes:
-            piece += f"{END}\n"
-            missing = {1: ("user", "assistant"), 2: ("assistant",)}.get(last, ())
-            piece += "".join(f"{START}{r}\n{END}\n" for r in missing)
-        action = ", ".join(x for x in ("merge" if merged else "", changed) if x) or "keep"
-        out.append((action, name, list(between), closes, piece))
-    return out
+    path = Path(enters)
+    for role in roles:
+        path.add(_plain(role))
+    return [mended(r, t, c) for r, t, c in zip(roles, texts, path.codes(enters, leaves))]

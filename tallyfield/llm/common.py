@@ -66,6 +66,11 @@ def only(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[column_named(name).alias(alias) for alias, name in columns.items()])
 
 
+def ticked(name: str) -> str:
+    """A column's name as it stands in a schema text, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def fold(key: str | Column, parts: int) -> Column:
     """crc32 of the key as text, modulo `parts`; NULL for a NULL key."""
     column = F.col(key) if isinstance(key, str) else key

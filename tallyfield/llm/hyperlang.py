@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tallyfield.functions.text import column_named
 
-from .common import code_points, fold, map_batches, mix, only, ship_package
+from .common import code_points, fold, map_batches, mix, only, ship_package, ticked
 
 DIMENSIONS = 1024
 FOLDS = 5
@@ -104,7 +104,7 @@ def apply_profiles(
 
     kind = rows.schema["key"].dataType.simpleString()
     return map_batches(
-        rows, predict, f"`{key}` {kind}, held_out boolean, lang_pred string, score double"
+        rows, predict, f"{ticked(key)} {kind}, held_out boolean, lang_pred string, score double"
     )
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, hashed_sample, map_batches, only, written
+from .common import fold, hashed_sample, map_batches, only, ticked, written
 from .decision_list import RATIOS, with_ratios
 from .text_stats import text_stats
 
@@ -174,5 +174,5 @@ def score_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     return map_batches(
         stats.select("key", held_out, *FEATURES),
         score,
-        f"`{key}` {kind}, held_out boolean, score double, predicted int",
+        f"{ticked(key)} {kind}, held_out boolean, score double, predicted int",
     )

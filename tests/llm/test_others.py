@@ -155,17 +155,41 @@ def test_unusable_vectors(spark):
 # Chats
 
 
+# What a change of a turn costs, as the operator's documentation has it.
+PRICES = {
+    ("user", "assistant"): 4, ("assistant", "user"): 4, ("user", "system"): 9, ("assistant", "system"): 9,
+    ("system", "user"): 5, ("system", "assistant"): 7,
+    (None, "user"): 3, (None, "assistant"): 3, (None, "system"): 5,
+}
+
+
+def _legal(messages):
+    """How a conversation may begin: perhaps a system message, then user and assistant in turn."""
+    rest = messages[1:] if messages[:1] == ("system",) else messages
+    return all(x == ("user", "assistant")[i % 2] for i, x in enumerate(rest))
+
+
 def _cheapest_by_hand(roles):
-    """All ways to treat each turn, tried one after the other."""
-    best = {0: 0}
+    """The least cost over all sequences of messages, turn by turn, without the operator's tables.
+
+    A turn goes into the last message, at 2, or begins one, ahead of which there may be empty
+    ones, at 6 each; giving it another role has its price.
+    """
+    found = {(): 0}
     for role in roles:
         after = {}
-        for state, cost in best.items():
-            for before, then, price, *_ in chat_repair._steps(role):
-                if before == state:
-                    after[then] = min(after.get(then, 10**9), cost + price)
-        best = after
-    return min(c + int(chat_repair._ending()[s]) for s, c in best.items())
+        for messages, cost in found.items():
+            ways = [(messages, cost + 2, messages[-1])] if messages else []
+            for n in range(3):
+                for empty in itertools.product(chat_repair.ROLES, repeat=n):
+                    ways += [(messages + empty + (x,), cost + 6 * n, x) for x in chat_repair.ROLES]
+            for longer, price, name in ways:
+                if _legal(longer):
+                    price += 0 if name == role else PRICES[role, name]
+                    after[longer] = min(after.get(longer, 10**9), price)
+        found = after
+    missing = {"system": 2, "user": 1, "assistant": 0}
+    return min(cost + 6 * missing[messages[-1]] for messages, cost in found.items())
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 4])
@@ -174,15 +198,15 @@ def test_repairs_are_legal_and_cheapest(n):
         cost, steps, last = chat_repair.cheapest(list(roles))
         assert cost == _cheapest_by_hand(roles)
         out = chat_repair.repaired(list(roles), ["t"] * n, None, None)
-        messages = "".join(r[4] for r in out).split("<|im_start|>")[1:]
-        state = 0
-        for message in messages:
-            name, _, body = message.partition("\n")
-            assert body.endswith("<|im_end|>\n")
-            then = chat_repair.ROLES.index(name) + 1
-            assert then in chat_repair._NEXT[state]
-            state = then
-        assert state == 3
+        messages = [m.partition("\n") for m in "".join(r[4] for r in out).split("<|im_start|>")[1:]]
+        assert all(body.endswith("<|im_end|>\n") for _, _, body in messages)
+        names = tuple(name for name, _, _ in messages)
+        assert _legal(names) and names[-1] == "assistant"
+        # What was done costs what it should.
+        said = ["" if r[0] == "keep" else r[0] for r in out]
+        price = sum(2 * ("merge" in x) + (PRICES[a, r[1]] if "relabel" in x else 0) for x, r, a in zip(said, out, roles))
+        begun = sum("merge" not in x for x in said)
+        assert price + 6 * (len(names) - begun) == cost
 
 
 def test_a_legal_conversation_stays(spark):
@@ -237,6 +261,31 @@ def test_long_conversations_over_many_partitions(spark):
         assert cost == chat_repair.cheapest([r[2] for r in own])[0]
 
 
+def test_odd_turns(spark):
+    rows = [("None", 0, "user", "a"), (None, 0, "user", "b"), (None, 1, "assistant", "c"), ("None", 1, None, None)]
+    rows += [("x", None, "USER ", "d"), ("x", None, "USER ", "d"), ("x", 5, "tool", "e" * 200_000), ("x", 5, "tool", "")]
+    df = spark.createDataFrame(rows, "conv_id string, turn int, role string, text string")
+    clashing = df.withColumns({c: F.lit(1) for c in ("mark", "part", "steps", "at", "late", "conversation", "a`b")})
+    found = chat_repair.repair(clashing.withColumnRenamed("role", "ro`le"), role="ro`le").collect()
+    assert sorted(map(str, (r[:3] for r in found))) == sorted(map(str, (r[:3] for r in rows)))
+    ends = {}
+    for r in found:
+        ends.setdefault(r["conv_id"], []).append(r["closes"])
+    assert {k: sum(v) for k, v in ends.items()} == {"None": 1, None: 1, "x": 1}
+    own = sorted(r["rendered"] for r in found if r["conv_id"] is None)
+    assert own == ["<|im_end|>\n<|im_start|>assistant\nc<|im_end|>\n", "<|im_start|>user\nb"]
+    assert sum(len(r["rendered"]) for r in found if r["conv_id"] == "x") > 200_000
+
+
+def test_steps_come_in_stretches(spark):
+    rows = [(0, t, ("user", "assistant")[t % 2], f"{t} ") for t in range(20_000)]
+    df = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string").repartition(3)
+    found = chat_repair.repair(df).orderBy("turn").collect()
+    assert {r["action"] for r in found} == {"keep"} and [r["closes"] for r in found].count(True) == 1
+    whole = "".join(r["rendered"] for r in found)
+    assert whole == "".join(f"<|im_start|>{r}\n{x}<|im_end|>\n" for _, _, r, x in rows)
+
+
 # Mixing
 
 
