@@ -18,6 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyfield.functions.text import column_named
+
 from .common import map_batches, mix, only, written
 from .graph import link, shared_buckets
 
@@ -99,21 +101,25 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     words stay. Of rows that repeat the key and the text of a kept one only one stays, also
     where the key is NULL.
     """
-    classes = near_duplicates(docs, key, text)
-    id_, hash_ = F.col(f"`{key}`"), F.xxhash64(F.col(f"`{text}`"))
-    classes = classes.withColumnsRenamed({key: "_key", "text_hash": "_hash"})
+    # The input row is one column, so that its columns may have any names.
+    rows = docs.select(
+        F.struct(*[column_named(c) for c in docs.columns]).alias("row"),
+        column_named(key).alias("of_key"),
+        F.xxhash64(column_named(text)).alias("of_hash"),
+    )
+    classes = near_duplicates(only(docs, key=key, text=text), "key", "text")
     classes = written(classes.where(F.col("class_hash").isNotNull()))
-    is_kept = F.col("_key").eqNullSafe(F.col("class_id")) & (F.col("_hash") == F.col("class_hash"))
-    same = id_.eqNullSafe(F.col("_key")) & (hash_ == F.col("_hash"))
-    dropped = classes.where(~is_kept).select("_key", "_hash").distinct()
-    left = docs.join(dropped, same, "left_anti")
+    is_kept = F.col("key").eqNullSafe(F.col("class_id")) & (F.col("text_hash") == F.col("class_hash"))
+    same = F.col("of_key").eqNullSafe(F.col("key")) & (F.col("of_hash") == F.col("text_hash"))
+    dropped = classes.where(~is_kept).select("key", "text_hash").distinct()
+    left = rows.join(dropped, same, "left_anti")
     # Several rows may hold the key and the text that are kept: one of them is enough.
-    again = classes.where(is_kept).groupBy("_key", "_hash").agg(F.count("*").alias("n"))
-    again = written(again.where(F.col("n") > 1).select("_key", "_hash"))
-    if again.isEmpty():
-        return left
-    several = left.join(again, same, "left_semi")
-    return left.join(again, same, "left_anti").unionByName(several.dropDuplicates([key, text]))
+    again = classes.where(is_kept).groupBy("key", "text_hash").agg(F.count("*").alias("n"))
+    again = written(again.where(F.col("n") > 1).select("key", "text_hash"))
+    if not again.isEmpty():
+        several = left.join(again, same, "left_semi").dropDuplicates(["of_key", "of_hash"])
+        left = left.join(again, same, "left_anti").unionByName(several)
+    return left.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def _sets(rows: DataFrame, nodes: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyfield.functions import broadcast_if_small
+from tallyfield.functions import broadcast_if_small, column_named
 
 from .common import mix, only, written
 from .graph import link, shared_buckets
@@ -74,23 +74,23 @@ def dedup_lines(
     of the same name.
     """
     rows = only(docs, key=key, text=text).withColumn("text_hash", F.xxhash64("text"))
-    removed = removed_lines(rows, similarity, form, shortest)
+    removed = written(removed_lines(rows, similarity, form, shortest))
     left = F.filter(F.split(F.col("_text"), "\n"), lambda _, i: ~F.array_contains("_gone", i))
     kept = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(F.array_join(left, "\n"))
     n_lines = F.coalesce(F.size(F.split(F.col("_text"), "\n")), F.lit(0))
-    # Renamed on one side: extra columns of `docs` may have any name.
-    gone = broadcast_if_small(
-        removed.withColumnsRenamed({"key": "_key", "text_hash": "_hash", "gone": "_gone"}),
-        MAX_BROADCAST_BYTES,
+    # The input row is one column, so that its columns may have any names.
+    ready = docs.select(
+        F.struct(*[column_named(c) for c in docs.columns]).alias("row"),
+        column_named(key).alias("of_key"),
+        column_named(text).alias("_text"),
+        F.xxhash64(column_named(text)).alias("of_hash"),
     )
-    joined = docs.join(
-        gone,
-        F.col(f"`{key}`").eqNullSafe(F.col("_key")) & (F.xxhash64(F.col(f"`{text}`")) == F.col("_hash")),
-        "left",
-    ).withColumn("_text", F.col(f"`{text}`"))
+    gone = broadcast_if_small(removed.withColumnRenamed("gone", "_gone"), MAX_BROADCAST_BYTES)
+    same = F.col("of_key").eqNullSafe(F.col("key")) & (F.col("of_hash") == F.col("text_hash"))
+    joined = ready.join(gone, same, "left")
     return joined.select(
         *[
-            kept.alias(c) if c == text else F.col(f"`{c}`")
+            (kept if c == text else F.col("row").getField(c)).alias(c)
             for c in docs.columns
             if c not in ("n_lines", "n_removed")
         ],
@@ -101,10 +101,17 @@ def dedup_lines(
 
 def dedup_stage(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with the lines that are left; those that lost every line they had go."""
-    done = dedup_lines(docs, key, text, form=normal, shortest=1)
-    something = F.regexp_instr(F.col(f"`{text}`"), F.lit(r"\S")) > 0
+    row = docs.select(
+        F.struct(*[column_named(c) for c in docs.columns]).alias("row"),
+        column_named(key).alias("key"),
+        column_named(text).alias("text"),
+    )
+    done = dedup_lines(row, "key", "text", form=normal, shortest=1)
+    something = F.regexp_instr("text", F.lit(r"\S")) > 0
     stays = (F.col("n_removed") == 0) | something
-    return done.where(stays).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return done.where(stays).select(
+        *[(F.col("text") if c == text else F.col("row").getField(c)).alias(c) for c in docs.columns]
+    )
 
 
 def removed_lines(

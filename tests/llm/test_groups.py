@@ -128,7 +128,8 @@ def test_near_duplicates_equal_brute_force(docs_of):
 
 
 def test_near_duplicates_of_odd_rows(docs_of, odd_rows):
-    docs = docs_of(odd_rows).withColumn("class_id", F.lit("x")).withColumn("key", F.lit(1))
+    clashing = {c: F.lit(1) for c in ("class_id", "key", "_key", "_hash", "row", "of_key", "n", "a`b.c")}
+    docs = docs_of(odd_rows).withColumns(clashing)
     found = dart_minhash.near_duplicates(docs).collect()
     assert len(found) == len(odd_rows)
     ids = Counter((r["doc_id"], r["class_id"]) for r in found)
@@ -230,7 +231,9 @@ def test_lines_equal_brute_force(docs_of):
 
 
 def test_lines_of_odd_rows(docs_of, odd_rows):
-    docs = docs_of(odd_rows).withColumn("n_lines", F.lit("x")).withColumn("key", F.lit("y"))
+    clashing = {c: F.lit("x") for c in ("n_lines", "key", "_key", "_gone", "_text", "row", "line", "a`b.c")}
+    docs = docs_of(odd_rows).withColumns(clashing)
+    assert line_dedup.dedup_stage(docs).columns == docs.columns
     found = line_dedup.dedup_lines(docs).collect()
     assert len(found) == len(odd_rows)
     by_key = {}
