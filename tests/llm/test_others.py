@@ -361,18 +361,18 @@ def test_sweeps_go_on_until_the_targets_hold_or_say_how_far_off_they_are(spark):
     cells = [(f"s{i}", f"l{j}", hot[i] * (92 if i == j else 4)) for i in range(3) for j in range(3)]
     df = spark.createDataFrame(cells, "source string, lang string, tokens bigint")
     targets = raking.tempered_targets(df, {"source": 0.8, "lang": 0.9})
-    fitted = raking.fit(df, targets, share=0.5, tolerance=1e-7).collect()
-    assert {r["off"] for r in fitted} == {fitted[0]["off"]} and fitted[0]["off"] <= 1e-7
+    fitted = raking.fit(df, targets, share=0.5, tolerance=1e-5).collect()
+    assert {r["off"] for r in fitted} == {fitted[0]["off"]} and fitted[0]["off"] <= 1e-5
     for n, target in targets.items():
         given, shares = _given(fitted, n), {r["value"]: r["share"] for r in target.collect()}
         for value, share in shares.items():
             wanted = 0.5 * 1_000_000 * share / sum(shares.values())
-            assert math.isclose(given[value], wanted, rel_tol=1e-6)
+            assert math.isclose(given[value], wanted, rel_tol=1e-4)
     early = raking.fit(df, targets, share=0.5, max_sweeps=2).first()
-    assert early["off"] > 1e-5
+    assert early["off"] > 1e-4
     # Each source in one language: the targets contradict each other.
     apart = df.where("substr(source, 2) = substr(lang, 2)")
-    assert raking.fit(apart, targets, share=0.5).first()["off"] > 1e-3
+    assert raking.fit(apart, targets, share=0.5, max_sweeps=32).first()["off"] > 1e-3
 
 
 def test_a_rare_value_does_not_set_the_size_of_the_sample(spark):

@@ -108,6 +108,77 @@ def _quality(rng, n):
     return rows, labels
 
 
+def _gain(caught, bad, held):
+    p, n = (caught & bad & held).sum(), (caught & ~bad & held).sum()
+    p0, n0 = (bad & held).sum(), (~bad & held).sum()
+    return p * (np.log2(p / (p + n)) - np.log2(p0 / (p0 + n0))) if p else 0.0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_best_conditions_equal_brute_force(seed):
+    rng = np.random.default_rng(seed)
+    n = 40  # fewer rows than thresholds: every cut between two values is tried
+    features = {"a": rng.integers(0, 25, n).astype(float), "b": rng.random(n), "c": np.ones(n)}
+    bad = features["b"] + rng.random(n) < 0.8
+    held = rng.random(n) < 0.8
+    best = {}
+    for gain, condition in decision_list._conditions(features, bad, held):
+        assert abs(gain - _gain(condition.holds(features), bad, held)) < 1e-9
+        best[condition.feature, condition.above] = gain
+    for name, values in features.items():
+        for above in (True, False):
+            cuts = [*values[held], *(values[held] + 1e-9)]
+            every = [_gain(values >= c if above else values < c, bad, held) for c in cuts]
+            assert best.get((name, above), 0.0) >= max([0.0, *every]) - 1e-9
+
+
+def _brute_rule(features, bad, pruning):
+    """The most that one or two conditions at any of the values catch with 95 % on both parts."""
+    simple = [
+        (values >= c) if above else (values < c) for values in features.values() for c in set(values) for above in (0, 1)
+    ]
+    best = 0
+    for i, first in enumerate(simple):
+        for second in simple[i:]:
+            caught = first & second
+            parts = [(caught & part & bad).sum() for part in (~pruning, pruning)]
+            sizes = [(caught & part).sum() for part in (~pruning, pruning)]
+            if sizes[0] >= 5 and sizes[1] >= 1 and all(p >= 0.95 * n for p, n in zip(parts, sizes)):
+                best = max(best, sum(parts) - 19 * (sum(sizes) - sum(parts)))
+    return best
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_grown_and_pruned_rules_come_near_the_best_there_is(seed):
+    rng = np.random.default_rng(seed)
+    n = 120
+    features = {"a": rng.integers(0, 12, n).astype(float), "b": rng.integers(0, 12, n).astype(float)}
+    bad = (features["a"] < 5) & (features["b"] > 3) | (rng.random(n) < 0.02)
+    pruning = np.arange(n) % 3 == 2
+    rules = decision_list.learn_rules(features, bad)
+    caught = decision_list._caught(rules[0], features)
+    worth = (caught & bad).sum() - 19 * (caught & ~bad).sum()
+    assert worth >= 0.9 * _brute_rule(features, bad, pruning) > 0
+    for part in (pruning, ~pruning):
+        assert (caught & bad & part).sum() >= 0.95 * (caught & part).sum()
+
+
+def test_a_rule_that_fails_on_the_pruning_rows_is_tightened():
+    # Pure on the rows it grows on up to 10, on the others only up to 8.
+    n = 300
+    pruning = np.arange(n) % 3 == 2
+    value = np.arange(n) % 20 * 1.0
+    bad = np.where(pruning, value < 8, value < 10)
+    [rule] = decision_list.learn_rules({"v": value}, bad)[:1]
+    assert [(c.feature, c.above) for c in rule][-1] == ("v", False) and 7 <= rule[-1].threshold <= 8
+
+
+def test_an_empty_list_is_told(caplog):
+    rng = np.random.default_rng(0)
+    assert decision_list.learn_rules({"v": rng.random(300)}, rng.random(300) < 0.3) == []
+    assert "no rule holds" in caplog.text
+
+
 def test_rules_are_learned(spark, odd_rows):
     rows, labels = _quality(random.Random(3), 600)
     odd = [(None if k is None else k + 10_000, t, None, None, 0) for k, t in odd_rows]
