@@ -53,6 +53,15 @@ ORDER_ROW = T.StructType(
         T.StructField("absent", T.StringType()),
     ]
 )
+# Of the same documents: flags that are no numbers, and totals that not all fit.
+ORDER_STRICT = T.StructType(
+    [
+        T.StructField("order", T.LongType()),
+        T.StructField("col_1", T.IntegerType()),
+        T.StructField("total", T.DecimalType(7, 2)),
+        T.StructField("absent", T.StringType()),
+    ]
+)
 ORDER_COLUMNS = T.StructType(
     [
         T.StructField("o_orderkey", T.StringType()),
@@ -221,6 +230,7 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "rows_from_result_documents": lambda s, d: messages.rows_from_result_documents(
             star.result_documents(s, d), ORDER_ROW
         ),
+        "rejected_cells": lambda s, d: messages.rejected_cells(star.result_documents(s, d), ORDER_STRICT),
         "result_cells": lambda s, d: messages.result_cells(star.result_documents(s, d)),
         "chat_history": _chat_history,
         "question_answer_pairs": lambda s, d: messages.question_answer_pairs(
@@ -600,6 +610,14 @@ FROM flat
 SELECT doc_id, row_no, doc_id AS "order", status AS col_1, CAST(total AS double) AS total,
        CAST(NULL AS varchar) AS absent
 FROM result_rows
+""",
+        "rejected_cells": _RESULT_ROWS
+        + """
+SELECT doc_id, row_no, 1 AS position, 'col_1' AS "column", status AS text, 'int' AS wanted
+FROM result_rows WHERE status IS NOT NULL
+UNION ALL
+SELECT doc_id, row_no, 2, 'total', total, 'decimal(7,2)'
+FROM result_rows WHERE CAST(total AS decimal(18,2)) >= 100000
 """,
         "result_cells": _RESULT_ROWS
         + """

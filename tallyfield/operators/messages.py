@@ -135,19 +135,53 @@ def rows_from_result_documents(documents: DataFrame, columns: T.StructType) -> D
     not in the document, is NULL. Columns that share a name are taken in their order, so a
     document with `a, a` fills two declared `a`. `row_no` counts from 0 within a document.
     """
+    rows, kept = _found_values(documents, columns)
+    values = [
+        F.col(f"_text_{i}").try_cast(field.dataType).alias(field.name) for i, field in enumerate(columns.fields)
+    ]
+    return rows.select(*kept, "row_no", *values)
+
+
+def rejected_cells(documents: DataFrame, columns: T.StructType) -> DataFrame:
+    """The values that `rows_from_result_documents` cannot cast, one a line.
+
+    The documents' other columns, `row_no`, `position` of the declared column (from 0), its
+    name as `column`, the `text` that is there and the type `wanted`. Together with the rows these
+    account for every cell: a NULL among the rows is a value that is not there, or is here.
+    """
+    rows, kept = _found_values(documents, columns)
+    cells = [
+        F.when(
+            F.col(f"_text_{i}").isNotNull() & F.col(f"_text_{i}").try_cast(field.dataType).isNull(),
+            F.struct(
+                F.lit(i).alias("position"),
+                F.lit(field.name).alias("column"),
+                F.col(f"_text_{i}").alias("text"),
+                F.lit(field.dataType.simpleString()).alias("wanted"),
+            ),
+        )
+        for i, field in enumerate(columns.fields)
+    ]
+    return rows.select(*kept, "row_no", F.inline(F.array_compact(F.array(*cells))))
+
+
+def _found_values(documents: DataFrame, columns: T.StructType) -> tuple[DataFrame, list[Column]]:
+    """The rows of all documents with the text of each declared column, `_text_0` and so on, and
+    the documents' other columns. Where a column stands is looked up once a document."""
     results = read_results(documents)
     kept = _besides(results, "result_columns", "result_rows", "unreadable")
-    rows = _exploded(results.select(*kept, "result_columns", "result_rows"))
+    names = columns.names
 
-    def value(field: T.StructField, nth: int) -> Column:
-        numbered = F.transform("result_columns", lambda c, i: F.when(c == field.name, i))
-        at = F.get(F.filter(numbered, lambda i: i.isNotNull()), F.lit(nth))
-        text = F.when(at.isNotNull(), F.get("row", at))
-        return text.try_cast(field.dataType).alias(field.name)
+    def place(i: int) -> Column:
+        numbered = F.transform("result_columns", lambda c, at: F.when(c == names[i], at))
+        return F.get(F.filter(numbered, lambda at: at.isNotNull()), F.lit(names[:i].count(names[i])))
 
-    names = columns.names
-    values = [value(field, names[:i].count(field.name)) for i, field in enumerate(columns.fields)]
-    return rows.select(*kept, "row_no", *values)
+    placed = results.select(*kept, *[place(i).alias(f"_at_{i}") for i in range(len(names))], "result_rows")
+    rows = _exploded(placed)
+    texts = {
+        f"_text_{i}": F.when(F.col(f"_at_{i}").isNotNull(), F.get("row", F.col(f"_at_{i}"))) for i in range(len(names))
+    }
+    return rows.withColumns(texts), kept
 
 
 def result_cells(documents: DataFrame) -> DataFrame:

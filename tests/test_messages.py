@@ -254,3 +254,24 @@ def test_pairs_over_gaps_and_without_conversation(spark):
     assert got[1, 998] == ("t998", None)
     assert got[1, 10**12] == ("late", None)
     assert all(got[None, t] == (f"n{t}", f"n{t + 1}") for t in range(0, 300, 2))
+
+
+def test_rows_and_rejects_account_for_every_cell(spark):
+    document = (
+        '{"statement_response": {"manifest": {"schema": {"columns": [{"name": "n"}, {"name": "d"}, {"name": "n"}]}},'
+        ' "result": {"data_array": [["1", "2024-01-01", "x"], ["1.5", null, "7"], [null, "soon", "9999999999"]]}}}'
+    )
+    df = spark.createDataFrame([(1, document), (2, "broken"), (3, None)], "doc int, document string")
+    declared = T.StructType(
+        [T.StructField("n", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("d", T.DateType())]
+    )
+    rows = m.rows_from_result_documents(df, declared)
+    values = [tuple(r)[2:] for r in rows.orderBy("row_no").collect()]
+    assert [[v is not None for v in r] for r in values] == [[True, False, True], [False, True, False], [False] * 3]
+    rejects = rows_of(m.rejected_cells(df, declared), 1, 2)
+    assert rejects == [
+        (1, 0, 1, "n", "x", "int"),
+        (1, 1, 0, "n", "1.5", "int"),
+        (1, 2, 1, "n", "9999999999", "int"),
+        (1, 2, 2, "d", "soon", "date"),
+    ]
