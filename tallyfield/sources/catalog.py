@@ -9,11 +9,13 @@ began with, which stays for one more replacement.
 from __future__ import annotations
 
 import atexit
+import hashlib
 import json
 import logging
 import re
 import time
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -264,6 +266,68 @@ def harvest_columns(spark: SparkSession, schema: str, catalog: str | None = None
     return spark.createDataFrame(found, COLUMNS_META)
 
 
+def harvest_into(
+    spark: SparkSession, schema: str, name: str, catalog: str | None = None, workers: int = 8, batch: int = 100
+) -> int:
+    """Bring the harvest table `name` up to date with a schema; gives how many tables were described.
+
+    One statement lists all tables with what the catalog says of each; only tables that are new
+    or of which that has changed are described, `workers` at a time. Each batch is added to
+    the table when it is complete, so a harvest that was interrupted goes on where it was.
+    Tables that are gone are marked so. Read it with `harvested`.
+    """
+    parts = _schema_parts(spark, schema, catalog)
+    if not spark.catalog.tableExists(_beside(name)):
+        write_table(spark.createDataFrame([], HARVEST), name, "Harvested tables")
+    latest = _latest(spark.table(_beside(name))).where((F.col("of") == ".".join(parts)) & ~F.col("gone"))
+    known = {row["full_name"]: row["print"] for row in latest.select("full_name", "print").collect()}
+    listed = {".".join([*parts, t]): (t, p) for t, p in _prints(spark, parts).items()}
+    stale = [full for full, (_, printed) in listed.items() if known.get(full) != printed]
+    rows = [(full, ".".join(parts), "", time.time_ns(), True, None, []) for full in known if full not in listed]
+
+    def described(full: str) -> tuple:
+        own, printed = listed[full]
+        facts = _facts(spark, [*parts, own])
+        columns = [c[1:] for c in _columns_meta([*parts, own], facts)]
+        return (full, ".".join(parts), printed, time.time_ns(), False, _table_meta([*parts, own], facts), columns)
+
+    with ThreadPoolExecutor(workers) as pool:
+        for start in range(0, max(len(stale), 1), batch):
+            rows += pool.map(described, stale[start : start + batch])
+            if rows:
+                append_table(spark.createDataFrame(rows, HARVEST), name)
+            rows = []
+    return len(stale)
+
+
+def harvested(harvest: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The inventory of tables (`TABLES_META`) and of columns (`COLUMNS_META`) from a harvest table."""
+    latest = _latest(harvest).where(~F.col("gone"))
+    return latest.select("about.*"), latest.select("full_name", F.inline("columns"))
+
+
+_COLUMN_FACTS = COLUMNS_META.split(", ", 1)[1]
+HARVEST = (
+    "full_name string, of string, print string, at bigint, gone boolean, "
+    f"about struct<{TABLES_META}>, columns array<struct<{_COLUMN_FACTS}>>"
+)
+
+
+def _latest(harvest: DataFrame) -> DataFrame:
+    row = F.struct(*[c for c in harvest.columns if c != "full_name"])
+    return harvest.groupBy("full_name").agg(F.max_by(row, "at").alias("_row")).select("full_name", "_row.*")
+
+
+def _prints(spark: SparkSession, parts: list[str]) -> dict[str, str]:
+    """The tables of a schema and a digest of what the catalog says of each, by one statement."""
+    rows = spark.sql(f"SHOW TABLE EXTENDED IN {'.'.join(map(_ticked, parts))} LIKE '*'").collect()
+    said = {row["tableName"]: row["information"] for row in rows if not row["isTemporary"]}
+    moving = re.compile(r"^Last Access.*$", re.MULTILINE)
+    return {
+        name: hashlib.sha256(moving.sub("", said[name]).encode()).hexdigest() for name in _without_versions(said)
+    }
+
+
 def describe_one(spark: SparkSession, full_name: str) -> tuple[DataFrame, DataFrame]:
     """The inventory rows of one table and of its columns, from a single statement."""
     parts = name_parts(full_name)
@@ -278,17 +342,23 @@ def describe_one(spark: SparkSession, full_name: str) -> tuple[DataFrame, DataFr
     )
 
 
-def _listed(spark: SparkSession, schema: str, catalog: str | None) -> list[list[str]]:
+def _schema_parts(spark: SparkSession, schema: str, catalog: str | None) -> list[str]:
     parts = [catalog, *name_parts(schema)[-1:]] if catalog else name_parts(schema)
-    if len(parts) == 1:
-        parts = [spark.catalog.currentCatalog(), *parts]
+    return [spark.catalog.currentCatalog(), *parts] if len(parts) == 1 else parts
+
+
+def _listed(spark: SparkSession, schema: str, catalog: str | None) -> list[list[str]]:
+    parts = _schema_parts(spark, schema, catalog)
     inside = ".".join(map(_ticked, parts))
     rows = spark.sql(f"SHOW TABLES IN {inside}").collect()
     names = [row["tableName"] for row in rows if not row["isTemporary"]]
+    return [[*parts, name] for name in _without_versions(names)]
+
+
+def _without_versions(names) -> list[str]:
+    """A version is no table of its own where its view is there."""
     version = re.compile("(.*)" + _VERSION_ENDING)
-    # A version is no table of its own where its view is there.
-    hidden = {n for n in names if (found := version.fullmatch(n)) and found[1] in names}
-    return [[*parts, name] for name in names if name not in hidden]
+    return [n for n in names if not ((found := version.fullmatch(n)) and found[1] in names)]
 
 
 def _table_meta(name: list[str], facts: dict) -> tuple:

@@ -250,3 +250,49 @@ def test_a_hot_key_is_not_put_into_one_bucket(spark, caplog):
     catalog.load_table(spark, f"{schema}.even", even, declared, bucket_by=("product_id",), buckets=8)
     plan = spark.table(f"{schema}.even").groupBy("product_id").count()._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_a_harvest_describes_only_what_changed(spark, monkeypatch):
+    schema, inventory = catalog.scratch_schema(spark), catalog.scratch_schema(spark)
+    for i in range(60):
+        spark.sql(f"CREATE TABLE {schema}.t{i} (id bigint COMMENT 'number {i}', v array<string>) USING parquet")
+    catalog.write_table(spark.range(2), f"{schema}.own", "first")
+    described, facts = [], catalog._facts
+    monkeypatch.setattr(catalog, "_facts", lambda s, n, **k: described.append(n[-1]) or facts(s, n, **k))
+
+    def harvest():
+        described.clear()
+        n = catalog.harvest_into(spark, schema, f"{inventory}.harvest", batch=25)
+        found = {x for x in described if x == "own" or x.startswith("t")}
+        assert len(found) == n
+        return found
+
+    assert len(harvest()) == 61 and harvest() == set()
+    spark.sql(f"ALTER TABLE {schema}.t7 ADD COLUMNS (extra int)")
+    spark.sql(f"DROP TABLE {schema}.t8")
+    catalog.write_table(spark.range(3).selectExpr("id", "1 AS w"), f"{schema}.own", "second")
+    assert harvest() == {"t7", "own"} and harvest() == set()
+    tables, columns = catalog.harvested(spark.table(f"{inventory}.harvest"))
+    assert as_set(tables) == as_set(catalog.harvest_tables(spark, schema))
+    assert as_set(columns) == as_set(catalog.harvest_columns(spark, schema))
+    assert tables.count() == 60
+
+
+def test_a_harvest_goes_on_where_it_was(spark, monkeypatch):
+    schema, inventory = catalog.scratch_schema(spark), catalog.scratch_schema(spark)
+    for i in range(20):
+        spark.sql(f"CREATE TABLE {schema}.t{i:02d} (id bigint) USING parquet")
+    facts = catalog._facts
+
+    def lost(s, name, **k):
+        if name[-1] == "t15":
+            raise KeyboardInterrupt
+        return facts(s, name, **k)
+
+    monkeypatch.setattr(catalog, "_facts", lost)
+    with pytest.raises(KeyboardInterrupt):
+        catalog.harvest_into(spark, schema, f"{inventory}.harvest", workers=2, batch=5)
+    monkeypatch.undo()
+    assert catalog.harvested(spark.table(f"{inventory}.harvest"))[0].count() == 15
+    assert catalog.harvest_into(spark, schema, f"{inventory}.harvest", workers=2, batch=5) == 5
+    assert catalog.harvested(spark.table(f"{inventory}.harvest"))[0].count() == 20
