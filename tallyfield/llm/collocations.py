@@ -8,11 +8,12 @@ of the windows that end there; the flow through a phrase of three words is that
 it begins, and so on down to single words. A node all of whose flow comes from one edge, or
 goes to one, lies on an unary path and is compacted into that edge; what is left is scored.
 
-Before that, one pass over the texts counts words and pairs of neighbours by hash, in a table
-of fixed size. A hash that stays below the least count rules out its words and pairs: windows
-are cut there, and what cannot become a phrase is not shuffled. The table is an upper bound,
-so nothing else is lost; the larger the corpus, the less it rules out. The same table
-tells pairs that hold a large share of all windows: these are dealt out by their third word as well.
+Before that, a pass over the texts counts words and pairs of neighbours by hash, in a table of
+fixed size, and another one three words in a row, of those whose pairs may be frequent. A hash
+that stays below the least count rules out its words, pairs or threes: windows are cut there,
+and what cannot become a phrase is not shuffled. The tables are upper bounds, so nothing else
+is lost; the larger the corpus, the less they rule out. The first one also tells pairs that
+hold a large share of all windows: these are dealt out by their third word as well.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from .common import mix, ship_package, written
 LONGEST = 5
 LEAST = 100
 TOP = 2000
-# Slots of the table, 2 ** SLOT_BITS: a bit each when broadcast, 16 MB.
+# Slots of a table, 2 ** SLOT_BITS: a bit each when broadcast, 16 MB.
 SLOT_BITS = 27
 # Pairs in a slot with at least one in SPREAD of all words are dealt out by three words: at
 # most 2 * SPREAD slots.
@@ -43,6 +44,8 @@ SPREAD = 2000
 CHUNK = 2 * 1024 * 1024
 UNKNOWN = "und"
 PIECE_END, BETWEEN = r"[.,;:!?\x0A-\x0D]", r"[\x20\x09]+"
+# Windows a task holds back to add up equal ones of several chunks.
+HELD = 400_000
 # Ranks are cut in so many shares of a language first.
 SHARES = 64
 
@@ -85,6 +88,10 @@ class Words:
             total = mix(total ^ self._hash[word], seed=len(words))
         return total
 
+    def in_a_row(self, first: np.ndarray, n: int) -> np.ndarray:
+        """Hashes of the n words from each of these places on."""
+        return self.hashed(self.tag[first], *[self.word[first + i] for i in range(n)])
+
 
 def _hashes(names: pa.Array) -> np.ndarray:
     return pd.util.hash_array(np.array(names.to_pylist(), dtype=object), categorize=False)
@@ -131,6 +138,34 @@ def slot_counts(texts: DataFrame) -> DataFrame:
     return written(found.groupBy("slot", "lang").agg(F.sum("n").alias("n")))
 
 
+def triple_counts(texts: DataFrame, table: np.ndarray) -> DataFrame:
+    """`slot`, `n` of three words in a row whose pairs are possible by the table."""
+    shared = texts.sparkSession.sparkContext.broadcast(table)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for words in _chunks(batches):
+            first = _triples(_going_on(words, shared.value))
+            slots, n = np.unique(_slots(words.in_a_row(first, 3)), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(n, pa.int64())], names=["slot", "n"])
+
+    ship_package(texts.sparkSession)
+    return texts.mapInArrow(count, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
+
+
+def _going_on(words: Words, table: np.ndarray) -> np.ndarray:
+    """Whether a window may go on from a word to the next."""
+    able = _is_set(table, _slots(words.hashed(words.tag, words.word)))
+    goes_on = words.follows()
+    pairs = np.flatnonzero(goes_on)
+    goes_on[pairs] = able[pairs] & able[pairs + 1] & _is_set(table, _slots(words.in_a_row(pairs, 2)))
+    return goes_on
+
+
+def _triples(goes_on: np.ndarray) -> np.ndarray:
+    """Where three words in a row begin."""
+    return np.flatnonzero(goes_on[:-1] & goes_on[1:])
+
+
 def _counted(slots: pa.Array, langs: pa.Array, n: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([slots, langs, pa.array(n, pa.int64())], names=["slot", "lang", "n"])
 
@@ -157,38 +192,52 @@ def _is_set(table: np.ndarray, slots: np.ndarray) -> np.ndarray:
 # --- the graph -----------------------------------------------------------------------------
 
 
-def edges(texts: DataFrame, table: np.ndarray, hot: np.ndarray) -> DataFrame:
-    """`key`, `gram`, `n`: windows of up to five words and their number in a chunk of a task.
+def edges(texts: DataFrame, tables: tuple[np.ndarray, np.ndarray], hot: np.ndarray) -> DataFrame:
+    """`key`, `gram`, `n`: windows of up to five words and their number in some chunks of a task.
 
     A gram is its language, a tab, and words with blanks between. All grams that begin with
     the same two words have one key, or where these are in a `hot` slot, the same three.
     """
-    shared = texts.sparkSession.sparkContext.broadcast((table, hot))
+    shared = texts.sparkSession.sparkContext.broadcast((tables, hot))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, hot = shared.value
+        tables, hot = shared.value
+        held: list[pa.Table] = []
         for words in _chunks(batches):
-            yield from _windows(words, table, hot).to_batches(max_chunksize=20_000)
+            held.append(_windows(words, tables, hot))
+            if sum(t.num_rows for t in held) > HELD:
+                held = [_merged(held)]
+                if held[0].num_rows > HELD // 2:
+                    yield from held.pop().to_batches(max_chunksize=20_000)
+        if held:
+            yield from _merged(held).to_batches(max_chunksize=20_000)
 
     ship_package(texts.sparkSession)
     return texts.mapInArrow(count, "key bigint, gram string, n bigint")
 
 
-def _windows(words: Words, table: np.ndarray, hot: np.ndarray) -> pa.Table:
+def _merged(tables: list[pa.Table]) -> pa.Table:
+    """Equal windows of several chunks as one."""
+    found = pa.concat_tables(tables).combine_chunks().group_by(["key", "gram"], use_threads=False)
+    found = found.aggregate([("n", "sum")]).rename_columns(["key", "gram", "n"])
+    return found.combine_chunks()
+
+
+def _windows(words: Words, tables: tuple[np.ndarray, np.ndarray], hot: np.ndarray) -> pa.Table:
     tag, word, n = words.tag, words.word, len(words)
-    able = _is_set(table, _slots(words.hashed(tag, word)))
-    goes_on = words.follows()
-    pairs = np.flatnonzero(goes_on)
-    goes_on[pairs] = (
-        able[pairs]
-        & able[pairs + 1]
-        & _is_set(table, _slots(words.hashed(tag[pairs], word[pairs], word[pairs + 1])))
-    )
+    able = _is_set(tables[0], _slots(words.hashed(tag, word)))
+    goes_on = _going_on(words, tables[0])
+    first = _triples(goes_on)
+    triple = np.zeros(n, dtype=bool)
+    triple[first] = _is_set(tables[1], _slots(words.in_a_row(first, 3)))
     columns, alive = {"tag": pa.array(tag[able])}, able
     for j in range(LONGEST):
         if j:
+            # The last two words, and the last three, may lie beside each other.
             step = np.zeros(n, dtype=bool)
-            step[: n - j + 1] = goes_on[j - 1 :]
+            last = goes_on if j == 1 else triple
+            back = 1 if j == 1 else 2
+            step[: n - j + back] = last[j - back :]
             alive = alive & step
         later = np.zeros(n, dtype=np.int64)
         later[: max(n - j, 0)] = word[j:]
@@ -345,7 +394,9 @@ def mine_phrases(
     total = sizes.agg(F.sum("n")).first()[0] or 0
     share = F.col("n") * F.lit(SPREAD) >= F.lit(max(total, 1))
     hot = [row["slot"] for row in slots.where(F.col("slot").isNotNull() & share).select("slot").toLocalIterator()]
-    windows = edges(texts, possible(slots, least), np.array(hot, dtype=np.int64))
+    pairs = possible(slots, least)
+    tables = pairs, possible(triple_counts(texts, pairs), least)
+    windows = edges(texts, tables, np.array(hot, dtype=np.int64))
     frequent = written(flows(windows, least))
     phrases = compacted(frequent).where("words > 1")
     return top_phrases(scored(phrases, frequent, sizes), top)

@@ -92,7 +92,8 @@ def test_a_pair_that_holds_most_windows_is_dealt_out(docs_of, monkeypatch):
     table = collocations.possible(slots, 20)
     hot = [r["slot"] for r in slots.where("slot is not null and n > 500").collect()]
     for given, most in ((np.array(hot), 60), (np.array([], dtype=np.int64), 1)):
-        keyed = collocations.edges(texts, table, given).where("gram like 'en\tso it w%'")
+        both = table, collocations.possible(collocations.triple_counts(texts, table), 1)
+        keyed = collocations.edges(texts, both, given).where("gram like 'en\tso it w%'")
         keys = keyed.select("key").distinct().count()
         assert keys == 1 if most == 1 else 30 < keys <= most
 
@@ -117,5 +118,23 @@ def test_the_table_rules_out_what_is_rare(docs_of):
     texts = docs.select("lang", "text")
     slots = collocations.slot_counts(texts)
     assert slots.where("slot is null").collect()[0]["n"] == 50 * 202
-    kept = collocations.edges(texts, collocations.possible(slots, 50), np.array([], dtype=np.int64))
+    pairs = collocations.possible(slots, 50)
+    triples = collocations.triple_counts(texts, pairs)
+    assert triples.count() == 0
+    none = np.array([], dtype=np.int64)
+    kept = collocations.edges(texts, (pairs, collocations.possible(triples, 50)), none)
     assert {r["gram"] for r in kept.collect()} == {"en\toften said", "en\tsaid"}
+
+
+def test_windows_end_where_three_words_are_too_rare(docs_of):
+    docs = docs_of(["a b c d e"] * 30 + ["a b x", "b c y", "c d z"] * 30 + ["a b c"] * 10 + ["b c d"] * 20)
+    texts = docs.select("lang", "text")
+    pairs = collocations.possible(collocations.slot_counts(texts), 40)
+    tables = pairs, collocations.possible(collocations.triple_counts(texts, pairs), 40)
+    kept = collocations.edges(texts, tables, np.array([], dtype=np.int64))
+    sums = {}
+    for r in kept.collect():
+        sums[r["gram"].split("\t")[1]] = sums.get(r["gram"].split("\t")[1], 0) + r["n"]
+    # 'd e' occurs 30 times and 'c d e' too: windows end ahead of it.
+    assert sums["a b c"] == 10 and sums["a b c d"] == 30 and "a b c d e" not in sums
+    assert _mined(docs, least=40) == _plain(_pairs(docs), 40)
