@@ -93,6 +93,7 @@ SELECT "offset" + 1, fate, NULL, length, NULL, digest FROM placed WHERE fate = '
 
 
 def op2_line_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with the lines that are left, however alike lines spread over documents; see `dedup_lines`."""
     docs = _table(spark, d, "documents")
     done = line_dedup.dedup_lines(docs, form=line_dedup.normal, shortest=1)
     return done.select("doc_id", "text", "n_lines", "n_removed")
@@ -129,26 +130,32 @@ QUALIFY row_number() OVER best <= 20
 
 
 def op4_decision_list(spark: SparkSession, d: str) -> DataFrame:
+    """Counts, base filter and the learned rules' verdict of every document; see `judge_quality`."""
     return decision_list.judge_quality(_table(spark, d, "documents"), _table(spark, d, "labels"))
 
 
 def op5_best_fit_packing(spark: SparkSession, d: str) -> DataFrame:
+    """Every piece of every document and its sequence, empty texts included; see `pack`."""
     return packing.pack(_table(spark, d, "documents"), tokenizer_file())
 
 
 def op6_positive_unlabelled(spark: SparkSession, d: str) -> DataFrame:
+    """A quality score for every document, learned from labelled ones outside the held-out fold; see `score_quality`."""
     return pu_learning.score_quality(_table(spark, d, "documents"), _table(spark, d, "labels"))
 
 
 def op7_role_repair(spark: SparkSession, d: str) -> DataFrame:
+    """What becomes of every turn, and its piece of the rendered conversation; see `repair`."""
     return chat_repair.repair(_table(spark, d, "conversations"))
 
 
 def op8_hyperdimensional_language(spark: SparkSession, d: str) -> DataFrame:
+    """The language of every document; see `predict_language`."""
     return hyperlang.predict_language(_table(spark, d, "documents"))
 
 
 def op9_dart_minhash(spark: SparkSession, d: str) -> DataFrame:
+    """The class of near-duplicates of every document; see `near_duplicates`."""
     classes = dart_minhash.near_duplicates(_table(spark, d, "documents"))
     return classes.drop("text_hash")
 
@@ -181,6 +188,7 @@ def op13_merkle_manifest(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, d: str) -> DataFrame:
+    """The packed corpus: all stages of `corpus_pipeline`, from the documents as they are."""
     return corpus_pipeline.run(spark, d)
 
 
