@@ -138,6 +138,13 @@ def _harvested_columns(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumn("full_name", F.substring_index("full_name", ".", -1))
 
 
+def _search_by_index(spark: SparkSession, d: str) -> DataFrame:
+    tables = star.tables_meta(spark, d)
+    name = f"{catalog.scratch_schema(spark)}.names"
+    metadata.write_name_index(spark, name, tables)
+    return metadata.search_tables_by_index(tables, catalog.scan(spark, name), "lake", "Brand#1", "BOLT_1")
+
+
 def _one_live_table(spark: SparkSession, d: str) -> DataFrame:
     schema = live.loaded_shop(spark, d, ("products",))
     table, columns = catalog.describe_one(spark, f"{schema}.products")
@@ -267,6 +274,7 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             star.region_policy(s, d),
         ),
         "apply_column_mask": _masked_customers,
+        "search_tables_by_index": _search_by_index,
         "loaded_products": _loaded_products,
         "harvested_tables": _harvested_tables,
         "harvested_columns": _harvested_columns,
@@ -417,6 +425,7 @@ _PRODUCT_ROWS = ", ".join(f"({i}, '{n}', '{t}', '{c}')" for i, (n, t, c) in enum
 def core_oracle_sql() -> dict[str, str]:
     own = _core_sql()
     return own | {
+        "search_tables_by_index": own["search_tables"],
         "built_monthly_sales_summary": own["monthly_sales_summary"],
         "built_product_sales_ranking": own["product_sales_ranking"],
         "built_customer_segment_performance": own["customer_segment_performance"],

@@ -8,10 +8,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import last_part, literal_search, or_default, or_null, yes_no
+from ..sources.catalog import write_table
+
+# Folders of a search index.
+INDEX_BUCKETS = 64
 
 
 def list_catalogs(tables: DataFrame) -> DataFrame:
@@ -41,6 +45,53 @@ def search_tables(tables: DataFrame, catalog: str, schema: str, term: str = "")
     )
 
 
+def write_name_index(spark: SparkSession, name: str, tables: DataFrame, buckets: int = INDEX_BUCKETS) -> None:
+    """Replace the search index `name`: the inventory's rows, once for every three characters in a
+    row of the table's name in lower case, in folders by a hash of these."""
+    rows = tables.withColumn("gram", F.explode(F.array_distinct(_grams(F.lower("name")))))
+    rows = rows.withColumn("bucket", _gram_bucket(F.col("gram"), buckets))
+    # A gram that many names have is spread over files; readers open one folder.
+    spread = rows.repartition("bucket", F.pmod(F.xxhash64("full_name"), F.lit(8))).sortWithinPartitions("bucket", "gram")
+    write_table(spread, name, "Tables by three characters of their names", partition_by=("bucket",))
+
+
+def search_tables_by_index(
+    tables: DataFrame, index: DataFrame, in_catalog: str, schema: str, term: str, buckets: int = INDEX_BUCKETS
+) -> DataFrame:
+    """The same as `search_tables`, by the rows of the rarest three characters of the term.
+
+    These are counted first, in their folders alone; what is read then is every row that can
+    contain the term, and the test for the term itself decides. A term of fewer than three
+    characters has none, and is searched for in the whole inventory.
+    """
+    asked = index.sparkSession.range(1).select(F.array_distinct(_grams(F.lower(F.lit(term)))).alias("grams"))
+    grams = asked.first()["grams"]
+    if not grams:
+        return search_tables(tables, in_catalog, schema, term)
+    in_folders = F.col("bucket").isin([row[0] for row in _buckets_of(index.sparkSession, grams, buckets)])
+    counts = index.where(in_folders & F.col("gram").isin(grams)).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    found = {row["gram"]: row["n"] for row in counts.collect()}
+    rarest = min(grams, key=lambda g: (found.get(g, 0), g))
+    folder = _buckets_of(index.sparkSession, [rarest], buckets)[0][0]
+    rows = index.where((F.col("bucket") == folder) & (F.col("gram") == F.lit(rarest)))
+    return search_tables(rows, in_catalog, schema, term)
+
+
+def _grams(text: Column) -> Column:
+    """All three characters in a row of a text; none of a shorter one."""
+    starts = F.when(F.char_length(text) >= 3, F.sequence(F.lit(1), F.char_length(text) - 2))
+    return F.coalesce(F.transform(starts, lambda i: F.substring(text, i, 3)), F.array().cast("array<string>"))
+
+
+def _gram_bucket(gram: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(gram), F.lit(buckets)).cast("int")
+
+
+def _buckets_of(spark: SparkSession, grams: list[str], buckets: int) -> list:
+    made = spark.range(1).select(F.explode(F.array(*[F.lit(g) for g in grams])).alias("gram"))
+    return made.select(_gram_bucket(F.col("gram"), buckets)).collect()
+
+
 def describe_table(tables: DataFrame, full_name: str | None = None) -> DataFrame:
     """Properties of one table, or of all; storage location and comment are NULL when empty."""
     wanted = tables if full_name is None else tables.where(F.col("full_name") == F.lit(full_name))

@@ -3,6 +3,8 @@ import pytest
 from tallyfield.operators import metadata
 from tallyfield.sources.schemas import COLUMNS_META, TABLES_META
 
+from tallyfield.sources.catalog import scratch_schema
+
 from row_helpers import as_set, rows_of
 
 
@@ -98,3 +100,22 @@ def test_table_row_counts(shop):
         ("sales_transactions", 45),
         ("customer_segments", 10),
     }
+
+
+def test_the_index_finds_what_the_scan_finds(spark):
+    names = ["Sales_2024", "sales%2024", "sales.2024", "x", "ab", "É_été_sales", "SALES_2024_sales", "sale", "中文表格", None]
+    rows = [("c", s, n, f"c.{s}.{n}", "TABLE", None, "parquet", None, None, None) for s in ("s", "t") for n in names]
+    rows += [("c", "s", f"other_{i}", f"c.s.other_{i}", None, "said", "parquet", None, None, None) for i in range(300)]
+    tables = spark.createDataFrame(rows, TABLES_META)
+    name = f"{scratch_schema(spark)}.names"
+    metadata.write_name_index(spark, name, tables)
+    index = spark.table(name)
+    for term in ("", "a", "ES", "ales", "sales_2024", "s%2", "s.2", "_20", "ÉTÉ", "文表格", "nothing", "other_1", "20244"):
+        want = rows_of(metadata.search_tables(tables, "c", "s", term), 3)
+        assert rows_of(metadata.search_tables_by_index(tables, index, "c", "s", term), 3) == want, term
+    rare = metadata.search_tables_by_index(tables, index, "c", "s", "s%2")
+    rare.collect()
+    # One folder of the index is opened.
+    assert "PartitionCount: 1" in rare._jdf.queryExecution().executedPlan().treeString() or len(
+        {f.split("bucket=")[1].split("/")[0] for f in rare.inputFiles()}
+    ) == 1
