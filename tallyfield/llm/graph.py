@@ -156,19 +156,13 @@ def _placed(apart: DataFrame) -> DataFrame:
 
 
 def _facts(sets: DataFrame) -> DataFrame:
-    """`node`, the `size` of its set, how many elements are its `own`, in no other set, and
-    the others as `common`."""
+    """`node`, its `elements`, the `size` of its set, and how many of them are its `own`, in no other set."""
     sets = written(sets)
-    counts = sets.groupBy("element").agg(F.count("*").alias("times"))
-    return (
-        sets.join(counts, "element")
-        .groupBy("node")
-        .agg(
-            F.count("*").alias("size"),
-            F.sum((F.col("times") == 1).cast("bigint")).alias("own"),
-            F.collect_list(F.when(F.col("times") > 1, F.col("element"))).alias("common"),
-        )
-    )
+    # Only elements that one node has come back to it: no row for each node that shares one.
+    lone = sets.groupBy("element").agg(F.min("node").alias("node"), F.count("*").alias("times")).where("times = 1")
+    own = lone.groupBy("node").agg(F.count("*").alias("own"))
+    whole = sets.groupBy("node").agg(F.count("*").alias("size"), F.collect_list("element").alias("elements"))
+    return whole.join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
 
 
 def _met_in_blocks(facts: DataFrame, large: DataFrame, similarity: float) -> DataFrame:
@@ -179,8 +173,8 @@ def _met_in_blocks(facts: DataFrame, large: DataFrame, similarity: float) -> Dat
     they share, and dealt into blocks of about as many elements. A block of outside nodes
     meets every block with that component, spread over shares where these are many. Two
     sets of sizes m and n are similar only if they share s / (1 + s) * (m + n) elements, and
-    neither shares those that are its own; an outside node that fails this against the
-    smallest set is left out from the start.
+    neither shares those that are its own; a node that fails this against the smallest set
+    is left out from the start.
     """
     about = large.groupBy(F.col("main").alias("around"), "node", "label").agg(F.count("*").alias("_n")).drop("_n")
     about = written(about.join(facts, "node").withColumn("outside", F.col("label") != F.col("around")))
@@ -190,20 +184,19 @@ def _met_in_blocks(facts: DataFrame, large: DataFrame, similarity: float) -> Dat
         F.min("size").alias("least"),
     )
     about = about.join(sizes, "around")
-    entry = F.struct("node", "label", "size", "own", "common")
+    factor = F.lit(similarity / (1 + similarity))
+    can_share = F.col("size") - F.col("own")
+    # The smallest partner a node can have is no smaller than what they share.
+    smallest = F.greatest(F.col("least"), can_share)
+    about = about.where(can_share >= factor * (F.col("size") + smallest) - 1e-9)
+    entry = F.struct("node", "label", "size", "own", "elements")
 
     def block(elements: str):
         return F.pmod(F.xxhash64("node"), F.ceil(F.col(elements) / F.lit(BLOCK)).cast("bigint"))
 
     rest = about.groupBy("around", block("all_elements").alias("block")).agg(F.collect_list(entry).alias("rest"))
     rest = rest.withColumn("share", F.pmod("block", F.lit(SHARES)))
-    factor = F.lit(similarity / (1 + similarity))
-    can_share = F.col("size") - F.col("own")
-    # The smallest partner this node can have is no smaller than what they share.
-    smallest = F.greatest(F.col("least"), can_share)
-    able = can_share >= factor * (F.col("size") + smallest) - 1e-9
-    outside = about.where(F.col("outside") & able)
-    outside = outside.groupBy("around", block("out_elements").alias("block")).agg(F.collect_list(entry).alias("outs"))
+    outside = about.where("outside").groupBy("around", block("out_elements").alias("block")).agg(F.collect_list(entry).alias("outs"))
     outside = outside.select("around", "outs", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("share"))
 
     def similar(o, m):
@@ -211,7 +204,7 @@ def _met_in_blocks(facts: DataFrame, large: DataFrame, similarity: float) -> Dat
         return (
             (m["label"] != o["label"])
             & (F.least(o["size"] - o["own"], m["size"] - m["own"]) >= need)
-            & (F.size(F.array_intersect(o["common"], m["common"])) >= need)
+            & (F.size(F.array_intersect(o["elements"], m["elements"])) >= need)
         )
 
     found = F.transform(
