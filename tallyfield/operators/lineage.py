@@ -20,6 +20,9 @@ NEIGHBOUR_LIMIT = 100
 # Spark's own bound for limiting a ranked group before it is sent.
 SENT_LIMIT = 1000
 SHARES = 64
+# Events a task of `lineage_for_all` sorts, about: their names compress so well that partitions
+# merged by their bytes would hold several times as many.
+SORTED = 1_000_000
 
 # Parts an edge table is cut into by table name: a lookup reads one of them.
 BUCKETS = 64
@@ -53,9 +56,10 @@ def lineage_for_all(events: DataFrame, limit: int = NEIGHBOUR_LIMIT) -> DataFram
 
     Repeated events are merged before the first shuffle. A table with very many neighbours
     is cut into shares that are limited apart, so that no task gets more than the first
-    `limit` of each share.
+    `limit` of each share. The log is counted first: the more events, the more tasks sort edges.
     """
-    both = _both_ways(events)
+    parts = -(-_linked(events).count() // SORTED)
+    both = _in_both_ways(_linked(events).distinct().repartition(max(1, parts), SOURCE, TARGET))
     by_name = Window.partitionBy("table", "direction").orderBy("tbl")
     if limit > SENT_LIMIT:
         # Up to there Spark limits on the sending side by itself.
@@ -110,11 +114,14 @@ def _bucket(table, buckets: int):
 
 def _both_ways(events: DataFrame) -> DataFrame:
     """Each different edge of a log, once for either end: `table, direction, tbl`."""
-    edges = (
-        events.where(F.col(SOURCE).isNotNull() & F.col(TARGET).isNotNull())
-        .select(SOURCE, TARGET)
-        .distinct()
-    )
+    return _in_both_ways(_linked(events).distinct())
+
+
+def _linked(events: DataFrame) -> DataFrame:
+    return events.where(F.col(SOURCE).isNotNull() & F.col(TARGET).isNotNull()).select(SOURCE, TARGET)
+
+
+def _in_both_ways(edges: DataFrame) -> DataFrame:
     return edges.select(
         F.inline(
             F.array(

@@ -139,6 +139,16 @@ def test_a_limit_beyond_sparks_own_splits_a_hub(spark):
     assert found == [f"t{i:05d}" for i in range(5000)]
 
 
+def test_the_tasks_that_sort_edges_grow_with_the_log(spark, events, monkeypatch):
+    whole = as_set(lineage.lineage_for_all(events))
+    monkeypatch.setattr(lineage, "SORTED", 20)
+    dealt = lineage.lineage_for_all(events)
+    # 505 events have both ends; partitions of a given number are not merged by their bytes.
+    assert "26), REPARTITION_BY_NUM" in dealt._jdf.queryExecution().executedPlan().toString()
+    assert as_set(dealt) == whole
+    assert lineage.lineage_for_all(events.where("false")).count() == 0
+
+
 def _log(spark, rows):
     return spark.createDataFrame(rows, "source_table_full_name string, target_table_full_name string")
 
