@@ -6,8 +6,10 @@ import atexit
 import logging
 import shutil
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -35,7 +37,8 @@ def written(df: DataFrame) -> DataFrame:
 
     Unlike a checkpoint it is compressed, is read column by column, has a known size, and
     carries nothing of the plan that made it into later plans. The files stay until the
-    driver ends, as anything derived from the result needs them.
+    driver ends, as anything derived from the result needs them, or until `discard`. The
+    shuffle files of the write go at its end.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
@@ -44,19 +47,72 @@ def written(df: DataFrame) -> DataFrame:
     if not _folders:
         atexit.register(_remove_written, context)
     _folders.append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _scope().append(path)
+    with _cleaned_shuffles(spark):
+        df.write.parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._written_at = path
+    return found
+
+
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _cleaned_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is executed meanwhile go when it ends: nothing reads them again."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
+def settled(make: Callable[[], DataFrame]) -> DataFrame:
+    """`written(make())`, without the tables that `make` has written on its way there."""
+    outer, _local.scope = _scope(), []
+    try:
+        result = written(make())
+    finally:
+        inner, _local.scope = _scope(), outer
+        outer.extend(inner)
+    _remove(result.sparkSession.sparkContext, [path for path in inner if path != result._written_at])
+    return result
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Remove the files of `written` tables that nothing reads any more; others are left alone."""
+    for table in tables:
+        path = None if table is None else getattr(table, "_written_at", None)
+        if path:
+            _remove(table.sparkSession.sparkContext, [path])
 
 
 _folders: list[str] = []
+_local = threading.local()
+
+
+def _scope() -> list[str]:
+    """The folders written by this thread, within `settled` since that began."""
+    if not hasattr(_local, "scope"):
+        _local.scope = []
+    return _local.scope
+
+
+def _remove(context: SparkContext, paths: list[str]) -> None:
+    hadoop = context._jvm.org.apache.hadoop.fs
+    for name in paths:
+        path = hadoop.Path(name)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        for known in (_folders, _scope()):
+            if name in known:
+                known.remove(name)
 
 
 def _remove_written(context: SparkContext) -> None:
     try:
-        hadoop = context._jvm.org.apache.hadoop.fs
-        for folder in _folders:
-            path = hadoop.Path(folder)
-            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        _remove(context, list(_folders))
     except Exception as error:  # the session may be gone already; the folder is a scratch one
         logging.getLogger(__name__).info("written tables were left behind: %s", error)
 

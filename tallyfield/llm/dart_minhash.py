@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tallyfield.functions.text import column_named
 
-from .common import map_batches, mix, only, written
+from .common import map_batches, mix, only, settled, written
 from .graph import link, shared_buckets
 
 WORDS = 5
@@ -72,9 +72,9 @@ def near_duplicates(
     labels = link(
         candidates,
         lambda pairs: _similar(pairs, sets, similarity),
-        lambda some: sets.join(some.distinct(), "node").select("node", F.explode("elements").alias("element")),
+        lambda some: sets.join(some.distinct(), "node").select("node", "elements"),
         similarity,
-        parts=2,
+        parts=1,
     )
     labelled = nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     classes = labelled.groupBy("component").agg(
@@ -107,8 +107,8 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
         column_named(key).alias("of_key"),
         F.xxhash64(column_named(text)).alias("of_hash"),
     )
-    classes = near_duplicates(only(docs, key=key, text=text), "key", "text")
-    classes = written(classes.where(F.col("class_hash").isNotNull()))
+    texts = only(docs, key=key, text=text)
+    classes = settled(lambda: near_duplicates(texts, "key", "text").where(F.col("class_hash").isNotNull()))
     is_kept = F.col("key").eqNullSafe(F.col("class_id")) & (F.col("text_hash") == F.col("class_hash"))
     same = F.col("of_key").eqNullSafe(F.col("key")) & (F.col("of_hash") == F.col("text_hash"))
     dropped = classes.where(~is_kept).select("key", "text_hash").distinct()

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 # Nodes of a bucket up to which those apart are tested pair by pair: at most so many tests a
 # node. Larger buckets go another, equally exact way.
@@ -19,41 +19,56 @@ DIRECT = 16
 # Elements of a block of sets, about, and the shares that blocks around one component are dealt to.
 BLOCK = 16_384
 SHARES = 16
+# Edges a file of a round of union-find, about, and its fewest files.
+EDGES = 250_000
+FEWEST = 16
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """`node`, `component` (its smallest node) of every node with an edge (`a`, `b`).
+    """`node`, `component` (its smallest node) of every node with an edge (`a`, `b`), written.
 
     Alternates the large-star and small-star steps until every edge leads to the smallest
     node: a number of rounds logarithmic in the nodes. Each step sends an edge and one
     minimum for each node; where a node has very many edges, only its minimum is copied,
-    and adaptive execution splits the edges.
+    and adaptive execution splits the edges. Edges that are stars already take no round.
     """
     current = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     current = written(current.where(F.col("u") != F.col("v")).distinct())
-    mark = _mark(current)
-    while mark[0]:
-        current = written(_small_star(_large_star(current)))
-        previous, mark = mark, _mark(current)
-        if mark == previous:
-            break
+    n, left = _progress(current)
+    while left:
+        # Edges never become more, so the files of a round need be no more than these ask for.
+        stars = _small_star(_large_star(current)).coalesce(max(FEWEST, n // EDGES))
+        before, current = current, written(stars)
+        discard(before)
+        n, left = _progress(current)
     pairs = F.array(
         F.struct(F.col("u").alias("node"), F.col("v").alias("component")),
         F.struct(F.col("v").alias("node"), F.col("v").alias("component")),
     )
-    return current.select(F.inline(pairs)).distinct()
+    found = written(current.select(F.inline(pairs)).distinct())
+    discard(current)
+    return found
 
 
-def _mark(edges: DataFrame) -> tuple[int, int]:
-    """Number and checksum of the edges: equal if nothing changed."""
-    row = edges.agg(
-        F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))
-    ).first()
-    return row[0], row[1]
+def _progress(edges: DataFrame) -> tuple[int, int]:
+    """The number of edges, and of nodes with more than one smaller neighbour or with both a
+    smaller and a larger one: none if the edges are stars around their smallest nodes."""
+    ends = F.array(
+        F.struct(F.col("u").alias("node"), F.lit(1).alias("smaller"), F.lit(0).alias("larger")),
+        F.struct(F.col("v").alias("node"), F.lit(0).alias("smaller"), F.lit(1).alias("larger")),
+    )
+    nodes = edges.select(F.inline(ends)).groupBy("node").agg(
+        F.sum("smaller").alias("smaller"), F.max("larger").alias("larger")
+    )
+    row = nodes.agg(F.sum("smaller"), F.count_if(F.col("smaller") + F.col("larger") * F.least("smaller", F.lit(1)) > 1)).first()
+    return row[0] or 0, row[1]
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Every larger neighbour of a node is linked to the smallest of the node's surroundings."""
+    """Every larger neighbour of a node is linked to the smallest of the node's surroundings.
+
+    Links come as often as they are found: the next step makes them distinct.
+    """
     ways = F.array(
         F.struct(F.col("u").alias("u"), F.col("v").alias("v")),
         F.struct(F.col("v").alias("u"), F.col("u").alias("v")),
@@ -64,7 +79,6 @@ def _large_star(edges: DataFrame) -> DataFrame:
         both.where(F.col("v") > F.col("u"))
         .join(least, "u")
         .select(F.col("v").alias("u"), F.col("m").alias("v"))
-        .distinct()
     )
 
 
@@ -97,7 +111,8 @@ def link(
 
     `shared` has `bucket`, `node`, each once; nodes of a bucket are candidates. `similar`
     takes distinct pairs (`a` < `b`) and gives back those whose Jaccard similarity is at
-    least `similarity`; `elements` gives the sets of some nodes (`node`, `element`).
+    least `similarity`; `elements` gives the sets of some nodes, in rows (`node`, `element`) or
+    whole (`node`, `elements`).
 
     Not all pairs of a bucket are made. The buckets are taken in `parts`. In each, a bucket
     whose nodes are not yet all in one component tests every node against the bucket's
@@ -121,7 +136,7 @@ def link(
     if not large.isEmpty():
         # A bucket's most central node, with the smallest share of elements nobody else has,
         # is alike to most of those that are alike to any.
-        facts = written(_facts(elements(large.select("node"))))
+        facts = _facts(elements(large.select("node")))
         lone = facts.select("node", (F.col("own") / F.col("size")).alias("lone"))
         centre = large.join(lone, "node").groupBy("bucket").agg(
             F.min_by(F.struct("node", "label"), F.struct("lone", "node")).alias("lead")
@@ -152,17 +167,48 @@ def _placed(apart: DataFrame) -> DataFrame:
     main = sizes.groupBy("bucket").agg(
         F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("nodes")
     )
-    return written(apart.join(main, "bucket"))
+    placed = written(apart.join(main, "bucket"))
+    discard(apart)
+    return placed
 
 
 def _facts(sets: DataFrame) -> DataFrame:
-    """`node`, its `elements`, the `size` of its set, and how many of them are its `own`, in no other set."""
-    sets = written(sets)
+    """`node`, its `elements`, the `size` of its set, and how many of them are its `own`, in no other set. Written.
+
+    `sets` has `node` and either `elements` or rows of `element`. Sets meet in blocks of about
+    BLOCK elements first, so that an element is one row a block and not one a set that has it.
+    """
+    if "element" in sets.columns:
+        sets = sets.groupBy("node").agg(F.collect_list("element").alias("elements"))
+    whole = written(sets.select("node", "elements", F.size("elements").cast("bigint").alias("size")))
+    total = whole.agg(F.sum("size")).first()[0] or 0
+    block = F.pmod(F.xxhash64("node"), F.lit(max(1, -(-total // BLOCK))))
+    entries = F.transform("elements", lambda e: F.struct(e.alias("element"), F.col("node").alias("node")))
+    met = whole.groupBy(block.alias("block")).agg(F.array_sort(F.flatten(F.collect_list(entries))).alias("entries"))
+
+    def same(e, at):
+        return F.coalesce(F.get("entries", at)["element"] == e["element"], F.lit(False))
+
+    # The first of each element, and whether the block has it again.
+    firsts = F.filter(
+        F.transform(
+            "entries",
+            lambda e, i: F.struct(
+                e["element"].alias("element"),
+                e["node"].alias("node"),
+                same(e, i + 1).alias("again"),
+                same(e, i - 1).alias("later"),
+            ),
+        ),
+        lambda e: ~e["later"],
+    )
+    each = met.select(F.inline(firsts)).drop("later")
     # Only elements that one node has come back to it: no row for each node that shares one.
-    lone = sets.groupBy("element").agg(F.min("node").alias("node"), F.count("*").alias("times")).where("times = 1")
-    own = lone.groupBy("node").agg(F.count("*").alias("own"))
-    whole = sets.groupBy("node").agg(F.count("*").alias("size"), F.collect_list("element").alias("elements"))
-    return whole.join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    lone = each.groupBy("element").agg(F.min("node").alias("node"), F.count("*").alias("blocks"), F.bool_or("again").alias("again"))
+    own = lone.where("blocks = 1 and not again").groupBy("node").agg(F.count("*").alias("own"))
+    facts = written(whole.join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0))))
+    discard(whole)
+    return facts
 
 
 def _met_in_blocks(facts: DataFrame, large: DataFrame, similarity: float) -> DataFrame:
@@ -253,4 +299,7 @@ def _add(pairs, similar, edges, tested, labels):
             F.col("component").alias("a"), F.col("node").alias("b")
         )
     )
-    return edges, tested, written(components(stars))
+    joined = components(stars)
+    # What was derived from the old labels is written by now.
+    discard(labels)
+    return edges, tested, joined

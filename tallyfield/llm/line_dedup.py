@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tallyfield.functions import broadcast_if_small, column_named
 
-from .common import mix, only, written
+from .common import mix, only, settled, written
 from .graph import link, shared_buckets
 
 RUN = 8
@@ -74,7 +74,7 @@ def dedup_lines(
     of the same name.
     """
     rows = only(docs, key=key, text=text).withColumn("text_hash", F.xxhash64("text"))
-    removed = written(removed_lines(rows, similarity, form, shortest))
+    removed = settled(lambda: removed_lines(rows, similarity, form, shortest))
     left = F.filter(F.split(F.col("_text"), "\n"), lambda _, i: ~F.array_contains("_gone", i))
     kept = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(F.array_join(left, "\n"))
     n_lines = F.coalesce(F.size(F.split(F.col("_text"), "\n")), F.lit(0))
@@ -278,8 +278,8 @@ def _runs(line: Column) -> Column:
 
 
 def _elements(lines: DataFrame) -> DataFrame:
-    runs = lines.select("node", F.explode(F.array_distinct(_runs(F.col("line")))).alias("run"))
-    return runs.select("node", F.xxhash64("run").alias("element"))
+    runs = F.array_distinct(_runs(F.col("line")))
+    return lines.select("node", F.transform(runs, lambda run: F.xxhash64(run)).alias("elements"))
 
 
 def _jaccard(a: Column, b: Column) -> Column:

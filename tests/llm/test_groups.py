@@ -2,12 +2,13 @@
 
 import random
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyfield.llm import dart_minhash, graph, line_dedup, queries
+from tallyfield.llm import common, dart_minhash, graph, line_dedup, queries
 
 from llm_cases import docs_of, odd_rows, prose  # noqa: F401
 
@@ -38,6 +39,41 @@ def test_components(spark, seed):
     assert graph.components(df.where("false")).count() == 0
 
 
+def test_stars_take_no_round_of_union_find(spark, monkeypatch):
+    monkeypatch.setattr(graph, "_large_star", None)
+    df = spark.createDataFrame([(1, 9), (5, 1), (2, 3), (2, 2)], "a bigint, b bigint")
+    assert {r[0]: r[1] for r in graph.components(df).collect()} == {1: 1, 9: 1, 5: 1, 2: 2, 3: 2}
+
+
+@pytest.mark.parametrize("block", [7, 16_384])
+def test_facts_of_whole_sets_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(graph, "BLOCK", block)
+    sets = {n: [n * 100, n * 100 + 1, n % 3, 7 + n % 2] for n in range(20, 40)} | {50: [-1], 51: []}
+    rows = graph._facts(spark.createDataFrame(list(sets.items()), "node bigint, elements array<bigint>")).collect()
+    times = Counter(e for own in sets.values() for e in own)
+    assert {r["node"]: (r["size"], r["own"]) for r in rows} == {
+        n: (len(own), sum(times[e] == 1 for e in own)) for n, own in sets.items()
+    }
+
+
+def test_tables_written_on_the_way_go(spark):
+    inner = []
+
+    def make():
+        inner.append(common.written(spark.range(100)))
+        inner.append(common.settled(lambda: common.written(spark.range(5))))
+        return inner[0].join(inner[1], "id")
+
+    kept = common.written(spark.range(3))
+    result = common.settled(make)
+    there = [Path(t._written_at.removeprefix("file:")).exists() for t in (*inner, kept, result)]
+    assert there == [False, False, True, True]
+    assert result.count() == 5 and kept.count() == 3
+    common.discard(kept, None, spark.range(2))
+    assert not Path(kept._written_at.removeprefix("file:")).exists()
+    assert spark.conf.get(common._CLEANUP) == "false"
+
+
 @pytest.mark.parametrize("block, seed", [(60, 0), (400, 1), (16_384, 2)])
 def test_links_within_large_buckets_equal_brute_force(spark, monkeypatch, block, seed):
     monkeypatch.setattr(graph, "BLOCK", block)
