@@ -48,8 +48,15 @@ def normal(line: Column) -> Column:
 
     A line of such punctuation alone is compared as it is, without white space.
     """
-    plain = F.translate(F.lower(line), DROPPED, "")
-    return F.when(plain != "", plain).otherwise(F.translate(line, BLANKS, ""))
+    # Patterns, not `translate`, which looks up each character as a string of its own.
+    plain = F.regexp_replace(F.lower(line), F.lit(f"[{_escaped(DROPPED)}]+"), F.lit(""))
+    unblanked = F.regexp_replace(line, F.lit(f"[{_escaped(BLANKS)}]+"), F.lit(""))
+    return F.when(F.regexp_like(line, F.lit(f"[^{_escaped(DROPPED)}]")), plain).otherwise(unblanked)
+
+
+def _escaped(characters: str) -> str:
+    """Characters as they stand between brackets in a pattern."""
+    return "".join(f"\\x{ord(c):02x}" for c in characters)
 
 
 Form = Callable[[Column], Column]
@@ -166,11 +173,12 @@ def _lines(rows: DataFrame, form: Form, shortest: int, explode=F.explode) -> Dat
 
     (i1, i2) stands for the form from here on.
     """
-    split = explode(F.split("text", "\n"))
-    split = split.alias("line") if explode is F.explode else split.alias("at", "line")
-    lines = rows.select("key", "text_hash", split)
+    # Within the array a form is worked out once a line; as a column it would be once for the
+    # test of its length and once for each use.
+    forms = explode(F.transform(F.split("text", "\n"), form))
+    forms = forms.alias("line") if explode is F.explode else forms.alias("at", "line")
+    lines = rows.select("key", "text_hash", forms)
     names = [c for c in lines.columns if c != "line"]
-    lines = lines.select(*names, form(F.col("line")).alias("line"))
     lines = lines.where(F.char_length("line") >= max(1, shortest))
     return lines.select(
         *names, "line", F.xxhash64("line").alias("i1"), F.xxhash64(F.lit(RUN), "line").alias("i2")

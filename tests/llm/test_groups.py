@@ -318,3 +318,19 @@ def test_copies_of_lines_shorter_than_a_run_go(spark, docs_of, tmp_path):
     assert found[3]["text"] == "a\n--\n " and found[3]["n_removed"] == 1
     staged = {r["doc_id"]: r["text"] for r in line_dedup.dedup_stage(docs).collect()}
     assert staged == {k: r["text"] for k, r in found.items()}
+
+
+def test_forms_of_lines_are_worked_out_once(spark, docs_of):
+    rows = docs_of([(1, "One line, here\nand another")]).selectExpr("doc_id key", "text", "xxhash64(text) text_hash")
+    plan = line_dedup._lines(rows, line_dedup.normal, 1)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 1
+
+
+def test_forms_of_odd_lines(spark):
+    odd = ["", " ", "\t\r", "!?", " - | - ", "a", "A b\tC.", "\\[^x]&&-]", "É é", "İ ΣΑΣ. Σ", "\x0b\x0cq", "x\u00a0y", "…", "日 本", None]
+    lines = spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "i int, line string")
+    found = {r["i"]: r["form"] for r in lines.select("i", line_dedup.normal(F.col("line")).alias("form")).collect()}
+    lower = F.translate(F.lower("line"), line_dedup.DROPPED, "")
+    plain = F.when(lower != "", lower).otherwise(F.translate("line", line_dedup.BLANKS, ""))
+    assert found == {r["i"]: r["form"] for r in lines.select("i", plain.alias("form")).collect()}
+    assert found[3] == "!?" and found[6] == "abc" and found[7] == "x" and found[14] is None
