@@ -28,9 +28,8 @@ TEMPER = {"source": 0.8, "lang": 0.9, "topic": 0.95}
 # the error stops falling, by a tenth in STALL sweeps at least.
 MAX_SWEEPS, TOLERANCE = 1000, 1e-12
 STALL = 24
-# Sweeps in one plan, before the cells are written. A sweep is three windows, and what the
-# driver takes to plan them grows with their number.
-AT_ONCE = 4
+# Sweeps in one plan, before the cells are written.
+AT_ONCE = 8
 # Up to so many cells are swept in one task, without an exchange for each window.
 IN_ONE_TASK = 50_000
 # The pipeline's sample is held to its goals as nearly as this.
