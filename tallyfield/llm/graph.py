@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, written
@@ -16,9 +16,15 @@ from .common import discard, written
 # Nodes of a bucket up to which those apart are tested pair by pair: at most so many tests a
 # node. Larger buckets go another, equally exact way.
 DIRECT = 16
-# Elements of a block of sets, about, and the shares that blocks around one component are dealt to.
+# Elements of a block of sets, about.
 BLOCK = 16_384
-SHARES = 16
+# Nodes of a share of those around one component, about, and the most shares they are dealt to.
+SHARE = 2_048
+SHARES = 64
+# A set of up to so many elements is folded into bits of this many words, twice the set in bits
+# at least; with each doubling of the set the words double.
+FOLDED = 512
+WORDS = 16
 # Edges a file of a round of union-find, about, and its fewest files.
 EDGES = 250_000
 FEWEST = 16
@@ -118,11 +124,12 @@ def link(
     whose nodes are not yet all in one component tests every node against the bucket's
     first one. After that, in buckets still apart, every node outside the bucket's largest
     component has to be held against the rest. Small buckets do so pair by pair. In large
-    ones they first meet the most central node. Those still outside then meet, in blocks,
-    what lies in buckets with the same largest component; pairs are ruled out by the sizes
-    of their sets, or counted within the block, and only those similar by their hashed
-    elements become rows. So every pair of a bucket is tested, or cannot be similar, or its
-    nodes are in one component anyway: no link between components is lost.
+    ones they first meet the most central node. Those still outside then meet what lies in
+    buckets with the same largest component, as bits their sets are folded into: only pairs
+    that these bits, and the sizes of the sets, do not rule out become rows. Of those, each
+    outside node's nearest is tested first, then what is still apart. So every pair of a bucket
+    is tested, or cannot be similar, or its nodes are in one component anyway: no link between
+    components is lost.
     """
     edges = tested = labels = None
     for part in range(parts):
@@ -154,9 +161,14 @@ def link(
         (F.col("label") == F.col("main")) | (F.col("label") < F.col("other_label"))
     )
     pairs = _pairs(crossing, F.col("other"), F.col("other_label"), tested)
-    if facts is not None:
-        met = _met_in_blocks(facts, large, similarity)
-        pairs = pairs.unionByName(met.join(tested, ["a", "b"], "left_anti")).distinct()
+    if facts is None:
+        return _add(pairs, similar, edges, tested, labels)[2]
+    met = written(_met(facts, large, similarity))
+    discard(facts)
+    nearest = met.groupBy("out").agg(F.min_by(F.struct("a", "b"), F.struct("far", "a", "b")).alias("pair"))
+    nearest = nearest.select("pair.a", "pair.b").join(tested, ["a", "b"], "left_anti")
+    edges, tested, labels = _add(pairs.unionByName(nearest).distinct(), similar, edges, tested, labels)
+    pairs = _still_apart(met.select("a", "b").distinct(), labels).join(tested, ["a", "b"], "left_anti")
     return _add(pairs, similar, edges, tested, labels)[2]
 
 
@@ -173,7 +185,8 @@ def _placed(apart: DataFrame) -> DataFrame:
 
 
 def _facts(sets: DataFrame) -> DataFrame:
-    """`node`, its `elements`, the `size` of its set, and how many of them are its `own`, in no other set. Written.
+    """`node`, the `size` of its set, how many of its elements are its `own`, in no other set, and
+    its `level` and `bits` (`_folded`). Written.
 
     `sets` has `node` and either `elements` or rows of `element`. Sets meet in blocks of about
     BLOCK elements first, so that an element is one row a block and not one a set that has it.
@@ -183,8 +196,12 @@ def _facts(sets: DataFrame) -> DataFrame:
     whole = written(sets.select("node", "elements", F.size("elements").cast("bigint").alias("size")))
     total = whole.agg(F.sum("size")).first()[0] or 0
     block = F.pmod(F.xxhash64("node"), F.lit(max(1, -(-total // BLOCK))))
-    entries = F.transform("elements", lambda e: F.struct(e.alias("element"), F.col("node").alias("node")))
-    met = whole.groupBy(block.alias("block")).agg(F.array_sort(F.flatten(F.collect_list(entries))).alias("entries"))
+    # Sets travel as they are; an entry gets its node within the block.
+    entries = F.transform(
+        F.collect_list(F.struct("node", "elements")),
+        lambda s: F.transform(s["elements"], lambda e: F.struct(e.alias("element"), s["node"].alias("node"))),
+    )
+    met = whole.groupBy(block.alias("block")).agg(F.array_sort(F.flatten(entries)).alias("entries"))
 
     def same(e, at):
         return F.coalesce(F.get("entries", at)["element"] == e["element"], F.lit(False))
@@ -205,63 +222,109 @@ def _facts(sets: DataFrame) -> DataFrame:
     each = met.select(F.inline(firsts)).drop("later")
     # Only elements that one node has come back to it: no row for each node that shares one.
     lone = each.groupBy("element").agg(F.min("node").alias("node"), F.count("*").alias("blocks"), F.bool_or("again").alias("again"))
-    own = lone.where("blocks = 1 and not again").groupBy("node").agg(F.count("*").alias("own"))
-    facts = written(whole.join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0))))
-    discard(whole)
+    own = written(lone.where("blocks = 1 and not again").groupBy("node").agg(F.count("*").alias("own")))
+    facts = whole.select("node", "size", _level(F.col("size")).alias("level"))
+    facts = facts.join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    facts = written(facts.join(_folded(whole), "node", "left"))
+    discard(whole, own)
     return facts
 
 
-def _met_in_blocks(facts: DataFrame, large: DataFrame, similarity: float) -> DataFrame:
-    """Pairs `a` < `b` of different labels that are similar by `facts`, one of them outside its
-    bucket's main component.
+def _level(size: Column) -> Column:
+    """How often the words of a set of this size are doubled: 0 up to FOLDED elements, then 1 up to twice as many."""
+    return F.when(size <= FOLDED, F.lit(0)).otherwise(F.length(F.bin(F.floor((size - 1) / F.lit(FOLDED)))))
+
+
+def _folded(whole: DataFrame) -> DataFrame:
+    """`node`, `bits`: a place for each hash, modulo the number of places; set where an odd number of elements fall on it.
+
+    Places where the bits of two sets differ are never more than the elements that one of
+    the sets has alone.
+    """
+    rows = whole.select("node", _level(F.col("size")).alias("level"), F.explode("elements").alias("element"))
+    rows = rows.select("node", "level", F.xxhash64("element").alias("h"))
+    place = {
+        "section": f"(h div {64 * WORDS}) & (shiftleft(1L, level) - 1)",
+        "word": f"(h & {64 * WORDS - 1}L) div 64",
+        "bit": "shiftleft(1L, cast(h & 63L AS int))",
+    }
+    rows = rows.withColumn("h", F.shiftrightunsigned("h", 1)).select(
+        "node", "level", *[F.expr(e).alias(c) for c, e in place.items()]
+    )
+    words = [F.bit_xor(F.when(F.col("word") == i, F.col("bit")).otherwise(F.expr("0L"))).alias(f"w{i}") for i in range(WORDS)]
+    sections = rows.groupBy("node", "level", "section").agg(*words)
+    part = F.struct("section", F.array(*[f"w{i}" for i in range(WORDS)]).alias("words"))
+    parts = sections.groupBy("node", "level").agg(F.array_sort(F.collect_list(part)).alias("parts"))
+    # A section that no element falls on would shift the others; without bits a set is tested with all.
+    whole_bits = F.flatten(F.transform("parts", lambda p: p["words"]))
+    return parts.select("node", F.when(F.size("parts") == F.expr("shiftleft(1, level)"), whole_bits).alias("bits"))
+
+
+def _met(facts: DataFrame, large: DataFrame, similarity: float) -> DataFrame:
+    """`out`, `a`, `b`, `far`: pairs `a` < `b` of different labels that may be similar by `facts`, one of
+    them, `out`, outside its bucket's main component; `far` is the share of places they differ in.
 
     Nodes are gathered by the main component of their buckets, once however many buckets
-    they share, and dealt into blocks of about as many elements. A block of outside nodes
-    meets every block with that component, spread over shares where these are many. Two
-    sets of sizes m and n are similar only if they share s / (1 + s) * (m + n) elements, and
-    neither shares those that are its own; a node that fails this against the smallest set
-    is left out from the start.
+    they share, and dealt to shares where these are many. Two sets of sizes m and n are
+    similar only if they share s / (1 + s) * (m + n) elements. Neither shares those that are
+    its own, and what they do not share is at least what their bits differ in; a node that
+    fails this against the smallest set is left out from the start. Sets of different levels
+    meet at the lower one, where the bits of the larger are folded once more.
     """
     about = large.groupBy(F.col("main").alias("around"), "node", "label").agg(F.count("*").alias("_n")).drop("_n")
     about = written(about.join(facts, "node").withColumn("outside", F.col("label") != F.col("around")))
-    sizes = about.groupBy("around").agg(
-        F.sum("size").alias("all_elements"),
-        F.sum(F.when(F.col("outside"), F.col("size"))).alias("out_elements"),
-        F.min("size").alias("least"),
-    )
-    about = about.join(sizes, "around")
+    sizes = about.groupBy("around").agg(F.min("size").alias("least"), F.count("*").alias("nodes"))
     factor = F.lit(similarity / (1 + similarity))
     can_share = F.col("size") - F.col("own")
     # The smallest partner a node can have is no smaller than what they share.
     smallest = F.greatest(F.col("least"), can_share)
-    about = about.where(can_share >= factor * (F.col("size") + smallest) - 1e-9)
-    entry = F.struct("node", "label", "size", "own", "elements")
-
-    def block(elements: str):
-        return F.pmod(F.xxhash64("node"), F.ceil(F.col(elements) / F.lit(BLOCK)).cast("bigint"))
-
-    rest = about.groupBy("around", block("all_elements").alias("block")).agg(F.collect_list(entry).alias("rest"))
-    rest = rest.withColumn("share", F.pmod("block", F.lit(SHARES)))
-    outside = about.where("outside").groupBy("around", block("out_elements").alias("block")).agg(F.collect_list(entry).alias("outs"))
-    outside = outside.select("around", "outs", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("share"))
-
-    def similar(o, m):
-        need = factor * (o["size"] + m["size"]) - 1e-9
-        return (
-            (m["label"] != o["label"])
-            & (F.least(o["size"] - o["own"], m["size"] - m["own"]) >= need)
-            & (F.size(F.array_intersect(o["elements"], m["elements"])) >= need)
-        )
-
-    found = F.transform(
-        "outs",
-        lambda o: F.transform(
-            F.filter("rest", lambda m: similar(o, m)),
-            lambda m: F.struct(F.least(o["node"], m["node"]).alias("a"), F.greatest(o["node"], m["node"]).alias("b")),
-        ),
+    about = about.join(sizes, "around").where(can_share >= factor * (F.col("size") + smallest) - 1e-9)
+    lowest = F.least(_level(F.ceil(F.col("size") * similarity - 1e-9)), F.col("level"))
+    about = about.withColumn("at", F.explode(F.sequence(lowest, F.col("level"))))
+    lower = f"shiftleft({WORDS}, at)"
+    fold = F.expr(
+        f"transform(sequence(0, {lower} - 1), i -> "
+        f"aggregate(sequence(i, size(bits) - 1, {lower}), 0L, (x, j) -> x ^ bits[j]))"
+    )
+    about = about.withColumn("bits", F.when(F.col("at") == F.col("level"), F.col("bits")).otherwise(fold))
+    shares = F.least(F.lit(SHARES), F.ceil(F.col("nodes") / F.lit(SHARE))).cast("int")
+    kept = ["around", "at", "share"]
+    facts_of = {c: f"{c}_o" for c in ("node", "label", "size", "can", "level", "bits")}
+    about = about.withColumn("can", can_share).withColumn("shares", shares)
+    rest = about.select(*kept[:2], F.pmod(F.xxhash64("node"), F.col("shares")).cast("int").alias("share"), "outside", *facts_of)
+    outs = about.where("outside").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+    outs = outs.select(*kept, *facts_of).withColumnsRenamed(facts_of)
+    total = F.col("size") + F.col("size_o")
+    need = factor * total - 1e-9
+    # The first words of all levels go by themselves: for most sets these are all.
+    differing = F.lit(0)
+    for i in range(WORDS):
+        differing = differing + F.bit_count(F.get("bits", F.lit(i)).bitwiseXOR(F.get("bits_o", F.lit(i))))
+    longer = F.aggregate(
+        F.zip_with("bits", "bits_o", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, d: n + d
     )
-    met = rest.join(outside, ["around", "share"]).select(F.flatten(found).alias("found"))
-    return met.where(F.size("found") > 0).select(F.inline("found")).distinct()
+    differing = F.when(F.col("at") > 0, longer).otherwise(differing)
+    met = rest.join(outs, kept).where(
+        (F.col("label") != F.col("label_o"))
+        & (~F.col("outside") | (F.col("node") > F.col("node_o")))
+        & (F.least("level", "level_o") == F.col("at"))
+        & (F.least("can", "can_o") >= need)
+        & F.coalesce(differing <= total - 2 * need, F.lit(True))
+    )
+    return met.select(
+        F.col("node_o").alias("out"),
+        F.least("node", "node_o").alias("a"),
+        F.greatest("node", "node_o").alias("b"),
+        F.coalesce(differing / total, F.lit(1.0)).alias("far"),
+    )
+
+
+def _still_apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs whose nodes are in different components."""
+    for end in "ab":
+        known = labels.withColumnsRenamed({"node": end, "component": f"label_{end}"})
+        pairs = pairs.join(known, end, "left")
+    return pairs.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
 
 
 def _apart(members: DataFrame, labels: DataFrame | None) -> DataFrame:

@@ -334,3 +334,66 @@ def test_forms_of_odd_lines(spark):
     plain = F.when(lower != "", lower).otherwise(F.translate("line", line_dedup.BLANKS, ""))
     assert found == {r["i"]: r["form"] for r in lines.select("i", plain.alias("form")).collect()}
     assert found[3] == "!?" and found[6] == "abc" and found[7] == "x" and found[14] is None
+
+
+def _copies_of_sets(rng, sizes):
+    """Near copies of one set of each size, some right at the bound, with new elements that others have too."""
+    sets = []
+    for size in sizes:
+        base = rng.sample(range(10**9), size)
+        for _ in range(24):
+            copy = set(base)
+            for x in rng.sample(base, rng.randrange(0, size // 5)):
+                copy.discard(x)
+                if rng.random() < 0.7:
+                    copy.add(rng.randrange(10**9) if rng.random() < 0.5 else rng.randrange(size))
+            sets.append(copy)
+    return sets
+
+
+def test_pairs_that_bits_leave_hold_all_similar_ones(spark, monkeypatch):
+    monkeypatch.setattr(graph, "SHARE", 20)
+    monkeypatch.setattr(graph, "FOLDED", 100)
+    rng = random.Random(21)
+    # Sets of one level, of two neighbouring ones, and of three.
+    sets = _copies_of_sets(rng, [60, 105, 230, 450]) + [{7}, {7, 8}]
+    facts = graph._facts(spark.createDataFrame([(n, list(x)) for n, x in enumerate(sets)], "node bigint, elements array<bigint>"))
+    rows = {r["node"]: r for r in facts.collect()}
+    for i in range(len(sets)):
+        for j in range(i):
+            if rows[i]["level"] == rows[j]["level"]:
+                differing = sum(((x ^ y) % 2**64).bit_count() for x, y in zip(rows[i]["bits"], rows[j]["bits"], strict=True))
+                assert differing <= len(sets[i] ^ sets[j])
+    assert {r["level"] for r in rows.values()} == {0, 1, 2, 3}
+    members = [(1, n, 0, n % 3) for n in range(len(sets))]
+    large = spark.createDataFrame(members, "bucket bigint, node bigint, main bigint, label bigint")
+    found = Counter((r["a"], r["b"]) for r in graph._met(facts, large, 0.8).collect())
+    truth = {
+        (j, i)
+        for i in range(len(sets))
+        for j in range(i)
+        if i % 3 != j % 3 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9
+    }
+    assert truth <= set(found) and max(found.values()) == 1
+    # Four groups, a third of the pairs of each of one label: most of what is not similar is left out.
+    assert len(truth) > 100 and len(found) < 1.5 * len(truth)
+
+
+def test_sets_of_outside_nodes_are_written_once(spark, monkeypatch):
+    rng = random.Random(22)
+    sets = _copies_of_sets(rng, [400, 400])
+    listed = spark.createDataFrame([(n, list(x)) for n, x in enumerate(sets)], "node bigint, elements array<bigint>")
+    tables = []
+    written = graph.written
+    monkeypatch.setattr(graph, "written", lambda df: tables.append(written(df)) or tables[-1])
+    shared = graph.shared_buckets(spark.createDataFrame([(0, n) for n in range(len(sets))], "bucket bigint, node bigint"))
+    labels = graph.link(
+        shared, lambda pairs: dart_minhash._similar(pairs, listed, 0.8), lambda some: listed.join(some.distinct(), "node"), 0.8
+    )
+    linked = [
+        (j, i) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9
+    ]
+    truth = _classes(range(len(sets)), linked)
+    found = {r["node"]: r["component"] for r in labels.collect()}
+    assert {n: found.get(n, n) for n in truth} == truth
+    assert sum("elements" in t.columns for t in tables) == 1
