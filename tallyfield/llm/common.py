@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tallyfield.functions import fits_broadcast
 from tallyfield.functions.text import column_named
 from tallyfield.session import ensure_checkpoint_dir
 
@@ -117,6 +118,40 @@ def _remove_written(context: SparkContext) -> None:
         logging.getLogger(__name__).info("written tables were left behind: %s", error)
 
 
+# Bits of a row of a sieve, in words of 64, and the most rows: some 24 MB.
+_SIEVE_WORDS, _SIEVE_ROWS = 16, 1 << 17
+
+
+def sifted_join(rows: DataFrame, known: DataFrame, on: list[str], max_bytes: int) -> DataFrame:
+    """`rows.join(known, on)`, for a `known` that is written and has few of the keys of `rows`.
+
+    If `known` is too large for a broadcast, a bit for each of its keys is broadcast, so that
+    what is shuffled is little more than the rows that have a partner. No key is NULL.
+    """
+    if fits_broadcast(known, max_bytes):
+        return rows.join(F.broadcast(known), on)
+    size = _SIEVE_WORDS * 64
+    n = 1
+    while n < _SIEVE_ROWS and n * size < 16 * known.count():
+        n *= 2
+    place = F.struct(
+        F.xxhash64(*on).bitwiseAND(F.lit(n - 1)).alias("row"),
+        F.shiftrightunsigned(F.xxhash64(*on), 40).bitwiseAND(F.lit(size - 1)).alias("at"),
+    )
+    word, bit = "cast(_place.at div 64 AS int)", "shiftleft(1L, cast(_place.at & 63L AS int))"
+    placed = known.select(place.alias("_place")).select("_place.row", F.expr(word).alias("word"), F.expr(bit).alias("bit"))
+    words = [
+        F.coalesce(F.bit_or(F.when(F.col("word") == i, F.col("bit"))), F.lit(0).cast("bigint")).alias(f"w{i}")
+        for i in range(_SIEVE_WORDS)
+    ]
+    sieve = placed.groupBy("row").agg(*words).select(
+        F.col("row").alias("_row"), F.array(*[f"w{i}" for i in range(_SIEVE_WORDS)]).alias("_words")
+    )
+    passed = rows.withColumn("_place", place).join(F.broadcast(written(sieve)), F.col("_place.row") == F.col("_row"))
+    passed = passed.where(F.get("_words", F.expr(word)).bitwiseAND(F.expr(bit)) != 0)
+    return passed.select(*rows.columns).join(known, on)
+
+
 def only(df: DataFrame, **columns: str) -> DataFrame:
     """Just the named columns, under the names an operator uses: `only(df, key="doc_id")`."""
     return df.select(*[column_named(name).alias(alias) for alias, name in columns.items()])

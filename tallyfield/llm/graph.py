@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, written
+from .common import discard, sifted_join, written
 
 # Nodes of a bucket up to which those apart are tested pair by pair: at most so many tests a
 # node. Larger buckets go another, equally exact way.
@@ -28,6 +28,8 @@ WORDS = 16
 # Edges a file of a round of union-find, about, and its fewest files.
 EDGES = 250_000
 FEWEST = 16
+# Bytes of shared buckets up to which they are broadcast whole.
+SHARED_BYTES = 8 * 1024 * 1024
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -102,8 +104,9 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def shared_buckets(members: DataFrame) -> DataFrame:
     """`bucket`, `node` of the buckets with at least two nodes, written."""
     groups = members.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
-    shared = groups.where(F.col("lo") < F.col("hi")).select("bucket")
-    return written(members.join(shared, "bucket"))
+    # Few buckets are shared: the members of the others are not shuffled again.
+    shared = written(groups.where(F.col("lo") < F.col("hi")).select("bucket"))
+    return written(sifted_join(members, shared, ["bucket"], SHARED_BYTES))
 
 
 def link(

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tallyfield.functions import broadcast_if_small, column_named
 
-from .common import mix, only, settled, written
+from .common import mix, only, settled, sifted_join, written
 from .graph import link, shared_buckets
 
 RUN = 8
@@ -80,44 +80,52 @@ def dedup_lines(
     all others. A NULL text stays NULL, with 0 lines. The two new columns replace columns
     of the same name.
     """
-    rows = only(docs, key=key, text=text).withColumn("text_hash", F.xxhash64("text"))
-    removed = settled(lambda: removed_lines(rows, similarity, form, shortest))
-    left = F.filter(F.split(F.col("_text"), "\n"), lambda _, i: ~F.array_contains("_gone", i))
-    kept = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(F.array_join(left, "\n"))
-    n_lines = F.coalesce(F.size(F.split(F.col("_text"), "\n")), F.lit(0))
-    # The input row is one column, so that its columns may have any names.
-    ready = docs.select(
-        F.struct(*[column_named(c) for c in docs.columns]).alias("row"),
-        column_named(key).alias("of_key"),
-        column_named(text).alias("_text"),
-        F.xxhash64(column_named(text)).alias("of_hash"),
-    )
-    gone = broadcast_if_small(removed.withColumnRenamed("gone", "_gone"), MAX_BROADCAST_BYTES)
-    same = F.col("of_key").eqNullSafe(F.col("key")) & (F.col("of_hash") == F.col("text_hash"))
-    joined = ready.join(gone, same, "left")
-    return joined.select(
+    found = _deduplicated(docs, key, text, similarity, form, shortest)
+    return found.select(
         *[
-            (kept if c == text else F.col("row").getField(c)).alias(c)
+            (F.col("kept") if c == text else F.col("row").getField(c)).alias(c)
             for c in docs.columns
             if c not in ("n_lines", "n_removed")
         ],
-        F.when(F.col("_text").isNull(), 0).otherwise(n_lines).cast("bigint").alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint").alias("n_removed"),
+        "n_lines",
+        "n_removed",
     )
 
 
 def dedup_stage(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with the lines that are left; those that lost every line they had go."""
-    row = docs.select(
+    found = _deduplicated(docs, key, text, SIMILARITY, normal, 1)
+    something = F.regexp_instr("kept", F.lit(r"\S")) > 0
+    stays = (F.col("n_removed") == 0) | something
+    return found.where(stays).select(
+        *[(F.col("kept") if c == text else F.col("row").getField(c)).alias(c) for c in docs.columns]
+    )
+
+
+def _deduplicated(
+    docs: DataFrame, key: str, text: str, similarity: float, form: Form, shortest: int
+) -> DataFrame:
+    """`row`, a document as it was, `kept`, the text that is left, `n_lines` and `n_removed`."""
+    rows = only(docs, key=key, text=text).withColumn("text_hash", F.xxhash64("text"))
+    removed = settled(lambda: removed_lines(rows, similarity, form, shortest))
+    # The input row is one column, so that its columns may have any names, and the only one
+    # that carries the text through the join.
+    ready = docs.select(
         F.struct(*[column_named(c) for c in docs.columns]).alias("row"),
-        column_named(key).alias("key"),
-        column_named(text).alias("text"),
+        column_named(key).alias("of_key"),
+        F.xxhash64(column_named(text)).alias("of_hash"),
     )
-    done = dedup_lines(row, "key", "text", form=normal, shortest=1)
-    something = F.regexp_instr("text", F.lit(r"\S")) > 0
-    stays = (F.col("n_removed") == 0) | something
-    return done.where(stays).select(
-        *[(F.col("text") if c == text else F.col("row").getField(c)).alias(c) for c in docs.columns]
+    gone = broadcast_if_small(removed.withColumnRenamed("gone", "_gone"), MAX_BROADCAST_BYTES)
+    same = F.col("of_key").eqNullSafe(F.col("key")) & (F.col("of_hash") == F.col("text_hash"))
+    whole = F.col("row").getField(text)
+    left = F.filter(F.split(whole, "\n"), lambda _, i: ~F.array_contains("_gone", i))
+    kept = F.when(F.col("_gone").isNull(), whole).otherwise(F.array_join(left, "\n"))
+    n_lines = F.coalesce(F.size(F.split(whole, "\n")), F.lit(0))
+    return ready.join(gone, same, "left").select(
+        "row",
+        kept.alias("kept"),
+        F.when(whole.isNull(), 0).otherwise(n_lines).cast("bigint").alias("n_lines"),
+        F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint").alias("n_removed"),
     )
 
 
@@ -146,12 +154,9 @@ def removed_lines(
     affected = written(
         labelled.select("i1", "i2", "class").join(several, "class")
     )
-    found = (
-        _lines(rows, form, shortest, F.posexplode)
-        .join(broadcast_if_small(affected, MAX_BROADCAST_BYTES), ["i1", "i2"])
-        .select("key", "text_hash", "at", "class", "first_key")
-    )
-    found = written(found)
+    lines = _lines(rows, form, shortest, F.posexplode).drop("line")
+    found = sifted_join(lines, affected, ["i1", "i2"], MAX_BROADCAST_BYTES)
+    found = written(found.select("key", "text_hash", "at", "class", "first_key"))
     in_first = found.where(F.col("key").eqNullSafe(F.col("first_key")))
     keeper = in_first.groupBy("class").agg(F.min(F.struct("at", "text_hash")).alias("keeper"))
     # At most one line a class is kept, in the document of the smallest key.
@@ -256,7 +261,7 @@ def _places() -> list[tuple[int, int]]:
 
 def _texts(lines: DataFrame, nodes: DataFrame, shared: DataFrame) -> DataFrame:
     wanted = nodes.join(shared.select("node").distinct(), "node").select("i1", "i2", "node")
-    found = lines.join(broadcast_if_small(written(wanted), MAX_BROADCAST_BYTES), ["i1", "i2"])
+    found = sifted_join(lines, written(wanted), ["i1", "i2"], MAX_BROADCAST_BYTES)
     return written(found.groupBy("node").agg(F.first("line").alias("line")))
 
 

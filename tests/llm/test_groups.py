@@ -397,3 +397,27 @@ def test_sets_of_outside_nodes_are_written_once(spark, monkeypatch):
     found = {r["node"]: r["component"] for r in labels.collect()}
     assert {n: found.get(n, n) for n in truth} == truth
     assert sum("elements" in t.columns for t in tables) == 1
+
+
+def test_sifted_join_equals_a_plain_one(spark):
+    rows = spark.range(20_000).selectExpr("id % 5000 AS i1", "xxhash64(id % 5000) AS i2", "id AS at")
+    known = common.written(spark.range(0, 9000, 100).selectExpr("id AS i1", "xxhash64(id) AS i2", "-id AS node"))
+    for max_bytes in (0, 1 << 20):
+        joined = common.sifted_join(rows, known, ["i1", "i2"], max_bytes)
+        assert joined.columns == ["i1", "i2", "at", "node"]
+        assert Counter(map(tuple, joined.collect())) == Counter(map(tuple, rows.join(known, ["i1", "i2"]).collect()))
+    joined = common.sifted_join(rows, known, ["i1", "i2"], 0)
+    assert "BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString()
+    assert common.sifted_join(rows, known.where("false"), ["i1", "i2"], -1).count() == 0
+
+
+def test_lines_without_broadcasts_are_the_same(docs_of, monkeypatch):
+    rng = random.Random(23)
+    pool = [prose(rng, 12, 3000) for _ in range(12)]
+    docs = docs_of([(key, "\n".join(rng.choice(pool) for _ in range(4))) for key in range(30)] + [(None, pool[0]), (4, None)])
+    found = Counter(map(tuple, line_dedup.dedup_lines(docs).collect()))
+    staged = Counter(map(tuple, line_dedup.dedup_stage(docs).collect()))
+    monkeypatch.setattr(line_dedup, "MAX_BROADCAST_BYTES", 0)
+    monkeypatch.setattr(graph, "SHARED_BYTES", 0)
+    assert Counter(map(tuple, line_dedup.dedup_lines(docs).collect())) == found
+    assert Counter(map(tuple, line_dedup.dedup_stage(docs).collect())) == staged
