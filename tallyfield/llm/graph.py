@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, sifted_join, written
@@ -21,6 +21,8 @@ BLOCK = 16_384
 # Nodes of a share of those around one component, about, and the most shares they are dealt to.
 SHARE = 2_048
 SHARES = 64
+# Nodes of a bucket of which the most central one is looked for.
+CENTRAL = 8
 # A set of up to so many elements is folded into bits of this many words, twice the set in bits
 # at least; with each doubling of the set the words double.
 FOLDED = 512
@@ -142,15 +144,10 @@ def link(
         edges, tested, labels = _add(pairs, similar, edges, tested, labels)
     placed = _placed(_apart(shared, labels))
     large = placed.where(F.col("nodes") > DIRECT)
-    facts = None
+    folded = None
     if not large.isEmpty():
-        # A bucket's most central node, with the smallest share of elements nobody else has,
-        # is alike to most of those that are alike to any.
-        facts = _facts(elements(large.select("node")))
-        lone = facts.select("node", (F.col("own") / F.col("size")).alias("lone"))
-        centre = large.join(lone, "node").groupBy("bucket").agg(
-            F.min_by(F.struct("node", "label"), F.struct("lone", "node")).alias("lead")
-        )
+        folded = written(_folded(elements(large.select("node"))))
+        centre = _centres(large, folded)
         pairs = _pairs(large.join(centre, "bucket"), F.col("lead.node"), F.col("lead.label"), tested)
         edges, tested, labels = _add(pairs, similar, edges, tested, labels)
         placed = _placed(_apart(placed.select("bucket", "node"), labels))
@@ -164,10 +161,10 @@ def link(
         (F.col("label") == F.col("main")) | (F.col("label") < F.col("other_label"))
     )
     pairs = _pairs(crossing, F.col("other"), F.col("other_label"), tested)
-    if facts is None:
+    if folded is None:
         return _add(pairs, similar, edges, tested, labels)[2]
-    met = written(_met(facts, large, similarity))
-    discard(facts)
+    met = written(_met(folded, large, similarity))
+    discard(folded)
     nearest = met.groupBy("out").agg(F.min_by(F.struct("a", "b"), F.struct("far", "a", "b")).alias("pair"))
     nearest = nearest.select("pair.a", "pair.b").join(tested, ["a", "b"], "left_anti")
     edges, tested, labels = _add(pairs.unionByName(nearest).distinct(), similar, edges, tested, labels)
@@ -188,23 +185,19 @@ def _placed(apart: DataFrame) -> DataFrame:
 
 
 def _facts(sets: DataFrame) -> DataFrame:
-    """`node`, the `size` of its set, how many of its elements are its `own`, in no other set, and
-    its `level` and `bits` (`_folded`). Written.
+    """`node`, its `elements`, the `size` of its set, and how many of them are its `own`, in no other set. Written.
 
     `sets` has `node` and either `elements` or rows of `element`. Sets meet in blocks of about
     BLOCK elements first, so that an element is one row a block and not one a set that has it.
+    The sets are written and shuffled whole: for bounded sets only. `link` works by `_folded`.
     """
     if "element" in sets.columns:
         sets = sets.groupBy("node").agg(F.collect_list("element").alias("elements"))
     whole = written(sets.select("node", "elements", F.size("elements").cast("bigint").alias("size")))
     total = whole.agg(F.sum("size")).first()[0] or 0
     block = F.pmod(F.xxhash64("node"), F.lit(max(1, -(-total // BLOCK))))
-    # Sets travel as they are; an entry gets its node within the block.
-    entries = F.transform(
-        F.collect_list(F.struct("node", "elements")),
-        lambda s: F.transform(s["elements"], lambda e: F.struct(e.alias("element"), s["node"].alias("node"))),
-    )
-    met = whole.groupBy(block.alias("block")).agg(F.array_sort(F.flatten(entries)).alias("entries"))
+    entries = F.transform("elements", lambda e: F.struct(e.alias("element"), F.col("node").alias("node")))
+    met = whole.groupBy(block.alias("block")).agg(F.array_sort(F.flatten(F.collect_list(entries))).alias("entries"))
 
     def same(e, at):
         return F.coalesce(F.get("entries", at)["element"] == e["element"], F.lit(False))
@@ -225,11 +218,9 @@ def _facts(sets: DataFrame) -> DataFrame:
     each = met.select(F.inline(firsts)).drop("later")
     # Only elements that one node has come back to it: no row for each node that shares one.
     lone = each.groupBy("element").agg(F.min("node").alias("node"), F.count("*").alias("blocks"), F.bool_or("again").alias("again"))
-    own = written(lone.where("blocks = 1 and not again").groupBy("node").agg(F.count("*").alias("own")))
-    facts = whole.select("node", "size", _level(F.col("size")).alias("level"))
-    facts = facts.join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
-    facts = written(facts.join(_folded(whole), "node", "left"))
-    discard(whole, own)
+    own = lone.where("blocks = 1 and not again").groupBy("node").agg(F.count("*").alias("own"))
+    facts = written(whole.join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0))))
+    discard(whole)
     return facts
 
 
@@ -238,50 +229,78 @@ def _level(size: Column) -> Column:
     return F.when(size <= FOLDED, F.lit(0)).otherwise(F.length(F.bin(F.floor((size - 1) / F.lit(FOLDED)))))
 
 
-def _folded(whole: DataFrame) -> DataFrame:
-    """`node`, `bits`: a place for each hash, modulo the number of places; set where an odd number of elements fall on it.
+def _folded(sets: DataFrame) -> DataFrame:
+    """`node`, `size`, `level`, `bits` of sets in rows as `elements` gives them to `link`.
 
-    Places where the bits of two sets differ are never more than the elements that one of
-    the sets has alone.
+    There is a place for each hash, modulo the number of places, set where an odd number of
+    elements fall on it. Places where the bits of two sets differ are never more than the
+    elements that one of the sets has alone. A set becomes bits in the task that makes it: it
+    is not written, and what is shuffled of it does not grow with its elements.
     """
-    rows = whole.select("node", _level(F.col("size")).alias("level"), F.explode("elements").alias("element"))
-    rows = rows.select("node", "level", F.xxhash64("element").alias("h"))
+    if "element" in sets.columns:
+        sets = sets.groupBy("node").agg(F.collect_list("element").alias("elements"))
+    sized = sets.select("node", F.size("elements").cast("bigint").alias("size"), F.explode_outer("elements").alias("element"))
+    rows = sized.select("node", "size", _level(F.col("size")).alias("level"), F.xxhash64("element").alias("h"))
     place = {
         "section": f"(h div {64 * WORDS}) & (shiftleft(1L, level) - 1)",
         "word": f"(h & {64 * WORDS - 1}L) div 64",
         "bit": "shiftleft(1L, cast(h & 63L AS int))",
     }
     rows = rows.withColumn("h", F.shiftrightunsigned("h", 1)).select(
-        "node", "level", *[F.expr(e).alias(c) for c, e in place.items()]
+        "node", "size", "level", *[F.expr(e).alias(c) for c, e in place.items()]
     )
     words = [F.bit_xor(F.when(F.col("word") == i, F.col("bit")).otherwise(F.expr("0L"))).alias(f"w{i}") for i in range(WORDS)]
-    sections = rows.groupBy("node", "level", "section").agg(*words)
+    sections = rows.groupBy("node", "size", "level", "section").agg(*words)
     part = F.struct("section", F.array(*[f"w{i}" for i in range(WORDS)]).alias("words"))
-    parts = sections.groupBy("node", "level").agg(F.array_sort(F.collect_list(part)).alias("parts"))
+    parts = sections.groupBy("node", "size", "level").agg(F.array_sort(F.collect_list(part)).alias("parts"))
     # A section that no element falls on would shift the others; without bits a set is tested with all.
     whole_bits = F.flatten(F.transform("parts", lambda p: p["words"]))
-    return parts.select("node", F.when(F.size("parts") == F.expr("shiftleft(1, level)"), whole_bits).alias("bits"))
+    bits = F.when(F.size("parts") == F.expr("shiftleft(1, level)"), whole_bits)
+    return parts.select("node", "size", "level", bits.alias("bits"))
+
+
+def _first_differing(a: str, b: str) -> Column:
+    """Places that differ in the first words of two columns of bits; at level 0 these are all."""
+    total = F.lit(0)
+    for i in range(WORDS):
+        total = total + F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i))))
+    return total
 
 
-def _met(facts: DataFrame, large: DataFrame, similarity: float) -> DataFrame:
-    """`out`, `a`, `b`, `far`: pairs `a` < `b` of different labels that may be similar by `facts`, one of
+def _centres(large: DataFrame, folded: DataFrame) -> DataFrame:
+    """`bucket`, `lead`: of a few nodes of each bucket the one whose bits differ least from the others'.
+
+    It is alike to most of those that are alike to any. Which nodes are looked at changes no
+    component, only how many are left outside.
+    """
+    order = Window.partitionBy("bucket").orderBy(F.xxhash64("node"), "node")
+    some = large.select("bucket", "node", "label", F.row_number().over(order).alias("nth"))
+    some = written(some.where(F.col("nth") <= CENTRAL).drop("nth").join(folded, "node"))
+    peers = some.select("bucket", "level", F.col("size").alias("size_o"), F.col("bits").alias("bits_o"))
+    alike = 1 - _first_differing("bits", "bits_o") / (F.col("size") + F.col("size_o"))
+    scores = some.join(peers, ["bucket", "level"]).groupBy("bucket", "node", "label").agg(
+        F.sum(F.coalesce(F.greatest(alike, F.lit(0.0)), F.lit(0.0))).alias("score")
+    )
+    return scores.groupBy("bucket").agg(
+        F.max_by(F.struct("node", "label"), F.struct("score", -F.col("node"))).alias("lead")
+    )
+
+
+def _met(folded: DataFrame, large: DataFrame, similarity: float) -> DataFrame:
+    """`out`, `a`, `b`, `far`: pairs `a` < `b` of different labels that may be similar by `folded`, one of
     them, `out`, outside its bucket's main component; `far` is the share of places they differ in.
 
     Nodes are gathered by the main component of their buckets, once however many buckets
     they share, and dealt to shares where these are many. Two sets of sizes m and n are
-    similar only if they share s / (1 + s) * (m + n) elements. Neither shares those that are
-    its own, and what they do not share is at least what their bits differ in; a node that
-    fails this against the smallest set is left out from the start. Sets of different levels
-    meet at the lower one, where the bits of the larger are folded once more.
+    similar only if they share s / (1 + s) * (m + n) elements, and what they do not share is at
+    least what their bits differ in. Sets of different levels meet at the lower one, where
+    the bits of the larger are folded once more.
     """
     about = large.groupBy(F.col("main").alias("around"), "node", "label").agg(F.count("*").alias("_n")).drop("_n")
-    about = written(about.join(facts, "node").withColumn("outside", F.col("label") != F.col("around")))
-    sizes = about.groupBy("around").agg(F.min("size").alias("least"), F.count("*").alias("nodes"))
+    about = written(about.join(folded, "node").withColumn("outside", F.col("label") != F.col("around")))
+    sizes = about.groupBy("around").agg(F.count("*").alias("nodes"))
     factor = F.lit(similarity / (1 + similarity))
-    can_share = F.col("size") - F.col("own")
-    # The smallest partner a node can have is no smaller than what they share.
-    smallest = F.greatest(F.col("least"), can_share)
-    about = about.join(sizes, "around").where(can_share >= factor * (F.col("size") + smallest) - 1e-9)
+    about = about.join(sizes, "around")
     lowest = F.least(_level(F.ceil(F.col("size") * similarity - 1e-9)), F.col("level"))
     about = about.withColumn("at", F.explode(F.sequence(lowest, F.col("level"))))
     lower = f"shiftleft({WORDS}, at)"
@@ -292,26 +311,22 @@ def _met(facts: DataFrame, large: DataFrame, similarity: float) -> DataFrame:
     about = about.withColumn("bits", F.when(F.col("at") == F.col("level"), F.col("bits")).otherwise(fold))
     shares = F.least(F.lit(SHARES), F.ceil(F.col("nodes") / F.lit(SHARE))).cast("int")
     kept = ["around", "at", "share"]
-    facts_of = {c: f"{c}_o" for c in ("node", "label", "size", "can", "level", "bits")}
-    about = about.withColumn("can", can_share).withColumn("shares", shares)
-    rest = about.select(*kept[:2], F.pmod(F.xxhash64("node"), F.col("shares")).cast("int").alias("share"), "outside", *facts_of)
+    of_node = {c: f"{c}_o" for c in ("node", "label", "size", "level", "bits")}
+    about = about.withColumn("shares", shares)
+    rest = about.select(*kept[:2], F.pmod(F.xxhash64("node"), F.col("shares")).cast("int").alias("share"), "outside", *of_node)
     outs = about.where("outside").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
-    outs = outs.select(*kept, *facts_of).withColumnsRenamed(facts_of)
+    outs = outs.select(*kept, *of_node).withColumnsRenamed(of_node)
     total = F.col("size") + F.col("size_o")
     need = factor * total - 1e-9
-    # The first words of all levels go by themselves: for most sets these are all.
-    differing = F.lit(0)
-    for i in range(WORDS):
-        differing = differing + F.bit_count(F.get("bits", F.lit(i)).bitwiseXOR(F.get("bits_o", F.lit(i))))
     longer = F.aggregate(
         F.zip_with("bits", "bits_o", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, d: n + d
     )
-    differing = F.when(F.col("at") > 0, longer).otherwise(differing)
+    differing = F.when(F.col("at") > 0, longer).otherwise(_first_differing("bits", "bits_o"))
     met = rest.join(outs, kept).where(
         (F.col("label") != F.col("label_o"))
         & (~F.col("outside") | (F.col("node") > F.col("node_o")))
         & (F.least("level", "level_o") == F.col("at"))
-        & (F.least("can", "can_o") >= need)
+        & (F.least("size", "size_o") >= need)
         & F.coalesce(differing <= total - 2 * need, F.lit(True))
     )
     return met.select(

@@ -262,7 +262,8 @@ def _places() -> list[tuple[int, int]]:
 def _texts(lines: DataFrame, nodes: DataFrame, shared: DataFrame) -> DataFrame:
     wanted = nodes.join(shared.select("node").distinct(), "node").select("i1", "i2", "node")
     found = sifted_join(lines, written(wanted), ["i1", "i2"], MAX_BROADCAST_BYTES)
-    return written(found.groupBy("node").agg(F.first("line").alias("line")))
+    # By the keys of the join, so that a line is shuffled once; they stand for the node.
+    return written(found.groupBy("i1", "i2").agg(F.first("node").alias("node"), F.first("line").alias("line")).drop("i1", "i2"))
 
 
 def _similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:

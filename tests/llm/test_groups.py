@@ -357,8 +357,10 @@ def test_pairs_that_bits_leave_hold_all_similar_ones(spark, monkeypatch):
     rng = random.Random(21)
     # Sets of one level, of two neighbouring ones, and of three.
     sets = _copies_of_sets(rng, [60, 105, 230, 450]) + [{7}, {7, 8}]
-    facts = graph._facts(spark.createDataFrame([(n, list(x)) for n, x in enumerate(sets)], "node bigint, elements array<bigint>"))
-    rows = {r["node"]: r for r in facts.collect()}
+    listed = spark.createDataFrame([(n, list(x)) for n, x in enumerate(sets)], "node bigint, elements array<bigint>")
+    folded = graph._folded(listed)
+    rows = {r["node"]: r for r in folded.collect()}
+    assert all(rows[n]["size"] == len(x) for n, x in enumerate(sets))
     for i in range(len(sets)):
         for j in range(i):
             if rows[i]["level"] == rows[j]["level"]:
@@ -367,7 +369,7 @@ def test_pairs_that_bits_leave_hold_all_similar_ones(spark, monkeypatch):
     assert {r["level"] for r in rows.values()} == {0, 1, 2, 3}
     members = [(1, n, 0, n % 3) for n in range(len(sets))]
     large = spark.createDataFrame(members, "bucket bigint, node bigint, main bigint, label bigint")
-    found = Counter((r["a"], r["b"]) for r in graph._met(facts, large, 0.8).collect())
+    found = Counter((r["a"], r["b"]) for r in graph._met(folded, large, 0.8).collect())
     truth = {
         (j, i)
         for i in range(len(sets))
@@ -379,7 +381,7 @@ def test_pairs_that_bits_leave_hold_all_similar_ones(spark, monkeypatch):
     assert len(truth) > 100 and len(found) < 1.5 * len(truth)
 
 
-def test_sets_of_outside_nodes_are_written_once(spark, monkeypatch):
+def test_sets_of_large_buckets_are_not_written(spark, monkeypatch):
     rng = random.Random(22)
     sets = _copies_of_sets(rng, [400, 400])
     listed = spark.createDataFrame([(n, list(x)) for n, x in enumerate(sets)], "node bigint, elements array<bigint>")
@@ -396,7 +398,7 @@ def test_sets_of_outside_nodes_are_written_once(spark, monkeypatch):
     truth = _classes(range(len(sets)), linked)
     found = {r["node"]: r["component"] for r in labels.collect()}
     assert {n: found.get(n, n) for n in truth} == truth
-    assert sum("elements" in t.columns for t in tables) == 1
+    assert not any("elements" in t.columns for t in tables)
 
 
 def test_sifted_join_equals_a_plain_one(spark):
